@@ -47,3 +47,43 @@ SELECT CAST(isodow(time) AS BIGINT) AS isodow, count(*) AS messages FROM telemet
 SELECT CAST(hour(time) // 4 * 4 AS BIGINT) AS slot, count(*) AS messages, round(avg({_KD}), 6) AS avg_value
 FROM telemetry GROUP BY 1""",
 }
+
+_ENV = with_views("envelope_raw", "envelope_parsed")
+_TS_TYPES = "('telemetry','imu','odometry','status')"
+
+ORACLE.update({
+    "envelope_parse": _ENV + """
+SELECT arrival_seq, robot_id, sensor_id, data_type, ts, data, metadata
+FROM envelope_parsed WHERE reject_reason IS NULL""",
+    "envelope_rejects": _ENV + """
+SELECT arrival_seq, reject_reason FROM envelope_parsed WHERE reject_reason IS NOT NULL""",
+    "route_counts": _ENV + f"""
+SELECT CASE WHEN reject_reason IS NOT NULL THEN 'rejected'
+            WHEN data_type IN {_TS_TYPES} THEN 'timeseries'
+            WHEN data_type IN ('sensor_image','point_cloud') THEN 'blob'
+            ELSE 'forward_only' END AS route,
+       count(*) AS messages
+FROM envelope_parsed GROUP BY 1""",
+    "route_timeseries": _ENV + f"""
+SELECT ts AS time, robot_id, sensor_id, data_type, data AS value, metadata, arrival_seq
+FROM envelope_parsed WHERE reject_reason IS NULL AND data_type IN {_TS_TYPES}""",
+    "fanout_topics": _ENV + """
+SELECT 'processed-' || data_type AS topic, raw AS value, arrival_seq
+FROM envelope_parsed WHERE reject_reason IS NULL""",
+    "processed_by_type": _ENV + """
+SELECT data_type, count(*) AS processed FROM envelope_parsed WHERE reject_reason IS NULL GROUP BY 1""",
+    "http_landing": with_views("http_body") + """
+SELECT CASE WHEN json_exists(body, '$.timestamp') THEN TRY_CAST(body->>'timestamp' AS TIMESTAMP)
+            ELSE received_at END AS time,
+       robot_id, 'unknown' AS sensor_id, 'telemetry' AS data_type,
+       CAST(body->'data' AS VARCHAR) AS value, '{}' AS metadata, arrival_seq
+FROM http_body WHERE json_type(body) = 'OBJECT'""",
+    "route_blobs": with_views("blobs_in") + """
+SELECT CASE data_type WHEN 'sensor_image' THEN 'robot-images' ELSE 'point-clouds' END AS bucket,
+       robot_id || '/' || strftime(ts, '%Y-%m-%dT%H:%M:%S')
+         || CASE WHEN strftime(ts, '%f') = '000000' THEN '' ELSE '.' || strftime(ts, '%f') END
+         || '/' || sensor_id AS object_name,
+       max(arrival_seq) AS arrival_seq,
+       arg_max(length(data->>'content'), arrival_seq) AS content_chars
+FROM blobs_in GROUP BY 1, 2""",
+})

@@ -86,3 +86,60 @@ def messages_by_weekday(spark, sf_dir):
 @query("load_profile_4h")
 def load_profile_4h(spark, sf_dir):
     return tel.load_profile(ad.telemetry(spark, sf_dir))
+
+
+# --- envelope, landing, routing -------------------------------------------
+
+from roverlake.operators import envelope as env  # noqa: E402
+from roverlake.operators import route as rt  # noqa: E402
+
+
+def _parsed(spark, sf_dir):
+    return env.parse_envelope(ad.envelope_raw(spark, sf_dir))
+
+
+ENVELOPE_COLUMNS = ("arrival_seq", "robot_id", "sensor_id", "data_type", "ts", "data", "metadata")
+
+
+@query("envelope_parse")
+def envelope_parse(spark, sf_dir):
+    acc = env.accepted(_parsed(spark, sf_dir))
+    return acc.select(*ENVELOPE_COLUMNS).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("envelope_rejects")
+def envelope_rejects(spark, sf_dir):
+    return env.rejected(_parsed(spark, sf_dir)).select("arrival_seq", "reject_reason")
+
+
+@query("http_landing")
+def http_landing(spark, sf_dir):
+    acc = env.accepted(env.http_envelope(ad.http_body(spark, sf_dir)))
+    return rt.timeseries_rows(acc)
+
+
+@query("route_counts")
+def route_counts(spark, sf_dir):
+    return rt.route_counts(_parsed(spark, sf_dir))
+
+
+@query("route_timeseries")
+def route_timeseries(spark, sf_dir):
+    return rt.timeseries_rows(env.accepted(_parsed(spark, sf_dir)))
+
+
+@query("fanout_topics")
+def fanout_topics(spark, sf_dir):
+    return rt.topic_rows(env.accepted(_parsed(spark, sf_dir)))
+
+
+@query("processed_by_type")
+def processed_by_type(spark, sf_dir):
+    return rt.processed_by_type(env.accepted(_parsed(spark, sf_dir)))
+
+
+@query("route_blobs")
+def route_blobs(spark, sf_dir):
+    objects = rt.object_view(rt.blob_rows(ad.blobs_in(spark, sf_dir)))
+    content = F.get_json_object(F.decode("payload", "UTF-8"), "$.content")
+    return objects.select("bucket", "object_name", "arrival_seq", F.length(content).alias("content_chars"))

@@ -51,3 +51,53 @@ VIEWS = {
 
 def with_views(*names: str) -> str:
     return "WITH " + ",\n".join(VIEWS[n] for n in names) + "\n"
+
+VIEWS["http_body"] = f"""http_body AS (
+  SELECT {_RID} AS robot_id, ts AS received_at,
+         CASE WHEN event_id % 2 = 1 THEN '{{"timestamp":"' || {_TS_TEXT} || '","data":' || props || '}}'
+              ELSE '{{"data":' || props || '}}' END AS body,
+         event_id AS arrival_seq
+  FROM events)"""
+
+VIEWS["blobs_in"] = """blobs_in AS (
+  SELECT 'robot-' || CAST(page_id % 10 AS VARCHAR) AS robot_id, 'cam0' AS sensor_id, 'sensor_image' AS data_type,
+         TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST(page_id // 20 * 20 AS BIGINT)) AS ts,
+         to_json(struct_pack(content := html)) AS data, page_id * 2 AS arrival_seq
+  FROM pages
+  UNION ALL
+  SELECT 'robot-' || CAST(doc_id % 10 AS VARCHAR), 'lidar0', 'point_cloud',
+         TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST(doc_id // 20 * 20 AS BIGINT)),
+         to_json(struct_pack(content := text)), doc_id * 2 + 1
+  FROM documents)"""
+
+# Envelope parsed with DuckDB's JSON functions; reject reasons in the same order
+# as the library's.
+VIEWS["envelope_parsed"] = """envelope_j AS (
+  SELECT arrival_seq, raw, CASE WHEN json_valid(raw) THEN CAST(raw AS JSON) END AS j FROM envelope_raw),
+envelope_k AS (
+  SELECT *, CASE WHEN json_type(j) = 'OBJECT' THEN json_keys(j) END AS keys FROM envelope_j),
+envelope_f AS (
+  SELECT arrival_seq, raw, j, keys,
+    j->>'robot_id' AS robot_id,
+    CASE WHEN list_contains(keys, 'sensor_id') THEN j->>'sensor_id' ELSE 'unknown' END AS sensor_id,
+    CASE WHEN NOT list_contains(keys, 'data_type') THEN 'telemetry'
+         WHEN json_type(j, '$.data_type') = 'VARCHAR' AND j->>'data_type' IN
+              ('telemetry','sensor_image','point_cloud','imu','odometry','diagnostics','command','status')
+         THEN j->>'data_type' END AS data_type,
+    CASE WHEN json_type(j, '$.timestamp') = 'VARCHAR' AND regexp_matches(j->>'timestamp', '^\\d{4}-\\d{2}-\\d{2}')
+         THEN TRY_CAST(j->>'timestamp' AS TIMESTAMP) END AS ts,
+    CASE WHEN list_contains(keys, 'data') THEN coalesce(CAST(j->'data' AS VARCHAR), 'null') ELSE '{}' END AS data,
+    CASE WHEN list_contains(keys, 'metadata') THEN coalesce(CAST(j->'metadata' AS VARCHAR), 'null') ELSE '{}' END AS metadata
+  FROM envelope_k),
+envelope_parsed AS (
+  SELECT *, CASE
+    WHEN j IS NULL THEN 'malformed_json'
+    WHEN keys IS NULL THEN 'not_object'
+    WHEN data_type IS NULL THEN 'bad_data_type'
+    WHEN ts IS NULL THEN 'bad_timestamp'
+    WHEN data_type IN ('telemetry','imu','odometry','status') AND robot_id IS NULL THEN 'missing_robot_id'
+    WHEN data_type IN ('telemetry','imu','odometry','status') AND length(robot_id) > 50 THEN 'robot_id_too_long'
+    WHEN data_type IN ('telemetry','imu','odometry','status') AND coalesce(length(sensor_id), 0) > 50 THEN 'sensor_id_too_long'
+    WHEN data_type = 'status' AND coalesce(json_type(CAST(data AS JSON)), '') <> 'OBJECT' THEN 'bad_status_payload'
+    END AS reject_reason
+  FROM envelope_f)"""
