@@ -87,3 +87,53 @@ SELECT CASE data_type WHEN 'sensor_image' THEN 'robot-images' ELSE 'point-clouds
        arg_max(length(data->>'content'), arrival_seq) AS content_chars
 FROM blobs_in GROUP BY 1, 2""",
 })
+
+_STATUS_ROWS = with_views("status_events") + """,
+status_rows AS (
+  SELECT robot_id, time AS last_seen,
+         CASE WHEN json_exists(data, '$.status') THEN data->>'status' ELSE 'unknown' END AS status,
+         TRY_CAST(data->>'battery_level' AS DOUBLE) AS battery_level,
+         CASE WHEN json_exists(data, '$.location') THEN coalesce(CAST(data->'location' AS VARCHAR), 'null')
+              ELSE '{}' END AS location,
+         data->>'active_mission' AS active_mission, arrival_seq
+  FROM status_events)"""
+_SNAP = _STATUS_ROWS.replace("WITH ", "WITH ", 1) + """,
+snapshot AS (
+  SELECT * FROM status_rows
+  QUALIFY row_number() OVER (PARTITION BY robot_id ORDER BY arrival_seq DESC) = 1)
+"""
+_SNAP_ROBOTS = _SNAP.rstrip() + ",\n" + with_views("robots")[5:]
+_TEL_ROBOTS = with_views("telemetry", "robots")
+
+ORACLE.update({
+    "status_upsert": _SNAP + "SELECT * FROM snapshot",
+    "status_upsert_event_time": _STATUS_ROWS + """
+SELECT * FROM status_rows
+QUALIFY row_number() OVER (PARTITION BY robot_id ORDER BY last_seen DESC, arrival_seq DESC) = 1""",
+    "robots_online_flag": _SNAP + "SELECT robot_id, status, coalesce(status, '') = 'online' AS is_online FROM snapshot",
+    "battery_bands": _SNAP + """
+SELECT robot_id, battery_level,
+       CASE WHEN battery_level IS NULL THEN NULL WHEN battery_level >= 80 THEN 'excellent'
+            WHEN battery_level >= 60 THEN 'good' WHEN battery_level >= 40 THEN 'fair'
+            WHEN battery_level >= 20 THEN 'low' ELSE 'critical' END AS battery_status
+FROM snapshot""",
+    "robot_list": _SNAP_ROBOTS + """
+SELECT r.robot_id, r.name, r.type, s.status, s.battery_level AS battery, s.last_seen,
+       coalesce(s.status, '') = 'online' AS is_online, s.battery_level > 20 AS battery_ok
+FROM robots r LEFT JOIN snapshot s USING (robot_id)""",
+    "dashboard_stats": _SNAP.rstrip() + ",\n" + with_views("telemetry")[5:] + """
+SELECT count(*) AS robots_total,
+       count(*) FILTER (WHERE coalesce(status, '') = 'online') AS robots_online,
+       count(*) FILTER (WHERE coalesce(status, '') <> 'online') AS robots_offline,
+       round(count(*) FILTER (WHERE coalesce(status, '') = 'online') / greatest(count(*), 1), 6) AS system_health,
+       (SELECT count(*) FROM telemetry) AS total_messages,
+       (SELECT count(*) FROM telemetry WHERE CAST(time AS DATE) = (SELECT CAST(max(time) AS DATE) FROM telemetry))
+         AS today_messages
+FROM snapshot""",
+    "robot_telemetry_counts": _TEL_ROBOTS + """
+SELECT r.robot_id, r.name, CAST(count(t.robot_id) AS BIGINT) AS messages
+FROM robots r LEFT JOIN telemetry t USING (robot_id) GROUP BY r.robot_id, r.name""",
+    "orphan_telemetry": _TEL_ROBOTS + """
+SELECT robot_id, count(*) AS messages FROM telemetry
+WHERE robot_id NOT IN (SELECT robot_id FROM robots) GROUP BY 1""",
+})

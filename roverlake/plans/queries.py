@@ -143,3 +143,56 @@ def route_blobs(spark, sf_dir):
     objects = rt.object_view(rt.blob_rows(ad.blobs_in(spark, sf_dir)))
     content = F.get_json_object(F.decode("payload", "UTF-8"), "$.content")
     return objects.select("bucket", "object_name", "arrival_seq", F.length(content).alias("content_chars"))
+
+
+# --- status and dashboard ---------------------------------------------------
+
+from roverlake.operators import dashboard as dash  # noqa: E402
+from roverlake.operators import status as st  # noqa: E402
+
+
+def _snapshot(spark, sf_dir, order="arrival"):
+    return st.upsert_status(st.status_rows(ad.status_events(spark, sf_dir)), order=order)
+
+
+@query("status_upsert")
+def status_upsert(spark, sf_dir):
+    return _snapshot(spark, sf_dir)
+
+
+@query("status_upsert_event_time")
+def status_upsert_event_time(spark, sf_dir):
+    return _snapshot(spark, sf_dir, "event_time")
+
+
+@query("robots_online_flag")
+def robots_online_flag(spark, sf_dir):
+    s = _snapshot(spark, sf_dir)
+    return s.select("robot_id", "status", st.is_online("status").alias("is_online"))
+
+
+@query("battery_bands")
+def battery_bands(spark, sf_dir):
+    s = _snapshot(spark, sf_dir)
+    return s.select("robot_id", "battery_level", st.battery_status("battery_level").alias("battery_status"))
+
+
+@query("robot_list")
+def robot_list(spark, sf_dir):
+    return dash.robot_list(ad.robots(spark, sf_dir), _snapshot(spark, sf_dir))
+
+
+@query("dashboard_stats")
+def dashboard_stats(spark, sf_dir):
+    t = ad.telemetry(spark, sf_dir)
+    return dash.dashboard_stats(_snapshot(spark, sf_dir), t, tel.as_of_max(t))
+
+
+@query("robot_telemetry_counts")
+def robot_telemetry_counts(spark, sf_dir):
+    return dash.robot_telemetry_counts(ad.robots(spark, sf_dir), ad.telemetry(spark, sf_dir))
+
+
+@query("orphan_telemetry")
+def orphan_telemetry(spark, sf_dir):
+    return dash.orphan_telemetry(ad.robots(spark, sf_dir), ad.telemetry(spark, sf_dir))
