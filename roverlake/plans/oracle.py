@@ -137,3 +137,97 @@ FROM robots r LEFT JOIN telemetry t USING (robot_id) GROUP BY r.robot_id, r.name
 SELECT robot_id, count(*) AS messages FROM telemetry
 WHERE robot_id NOT IN (SELECT robot_id FROM robots) GROUP BY 1""",
 })
+
+_NUM = "('BIGINT','UBIGINT','DOUBLE','INTEGER','HUGEINT')"
+
+
+def _coord(c: str) -> str:
+    return (f"CASE WHEN json_type(data, '$.position') <> 'OBJECT' OR json_type(data, '$.position') IS NULL THEN NULL "
+            f"WHEN json_type(data, '$.position.{c}') IN {_NUM} THEN CAST(data->'position'->>'{c}' AS DOUBLE) "
+            f"ELSE 0.0 END")
+
+
+_SNAP_CH = ("battery", "temperature", "imu", "odometry", "laser")
+_SNAP_DEFAULT = {"battery": "100.0", "temperature": "25.0", "imu": "0.0", "odometry": "0.0", "laser": None}
+
+
+def _snapshot_sql() -> str:
+    fills = ",\n".join(
+        f"last_value(CASE WHEN channel = '{c}' THEN reading END IGNORE NULLS) OVER w AS f_{c}" for c in _SNAP_CH
+    )
+    outs = ", ".join(
+        (f"coalesce(f_{c}, {_SNAP_DEFAULT[c]}) AS {c}" if _SNAP_DEFAULT[c] else f"f_{c} AS {c}") for c in _SNAP_CH
+    )
+    return with_views("channel_readings") + f""",
+filled AS (
+  SELECT robot_id, time, arrival_seq,
+         make_timestamp(CAST((epoch_us(time) + 1999999) // 2000000 * 2000000 AS BIGINT)) AS tick,
+         {fills}
+  FROM channel_readings
+  WINDOW w AS (PARTITION BY robot_id ORDER BY time, arrival_seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT robot_id, tick, {outs}, count(*) OVER (PARTITION BY robot_id, tick) AS readings,
+       'gazebo_simulation' AS source
+FROM filled
+QUALIFY row_number() OVER (PARTITION BY robot_id, tick ORDER BY time DESC, arrival_seq DESC) = 1"""
+
+
+ORACLE.update({
+    "telemetry_getters": with_views("payloads") + f"""
+SELECT robot_id, arrival_seq,
+       CASE WHEN json_type(data, '$.battery') IN {_NUM} THEN CAST(data->>'battery' AS DOUBLE) ELSE 0.0 END AS battery,
+       {_coord('x')} AS pos_x, {_coord('y')} AS pos_y, {_coord('z')} AS pos_z,
+       CASE WHEN json_type(data, '$.status') = 'VARCHAR' THEN data->>'status' ELSE '' END AS status
+FROM payloads""",
+    "payload_keys": with_views("payloads") + """
+SELECT arrival_seq, array_to_string(list_sort(json_keys(data)), ',') AS keys FROM payloads""",
+    "payload_render": with_views("payloads") + """
+SELECT arrival_seq,
+       array_to_string(list_transform(json_keys(data), lambda x: x || ': ' || coalesce(data->>x, 'null')), ', ') AS rendered
+FROM payloads""",
+    "odometry_motion": f"""
+SELECT 'robot-' || CAST(user_id AS VARCHAR) AS robot_id, ts AS time, event_id AS arrival_seq,
+       sqrt(value * value + CAST(props->>'k' AS DOUBLE) * CAST(props->>'k' AS DOUBLE)) AS linear,
+       value / 100 AS angular
+FROM events WHERE event_type = 'purchase'""",
+    "imu_reshape": """
+SELECT 'robot-' || CAST(user_id AS VARCHAR) AS robot_id, event_id AS arrival_seq,
+       value AS accel_x, CAST(props->>'k' AS DOUBLE) / 10 AS accel_y, 9.81 AS accel_z,
+       value / 100 AS yaw_rate, 1.0 AS orient_w
+FROM events WHERE event_type = 'click'""",
+    "lidar_downsample": """
+WITH scans AS (
+  SELECT vec_id AS scan_id,
+         list_concat(list_concat(list_concat(list_concat(embedding, embedding), embedding), embedding), embedding) AS r
+  FROM embeddings),
+st AS (SELECT scan_id, r, CASE WHEN len(r) > 36 THEN len(r) // 36 ELSE 1 END AS step FROM scans),
+sampled AS (SELECT scan_id, len(r) AS total_points, step,
+                   list_filter(r, lambda x, i: (i - 1) % step = 0) AS s FROM st)
+SELECT scan_id, CAST(total_points AS INTEGER) AS total_points, CAST(len(s) AS INTEGER) AS sampled_points,
+       round(0.01 * step, 6) AS angle_increment,
+       CAST(u.i - 1 AS INTEGER) AS beam, CAST(s[u.i] AS DOUBLE) AS range
+FROM sampled, LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i) u""",
+    "diagnostics_rollup": """
+WITH d AS (
+  SELECT 'robot-' || CAST(user_id AS VARCHAR) AS robot_id, event_id AS arrival_seq,
+         CAST(props->>'k' AS BIGINT) % 3 AS l0, (CAST(props->>'k' AS BIGINT) + 1) % 2 AS l1, event_id % 3 AS l2
+  FROM events WHERE event_type = 'error')
+SELECT robot_id, arrival_seq,
+       CASE WHEN greatest(l0, l1, l2) > 1 THEN 'warning' WHEN greatest(l0, l1, l2) > 0 THEN 'degraded'
+            ELSE 'active' END AS status,
+       2 AS entries, CAST(l2 AS INTEGER) AS d0_level, CAST(l1 AS INTEGER) AS d1_level
+FROM d""",
+    "battery_series": with_views("battery_raw") + """,
+g AS (
+  SELECT *, sum(CASE WHEN percentage > 0 THEN 1 ELSE 0 END)
+              OVER (PARTITION BY robot_id ORDER BY time, arrival_seq ROWS UNBOUNDED PRECEDING) AS grp
+  FROM battery_raw),
+i AS (
+  SELECT *, first_value(CASE WHEN percentage > 0 THEN percentage * 100 END)
+              OVER (PARTITION BY robot_id, grp ORDER BY time, arrival_seq) AS base,
+            row_number() OVER (PARTITION BY robot_id, grp ORDER BY time, arrival_seq) AS rn
+  FROM g)
+SELECT robot_id, time, arrival_seq,
+       round(greatest(0.0, coalesce(base, 100.0) - 0.01 * (rn - CASE WHEN grp > 0 THEN 1 ELSE 0 END)), 6) AS battery
+FROM i""",
+    "snapshot_2s": _snapshot_sql(),
+})

@@ -196,3 +196,95 @@ def robot_telemetry_counts(spark, sf_dir):
 @query("orphan_telemetry")
 def orphan_telemetry(spark, sf_dir):
     return dash.orphan_telemetry(ad.robots(spark, sf_dir), ad.telemetry(spark, sf_dir))
+
+
+# --- payload getters and sensors --------------------------------------------
+
+from roverlake.functions import json as J  # noqa: E402
+from roverlake.functions import sensors as SF  # noqa: E402
+from roverlake.operators import sensors as sens  # noqa: E402
+
+# Channels of the snapshot query and their values before the first reading.
+SNAPSHOT_CHANNELS = {"battery": 100.0, "temperature": 25.0, "imu": 0.0, "odometry": 0.0, "laser": None}
+
+
+@query("telemetry_getters")
+def telemetry_getters(spark, sf_dir):
+    p = ad.payloads(spark, sf_dir)
+    pos = J.position_of("data")
+    return p.select(
+        "robot_id", "arrival_seq",
+        J.number_or("data", "battery").alias("battery"),
+        pos["x"].alias("pos_x"), pos["y"].alias("pos_y"), pos["z"].alias("pos_z"),
+        J.string_or("data", "status").alias("status"),
+    )
+
+
+@query("payload_keys")
+def payload_keys(spark, sf_dir):
+    p = ad.payloads(spark, sf_dir)
+    return p.select("arrival_seq", F.array_join(J.sorted_keys("data"), ",").alias("keys"))
+
+
+@query("payload_render")
+def payload_render(spark, sf_dir):
+    p = ad.payloads(spark, sf_dir)
+    return p.select("arrival_seq", J.render("data").alias("rendered"))
+
+
+@query("odometry_motion")
+def odometry_motion(spark, sf_dir):
+    o = ad.odometry(spark, sf_dir)
+    return o.select(
+        "robot_id", "time", "arrival_seq",
+        SF.planar_speed("vx", "vy").alias("linear"), F.col("wz").alias("angular"),
+    )
+
+
+@query("imu_reshape")
+def imu_reshape(spark, sf_dir):
+    i = ad.imu(spark, sf_dir)
+    s = SF.imu_state("ax", "ay", "az", "gx", "gy", "gz", "ox", "oy", "oz", "ow").alias("imu")
+    return i.select("robot_id", "arrival_seq", s).select(
+        "robot_id", "arrival_seq",
+        F.col("imu.linear_accel.x").alias("accel_x"), F.col("imu.linear_accel.y").alias("accel_y"),
+        F.col("imu.linear_accel.z").alias("accel_z"), F.col("imu.angular_vel.z").alias("yaw_rate"),
+        F.col("imu.orientation.w").alias("orient_w"),
+    )
+
+
+@query("lidar_downsample")
+def lidar_downsample(spark, sf_dir):
+    s = ad.lidar(spark, sf_dir)
+    info = SF.laser_info("ranges", "angle_min", "angle_max", "angle_increment", "range_min", "range_max")
+    out = s.select("scan_id", SF.laser_downsample("ranges").alias("sampled"), info.alias("info"))
+    return out.select(
+        "scan_id",
+        F.col("info.total_points").alias("total_points"),
+        F.col("info.sampled_points").alias("sampled_points"),
+        F.round("info.angle_increment", 6).alias("angle_increment"),
+        F.posexplode("sampled").alias("beam", "range"),
+    )
+
+
+@query("diagnostics_rollup")
+def diagnostics_rollup(spark, sf_dir):
+    d = sens.diagnostics_rollup(ad.diagnostics(spark, sf_dir))
+    return d.select(
+        "robot_id", "arrival_seq", "status",
+        F.size("diagnostics").alias("entries"),
+        F.col("diagnostics")["d0"]["level"].alias("d0_level"),
+        F.col("diagnostics")["d1"]["level"].alias("d1_level"),
+    )
+
+
+@query("battery_series")
+def battery_series(spark, sf_dir):
+    b = sens.battery_series(ad.battery_raw(spark, sf_dir))
+    return b.select("robot_id", "time", "arrival_seq", F.round("battery", 6).alias("battery"))
+
+
+@query("snapshot_2s")
+def snapshot_2s(spark, sf_dir):
+    s = sens.snapshots(ad.channel_readings(spark, sf_dir), SNAPSHOT_CHANNELS, tick_seconds=2)
+    return s.select("robot_id", "tick", *SNAPSHOT_CHANNELS, "readings", F.col("metadata.source").alias("source"))

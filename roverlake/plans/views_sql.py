@@ -101,3 +101,29 @@ envelope_parsed AS (
     WHEN data_type = 'status' AND coalesce(json_type(CAST(data AS JSON)), '') <> 'OBJECT' THEN 'bad_status_payload'
     END AS reject_reason
   FROM envelope_f)"""
+
+VIEWS["payloads"] = f"""payloads AS (
+  SELECT {_RID} AS robot_id, ts AS time, event_id AS arrival_seq,
+    '{{' || concat_ws(',',
+      CASE event_id % 6
+        WHEN 0 THEN '"battery":' || CAST(value AS VARCHAR)
+        WHEN 1 THEN '"battery":"' || CAST({_K} AS VARCHAR) || '"'
+        WHEN 2 THEN NULL
+        WHEN 3 THEN '"position":{{"x":' || CAST(value AS VARCHAR) || ',"y":' || CAST({_K} AS VARCHAR) || ',"z":0}}'
+        WHEN 4 THEN '"position":{{"x":' || CAST(value AS VARCHAR) || '}}'
+        ELSE '"position":' || CAST({_K} AS VARCHAR) END,
+      CASE WHEN event_id % 2 = 0 THEN '"status":"active"' ELSE '"status":' || CAST({_K} AS VARCHAR) END,
+      '"temperature":25.0') || '}}' AS data
+  FROM events)"""
+
+VIEWS["battery_raw"] = f"""battery_raw AS (
+  SELECT {_RID} AS robot_id, ts AS time, event_id AS arrival_seq,
+         CASE WHEN event_id % 4 = 0 THEN ({_K} % 100) / 100.0 ELSE 0.0 END AS percentage
+  FROM events)"""
+
+VIEWS["channel_readings"] = f"""channel_readings AS (
+  SELECT {_RID} AS robot_id, ts AS time, event_id AS arrival_seq,
+         CASE event_type WHEN 'view' THEN 'battery' WHEN 'click' THEN 'imu' WHEN 'purchase' THEN 'odometry'
+                         WHEN 'signup' THEN 'temperature' WHEN 'error' THEN 'laser' END AS channel,
+         value AS reading
+  FROM events)"""

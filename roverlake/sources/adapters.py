@@ -325,3 +325,16 @@ def commands(spark, sf_dir) -> DataFrame:
         F.col("o_orderdate").alias("issued_at"),
         body.alias("command"),
     )
+
+
+def imu(spark, sf_dir) -> DataFrame:
+    """IMU messages (click events): acceleration from value and k, yaw rate value/100."""
+    e = events(spark, sf_dir).where(F.col("event_type") == "click")
+    return e.select(
+        robot_id("user_id").alias("robot_id"),
+        F.col("ts").alias("time"),
+        F.col("event_id").alias("arrival_seq"),
+        F.col("value").alias("ax"), (_k().cast("double") / 10).alias("ay"), F.lit(9.81).alias("az"),
+        F.lit(0.0).alias("gx"), F.lit(0.0).alias("gy"), (F.col("value") / 100).alias("gz"),
+        F.lit(0.0).alias("ox"), F.lit(0.0).alias("oy"), F.lit(0.0).alias("oz"), F.lit(1.0).alias("ow"),
+    )
