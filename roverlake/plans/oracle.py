@@ -231,3 +231,37 @@ SELECT robot_id, time, arrival_seq,
 FROM i""",
     "snapshot_2s": _snapshot_sql(),
 })
+
+_EDGE = with_views("edge_log")
+
+ORACLE.update({
+    "heartbeat_accepted": _EDGE + "SELECT node_id, seq, ts, epoch FROM edge_decided WHERE kind = 'heartbeat' AND epoch > 0",
+    "deploy_accepted": _EDGE + "SELECT node_id, seq, model_id, epoch FROM edge_decided WHERE kind = 'deploy' AND epoch > 0",
+    "deploy_rejected": _EDGE + "SELECT node_id, seq, model_id FROM edge_decided WHERE kind = 'deploy' AND epoch = 0",
+    "node_list": _EDGE + "SELECT * FROM edge_nodes",
+    "node_usage_latest": _EDGE + "SELECT node_id, cpu, mem FROM edge_nodes",
+    "node_deployed_models": _EDGE + """
+SELECT d.node_id, row_number() OVER (PARTITION BY d.node_id ORDER BY d.seq) AS position, d.model_id, d.seq
+FROM edge_decided d JOIN (SELECT node_id, max(epoch) AS e FROM edge_decided GROUP BY 1) m
+  ON d.node_id = m.node_id AND d.epoch = m.e
+WHERE d.kind = 'deploy' AND d.epoch > 0""",
+    "deployment_status": _EDGE + """
+SELECT deployment_id, model_id, version, node_id, deployed_at, seq,
+       CASE WHEN (SELECT as_of FROM edge_asof) >= deployed_at + INTERVAL 5 SECOND THEN 'deployed'
+            ELSE 'deploying' END AS status
+FROM edge_deployments""",
+    "edge_health": _EDGE + """
+SELECT count(*) AS nodes_total,
+       count(*) FILTER (WHERE last_seen > (SELECT as_of FROM edge_asof) - INTERVAL 5 MINUTE) AS nodes_active,
+       (SELECT count(*) FROM edge_deployments) AS deployments
+FROM edge_nodes""",
+    "live_registrations": _EDGE + """
+SELECT node_id, arg_max(ts, seq) AS registered_at FROM edge_log WHERE kind = 'register' GROUP BY 1
+HAVING arg_max(ts, seq) > (SELECT as_of FROM edge_asof) - INTERVAL 5 MINUTE""",
+    "node_offline_intervals": _EDGE + """,
+nx AS (SELECT node_id, ts, lead(ts) OVER (PARTITION BY node_id ORDER BY ts, seq) AS next_ts FROM edge_signals)
+SELECT node_id, ts AS last_seen, ts + INTERVAL 5 MINUTE AS offline_from, next_ts AS offline_until
+FROM nx
+WHERE (next_ts IS NOT NULL AND next_ts - ts > INTERVAL 5 MINUTE)
+   OR (next_ts IS NULL AND (SELECT as_of FROM edge_asof) - ts > INTERVAL 5 MINUTE)""",
+})

@@ -288,3 +288,73 @@ def battery_series(spark, sf_dir):
 def snapshot_2s(spark, sf_dir):
     s = sens.snapshots(ad.channel_readings(spark, sf_dir), SNAPSHOT_CHANNELS, tick_seconds=2)
     return s.select("robot_id", "tick", *SNAPSHOT_CHANNELS, "readings", F.col("metadata.source").alias("source"))
+
+
+# --- edge nodes ---------------------------------------------------------------
+
+from roverlake.operators import edge  # noqa: E402
+
+
+def _edge(spark, sf_dir):
+    log = ad.edge_log(spark, sf_dir)
+    return log, edge.requests_decided(log), log.agg(F.max("ts")).scalar()
+
+
+@query("heartbeat_accepted")
+def heartbeat_accepted(spark, sf_dir):
+    _, d, _ = _edge(spark, sf_dir)
+    return d.where((F.col("kind") == "heartbeat") & F.col("accepted")).select("node_id", "seq", "ts", "epoch")
+
+
+@query("deploy_accepted")
+def deploy_accepted(spark, sf_dir):
+    _, d, _ = _edge(spark, sf_dir)
+    return d.where((F.col("kind") == "deploy") & F.col("accepted")).select("node_id", "seq", "model_id", "epoch")
+
+
+@query("deploy_rejected")
+def deploy_rejected(spark, sf_dir):
+    _, d, _ = _edge(spark, sf_dir)
+    return d.where((F.col("kind") == "deploy") & ~F.col("accepted")).select("node_id", "seq", "model_id")
+
+
+@query("node_list")
+def node_list(spark, sf_dir):
+    _, d, as_of = _edge(spark, sf_dir)
+    return edge.current_nodes(d, as_of)
+
+
+@query("node_usage_latest")
+def node_usage_latest(spark, sf_dir):
+    _, d, as_of = _edge(spark, sf_dir)
+    return edge.current_nodes(d, as_of).select("node_id", "cpu", "mem")
+
+
+@query("node_deployed_models")
+def node_deployed_models(spark, sf_dir):
+    _, d, _ = _edge(spark, sf_dir)
+    return edge.deployed_models(d)
+
+
+@query("deployment_status")
+def deployment_status(spark, sf_dir):
+    _, d, as_of = _edge(spark, sf_dir)
+    return edge.deployments(d, as_of)
+
+
+@query("edge_health")
+def edge_health(spark, sf_dir):
+    _, d, as_of = _edge(spark, sf_dir)
+    return edge.health(edge.current_nodes(d, as_of), edge.deployments(d, as_of), as_of)
+
+
+@query("live_registrations")
+def live_registrations(spark, sf_dir):
+    log, _, as_of = _edge(spark, sf_dir)
+    return edge.live_registrations(log, as_of)
+
+
+@query("node_offline_intervals")
+def node_offline_intervals(spark, sf_dir):
+    _, d, as_of = _edge(spark, sf_dir)
+    return edge.offline_intervals(d, as_of)

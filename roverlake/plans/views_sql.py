@@ -127,3 +127,30 @@ VIEWS["channel_readings"] = f"""channel_readings AS (
                          WHEN 'signup' THEN 'temperature' WHEN 'error' THEN 'laser' END AS channel,
          value AS reading
   FROM events)"""
+
+VIEWS["edge_log"] = f"""edge_log AS (
+  SELECT CASE event_type WHEN 'signup' THEN 'register' WHEN 'purchase' THEN 'deploy' ELSE 'heartbeat' END AS kind,
+         'node-' || CAST(user_id AS VARCHAR) AS node_id, event_id AS seq, ts,
+         'active' AS status, least(value, 100.0) AS cpu, CAST({_K} AS DOUBLE) AS mem,
+         'model-' || CAST(event_id % 9 AS VARCHAR) AS model_id, '1.0' AS version
+  FROM events WHERE event_type <> 'error'),
+edge_decided AS (
+  SELECT *, sum(CASE WHEN kind = 'register' THEN 1 ELSE 0 END)
+              OVER (PARTITION BY node_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS epoch
+  FROM edge_log),
+edge_asof AS (SELECT max(ts) AS as_of FROM edge_log),
+edge_signals AS (
+  SELECT * FROM edge_decided WHERE kind = 'register' OR (kind = 'heartbeat' AND epoch > 0)),
+edge_nodes AS (
+  SELECT node_id,
+         CASE WHEN (SELECT as_of FROM edge_asof) - arg_max(ts, seq) > INTERVAL 5 MINUTE THEN 'offline'
+              WHEN arg_max(kind, seq) = 'register' THEN 'active' ELSE arg_max(status, seq) END AS status,
+         arg_max(cpu, seq) AS cpu, arg_max(mem, seq) AS mem, max(ts) AS last_seen,
+         max(ts) FILTER (WHERE kind = 'register') AS registered_at,
+         max(epoch) AS epoch
+  FROM edge_signals GROUP BY node_id),
+edge_deployments AS (
+  SELECT model_id || '-' || node_id || '-' || CAST(epoch_us(ts) // 1000000 AS VARCHAR) AS deployment_id,
+         arg_max(model_id, seq) AS model_id, arg_max(version, seq) AS version, arg_max(node_id, seq) AS node_id,
+         arg_max(ts, seq) AS deployed_at, max(seq) AS seq
+  FROM edge_decided WHERE kind = 'deploy' AND epoch > 0 GROUP BY 1)"""
