@@ -265,3 +265,27 @@ FROM nx
 WHERE (next_ts IS NOT NULL AND next_ts - ts > INTERVAL 5 MINUTE)
    OR (next_ts IS NULL AND (SELECT as_of FROM edge_asof) - ts > INTERVAL 5 MINUTE)""",
 })
+
+ORACLE["command_normalise"] = """
+WITH c AS (
+  SELECT o_orderkey AS command_id, 'robot-' || CAST(o_custkey AS VARCHAR) AS robot_id,
+         substr(o_orderpriority, 1, 1) AS p, o_totalprice / 1000 AS lin, (o_orderkey % 7 - 3) / 10 AS ang
+  FROM orders)
+SELECT command_id, robot_id,
+       CASE p WHEN '1' THEN 'move' WHEN '2' THEN 'move' WHEN '3' THEN 'goto' WHEN '4' THEN 'stop' ELSE 'spin' END AS type,
+       CASE WHEN p IN ('1','2','4') THEN 'twist' WHEN p = '3' THEN 'goal' END AS action,
+       CASE p WHEN '1' THEN lin WHEN '2' THEN 0.0 WHEN '4' THEN 0.0 END AS linear_x,
+       CASE p WHEN '1' THEN ang WHEN '2' THEN 0.0 WHEN '4' THEN 0.0 END AS angular_z,
+       CASE WHEN p = '3' THEN lin END AS goal_x,
+       CASE WHEN p = '3' THEN 0.0 END AS goal_y,
+       CASE WHEN p = '3' THEN 1.0 END AS goal_w,
+       CASE WHEN p = '3' THEN 'map' END AS frame_id,
+       p IN ('1','2','3','4') AS accepted
+FROM c"""
+
+ORACLE["stream_route_counts"] = ORACLE["route_counts"]
+ORACLE["stream_status_upsert"] = ORACLE["status_upsert"].replace("SELECT * FROM snapshot", "SELECT robot_id, last_seen, status, battery_level, location, active_mission, arrival_seq FROM snapshot")
+ORACLE["stream_node_offline"] = _EDGE + """,
+nx AS (SELECT node_id, ts, lead(ts) OVER (PARTITION BY node_id ORDER BY ts, seq) AS next_ts FROM edge_signals)
+SELECT node_id, ts AS last_seen, ts + INTERVAL 5 MINUTE AS offline_from, next_ts AS offline_until
+FROM nx WHERE next_ts IS NOT NULL AND next_ts - ts > INTERVAL 5 MINUTE"""

@@ -358,3 +358,99 @@ def live_registrations(spark, sf_dir):
 def node_offline_intervals(spark, sf_dir):
     _, d, as_of = _edge(spark, sf_dir)
     return edge.offline_intervals(d, as_of)
+
+
+# --- commands -------------------------------------------------------------------
+
+from roverlake.operators import commands as cmd  # noqa: E402
+
+
+@query("command_normalise")
+def command_normalise(spark, sf_dir):
+    return cmd.normalise_commands(ad.commands(spark, sf_dir)).drop("issued_at")
+
+
+# --- streams: run to completion on the table, read the sink back --------------
+
+import uuid  # noqa: E402
+
+from roverlake.session import checkpoint_dir  # noqa: E402
+from roverlake.sources import streams as srcs  # noqa: E402
+from roverlake.streaming import ingest as ing  # noqa: E402
+from roverlake.streaming import liveness as live  # noqa: E402
+from roverlake.streaming import snapshots as snaps  # noqa: E402
+
+
+def _stream_events(spark, sf_dir, max_files: int | None = None):
+    schema = ad.events(spark, sf_dir).schema
+    return srcs.parquet_replay(spark, f"{sf_dir}/events.parquet", schema, max_files)
+
+
+def _scratch(spark, name: str) -> str:
+    """Sink and checkpoint folder under the cluster's shared checkpoint dir."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/roverlake-streams/{name}-{uuid.uuid4().hex}"
+
+
+def _run_to_end(query_handle):
+    query_handle.awaitTermination()
+    if query_handle.exception():
+        raise query_handle.exception()
+
+
+def _run_ingest(spark, sf_dir) -> str:
+    base = _scratch(spark, "ingest")
+    msgs = ad.envelope_raw_of(_stream_events(spark, sf_dir))
+    _run_to_end(ing.start_ingest(msgs, f"{base}/out", f"{base}/ckpt"))
+    return f"{base}/out"
+
+
+@query("stream_route_counts")
+def stream_route_counts(spark, sf_dir):
+    out = _run_ingest(spark, sf_dir)
+    ts = ing.read_timeseries(spark, out).groupBy().count().select(F.lit("timeseries").alias("route"), F.col("count").alias("messages"))
+    blobs = spark.read.parquet(f"{out}/objects").groupBy().count().select(F.lit("blob").alias("route"), F.col("count").alias("messages"))
+    rej = spark.read.parquet(f"{out}/rejects").groupBy().count().select(F.lit("rejected").alias("route"), F.col("count").alias("messages"))
+    fwd = (spark.read.parquet(f"{out}/topics")
+           .where(~F.col("topic").isin(*[f"processed-{t}" for t in ("telemetry", "imu", "odometry", "status", "sensor_image", "point_cloud")]))
+           .groupBy().count().select(F.lit("forward_only").alias("route"), F.col("count").alias("messages")))
+    return ts.unionByName(blobs).unionByName(rej).unionByName(fwd).where(F.col("messages") > 0)
+
+
+@query("stream_status_upsert")
+def stream_status_upsert(spark, sf_dir):
+    base = _scratch(spark, "status")
+    msgs = ad.status_events_of(_stream_events(spark, sf_dir))
+
+    def batch(df, bid):
+        prev = ing.previous_status(spark, f"{base}/out", bid)
+        _snap = st.upsert_status(st.status_rows(df), prev)
+        _snap.write.mode("overwrite").parquet(f"{base}/out/status/v={bid}")
+
+    _run_to_end(msgs.writeStream.option("checkpointLocation", f"{base}/ckpt").foreachBatch(batch)
+                .trigger(availableNow=True).start())
+    return ing.read_status(spark, f"{base}/out")
+
+
+@query("stream_node_offline")
+def stream_node_offline(spark, sf_dir):
+    base = _scratch(spark, "liveness")
+    rows = live.offline_stream(ad.edge_log_of(_stream_events(spark, sf_dir)))
+    _run_to_end(rows.writeStream.format("parquet").option("path", f"{base}/out")
+                .option("checkpointLocation", f"{base}/ckpt").outputMode("append")
+                .trigger(availableNow=True).start())
+    out = spark.read.parquet(f"{base}/out").where(F.col("offline_until").isNotNull())
+    return out.select(
+        "node_id",
+        *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("last_seen", "offline_from", "offline_until")],
+    )
+
+
+@query("stream_snapshot_2s")
+def stream_snapshot_2s(spark, sf_dir):
+    base = _scratch(spark, "snapshots")
+    rows = snaps.snapshot_stream(ad.channel_readings_of(_stream_events(spark, sf_dir)), SNAPSHOT_CHANNELS)
+    _run_to_end(rows.writeStream.format("parquet").option("path", f"{base}/out")
+                .option("checkpointLocation", f"{base}/ckpt").outputMode("append")
+                .trigger(availableNow=True).start())
+    out = spark.read.parquet(f"{base}/out")
+    return out.withColumn("tick", F.col("tick").cast("timestamp_ntz"))

@@ -96,8 +96,11 @@ def robots(spark, sf_dir) -> DataFrame:
 
 
 def envelope_raw(spark, sf_dir) -> DataFrame:
+    return envelope_raw_of(events(spark, sf_dir))
+
+
+def envelope_raw_of(e: DataFrame) -> DataFrame:
     """Raw JSON envelopes, one per event, with faults by ``event_id % 16``."""
-    e = events(spark, sf_dir)
     fault = F.col("event_id") % 16
     dtype = F.element_at(F.array(*[F.lit(t) for t in ENVELOPE_TYPES]), ((F.floor(F.col("event_id") / 16) % 8) + 1).cast("int"))
     ts_text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
@@ -144,8 +147,12 @@ def http_body(spark, sf_dir) -> DataFrame:
 
 
 def status_events(spark, sf_dir) -> DataFrame:
+    return status_events_of(events(spark, sf_dir))
+
+
+def status_events_of(e: DataFrame) -> DataFrame:
     """Status messages (signup events) with a permuted arrival order."""
-    e = events(spark, sf_dir).where(F.col("event_type") == "signup")
+    e = e.where(F.col("event_type") == "signup")
     eid = F.col("event_id")
     arrival = (eid * PERMUTATION_PRIME) % PERMUTATION_BLOCK + F.floor(eid / PERMUTATION_BLOCK) * PERMUTATION_BLOCK
     status = F.element_at(F.array(*[F.lit(s) for s in STATUS_CYCLE]), ((eid % 5) + 1).cast("int"))
@@ -166,8 +173,12 @@ def status_events(spark, sf_dir) -> DataFrame:
 
 
 def edge_log(spark, sf_dir) -> DataFrame:
+    return edge_log_of(events(spark, sf_dir))
+
+
+def edge_log_of(e: DataFrame) -> DataFrame:
     """Edge controller requests: registers, heartbeats, deploy requests."""
-    e = events(spark, sf_dir).where(F.col("event_type") != "error")
+    e = e.where(F.col("event_type") != "error")
     return e.select(
         _map(F.col("event_type"), EDGE_KIND).alias("kind"),
         F.concat(F.lit("node-"), F.col("user_id").cast("string")).alias("node_id"),
@@ -263,8 +274,11 @@ def diagnostics(spark, sf_dir) -> DataFrame:
 
 
 def channel_readings(spark, sf_dir) -> DataFrame:
+    return channel_readings_of(events(spark, sf_dir))
+
+
+def channel_readings_of(e: DataFrame) -> DataFrame:
     """Sensor readings per channel (one channel per event type)."""
-    e = events(spark, sf_dir)
     channel = _map(F.col("event_type"), {
         "view": "battery", "click": "imu", "purchase": "odometry", "signup": "temperature", "error": "laser",
     })
