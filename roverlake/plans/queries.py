@@ -258,13 +258,16 @@ def lidar_downsample(spark, sf_dir):
     s = ad.lidar(spark, sf_dir)
     info = SF.laser_info("ranges", "angle_min", "angle_max", "angle_increment", "range_min", "range_max")
     out = s.select("scan_id", SF.laser_downsample("ranges").alias("sampled"), info.alias("info"))
+    # posexplode_outer + null filter = posexplode, but Catalyst infers no
+    # size(sampled) > 0 filter to push below the projection (which would
+    # evaluate the down-sampling a second time, per element).
     return out.select(
         "scan_id",
         F.col("info.total_points").alias("total_points"),
         F.col("info.sampled_points").alias("sampled_points"),
         F.round("info.angle_increment", 6).alias("angle_increment"),
-        F.posexplode("sampled").alias("beam", "range"),
-    )
+        F.posexplode_outer("sampled").alias("beam", "range"),
+    ).where(F.col("beam").isNotNull())
 
 
 @query("diagnostics_rollup")

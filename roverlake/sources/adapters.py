@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roverlake.sources.tables import load
+from roverlake.sources.tables import load, spread
 
 # ---------------------------------------------------------------------------
 # Fixed values of the adapters (our test conventions).
@@ -96,7 +96,7 @@ def robots(spark, sf_dir) -> DataFrame:
 
 
 def envelope_raw(spark, sf_dir) -> DataFrame:
-    return envelope_raw_of(events(spark, sf_dir))
+    return envelope_raw_of(spread(events(spark, sf_dir)))
 
 
 def envelope_raw_of(e: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def envelope_raw_of(e: DataFrame) -> DataFrame:
 def http_body(spark, sf_dir) -> DataFrame:
     """Gateway POST bodies: robot id from the path, body ``{"data": props}``;
     only odd ids carry a ``timestamp``."""
-    e = events(spark, sf_dir)
+    e = spread(events(spark, sf_dir))
     ts_text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     body = F.when(
         F.col("event_id") % 2 == 1,
@@ -147,7 +147,7 @@ def http_body(spark, sf_dir) -> DataFrame:
 
 
 def status_events(spark, sf_dir) -> DataFrame:
-    return status_events_of(events(spark, sf_dir))
+    return status_events_of(spread(events(spark, sf_dir)))
 
 
 def status_events_of(e: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def edge_log_of(e: DataFrame) -> DataFrame:
 
 def payloads(spark, sf_dir) -> DataFrame:
     """Telemetry payloads of mixed shapes, by ``event_id % 6``."""
-    e = events(spark, sf_dir)
+    e = spread(events(spark, sf_dir))
     eid, k = F.col("event_id"), _k().cast("string")
     v = F.col("value").cast("string")
     shape = eid % 6
@@ -241,7 +241,7 @@ def battery_raw(spark, sf_dir) -> DataFrame:
 
 def lidar(spark, sf_dir) -> DataFrame:
     """Laser scans: five copies of each embedding (320 beams)."""
-    m = load(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    m = spread(load(spark, sf_dir, "embeddings", "vec_id", "embedding"))
     r = F.transform(F.col("embedding"), lambda x: x.cast("double"))
     return m.select(
         F.col("vec_id").alias("scan_id"),
@@ -311,8 +311,8 @@ def blobs_in(spark, sf_dir) -> DataFrame:
             (i * 2 + seq_offset).alias("arrival_seq"),
         )
 
-    pages = shape(load(spark, sf_dir, "pages", "page_id", "html"), "page_id", "html", "sensor_image", 0)
-    docs = shape(load(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", "point_cloud", 1)
+    pages = shape(spread(load(spark, sf_dir, "pages", "page_id", "html")), "page_id", "html", "sensor_image", 0)
+    docs = shape(spread(load(spark, sf_dir, "documents", "doc_id", "text")), "doc_id", "text", "point_cloud", 1)
     return pages.unionByName(docs)
 
 
@@ -322,7 +322,7 @@ def robot_id_expr(c: Column) -> Column:
 
 def commands(spark, sf_dir) -> DataFrame:
     """Cloud commands from orders, by priority."""
-    o = load(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderdate")
+    o = spread(load(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderdate"))
     prio = F.substring(F.col("o_orderpriority"), 1, 1)
     lin = (F.col("o_totalprice") / 1000).cast("string")
     ang = ((F.col("o_orderkey") % 7 - 3) / 10).cast("string")

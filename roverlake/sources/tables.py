@@ -18,3 +18,15 @@ def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     configure(spark)
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that arrived in fewer splits than the cluster has task
+    slots (e.g. a file with one row group) before per-row heavy work such as
+    JSON parsing. A no-op when the input is already split widely, which is
+    the case for large tables; round-robin, so no key skew is introduced.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots)

@@ -25,6 +25,7 @@ from pyspark.sql.utils import AnalysisException
 from roverlake.operators import envelope as env
 from roverlake.operators import route as rt
 from roverlake.operators import status as st
+from roverlake.sources.tables import spread
 
 
 def _write(df: DataFrame, path: str, partition_by: str | None = None, sort_by: tuple[str, ...] = ()) -> None:
@@ -48,7 +49,7 @@ def previous_status(spark: SparkSession, out: str, batch_id: int) -> DataFrame |
 
 def ingest_batch(batch: DataFrame, batch_id: int, out: str, status_order: str = "arrival") -> None:
     spark = batch.sparkSession
-    parsed = env.parse_envelope(batch).persist(StorageLevel.MEMORY_AND_DISK)
+    parsed = env.parse_envelope(spread(batch)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         acc = env.accepted(parsed)
         ts = rt.timeseries_rows(acc).withColumn("event_date", F.to_date("time"))
