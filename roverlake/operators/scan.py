@@ -15,6 +15,9 @@ each key's history into time chunks and scan in two levels:
 
 Supported running values are the ones the operators need: inclusive running
 sums, last non-null value ("forward fill"), and next-row value ("lead").
+
+The chunk must not decrease along the order (a time bucket of the ordering
+time, or of a receive time that grows with the arrival sequence).
 """
 
 from __future__ import annotations
@@ -53,11 +56,12 @@ def running(
     """
     keys = [key] if isinstance(key, str) else list(key)
     sums, lasts = sums or {}, lasts or {}
-    staged = df.withColumn("_chunk", chunk).withColumns(
+    chunk_col, keep_chunk = _chunk_column(chunk)
+    staged = (df if keep_chunk else df.withColumn(chunk_col, chunk)).withColumns(
         {f"_s_{n}": e for n, e in sums.items()} | {f"_l_{n}": e for n, e in lasts.items()}
     )
     ordering = [F.col(c) for c in order]
-    w_local = Window.partitionBy(*keys, "_chunk").orderBy(*ordering).rowsBetween(Window.unboundedPreceding, 0)
+    w_local = Window.partitionBy(*keys, chunk_col).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, 0)
     local = staged.withColumns(
         {f"_ls_{n}": F.sum(f"_s_{n}").over(w_local) for n in sums}
         | {f"_ll_{n}": F.last(f"_l_{n}", ignorenulls=True).over(w_local) for n in lasts}
@@ -67,24 +71,37 @@ def running(
     aggs = [F.sum(f"_s_{n}").alias(f"_t_{n}") for n in sums] + [
         F.max_by(F.col(f"_l_{n}"), F.when(F.col(f"_l_{n}").isNotNull(), ostruct)).alias(f"_t_{n}") for n in lasts
     ]
-    summary = staged.groupBy(*keys, "_chunk").agg(*aggs)
-    w_chunks = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # Summaries are partial aggregates of the input itself (one row per key,
+    # chunk and map task crosses the network). Deriving them from the windowed
+    # rows instead would make Spark recompute the scan, shuffle and window in
+    # the summary branch.
+    summary = staged.groupBy(*keys, chunk_col).agg(*aggs)
+    w_chunks = Window.partitionBy(*keys).orderBy(chunk_col).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
-        *keys, "_chunk",
+        *keys, chunk_col,
         *[F.sum(f"_t_{n}").over(w_chunks).alias(f"_c_{n}") for n in sums],
         *[F.last(f"_t_{n}", ignorenulls=True).over(w_chunks).alias(f"_c_{n}") for n in lasts],
     )
-    joined = local.join(carry, [*keys, "_chunk"], "left")
+    joined = local.join(carry, [*keys, chunk_col], "left")
     out = joined.withColumns(
         {n: F.col(f"_ls_{n}") + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in sums}
         | {n: F.coalesce(F.col(f"_ll_{n}"), F.col(f"_c_{n}")) for n in lasts}
     )
-    drop = ["_chunk"] + [f"_{p}_{n}" for n in sums for p in ("s", "ls", "c")] + [
+    drop = ([] if keep_chunk else [chunk_col]) + [f"_{p}_{n}" for n in sums for p in ("s", "ls", "c")] + [
         f"_{p}_{n}" for n in lasts for p in ("l", "ll", "c")
     ]
     return out.drop(*drop)
 
 
+def _chunk_column(chunk: Column | str) -> tuple[str, bool]:
+    """A column name refers to a chunk column the caller already added (and
+    keeps, so consecutive scans share one partitioning); a Column expression
+    is added here and dropped afterwards."""
+    if isinstance(chunk, str):
+        return chunk, True
+    return "_chunk", False
+
+
 def next_value(
     df: DataFrame,
     key: Sequence[str] | str,

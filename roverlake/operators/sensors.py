@@ -7,9 +7,7 @@ serialize the job.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roverlake.functions import sensors as SF
@@ -25,26 +23,61 @@ def battery_series(readings: DataFrame, chunk: str = DEFAULT_CHUNK) -> DataFrame
     negative one decays the previous value by 0.01, floored at 0; the start
     value is 100. Closed form: ``greatest(0, base - 0.01 * n)`` with ``base``
     the last positive reading (or the start value) and ``n`` the number of
-    non-positive readings since it -- a running count and a forward fill.
+    non-positive readings since it.
+
+    Plan (one shuffle of the readings): rows are hash-partitioned by
+    ``(robot, time chunk)`` and scanned with windows inside each chunk; what a
+    chunk inherits from earlier chunks (last base, decay steps since it) is
+    built from per-chunk aggregates of the input -- tiny, and joined back on
+    ``(robot, chunk)`` without moving the big side again.
     """
     p = F.col("percentage")
     pos = p > 0
-    scanned = running(
-        readings, "robot_id", ORDER, chunk_of("time", chunk),
-        sums={"_nonpos": F.when(pos, 0).otherwise(1).cast("long")},
-        lasts={"_base": F.when(pos, SF.percent(p))},
+    o = F.struct(*[F.col(c) for c in ORDER])
+    staged = readings.withColumns({
+        "_chunk": chunk_of("time", chunk),
+        "_np": F.when(pos, 0).otherwise(1).cast("long"),
+        "_b": F.when(pos, SF.percent(p)),
+    })
+    keys = ["robot_id", "_chunk"]
+
+    # 1. inside each chunk
+    w = Window.partitionBy(*keys).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    local = staged.withColumns({
+        "_lnp": F.sum("_np").over(w),
+        "_lbase": F.last("_b", ignorenulls=True).over(w),
+    }).withColumn("_lnp_at_base", F.last(F.when(pos, F.col("_lnp")), ignorenulls=True).over(w))
+
+    # 2. per-chunk summaries from the input (partial aggregates)
+    per_chunk = staged.groupBy(*keys).agg(
+        F.sum("_np").alias("tot_np"),
+        F.max_by("_b", F.when(pos, o)).alias("last_base"),
+        F.max(F.when(pos, o)).alias("last_pos"),
+    )
+    after = (
+        staged.join(per_chunk.select(*keys, "last_pos"), keys)
+        .where(o > F.col("last_pos"))
+        .groupBy(*keys).agg(F.count(F.lit(1)).alias("np_after"))
+    )
+    summary = per_chunk.join(after, keys, "left").withColumn("np_after", F.coalesce("np_after", F.lit(0)))
+    wc = Window.partitionBy("robot_id").orderBy("_chunk")
+    prev = wc.rowsBetween(Window.unboundedPreceding, -1)
+    summary = summary.withColumn("cum_before", F.coalesce(F.sum("tot_np").over(prev), F.lit(0)))
+    at_base = F.when(F.col("last_pos").isNotNull(), F.col("cum_before") + F.col("tot_np") - F.col("np_after"))
+    carry = summary.select(
+        *keys,
+        F.last("last_base", ignorenulls=True).over(prev).alias("base_in"),
+        (F.col("cum_before") - F.coalesce(F.last(at_base, ignorenulls=True).over(prev), F.lit(0))).alias("n_in"),
     )
-    # The non-positive count at the last positive reading (the count does not
-    # move on positive rows, so it is the count at that row).
-    scanned = running(
-        scanned, "robot_id", ORDER, chunk_of("time", chunk),
-        lasts={"_nonpos_at_base": F.when(pos, F.col("_nonpos"))},
+
+    # 3. combine
+    joined = local.join(carry, keys, "left")
+    in_chunk = F.col("_lbase").isNotNull()
+    base = F.when(in_chunk, F.col("_lbase")).otherwise(F.coalesce("base_in", F.lit(SF.BATTERY_START)))
+    n = F.when(in_chunk, F.col("_lnp") - F.col("_lnp_at_base")).otherwise(F.col("n_in") + F.col("_lnp"))
+    return joined.withColumn("battery", F.greatest(F.lit(0.0), base - F.lit(SF.BATTERY_DECAY) * n)).drop(
+        "_chunk", "_np", "_b", "_lnp", "_lbase", "_lnp_at_base", "base_in", "n_in"
     )
-    n = F.col("_nonpos") - F.coalesce(F.col("_nonpos_at_base"), F.lit(0))
-    base = F.coalesce(F.col("_base"), F.lit(SF.BATTERY_START))
-    return scanned.withColumn(
-        "battery", F.greatest(F.lit(0.0), base - F.lit(SF.BATTERY_DECAY) * n)
-    ).drop("_nonpos", "_base", "_nonpos_at_base")
 
 
 def diagnostics_rollup(diag: DataFrame) -> DataFrame:
@@ -98,19 +131,3 @@ def snapshots(
         for c, d in channels.items()
     ]
     return per_tick.select("robot_id", "tick", *values, "readings", SF.snapshot_metadata().alias("metadata"))
-
-
-def dense_ticks(sparse: DataFrame, start, end, tick_seconds: int = 2) -> DataFrame:
-    """Expand change-point snapshots to every tick in ``[start, end]`` per robot
-    (only for bounded windows; the sparse form is the stored one)."""
-    step = F.expr(f"INTERVAL {tick_seconds} SECONDS")
-    robots = sparse.select("robot_id").distinct()
-    grid = robots.select(
-        "robot_id",
-        F.explode(F.sequence(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"), step)).alias("tick"),
-    )
-    cols: Sequence[str] = [c for c in sparse.columns if c not in ("robot_id", "tick")]
-    joined = grid.join(sparse, ["robot_id", "tick"], "left")
-    return running(
-        joined, "robot_id", ("tick",), chunk_of("tick"), lasts={c: F.col(c) for c in cols}
-    )
