@@ -107,3 +107,16 @@ def render(js) -> Column:
         F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("null")))),
         ", ",
     )
+
+
+def encode_json(c) -> Column:
+    """JSON column codec, write side (F8): struct/map -> JSON text, NULL stays NULL."""
+    return F.to_json(as_col(c))
+
+
+def decode_object(js) -> Column:
+    """JSON column codec, read side (F8): the text when it holds a JSON object,
+    NULL for SQL NULL; anything else (array, scalar, bad JSON) is an error in
+    the reference and NULL here (check with ``is_object`` to reject)."""
+    c = as_col(js)
+    return F.when(is_object(c), c)

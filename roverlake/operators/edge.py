@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roverlake.functions.time import unix_seconds
+from roverlake.functions.time import rfc3339, unix_seconds
 from roverlake.operators.scan import DEFAULT_CHUNK, chunk_of, next_value, running
 
 # ---------------------------------------------------------------------------
@@ -138,7 +138,7 @@ def health(nodes: DataFrame, deps: DataFrame, as_of) -> DataFrame:
     return nodes.agg(
         F.count(F.lit(1)).alias("nodes_total"),
         F.count_if(active).alias("nodes_active"),
-    ).select("*", n_deps.alias("deployments"))
+    ).select("*", n_deps.alias("deployments"), rfc3339(as_of_col(as_of).cast("timestamp")).alias("timestamp"))
 
 
 def live_registrations(log: DataFrame, as_of) -> DataFrame:
@@ -151,6 +151,22 @@ def live_registrations(log: DataFrame, as_of) -> DataFrame:
     return last.where(fresh)
 
 
+def registration_cache(log: DataFrame) -> DataFrame:
+    """History form of the registration cache (S7): each registration's
+    entry lives from its time until it expires 5 minutes later or the node
+    registers again (which rewrites the entry and restarts the expiry).
+    ``live_registrations(as_of)`` equals the entries with
+    ``registered_at <= as_of < live_until`` (up to equal timestamps)."""
+    regs = log.where(F.col("kind") == "register").select("node_id", "seq", "ts")
+    nxt = next_value(regs, "node_id", ("ts", "seq"), chunk_of("ts"), "ts", "next_register")
+    expires = F.col("ts") + F.expr(CACHE_TTL)
+    return nxt.select(
+        "node_id", "seq", F.col("ts").alias("registered_at"), expires.alias("expires_at"),
+        F.when(F.col("next_register").isNotNull() & (F.col("next_register") < expires), F.col("next_register"))
+        .otherwise(expires).alias("live_until"),
+    )
+
+
 def offline_intervals(decided: DataFrame, as_of=None) -> DataFrame:
     """Offline periods from gaps in a node's signals (W6, batch form of R3).
 

@@ -253,8 +253,15 @@ FROM edge_deployments""",
     "edge_health": _EDGE + """
 SELECT count(*) AS nodes_total,
        count(*) FILTER (WHERE last_seen > (SELECT as_of FROM edge_asof) - INTERVAL 5 MINUTE) AS nodes_active,
-       (SELECT count(*) FROM edge_deployments) AS deployments
+       (SELECT count(*) FROM edge_deployments) AS deployments,
+       strftime((SELECT as_of FROM edge_asof), '%Y-%m-%dT%H:%M:%SZ') AS timestamp
 FROM edge_nodes""",
+    "registration_cache": _EDGE + """,
+r AS (SELECT node_id, seq, ts, lead(ts) OVER (PARTITION BY node_id ORDER BY ts, seq) AS nx
+      FROM edge_log WHERE kind = 'register')
+SELECT node_id, seq, ts AS registered_at, ts + INTERVAL 5 MINUTE AS expires_at,
+       CASE WHEN nx IS NOT NULL AND nx < ts + INTERVAL 5 MINUTE THEN nx ELSE ts + INTERVAL 5 MINUTE END AS live_until
+FROM r""",
     "live_registrations": _EDGE + """
 SELECT node_id, arg_max(ts, seq) AS registered_at FROM edge_log WHERE kind = 'register' GROUP BY 1
 HAVING arg_max(ts, seq) > (SELECT as_of FROM edge_asof) - INTERVAL 5 MINUTE""",

@@ -357,6 +357,11 @@ def live_registrations(spark, sf_dir):
     return edge.live_registrations(log, as_of)
 
 
+@query("registration_cache")
+def registration_cache(spark, sf_dir):
+    return edge.registration_cache(ad.edge_log(spark, sf_dir))
+
+
 @query("node_offline_intervals")
 def node_offline_intervals(spark, sf_dir):
     _, d, as_of = _edge(spark, sf_dir)

@@ -25,18 +25,10 @@ from pyspark.sql.utils import AnalysisException
 from roverlake.operators import envelope as env
 from roverlake.operators import route as rt
 from roverlake.operators import status as st
+from roverlake.sources import sinks as sk
 from roverlake.sources.tables import spread
 
 
-def _write(df: DataFrame, path: str, partition_by: str | None = None, sort_by: tuple[str, ...] = ()) -> None:
-    if sort_by:
-        df = df.sortWithinPartitions(*sort_by)
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(partition_by)
-    w.parquet(path)
-
-
 def previous_status(spark: SparkSession, out: str, batch_id: int) -> DataFrame | None:
     """Snapshot written by the previous batch (batch ids are consecutive)."""
     if batch_id <= 0:
@@ -52,17 +44,16 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str, status_order: str =
     parsed = env.parse_envelope(spread(batch)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         acc = env.accepted(parsed)
-        ts = rt.timeseries_rows(acc).withColumn("event_date", F.to_date("time"))
-        _write(ts, f"{out}/timeseries/batch={batch_id}", "event_date", ("robot_id", "time"))
-        _write(rt.blob_rows(acc), f"{out}/objects/batch={batch_id}", "bucket")
-        _write(rt.topic_rows(acc), f"{out}/topics/batch={batch_id}", "topic")
-        _write(env.rejected(parsed).select("raw", "arrival_seq", "received_at", "reject_reason"),
-               f"{out}/rejects/batch={batch_id}")
-        _write(rt.processed_by_type(acc), f"{out}/counts/batch={batch_id}")
+        sk.write_timeseries(rt.timeseries_rows(acc), f"{out}/timeseries", batch_id)
+        sk.write_objects(rt.blob_rows(acc), f"{out}/objects", batch_id)
+        sk.write_topics_files(rt.topic_rows(acc), f"{out}/topics", batch_id)
+        sk.write_rejects(env.rejected(parsed).select("raw", "arrival_seq", "received_at", "reject_reason"),
+                         f"{out}/rejects", batch_id)
+        rt.processed_by_type(acc).write.mode("overwrite").parquet(f"{out}/counts/batch={batch_id}")
         rows = st.status_rows(acc.where(F.col("data_type") == "status")
                               .withColumn("time", F.col("ts").cast("timestamp_ntz")))
         snap = st.upsert_status(rows, previous_status(spark, out, batch_id), order=status_order)
-        _write(snap, f"{out}/status/v={batch_id}")
+        sk.write_status_version(snap, f"{out}/status", batch_id)
     finally:
         parsed.unpersist()
 

@@ -110,3 +110,10 @@ def test_command_normaliser(spark):
     assert (got[2].goal_x, got[2].goal_y, got[2].goal_w, got[2].frame_id) == (0.0, 2.0, 1.0, "map")
     assert (got[3].linear_x, got[3].angular_z) == (0.0, 0.0)
     assert [r.accepted for r in got] == [True, True, True, True, False, False, False]
+
+
+def test_json_codec(spark):
+    df = spark.createDataFrame([('{"a":1}',), ("[1]",), ("null",), (None,), ("{bad",)], "j string")
+    assert [r.o for r in df.select(J.decode_object("j").alias("o")).collect()] == ['{"a":1}', None, None, None, None]
+    s = spark.createDataFrame([(1, None)], "a int, b string").select(J.encode_json(F.struct("a", "b")).alias("e"))
+    assert s.first().e == '{"a":1}'

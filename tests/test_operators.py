@@ -214,3 +214,37 @@ def test_snapshot_ticks(spark):
         (T0 + dt.timedelta(seconds=2), 50.0, 30.0, None, 2),
         (T0 + dt.timedelta(seconds=8), 40.0, 30.0, None, 1),
     ]
+
+
+def test_online_setters(spark):
+    df = spark.createDataFrame([("r", "charging", T0)], "robot_id string, status string, last_seen timestamp_ntz")
+    later = F.lit(T0 + dt.timedelta(hours=1)).cast("timestamp_ntz")
+    on = st.set_online(df, later).first()
+    assert (on.status, on.last_seen) == ("online", T0 + dt.timedelta(hours=1))
+    off = st.set_offline(st.set_online(df, later)).first()
+    assert (off.status, off.last_seen) == ("offline", T0 + dt.timedelta(hours=1))
+    assert [r.o for r in df.select(st.is_online("status").alias("o")).collect()] == [False]
+
+
+def test_time_range_prunes_event_date_partitions(spark, tmpdir_path):
+    from roverlake.sources import sinks
+
+    rows = _tel(spark, [(d * 86400, "{}") for d in range(5)])
+    sinks.write_timeseries(rows, f"{tmpdir_path}/ts")
+    table = spark.read.parquet(f"{tmpdir_path}/ts")
+    out = tel.time_range(table, T0 + dt.timedelta(days=1), T0 + dt.timedelta(days=2))
+    assert out.count() == 2
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan
+
+
+def test_registration_cache_agrees_with_live_view(spark):
+    log = [("register", "n1", 0, T0), ("register", "n1", 1, T0 + dt.timedelta(minutes=2)),
+           ("register", "n2", 2, T0 + dt.timedelta(minutes=1)), ("heartbeat", "n2", 3, T0 + dt.timedelta(minutes=9))]
+    df = spark.createDataFrame(log, "kind string, node_id string, seq long, ts timestamp_ntz")
+    cache = edge.registration_cache(df).orderBy("seq").collect()
+    assert [r.live_until for r in cache] == [T0 + dt.timedelta(minutes=2), T0 + dt.timedelta(minutes=7),
+                                             T0 + dt.timedelta(minutes=6)]
+    at = T0 + dt.timedelta(minutes=6, seconds=30)
+    live = {r.node_id for r in edge.live_registrations(df, F.lit(at).cast("timestamp_ntz")).collect()}
+    assert live == {r.node_id for r in cache if r.registered_at <= at < r.live_until} == {"n1"}
