@@ -191,8 +191,8 @@ SELECT 'robot-' || CAST(user_id AS VARCHAR) AS robot_id, ts AS time, event_id AS
 FROM events WHERE event_type = 'purchase'""",
     "imu_reshape": """
 SELECT 'robot-' || CAST(user_id AS VARCHAR) AS robot_id, event_id AS arrival_seq,
-       value AS accel_x, CAST(props->>'k' AS DOUBLE) / 10 AS accel_y, 9.81 AS accel_z,
-       value / 100 AS yaw_rate, 1.0 AS orient_w
+       value AS accel_x, CAST(props->>'k' AS DOUBLE) / 10 AS accel_y, CAST(9.81 AS DOUBLE) AS accel_z,
+       value / 100 AS yaw_rate, CAST(1.0 AS DOUBLE) AS orient_w
 FROM events WHERE event_type = 'click'""",
     "lidar_downsample": """
 WITH scans AS (
@@ -203,7 +203,7 @@ st AS (SELECT scan_id, r, CASE WHEN len(r) > 36 THEN len(r) // 36 ELSE 1 END AS
 sampled AS (SELECT scan_id, len(r) AS total_points, step,
                    list_filter(r, lambda x, i: (i - 1) % step = 0) AS s FROM st)
 SELECT scan_id, CAST(total_points AS INTEGER) AS total_points, CAST(len(s) AS INTEGER) AS sampled_points,
-       round(0.01 * step, 6) AS angle_increment,
+       CAST(round(0.01 * step, 6) AS DOUBLE) AS angle_increment,
        CAST(u.i - 1 AS INTEGER) AS beam, CAST(s[u.i] AS DOUBLE) AS range
 FROM sampled, LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i) u""",
     "diagnostics_rollup": """
@@ -284,8 +284,8 @@ SELECT command_id, robot_id,
        CASE p WHEN '1' THEN lin WHEN '2' THEN 0.0 WHEN '4' THEN 0.0 END AS linear_x,
        CASE p WHEN '1' THEN ang WHEN '2' THEN 0.0 WHEN '4' THEN 0.0 END AS angular_z,
        CASE WHEN p = '3' THEN lin END AS goal_x,
-       CASE WHEN p = '3' THEN 0.0 END AS goal_y,
-       CASE WHEN p = '3' THEN 1.0 END AS goal_w,
+       CASE WHEN p = '3' THEN CAST(0.0 AS DOUBLE) END AS goal_y,
+       CASE WHEN p = '3' THEN CAST(1.0 AS DOUBLE) END AS goal_w,
        CASE WHEN p = '3' THEN 'map' END AS frame_id,
        p IN ('1','2','3','4') AS accepted
 FROM c"""

@@ -142,7 +142,7 @@ def processed_by_type(spark, sf_dir):
 def route_blobs(spark, sf_dir):
     objects = rt.object_view(rt.blob_rows(ad.blobs_in(spark, sf_dir)))
     content = F.get_json_object(F.decode("payload", "UTF-8"), "$.content")
-    return objects.select("bucket", "object_name", "arrival_seq", F.length(content).alias("content_chars"))
+    return objects.select("bucket", "object_name", "arrival_seq", F.length(content).cast("long").alias("content_chars"))
 
 
 # --- status and dashboard ---------------------------------------------------

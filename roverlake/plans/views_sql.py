@@ -135,8 +135,8 @@ VIEWS["edge_log"] = f"""edge_log AS (
          'model-' || CAST(event_id % 9 AS VARCHAR) AS model_id, '1.0' AS version
   FROM events WHERE event_type <> 'error'),
 edge_decided AS (
-  SELECT *, sum(CASE WHEN kind = 'register' THEN 1 ELSE 0 END)
-              OVER (PARTITION BY node_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS epoch
+  SELECT *, CAST(sum(CASE WHEN kind = 'register' THEN 1 ELSE 0 END)
+              OVER (PARTITION BY node_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS epoch
   FROM edge_log),
 edge_asof AS (SELECT max(ts) AS as_of FROM edge_log),
 edge_signals AS (
