@@ -248,3 +248,13 @@ def test_registration_cache_agrees_with_live_view(spark):
     at = T0 + dt.timedelta(minutes=6, seconds=30)
     live = {r.node_id for r in edge.live_registrations(df, F.lit(at).cast("timestamp_ntz")).collect()}
     assert live == {r.node_id for r in cache if r.registered_at <= at < r.live_until} == {"n1"}
+
+
+def test_hot_key_scan_uses_many_tasks(spark):
+    """One key holding every row: the chunked scan still spreads it over tasks."""
+    rows = [("hot", T0 + dt.timedelta(seconds=37 * i), i, 1.0) for i in range(4000)]  # ~41 hours
+    df = spark.createDataFrame(rows, "k string, t timestamp_ntz, s long, v double")
+    out = scan.running(df, "k", ("t", "s"), scan.chunk_of("t", "1 hour"), sums={"n": F.col("v")})
+    parts = out.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts > 1
+    assert out.agg(F.max("n")).first()[0] == 4000.0
