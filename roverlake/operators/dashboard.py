@@ -62,3 +62,15 @@ def dashboard_stats(snapshot: DataFrame, telemetry: DataFrame, as_of) -> DataFra
         (total - online).alias("robots_offline"),
         F.round(online / F.greatest(total, F.lit(1)), 6).alias("system_health"),
     ).select("*", msgs.alias("total_messages"), today.alias("today_messages"))
+
+
+def ingest_latency(landed: DataFrame, time_col: str = "time", created_col: str = "received_at") -> DataFrame:
+    """Per-robot ingest latency in milliseconds (A5 ``average_latency``; our
+    formula: receive time minus message time, the two times the telemetry
+    model keeps apart)."""
+    ms = (F.unix_micros(F.col(created_col).cast("timestamp")) - F.unix_micros(F.col(time_col).cast("timestamp"))) / 1000.0
+    return landed.groupBy("robot_id").agg(
+        F.count(F.lit(1)).alias("messages"),
+        F.round(F.avg(ms), 6).alias("avg_latency_ms"),
+        F.max(ms).alias("max_latency_ms"),
+    )

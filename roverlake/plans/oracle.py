@@ -78,6 +78,16 @@ SELECT CASE WHEN json_exists(body, '$.timestamp') THEN TRY_CAST(body->>'timestam
        robot_id, 'unknown' AS sensor_id, 'telemetry' AS data_type,
        CAST(body->'data' AS VARCHAR) AS value, '{}' AS metadata, arrival_seq
 FROM http_body WHERE json_type(body) = 'OBJECT'""",
+    "ingest_latency": with_views("http_body") + """,
+landed AS (
+  SELECT robot_id, received_at,
+         CASE WHEN json_exists(body, '$.timestamp') THEN TRY_CAST(body->>'timestamp' AS TIMESTAMP)
+              ELSE received_at END AS time
+  FROM http_body WHERE json_type(body) = 'OBJECT')
+SELECT robot_id, count(*) AS messages,
+       round(avg((epoch_us(received_at) - epoch_us(time)) / 1000.0), 6) AS avg_latency_ms,
+       max((epoch_us(received_at) - epoch_us(time)) / 1000.0) AS max_latency_ms
+FROM landed GROUP BY 1""",
     "route_blobs": with_views("blobs_in") + """
 SELECT CASE data_type WHEN 'sensor_image' THEN 'robot-images' ELSE 'point-clouds' END AS bucket,
        robot_id || '/' || strftime(ts, '%Y-%m-%dT%H:%M:%S')

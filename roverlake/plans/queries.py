@@ -90,6 +90,7 @@ def load_profile_4h(spark, sf_dir):
 
 # --- envelope, landing, routing -------------------------------------------
 
+from roverlake.operators import dashboard as dash  # noqa: E402
 from roverlake.operators import envelope as env  # noqa: E402
 from roverlake.operators import route as rt  # noqa: E402
 
@@ -118,6 +119,13 @@ def http_landing(spark, sf_dir):
     return rt.timeseries_rows(acc)
 
 
+@query("ingest_latency")
+def ingest_latency(spark, sf_dir):
+    acc = env.accepted(env.http_envelope(ad.http_body(spark, sf_dir)))
+    landed = acc.select("robot_id", F.col("ts").cast("timestamp_ntz").alias("time"), "received_at")
+    return dash.ingest_latency(landed)
+
+
 @query("route_counts")
 def route_counts(spark, sf_dir):
     return rt.route_counts(_parsed(spark, sf_dir))

@@ -53,7 +53,7 @@ def with_views(*names: str) -> str:
     return "WITH " + ",\n".join(VIEWS[n] for n in names) + "\n"
 
 VIEWS["http_body"] = f"""http_body AS (
-  SELECT {_RID} AS robot_id, ts AS received_at,
+  SELECT {_RID} AS robot_id, ts + to_milliseconds(event_id % 250) AS received_at,
          CASE WHEN event_id % 2 = 1 THEN '{{"timestamp":"' || {_TS_TEXT} || '","data":' || props || '}}'
               ELSE '{{"data":' || props || '}}' END AS body,
          event_id AS arrival_seq

@@ -131,16 +131,18 @@ def envelope_raw_of(e: DataFrame) -> DataFrame:
 
 def http_body(spark, sf_dir) -> DataFrame:
     """Gateway POST bodies: robot id from the path, body ``{"data": props}``;
-    only odd ids carry a ``timestamp``."""
+    only odd ids carry a ``timestamp``; the gateway receives each body
+    ``event_id % 250`` milliseconds after its timestamp."""
     e = spread(events(spark, sf_dir))
     ts_text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     body = F.when(
         F.col("event_id") % 2 == 1,
         F.concat(F.lit('{"timestamp":"'), ts_text, F.lit('","data":'), F.col("props"), F.lit("}")),
     ).otherwise(F.concat(F.lit('{"data":'), F.col("props"), F.lit("}")))
+    delay = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), ((F.col("event_id") % 250) / 1000).cast("decimal(18,6)"))
     return e.select(
         robot_id("user_id").alias("robot_id"),
-        F.col("ts").alias("received_at"),
+        (F.col("ts") + delay).alias("received_at"),
         body.alias("body"),
         F.col("event_id").alias("arrival_seq"),
     )
