@@ -71,7 +71,11 @@ def parse_envelope(
         ts = F.when(_present(keys, "timestamp"), ts).otherwise(F.col(received_col).cast("timestamp"))
 
     def json_or_default(key: str, default: str) -> Column:
-        return F.when(_present(keys, key), F.coalesce(_text(raw, key), F.lit("null"))).otherwise(F.lit(default))
+        # JSON text of the field; a JSON string keeps its quotes (get_json_object
+        # would return it bare), a JSON null is the text null.
+        is_string = _vtype(v, key) == "STRING"
+        text = F.when(is_string, F.to_json(F.try_variant_get(v, f"$.{key}", "variant"))).otherwise(_text(raw, key))
+        return F.when(_present(keys, key), F.coalesce(text, F.lit("null"))).otherwise(F.lit(default))
 
     parsed = staged.withColumns({
         "robot_id": F.col(robot_col) if robot_col else F.try_variant_get(v, "$.robot_id", "string"),

@@ -102,14 +102,15 @@ def test_diagnostics_status_and_last_name_wins(spark):
 
 
 def test_command_normaliser(spark):
-    rows = ['{"type":"move","linear":0.5}', '{"type":"move","linear":"0.25","angular":"x"}', '{"type":"goto","y":2}',
-            '{"type":"stop"}', '{"type":"spin"}', '{"type":null}', "{}"]
+    rows = ['{"type":"move","linear":0.5}', '{"type":"move","linear":"0.25","angular":true}', '{"type":"goto","y":2}',
+            '{"type":"stop"}', '{"type":"spin"}', '{"type":null}', "{}", '{"type":"move","angular":"x"}',
+            '{"type":"goto","x":null}']
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "id int, command string")
     got = cmd.normalise_commands(df).orderBy("id").collect()
-    assert [(r.action, r.linear_x, r.angular_z) for r in got[:2]] == [("twist", 0.5, 0.0), ("twist", 0.25, 0.0)]
+    assert [(r.action, r.linear_x, r.angular_z) for r in got[:2]] == [("twist", 0.5, 0.0), ("twist", 0.25, 1.0)]
     assert (got[2].goal_x, got[2].goal_y, got[2].goal_w, got[2].frame_id) == (0.0, 2.0, 1.0, "map")
     assert (got[3].linear_x, got[3].angular_z) == (0.0, 0.0)
-    assert [r.accepted for r in got] == [True, True, True, True, False, False, False]
+    assert [r.accepted for r in got] == [True, True, True, True, False, False, False, False, False]
 
 
 def test_json_codec(spark):

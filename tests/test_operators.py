@@ -67,10 +67,12 @@ def test_envelope_rejects_overlong_status(spark):
             '{"robot_id":"r1","data_type":"status","timestamp":"2025-01-01T00:00:00","data":{"status":"%s"}}' % ("x" * 20),
             '{"robot_id":"r1","data_type":"status","timestamp":"2025-01-01T00:00:00","data":{"battery_level":"abc"}}',
             '{"robot_id":"r1","data_type":"status","timestamp":"2025-01-01T00:00:00","data":[1]}',
-            '{"robot_id":null,"data_type":"command","timestamp":"2025-01-01T00:00:00"}']
+            '{"robot_id":null,"data_type":"command","timestamp":"2025-01-01T00:00:00"}',
+            '{"robot_id":"r1","timestamp":"2025-01-01T00:00:00","data":"abc","metadata":[1, 2]}']
     df = spark.createDataFrame([(r, i) for i, r in enumerate(raws)], "raw string, arrival_seq long")
-    got = [r.reject_reason for r in env.parse_envelope(df).orderBy("arrival_seq").collect()]
-    assert got == ["status_too_long", None, "bad_battery_level", "bad_status_payload", None]
+    out = env.parse_envelope(df).orderBy("arrival_seq").collect()
+    assert [r.reject_reason for r in out] == ["status_too_long", None, "bad_battery_level", "bad_status_payload", None, None]
+    assert (out[5].data_type, out[5].sensor_id, out[5].data, out[5].metadata) == ("telemetry", "unknown", '"abc"', "[1,2]")
 
 
 def _battery_model(ps):
