@@ -24,6 +24,16 @@ def field_text(js, key: str) -> Column:
     return F.get_json_object(as_col(js), _path(key))
 
 
+def field_json(js, key: str) -> Column:
+    """JSON text of a top-level field, like ``json.dumps(obj.get(key))``:
+    a JSON string keeps its quotes, a JSON null gives the text ``null``, an
+    absent key gives SQL NULL."""
+    js = as_col(js)
+    v = F.try_variant_get(variant(js), _path(key), "variant")
+    text = F.when(F.schema_of_variant(v) == "STRING", F.to_json(v)).otherwise(F.get_json_object(js, _path(key)))
+    return F.when(has_key(js, key), F.coalesce(text, F.lit("null")))
+
+
 def to_double(c, on_bad: str = "null") -> Column:
     """``::float``. ANSI cast raises on bad text; ``on_bad='null'`` uses try_cast (F2)."""
     c = as_col(c)

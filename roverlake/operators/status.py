@@ -43,8 +43,7 @@ def status_rows(df: DataFrame, data_col: str = "data", time_col: str = "time") -
         F.col(time_col).alias("last_seen"),
         F.when(J.has_key(d, "status"), J.field_text(d, "status")).otherwise(F.lit(DEFAULT_STATUS)).alias("status"),
         J.to_double(J.field_text(d, "battery_level")).alias("battery_level"),
-        F.when(J.has_key(d, "location"), F.coalesce(J.field_text(d, "location"), F.lit("null")))
-        .otherwise(F.lit("{}")).alias("location"),
+        F.coalesce(J.field_json(d, "location"), F.lit("{}")).alias("location"),
         J.field_text(d, "active_mission").alias("active_mission"),
         F.col("arrival_seq"),
     )

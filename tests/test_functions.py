@@ -118,3 +118,10 @@ def test_json_codec(spark):
     assert [r.o for r in df.select(J.decode_object("j").alias("o")).collect()] == ['{"a":1}', None, None, None, None]
     s = spark.createDataFrame([(1, None)], "a int, b string").select(J.encode_json(F.struct("a", "b")).alias("e"))
     assert s.first().e == '{"a":1}'
+
+
+def test_field_json_quotes_strings(spark):
+    rows = ['{"l":"abc"}', '{"l":null}', '{"l":{"x":1}}', '{"l":[1,2]}', '{"l":5}', "{}"]
+    df = spark.createDataFrame([(r,) for r in rows], "d string")
+    assert [r.t for r in df.select(J.field_json("d", "l").alias("t")).collect()] == [
+        '"abc"', "null", '{"x":1}', "[1,2]", "5", None]
