@@ -2,7 +2,8 @@
 
 A raw message is accepted or rejected as a whole (``reject_reason`` is NULL
 for accepted rows). Parsing is a single narrow projection: each message is
-decoded once into a VARIANT and every field is read from it.
+decoded once into a VARIANT and every field (presence, type, value, JSON
+text) is read from it.
 
 Defaults follow the reference's ``dict.get(key, default)``: an *absent* key
 takes the default, an explicit JSON null stays null.
@@ -29,18 +30,6 @@ DEFAULT_SENSOR_ID = "unknown"
 DEFAULT_DATA_TYPE = "telemetry"
 
 
-def _present(keys: Column, key: str) -> Column:
-    return F.coalesce(F.array_contains(keys, F.lit(key)), F.lit(False))
-
-
-def _vtype(v: Column, key: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant"))
-
-
-def _text(raw: Column, key: str) -> Column:
-    return F.get_json_object(raw, f"$.{key}")
-
-
 def parse_envelope(
     df: DataFrame, raw_col: str = "raw", received_col: str | None = None, robot_col: str | None = None
 ) -> DataFrame:
@@ -53,33 +42,35 @@ def parse_envelope(
     (the URL path of the HTTP route).
     """
     raw = F.col(raw_col)
-    staged = df.withColumns({
-        "_v": F.try_parse_json(raw),
-        "_keys": F.json_object_keys(raw),
-    })
-    v, keys = F.col("_v"), F.col("_keys")
+    staged = df.withColumn("_v", F.try_parse_json(raw))
+    v = F.col("_v")
+
+    def field(key: str) -> Column:
+        return F.try_variant_get(v, f"$.{key}", "variant")
+
+    def present(key: str) -> Column:
+        # absent key -> SQL NULL; a JSON null is a (non-NULL) variant null
+        return field(key).isNotNull()
 
-    type_present = _present(keys, "data_type")
     type_text = F.try_variant_get(v, "$.data_type", "string")
-    data_type = F.when(~type_present, F.lit(DEFAULT_DATA_TYPE)).when(
-        (_vtype(v, "data_type") == "STRING") & type_text.isin(*S.DATA_TYPES), type_text
+    data_type = F.when(~present("data_type"), F.lit(DEFAULT_DATA_TYPE)).when(
+        (F.schema_of_variant(field("data_type")) == "STRING") & type_text.isin(*S.DATA_TYPES), type_text
     )
 
-    ts_text = F.when(_vtype(v, "timestamp") == "STRING", F.try_variant_get(v, "$.timestamp", "string"))
+    ts_text = F.when(F.schema_of_variant(field("timestamp")) == "STRING", F.try_variant_get(v, "$.timestamp", "string"))
     ts = parse_iso(ts_text)
     if received_col is not None:
-        ts = F.when(_present(keys, "timestamp"), ts).otherwise(F.col(received_col).cast("timestamp"))
+        ts = F.when(present("timestamp"), ts).otherwise(F.col(received_col).cast("timestamp"))
 
     def json_or_default(key: str, default: str) -> Column:
-        # JSON text of the field; a JSON string keeps its quotes (get_json_object
-        # would return it bare), a JSON null is the text null.
-        is_string = _vtype(v, key) == "STRING"
-        text = F.when(is_string, F.to_json(F.try_variant_get(v, f"$.{key}", "variant"))).otherwise(_text(raw, key))
-        return F.when(_present(keys, key), F.coalesce(text, F.lit("null"))).otherwise(F.lit(default))
+        # JSON text of the field (a JSON null is the text null). Rendered from
+        # the decoded VARIANT, so the message is parsed once; object keys come
+        # out sorted, a normalisation like the reference's JSONB column.
+        return F.when(present(key), F.to_json(field(key))).otherwise(F.lit(default))
 
     parsed = staged.withColumns({
         "robot_id": F.col(robot_col) if robot_col else F.try_variant_get(v, "$.robot_id", "string"),
-        "sensor_id": F.when(_present(keys, "sensor_id"), F.try_variant_get(v, "$.sensor_id", "string"))
+        "sensor_id": F.when(present("sensor_id"), F.try_variant_get(v, "$.sensor_id", "string"))
         .otherwise(F.lit(DEFAULT_SENSOR_ID)),
         "data_type": data_type,
         "ts": ts,
@@ -87,7 +78,7 @@ def parse_envelope(
         "metadata": json_or_default("metadata", "{}"),
         "_is_obj": F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)),
     })
-    return with_reject_reason(parsed).drop("_v", "_keys", "_is_obj")
+    return with_reject_reason(parsed).drop("_v", "_is_obj")
 
 
 def _status_checks(df: DataFrame) -> DataFrame:
