@@ -306,3 +306,15 @@ ORACLE["stream_node_offline"] = _EDGE + """,
 nx AS (SELECT node_id, ts, lead(ts) OVER (PARTITION BY node_id ORDER BY ts, seq) AS next_ts FROM edge_signals)
 SELECT node_id, ts AS last_seen, ts + INTERVAL 5 MINUTE AS offline_from, next_ts AS offline_until
 FROM nx WHERE next_ts IS NOT NULL AND next_ts - ts > INTERVAL 5 MINUTE"""
+
+# Stream snapshots: the batch answer without each robot's last tick when the
+# final watermark (max event time, in ms) has not passed it -- that tick is
+# still open when the input ends.
+ORACLE["stream_snapshot_2s"] = (
+    "SELECT robot_id, tick, battery, temperature, imu, odometry, laser, readings FROM (\n"
+    + _snapshot_sql() + "\n) s"
+    + """
+
+QUALIFY NOT (tick = max(tick) OVER (PARTITION BY robot_id)
+             AND epoch_ms(tick) >= (SELECT epoch_ms(max(ts)) FROM events))"""
+)
