@@ -62,7 +62,8 @@ def landing_messages(spark: SparkSession, path: str, streaming: bool = True, max
 def http_landing(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     """Gateway POST bodies landed as ``<path>/<robot_id>/<file>.jsonl`` (S2):
     the robot id comes from the folder name, as it came from the URL."""
-    df = (spark.readStream.format("text").load(path) if streaming else spark.read.text(path))
+    reader = (spark.readStream if streaming else spark.read).format("text").option("recursiveFileLookup", "true")
+    df = reader.load(path)
     return df.select(
         F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1).alias("robot_id"),
         F.col("_metadata.file_modification_time").alias("received_at"),

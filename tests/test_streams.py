@@ -95,3 +95,20 @@ def test_snapshot_stream_equals_batch(spark, tmpdir_path, parts):
     assert set(got_rows) <= set(want_rows)
     # only ticks still open when the input ended (newer than the watermark) may be missing
     assert len(want_rows) - len(got_rows) <= 3
+
+
+def test_http_landing_folder_robot_from_path(spark, tmpdir_path):
+    from roverlake.operators import envelope as env
+
+    for robot, lines in {"robot-1": ['{"timestamp":"2025-01-01T00:00:00","data":{"battery":50}}', '{"data":{}}'],
+                         "robot-2": ["[1,2]"]}.items():
+        os.makedirs(f"{tmpdir_path}/{robot}")
+        with open(f"{tmpdir_path}/{robot}/part-0.jsonl", "w") as fh:
+            fh.write("\n".join(lines) + "\n")
+    bodies = srcs.http_landing(spark, tmpdir_path)
+    parsed = env.http_envelope(bodies).select("robot_id", "data_type", "ts", "reject_reason").collect()
+    got = sorted((r.robot_id, r.reject_reason, r.data_type if r.reject_reason is None else None) for r in parsed)
+    assert got == [("robot-1", None, "telemetry"), ("robot-1", None, "telemetry"), ("robot-2", "not_object", None)]
+    assert all(r.ts is not None for r in parsed if r.reject_reason is None)
+    msgs = srcs.landing_messages(spark, f"{tmpdir_path}/robot-1", streaming=False)
+    assert msgs.count() == 2 and set(msgs.columns) == {"raw", "arrival_seq", "received_at"}
