@@ -113,17 +113,20 @@ def snapshots(
     the previous row). That keeps the output proportional to the input
     instead of to robots x elapsed time.
     """
-    wide = readings.withColumns({
+    wide = readings.withColumn("tick", tick_of("time", tick_seconds)).withColumns({
         f"_ch_{c}": F.when(F.col("channel") == c, F.col("reading")) for c in channels
     })
+    # Chunks are cut on the tick (which grows with the time), so no tick spans
+    # two chunks: grouping by (robot, chunk, tick) is satisfied by the scan's
+    # (robot, chunk) partitioning and adds no shuffle.
+    wide = wide.withColumn("_chunk", chunk_of("tick", chunk))
     filled = running(
-        wide, "robot_id", ORDER, chunk_of("time", chunk),
+        wide, "robot_id", ORDER, "_chunk",
         lasts={f"_f_{c}": F.col(f"_ch_{c}") for c in channels},
     )
     state = F.struct(*[F.col(f"_f_{c}").alias(c) for c in channels])
     per_tick = (
-        filled.withColumn("tick", tick_of("time", tick_seconds))
-        .groupBy("robot_id", "tick")
+        filled.groupBy("robot_id", "_chunk", "tick")
         .agg(F.max_by(state, F.struct(*ORDER)).alias("s"), F.count(F.lit(1)).alias("readings"))
     )
     values = [
