@@ -43,9 +43,13 @@ ORDER = ("seq",)
 
 
 def with_epoch(log: DataFrame, chunk: str = DEFAULT_CHUNK) -> DataFrame:
-    """Adds ``epoch`` = registrations of the node up to and including this request."""
+    """Adds ``epoch`` = registrations of the node up to and including this
+    request, and the scan's time chunk ``_chunk`` (kept so later per-node
+    scans reuse the same partitioning)."""
     is_reg = (F.col("kind") == "register").cast("long")
-    return running(log, "node_id", ORDER, chunk_of("ts", chunk), sums={"epoch": is_reg})
+    is_dep = (F.col("kind") == "deploy").cast("long")
+    staged = log.withColumn("_chunk", chunk_of("ts", chunk))
+    return running(staged, "node_id", ORDER, "_chunk", sums={"epoch": is_reg, "_deploys": is_dep})
 
 
 def requests_decided(log: DataFrame) -> DataFrame:
@@ -98,13 +102,28 @@ def deployed_models(decided: DataFrame) -> DataFrame:
     registration, in request order, duplicates kept.
 
     Kept as rows rather than one array per node so no task ever holds a
-    node's whole list; ``position`` is a running count (chunked scan).
+    node's whole list. ``position`` comes from the running deploy count of the
+    epoch scan minus the deploys before the node's last registration (a
+    per-node aggregate), so the log is scanned in order only once.
     """
-    deps = decided.where((F.col("kind") == "deploy") & F.col("accepted"))
-    last_epoch = decided.groupBy("node_id").agg(F.max("epoch").alias("_last"))
-    cur = deps.join(last_epoch, "node_id").where(F.col("epoch") == F.col("_last")).drop("_last")
-    pos = running(cur, ["node_id", "epoch"], ORDER, chunk_of("ts"), sums={"position": F.lit(1).cast("long")})
-    return pos.select("node_id", "position", "model_id", "seq")
+    kind = F.col("kind")
+    regs = decided.where(kind == "register").groupBy("node_id").agg(
+        F.count(F.lit(1)).alias("_last"), F.max("seq").alias("_last_reg")
+    )
+    before = (
+        decided.where(kind == "deploy").select("node_id", "seq")
+        .join(regs.select("node_id", "_last_reg"), "node_id")
+        .where(F.col("seq") < F.col("_last_reg"))
+        .groupBy("node_id").agg(F.count(F.lit(1)).alias("_base"))
+    )
+    cur = (
+        decided.where((kind == "deploy") & F.col("accepted"))
+        .join(regs, "node_id")
+        .where(F.col("epoch") == F.col("_last"))
+        .join(before, "node_id", "left")
+    )
+    position = (F.col("_deploys") - F.coalesce(F.col("_base"), F.lit(0))).cast("long")
+    return cur.select("node_id", position.alias("position"), "model_id", "seq")
 
 
 def deployment_id(model: str = "model_id", node: str = "node_id", ts: str = "ts") -> Column:
@@ -167,15 +186,28 @@ def registration_cache(log: DataFrame) -> DataFrame:
     )
 
 
-def offline_intervals(decided: DataFrame, as_of=None) -> DataFrame:
+def offline_intervals(log: DataFrame, as_of=None, chunk: str = DEFAULT_CHUNK) -> DataFrame:
     """Offline periods from gaps in a node's signals (W6, batch form of R3).
 
     After a signal at ``t`` with no further signal for more than 5 minutes the
     node is offline from ``t + 5 min`` until the next signal (or open, NULL,
     when none has arrived by ``as_of``). The 30 s monitor tick is ignored.
+
+    Signals are registrations and heartbeats after the node's first
+    registration (the same rows as accepted heartbeats). They are found with a
+    per-node aggregate rather than the epoch scan, so the log is shuffled once,
+    by the lead scan below.
     """
-    sig = _signals(decided).select("node_id", "seq", "ts")
-    nxt = next_value(sig, "node_id", ("ts", "seq"), chunk_of("ts"), "ts", "next_ts")
+    kind = F.col("kind")
+    first_reg = log.where(kind == "register").groupBy("node_id").agg(F.min("seq").alias("_first_reg"))
+    sig = (
+        log.where(kind.isin("register", "heartbeat"))
+        .select("node_id", "seq", "ts")
+        .join(first_reg, "node_id")
+        .where(F.col("seq") >= F.col("_first_reg"))
+        .drop("_first_reg")
+    )
+    nxt = next_value(sig, "node_id", ("ts", "seq"), chunk_of("ts", chunk), "ts", "next_ts")
     gap_s = F.unix_micros(F.col("next_ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
     closed = F.col("next_ts").isNotNull() & (gap_s > LIVENESS_SECONDS * 1_000_000)
     cond = closed

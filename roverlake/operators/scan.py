@@ -114,14 +114,15 @@ def next_value(
     on the key's last row. The last row of a chunk takes the first value of
     the next non-empty chunk."""
     keys = [key] if isinstance(key, str) else list(key)
-    staged = df.withColumn("_chunk", chunk)
-    w_local = Window.partitionBy(*keys, "_chunk").orderBy(*[F.col(c) for c in order])
+    chunk_col, keep_chunk = _chunk_column(chunk)
+    staged = df if keep_chunk else df.withColumn(chunk_col, chunk)
+    w_local = Window.partitionBy(*keys, chunk_col).orderBy(*[F.col(c) for c in order])
     local = staged.withColumn("_lead", F.lead(F.col(value)).over(w_local))
-    firsts = staged.groupBy(*keys, "_chunk").agg(F.min_by(F.col(value), _order_struct(order)).alias("_first"))
-    w_chunks = Window.partitionBy(*keys).orderBy("_chunk")
-    nxt = firsts.select(*keys, "_chunk", F.lead("_first").over(w_chunks).alias("_next_chunk_first"))
+    firsts = staged.groupBy(*keys, chunk_col).agg(F.min_by(F.col(value), _order_struct(order)).alias("_first"))
+    w_chunks = Window.partitionBy(*keys).orderBy(chunk_col)
+    nxt = firsts.select(*keys, chunk_col, F.lead("_first").over(w_chunks).alias("_next_chunk_first"))
     return (
-        local.join(nxt, [*keys, "_chunk"], "left")
+        local.join(nxt, [*keys, chunk_col], "left")
         .withColumn(out, F.coalesce(F.col("_lead"), F.col("_next_chunk_first")))
-        .drop("_chunk", "_lead", "_next_chunk_first")
+        .drop(*(["_lead", "_next_chunk_first"] + ([] if keep_chunk else [chunk_col])))
     )

@@ -372,8 +372,8 @@ def registration_cache(spark, sf_dir):
 
 @query("node_offline_intervals")
 def node_offline_intervals(spark, sf_dir):
-    _, d, as_of = _edge(spark, sf_dir)
-    return edge.offline_intervals(d, as_of)
+    log, _, as_of = _edge(spark, sf_dir)
+    return edge.offline_intervals(log, as_of)
 
 
 # --- commands -------------------------------------------------------------------

@@ -185,7 +185,7 @@ def test_liveness_boundaries(spark):
     df = spark.createDataFrame(log, "kind string, node_id string, seq long, ts timestamp_ntz").withColumns(
         {"status": F.lit("active"), "cpu": F.lit(1.0), "mem": F.lit(1.0), "model_id": F.lit("m"), "version": F.lit("1")})
     decided = edge.requests_decided(df)
-    out = edge.offline_intervals(decided).collect()
+    out = edge.offline_intervals(df).collect()
     assert len(out) == 1 and out[0].last_seen == T0 + gaps[0]
     nodes = edge.current_nodes(decided, F.lit(t + dt.timedelta(minutes=5)).cast("timestamp_ntz"))
     h = edge.health(nodes, edge.deployments(decided, F.lit(t)), F.lit(t + dt.timedelta(minutes=5)).cast("timestamp_ntz")).first()

@@ -75,8 +75,7 @@ def test_liveness_stream_equals_batch_closed_intervals(spark, tmpdir_path, parts
     q.awaitTermination()
     got = spark.read.parquet(out).where(F.col("offline_until").isNotNull()).select(
         "node_id", F.col("last_seen").cast("timestamp_ntz").alias("t"))
-    decided = edge.requests_decided(ad.edge_log(spark, SF_SMALL))
-    want = edge.offline_intervals(decided).select("node_id", F.col("last_seen").alias("t"))
+    want = edge.offline_intervals(ad.edge_log(spark, SF_SMALL)).select("node_id", F.col("last_seen").alias("t"))
     assert _rows(got, ["node_id", "t"]) == _rows(want, ["node_id", "t"])
 
 
