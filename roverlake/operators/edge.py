@@ -8,11 +8,14 @@ model_id, version``) and every read is an ``as_of`` query on it.
 
 Order matters: a heartbeat or deployment for a node that has not registered
 *yet* is refused, and a new registration replaces the whole node row
-(including its deployed-model list). Both reduce to one per-node running
-count, the registration **epoch**: epoch 0 = unknown node; rows of the
-node's last epoch make up its current state. The running count uses the
-chunked scan of ``operators.scan``; the log's ``ts`` is the controller's
-receive time, so it grows with ``seq`` as the scan requires.
+(including its deployed-model list). Both reduce to comparisons with the
+node's first and last registration sequence numbers (``registrations``, a
+per-node partial aggregate joined back), so node state, deployments and
+health need no ordered scan. Where a per-request running value is part of
+the answer -- the registration **epoch** of each request (J1, J2) and the
+position in the deployed-model list (W5) -- the chunked scan of
+``operators.scan`` computes it; the log's ``ts`` is the controller's receive
+time, so it grows with ``seq`` as the scan requires.
 """
 
 from __future__ import annotations
@@ -60,12 +63,38 @@ def requests_decided(log: DataFrame) -> DataFrame:
     return e.withColumn("accepted", (F.col("kind") == "register") | (F.col("epoch") > 0))
 
 
-def _signals(decided: DataFrame) -> DataFrame:
+def registrations(log: DataFrame) -> DataFrame:
+    """Per-node registration summary: first and last registration, their
+    count (the node's current epoch) and the time of the last one. A partial
+    aggregate of the log."""
+    regs = log.where(F.col("kind") == "register")
+    return regs.groupBy("node_id").agg(
+        F.min("seq").alias("first_reg_seq"),
+        F.max("seq").alias("last_reg_seq"),
+        F.count(F.lit(1)).alias("epoch"),
+        F.max_by(F.col("ts"), F.col("seq")).alias("registered_at"),
+    )
+
+
+def accepted_requests(log: DataFrame) -> DataFrame:
+    """Requests of registered nodes with ``accepted`` (registered earlier) and
+    ``current`` (at or after the node's last registration). Order-dependent
+    acceptance reduces to a comparison with per-node registration sequence
+    numbers, so no ordered scan of the log is needed; the per-node table is
+    joined back (broadcast by AQE when small, otherwise a sort-merge join with
+    skew splitting)."""
+    return log.join(registrations(log), "node_id").withColumns({
+        "accepted": (F.col("kind") == "register") | (F.col("seq") > F.col("first_reg_seq")),
+        "current": F.col("seq") >= F.col("last_reg_seq"),
+    })
+
+
+def _signals(acc: DataFrame) -> DataFrame:
     """Requests that set ``last_seen``: registrations and accepted heartbeats."""
-    return decided.where(F.col("accepted") & F.col("kind").isin("register", "heartbeat"))
+    return acc.where(F.col("accepted") & F.col("kind").isin("register", "heartbeat"))
 
 
-def current_nodes(decided: DataFrame, as_of) -> DataFrame:
+def current_nodes(log: DataFrame, as_of) -> DataFrame:
     """Current node rows (W4, P12, A8), one per registered node.
 
     A registration forces status 'active'; a heartbeat replaces status and
@@ -73,11 +102,11 @@ def current_nodes(decided: DataFrame, as_of) -> DataFrame:
     registration. The monitor overrides the status with 'offline' once
     ``as_of - last_seen`` exceeds 5 minutes. One partial aggregate per node.
     """
-    sig = _signals(decided)
+    sig = _signals(accepted_requests(log))
     latest = F.max_by(F.struct("kind", "status", "cpu", "mem", "ts"), F.col("seq"))
-    reg = F.max_by(F.struct(F.col("ts").alias("registered_at"), F.col("epoch")),
-                   F.when(F.col("kind") == "register", F.col("seq")))
-    nodes = sig.groupBy("node_id").agg(latest.alias("l"), reg.alias("r"))
+    nodes = sig.groupBy("node_id").agg(
+        latest.alias("l"), F.first("registered_at").alias("registered_at"), F.first("epoch").alias("epoch")
+    )
     reported = F.when(F.col("l.kind") == "register", F.lit(REGISTERED_STATUS)).otherwise(F.col("l.status"))
     offline = (F.col("l.ts").cast("timestamp") < as_of_col(as_of).cast("timestamp") - F.expr(LIVENESS))
     return nodes.select(
@@ -85,8 +114,8 @@ def current_nodes(decided: DataFrame, as_of) -> DataFrame:
         F.when(offline, F.lit(OFFLINE_STATUS)).otherwise(reported).alias("status"),
         F.col("l.cpu").alias("cpu"), F.col("l.mem").alias("mem"),
         F.col("l.ts").alias("last_seen"),
-        F.col("r.registered_at").alias("registered_at"),
-        F.col("r.epoch").alias("epoch"),
+        "registered_at",
+        "epoch",
     )
 
 
@@ -131,11 +160,12 @@ def deployment_id(model: str = "model_id", node: str = "node_id", ts: str = "ts"
     return F.concat_ws("-", F.col(model), F.col(node), unix_seconds(ts).cast("string"))
 
 
-def deployments(decided: DataFrame, as_of) -> DataFrame:
+def deployments(log: DataFrame, as_of) -> DataFrame:
     """Deployment table as of ``as_of`` (R4, P13): accepted deployments keyed by
     id, a later request with the same id (same second) replacing the earlier
     (D10); 'deployed' once 5 seconds have passed, else 'deploying'."""
-    deps = decided.where((F.col("kind") == "deploy") & F.col("accepted"))
+    deps = accepted_requests(log.where(F.col("kind").isin("register", "deploy"))).where(
+        (F.col("kind") == "deploy") & F.col("accepted"))
     row = F.struct("model_id", "version", "node_id", F.col("ts").alias("deployed_at"), "seq")
     t = deps.withColumn("deployment_id", deployment_id()).groupBy("deployment_id").agg(
         F.max_by(row, F.col("seq")).alias("d")

@@ -331,14 +331,14 @@ def deploy_rejected(spark, sf_dir):
 
 @query("node_list")
 def node_list(spark, sf_dir):
-    _, d, as_of = _edge(spark, sf_dir)
-    return edge.current_nodes(d, as_of)
+    log, _, as_of = _edge(spark, sf_dir)
+    return edge.current_nodes(log, as_of)
 
 
 @query("node_usage_latest")
 def node_usage_latest(spark, sf_dir):
-    _, d, as_of = _edge(spark, sf_dir)
-    return edge.current_nodes(d, as_of).select("node_id", "cpu", "mem")
+    log, _, as_of = _edge(spark, sf_dir)
+    return edge.current_nodes(log, as_of).select("node_id", "cpu", "mem")
 
 
 @query("node_deployed_models")
@@ -349,14 +349,14 @@ def node_deployed_models(spark, sf_dir):
 
 @query("deployment_status")
 def deployment_status(spark, sf_dir):
-    _, d, as_of = _edge(spark, sf_dir)
-    return edge.deployments(d, as_of)
+    log, _, as_of = _edge(spark, sf_dir)
+    return edge.deployments(log, as_of)
 
 
 @query("edge_health")
 def edge_health(spark, sf_dir):
-    _, d, as_of = _edge(spark, sf_dir)
-    return edge.health(edge.current_nodes(d, as_of), edge.deployments(d, as_of), as_of)
+    log, _, as_of = _edge(spark, sf_dir)
+    return edge.health(edge.current_nodes(log, as_of), edge.deployments(log, as_of), as_of)
 
 
 @query("live_registrations")

@@ -164,7 +164,7 @@ def test_edge_state_equals_sequential_model(spark):
     decided = edge.requests_decided(df)
     assert {r.seq: r.accepted for r in decided.collect()} == decisions
     as_of = F.lit(T0 - dt.timedelta(days=1)).cast("timestamp_ntz")  # before everything: no offline override
-    cur = {r.node_id: r for r in edge.current_nodes(decided, as_of).collect()}
+    cur = {r.node_id: r for r in edge.current_nodes(df, as_of).collect()}
     assert set(cur) == set(nodes)
     for n, s in nodes.items():
         assert (cur[n].status, cur[n].cpu, cur[n].mem, cur[n].last_seen) == (s["status"], s["cpu"], s["mem"], s["last_seen"])
@@ -172,7 +172,7 @@ def test_edge_state_equals_sequential_model(spark):
     for r in edge.deployed_models(decided).orderBy("node_id", "position").collect():
         models.setdefault(r.node_id, []).append(r.model_id)
     assert {n: s["models"] for n, s in nodes.items() if s["models"]} == models
-    got_deps = {r.deployment_id: (r.model_id, r.node_id, r.seq) for r in edge.deployments(decided, as_of).collect()}
+    got_deps = {r.deployment_id: (r.model_id, r.node_id, r.seq) for r in edge.deployments(df, as_of).collect()}
     assert got_deps == deps
 
 
@@ -184,13 +184,12 @@ def test_liveness_boundaries(spark):
         log.append(("heartbeat", "n", i, t))
     df = spark.createDataFrame(log, "kind string, node_id string, seq long, ts timestamp_ntz").withColumns(
         {"status": F.lit("active"), "cpu": F.lit(1.0), "mem": F.lit(1.0), "model_id": F.lit("m"), "version": F.lit("1")})
-    decided = edge.requests_decided(df)
     out = edge.offline_intervals(df).collect()
     assert len(out) == 1 and out[0].last_seen == T0 + gaps[0]
-    nodes = edge.current_nodes(decided, F.lit(t + dt.timedelta(minutes=5)).cast("timestamp_ntz"))
-    h = edge.health(nodes, edge.deployments(decided, F.lit(t)), F.lit(t + dt.timedelta(minutes=5)).cast("timestamp_ntz")).first()
+    nodes = edge.current_nodes(df, F.lit(t + dt.timedelta(minutes=5)).cast("timestamp_ntz"))
+    h = edge.health(nodes, edge.deployments(df, F.lit(t)), F.lit(t + dt.timedelta(minutes=5)).cast("timestamp_ntz")).first()
     assert (h.nodes_total, h.nodes_active) == (1, 0)
-    h2 = edge.health(nodes, edge.deployments(decided, F.lit(t)),
+    h2 = edge.health(nodes, edge.deployments(df, F.lit(t)),
                      F.lit(t + dt.timedelta(minutes=5) - dt.timedelta(milliseconds=1)).cast("timestamp_ntz")).first()
     assert h2.nodes_active == 1
 
@@ -199,11 +198,10 @@ def test_deployment_delay_exactly_five_seconds(spark):
     log = [("register", "n", 0, T0), ("deploy", "n", 1, T0 + dt.timedelta(seconds=1))]
     df = spark.createDataFrame(log, "kind string, node_id string, seq long, ts timestamp_ntz").withColumns(
         {"status": F.lit("active"), "cpu": F.lit(1.0), "mem": F.lit(1.0), "model_id": F.lit("m"), "version": F.lit("1")})
-    decided = edge.requests_decided(df)
     at = lambda s: F.lit(T0 + dt.timedelta(seconds=s)).cast("timestamp_ntz")
-    assert edge.deployments(decided, at(6)).first().status == "deployed"
-    assert edge.deployments(decided, at(5.999)).first().status == "deploying"
-    assert edge.deployment_status(edge.deployments(decided, at(6)), "nope").count() == 0
+    assert edge.deployments(df, at(6)).first().status == "deployed"
+    assert edge.deployments(df, at(5.999)).first().status == "deploying"
+    assert edge.deployment_status(edge.deployments(df, at(6)), "nope").count() == 0
 
 
 def test_snapshot_ticks(spark):
