@@ -47,12 +47,15 @@ def _monitor(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
             "offline_from": _from_us([last_us + _GAP_US]), "offline_until": pd.Series([pd.NaT]),
         })
         return
-    rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
+    rows = pd.concat(list(batches), ignore_index=True)
+    all_us = _to_us(rows["ts"])
+    order = np.lexsort((rows["seq"].to_numpy(), all_us))
+    kind = rows["kind"].to_numpy()[order]
     last_us, registered = state.get if state.exists else (None, False)
-    is_reg = (rows["kind"] == "register").to_numpy()
+    is_reg = kind == "register"
     known = np.maximum.accumulate(is_reg | registered)
-    signal = is_reg | ((rows["kind"] == "heartbeat").to_numpy() & known)
-    ts = _to_us(rows["ts"])[signal]
+    signal = is_reg | ((kind == "heartbeat") & known)
+    ts = all_us[order][signal]
     registered = bool(known[-1]) if len(known) else registered
     if ts.size == 0:
         if last_us is not None:

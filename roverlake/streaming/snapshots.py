@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,15 +30,15 @@ def _make(channels: dict, tick_seconds: int):
     names = list(channels)
     step = tick_seconds * 1_000_000
 
-    def emit(robot, ticks_us, counts, values: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"robot_id": robot, "tick": pd.to_datetime(pd.Series(ticks_us, dtype="int64"), unit="us")})
+    def emit(robot, ticks_us, counts, values: dict) -> pd.DataFrame:
+        out = {"robot_id": robot, "tick": pd.to_datetime(np.asarray(ticks_us, dtype="int64"), unit="us")}
         for c in names:
-            v = values[c].astype("float64")
+            v = np.asarray(values[c], dtype="float64")
             if channels[c] is not None:
-                v = v.fillna(channels[c])
-            out[c] = v.to_numpy()
-        out["readings"] = pd.Series(counts, dtype="int64").to_numpy()
-        return out
+                v = np.where(np.isnan(v), channels[c], v)
+            out[c] = v
+        out["readings"] = np.asarray(counts, dtype="int64")
+        return pd.DataFrame(out)
 
     def fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         robot = key[0]
@@ -45,40 +46,47 @@ def _make(channels: dict, tick_seconds: int):
             st = state.get
             # close the open tick but keep the channel values for later readings
             state.update(tuple([None, 0] + list(st[2:])))
-            yield emit(robot, [st[0]], [st[1]], pd.DataFrame([list(st[2:])], columns=names))
+            yield emit(robot, [st[0]], [st[1]], {c: [np.nan if v is None else v] for c, v in zip(names, st[2:])})
             return
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["time", "arrival_seq"], kind="stable")
-        wide = pd.DataFrame({c: rows["reading"].where(rows["channel"] == c) for c in names})
+        rows = pd.concat(list(batches), ignore_index=True)
+        us = rows["time"].astype("datetime64[us]").astype("int64").to_numpy()
+        order = np.lexsort((rows["arrival_seq"].to_numpy(), us))
+        us = us[order]
+        channel = rows["channel"].to_numpy()[order]
+        reading = rows["reading"].to_numpy(dtype="float64")[order]
         if state.exists:
             st = state.get
-            seed = pd.DataFrame([list(st[2:])], columns=names, dtype="float64")
-            wide = pd.concat([seed, wide], ignore_index=True)
-            filled = wide.ffill().iloc[1:].reset_index(drop=True)
             open_tick, open_count = st[0], st[1]
+            seed = [np.nan if v is None else float(v) for v in st[2:]]
         else:
-            filled = wide.ffill()
-            open_tick, open_count = None, 0
-        us = rows["time"].astype("datetime64[us]").astype("int64").to_numpy()
+            open_tick, open_count, seed = None, 0, [np.nan] * len(names)
+
+        # carry each channel's newest value forward (seeded from the state)
+        idx = np.arange(len(us))
+        filled = {}
+        for c, start in zip(names, seed):
+            pos = np.where((channel == c) & ~np.isnan(reading), idx, -1)
+            np.maximum.accumulate(pos, out=pos)
+            filled[c] = np.where(pos >= 0, reading[np.maximum(pos, 0)], start)
+
+        # one row per tick: the last reading of each run of equal ticks
         ticks = -((-us) // step) * step
-        frame = filled.assign(_tick=ticks)
-        last = frame.groupby("_tick", sort=True).tail(1).set_index("_tick")
-        counts = frame.groupby("_tick", sort=True).size()
-        last = last.loc[counts.index]
-        tick_list = list(counts.index)
-        count_list = [int(x) for x in counts.to_numpy()]
+        ends = np.flatnonzero(np.r_[ticks[1:] != ticks[:-1], True])
+        counts = np.diff(np.r_[-1, ends])
+        tick_list = ticks[ends]
+        last = {c: filled[c][ends] for c in names}
         if open_tick is not None:
-            if tick_list and tick_list[0] == open_tick:
-                count_list[0] += int(open_count)
+            if tick_list[0] == open_tick:
+                counts[0] += int(open_count)
             else:
                 # the open tick got no more readings: it is complete
-                prev = pd.DataFrame([list(state.get[2:])], columns=names)
-                yield emit(robot, [open_tick], [open_count], prev)
-        newest = tick_list[-1]
+                yield emit(robot, [open_tick], [open_count], {c: [v] for c, v in zip(names, seed)})
         done = len(tick_list) - 1
         if done:
-            yield emit(robot, tick_list[:done], count_list[:done], last.iloc[:done].reset_index(drop=True))
-        state.update(tuple([int(newest), int(count_list[-1])] + [
-            None if pd.isna(x) else float(x) for x in last.iloc[-1][names]
+            yield emit(robot, tick_list[:done], counts[:done], {c: last[c][:done] for c in names})
+        newest = int(tick_list[-1])
+        state.update(tuple([newest, int(counts[-1])] + [
+            None if np.isnan(last[c][-1]) else float(last[c][-1]) for c in names
         ]))
         deadline_ms = newest // 1000
         if deadline_ms > state.getCurrentWatermarkMs():
