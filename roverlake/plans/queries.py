@@ -7,13 +7,28 @@ operators; ``__spark_entry__`` exposes this registry to the driver and
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roverlake.functions import json as J
+from roverlake.functions import sensors as SF
+from roverlake.operators import commands as cmd
+from roverlake.operators import dashboard as dash
+from roverlake.operators import edge
+from roverlake.operators import envelope as env
+from roverlake.operators import route as rt
+from roverlake.operators import sensors as sens
+from roverlake.operators import status as st
 from roverlake.operators import telemetry as tel
+from roverlake.session import checkpoint_dir
 from roverlake.sources import adapters as ad
+from roverlake.sources import streams as srcs
+from roverlake.streaming import ingest as ing
+from roverlake.streaming import liveness as live
+from roverlake.streaming import snapshots as snaps
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -90,10 +105,6 @@ def load_profile_4h(spark, sf_dir):
 
 # --- envelope, landing, routing -------------------------------------------
 
-from roverlake.operators import dashboard as dash  # noqa: E402
-from roverlake.operators import envelope as env  # noqa: E402
-from roverlake.operators import route as rt  # noqa: E402
-
 
 def _parsed(spark, sf_dir):
     return env.parse_envelope(ad.envelope_raw(spark, sf_dir))
@@ -155,9 +166,6 @@ def route_blobs(spark, sf_dir):
 
 # --- status and dashboard ---------------------------------------------------
 
-from roverlake.operators import dashboard as dash  # noqa: E402
-from roverlake.operators import status as st  # noqa: E402
-
 
 def _snapshot(spark, sf_dir, order="arrival"):
     return st.upsert_status(st.status_rows(ad.status_events(spark, sf_dir)), order=order)
@@ -208,9 +216,6 @@ def orphan_telemetry(spark, sf_dir):
 
 # --- payload getters and sensors --------------------------------------------
 
-from roverlake.functions import json as J  # noqa: E402
-from roverlake.functions import sensors as SF  # noqa: E402
-from roverlake.operators import sensors as sens  # noqa: E402
 
 # Channels of the snapshot query and their values before the first reading.
 SNAPSHOT_CHANNELS = {"battery": 100.0, "temperature": 25.0, "imu": 0.0, "odometry": 0.0, "laser": None}
@@ -303,8 +308,6 @@ def snapshot_2s(spark, sf_dir):
 
 # --- edge nodes ---------------------------------------------------------------
 
-from roverlake.operators import edge  # noqa: E402
-
 
 def _edge(spark, sf_dir):
     log = ad.edge_log(spark, sf_dir)
@@ -378,8 +381,6 @@ def node_offline_intervals(spark, sf_dir):
 
 # --- commands -------------------------------------------------------------------
 
-from roverlake.operators import commands as cmd  # noqa: E402
-
 
 @query("command_normalise")
 def command_normalise(spark, sf_dir):
@@ -388,14 +389,6 @@ def command_normalise(spark, sf_dir):
 
 # --- streams: run to completion on the table, read the sink back --------------
 
-import uuid  # noqa: E402
-
-from roverlake.session import checkpoint_dir  # noqa: E402
-from roverlake.sources import streams as srcs  # noqa: E402
-from roverlake.streaming import ingest as ing  # noqa: E402
-from roverlake.streaming import liveness as live  # noqa: E402
-from roverlake.streaming import snapshots as snaps  # noqa: E402
-
 
 def _stream_events(spark, sf_dir, max_files: int | None = None):
     schema = ad.events(spark, sf_dir).schema
