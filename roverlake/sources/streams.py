@@ -17,15 +17,23 @@ STARTING_OFFSETS = "latest"
 
 
 def kafka_messages(spark: SparkSession, brokers: str, topic: str = TELEMETRY_TOPIC,
-                   starting_offsets: str = STARTING_OFFSETS, max_offsets_per_trigger: int | None = None) -> DataFrame:
+                   starting_offsets: str = STARTING_OFFSETS, max_offsets_per_trigger: int | None = None,
+                   min_partitions: int | None = None) -> DataFrame:
     """Telemetry topic as a stream (S1). Needs the Spark Kafka connector on the
     classpath. Arrival order across partitions is ``(timestamp, partition,
-    offset)``, folded into one sortable ``arrival_seq``."""
+    offset)``, folded into one sortable ``arrival_seq``.
+
+    ``minPartitions`` (default: the cluster's task slots) splits each batch's
+    offset ranges into that many tasks without a shuffle, so JSON parsing
+    uses the whole cluster even when the topic has few partitions.
+    """
+    slots = min_partitions or spark.sparkContext.defaultParallelism
     reader = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", brokers)
         .option("subscribe", topic)
         .option("startingOffsets", starting_offsets)
+        .option("minPartitions", str(slots))
     )
     if max_offsets_per_trigger:
         reader = reader.option("maxOffsetsPerTrigger", str(max_offsets_per_trigger))
