@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 # ---------------------------------------------------------------------------
 TELEMETRY_TOPIC = "robot-telemetry"
 STARTING_OFFSETS = "latest"
+ARRIVAL_EPOCH_MS = 1577836800000  # 2020-01-01T00:00:00Z, origin of the packed arrival sequence
 
 
 def kafka_messages(spark: SparkSession, brokers: str, topic: str = TELEMETRY_TOPIC,
@@ -38,11 +39,15 @@ def kafka_messages(spark: SparkSession, brokers: str, topic: str = TELEMETRY_TOP
     if max_offsets_per_trigger:
         reader = reader.option("maxOffsetsPerTrigger", str(max_offsets_per_trigger))
     df = reader.load()
-    # 20 bits of offset and 12 bits of partition below the millisecond time.
+    # Arrival order = (broker time, partition, offset) packed into one long:
+    # 39 bits of milliseconds since 2020-01-01 (until 2037), 9 bits of
+    # partition, 15 bits of offset (exact while a partition receives fewer
+    # than 32768 records in one millisecond).
+    ms = F.unix_millis(F.col("timestamp")).cast("long") - F.lit(ARRIVAL_EPOCH_MS)
     seq = (
-        F.unix_millis(F.col("timestamp")).cast("long") * F.lit(1 << 32)
-        + (F.col("partition").cast("long") % 4096) * F.lit(1 << 20)
-        + F.col("offset") % (1 << 20)
+        ms * F.lit(1 << 24)
+        + (F.col("partition").cast("long") % 512) * F.lit(1 << 15)
+        + F.col("offset") % (1 << 15)
     )
     return df.select(
         F.col("value").cast("string").alias("raw"),
