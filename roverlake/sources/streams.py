@@ -39,16 +39,7 @@ def kafka_messages(spark: SparkSession, brokers: str, topic: str = TELEMETRY_TOP
     if max_offsets_per_trigger:
         reader = reader.option("maxOffsetsPerTrigger", str(max_offsets_per_trigger))
     df = reader.load()
-    # Arrival order = (broker time, partition, offset) packed into one long:
-    # 39 bits of milliseconds since 2020-01-01 (until 2037), 9 bits of
-    # partition, 15 bits of offset (exact while a partition receives fewer
-    # than 32768 records in one millisecond).
-    ms = F.unix_millis(F.col("timestamp")).cast("long") - F.lit(ARRIVAL_EPOCH_MS)
-    seq = (
-        ms * F.lit(1 << 24)
-        + (F.col("partition").cast("long") % 512) * F.lit(1 << 15)
-        + F.col("offset") % (1 << 15)
-    )
+    seq = kafka_arrival_seq("timestamp", "partition", "offset")
     return df.select(
         F.col("value").cast("string").alias("raw"),
         seq.alias("arrival_seq"),
@@ -56,6 +47,19 @@ def kafka_messages(spark: SparkSession, brokers: str, topic: str = TELEMETRY_TOP
     )
 
 
+def kafka_arrival_seq(ts: str, partition: str, offset: str):
+    """Arrival order ``(broker time, partition, offset)`` packed into one long:
+    39 bits of milliseconds since 2020-01-01 (until 2037), 9 bits of
+    partition, 15 bits of offset (exact while a partition receives fewer than
+    32768 records in one millisecond)."""
+    ms = F.unix_millis(F.col(ts)).cast("long") - F.lit(ARRIVAL_EPOCH_MS)
+    return (
+        ms * F.lit(1 << 24)
+        + (F.col(partition).cast("long") % 512) * F.lit(1 << 15)
+        + F.col(offset).cast("long") % (1 << 15)
+    )
+
+
 def landing_messages(spark: SparkSession, path: str, streaming: bool = True, max_files_per_trigger: int | None = None) -> DataFrame:
     """JSON-lines landing folder, one message per line (stream or batch)."""
     if streaming:

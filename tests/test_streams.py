@@ -111,3 +111,13 @@ def test_http_landing_folder_robot_from_path(spark, tmpdir_path):
     assert all(r.ts is not None for r in parsed if r.reject_reason is None)
     msgs = srcs.landing_messages(spark, f"{tmpdir_path}/robot-1", streaming=False)
     assert msgs.count() == 2 and set(msgs.columns) == {"raw", "arrival_seq", "received_at"}
+
+
+def test_kafka_arrival_sequence_orders_time_partition_offset(spark):
+    import datetime as dt
+
+    t = dt.datetime(2031, 5, 1, 12, 0, 0)
+    rows = [(t, 3, 10), (t, 3, 11), (t, 4, 0), (t + dt.timedelta(milliseconds=1), 0, 5)]
+    df = spark.createDataFrame(rows, "timestamp timestamp, partition int, offset long")
+    seqs = [r.s for r in df.select(srcs.kafka_arrival_seq("timestamp", "partition", "offset").alias("s")).collect()]
+    assert seqs == sorted(seqs) and len(set(seqs)) == 4 and all(s > 0 for s in seqs)
