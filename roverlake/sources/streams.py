@@ -61,32 +61,51 @@ def kafka_arrival_seq(ts: str, partition: str, offset: str):
 
 
 def landing_messages(spark: SparkSession, path: str, streaming: bool = True, max_files_per_trigger: int | None = None) -> DataFrame:
-    """JSON-lines landing folder, one message per line (stream or batch)."""
+    """JSON-lines landing folder, one message per line (stream or batch).
+
+    A stream yields ``raw`` and ``received_at`` (the file's modification
+    time); the ingest job assigns ``arrival_seq`` per micro-batch as
+    ``(batch id, row id)``, since row ids are not available on a stream. The
+    batch form carries ``(file modification time, file, row id)``.
+    """
     if streaming:
         reader = spark.readStream.format("text")
         if max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
         df = reader.load(path)
-    else:
-        df = spark.read.text(path)
+        return df.select(F.col("value").alias("raw"), F.col("_metadata.file_modification_time").alias("received_at"))
+    df = spark.read.text(path)
     return df.select(
         F.col("value").alias("raw"),
-        F.monotonically_increasing_id().alias("arrival_seq"),
-        F.current_timestamp().alias("received_at"),
+        landing_arrival().alias("arrival_seq"),
+        F.col("_metadata.file_modification_time").alias("received_at"),
+    )
+
+
+def landing_arrival():
+    """Arrival order of a landed line in a batch read: (file modification
+    time, file path, row id)."""
+    return F.struct(
+        F.col("_metadata.file_modification_time").alias("landed_at"),
+        F.col("_metadata.file_path").alias("file"),
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
 def http_landing(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     """Gateway POST bodies landed as ``<path>/<robot_id>/<file>.jsonl`` (S2):
-    the robot id comes from the folder name, as it came from the URL."""
+    the robot id comes from the folder name, as it came from the URL. The
+    batch form carries ``arrival_seq``; a stream gets it in ``foreachBatch``."""
     reader = (spark.readStream if streaming else spark.read).format("text").option("recursiveFileLookup", "true")
     df = reader.load(path)
-    return df.select(
+    cols = [
         F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1).alias("robot_id"),
         F.col("_metadata.file_modification_time").alias("received_at"),
         F.col("value").alias("body"),
-        F.monotonically_increasing_id().alias("arrival_seq"),
-    )
+    ]
+    if not streaming:
+        cols.append(landing_arrival().alias("arrival_seq"))
+    return df.select(*cols)
 
 
 def parquet_replay(spark: SparkSession, path: str, schema, max_files_per_trigger: int | None = None) -> DataFrame:

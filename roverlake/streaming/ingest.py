@@ -41,6 +41,11 @@ def previous_status(spark: SparkSession, out: str, batch_id: int) -> DataFrame |
 
 def ingest_batch(batch: DataFrame, batch_id: int, out: str, status_order: str = "arrival") -> None:
     spark = batch.sparkSession
+    if "arrival_seq" not in batch.columns:
+        # sources without a global order (landing folders): batch id, then row id
+        batch = batch.withColumn(
+            "arrival_seq", F.struct(F.lit(batch_id).cast("long").alias("batch"), F.monotonically_increasing_id().alias("row"))
+        )
     parsed = env.parse_envelope(spread(batch)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         acc = env.accepted(parsed)

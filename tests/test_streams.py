@@ -121,3 +121,19 @@ def test_kafka_arrival_sequence_orders_time_partition_offset(spark):
     df = spark.createDataFrame(rows, "timestamp timestamp, partition int, offset long")
     seqs = [r.s for r in df.select(srcs.kafka_arrival_seq("timestamp", "partition", "offset").alias("s")).collect()]
     assert seqs == sorted(seqs) and len(set(seqs)) == 4 and all(s > 0 for s in seqs)
+
+
+def test_landing_stream_last_arrival_wins_across_batches(spark, tmpdir_path):
+    land, out, ckpt = f"{tmpdir_path}/land", f"{tmpdir_path}/out", f"{tmpdir_path}/ckpt"
+    os.makedirs(land)
+    msg = '{"robot_id":"r1","data_type":"status","timestamp":"%s","data":{"status":"%s"}}'
+    files = [("a.jsonl", msg % ("2025-01-01T00:00:10", "online"), 1_700_000_000),
+             ("b.jsonl", msg % ("2025-01-01T00:00:05", "charging"), 1_700_000_100)]  # older event, later arrival
+    for i, (name, line, mtime) in enumerate(files):
+        with open(f"{land}/{name}", "w") as fh:
+            fh.write(line + "\n")
+        os.utime(f"{land}/{name}", (mtime, mtime))
+        q = ing.start_ingest(srcs.landing_messages(spark, land, max_files_per_trigger=1), out, ckpt)
+        q.awaitTermination()
+    snap = ing.read_status(spark, out).collect()
+    assert [(r.robot_id, r.status) for r in snap] == [("r1", "charging")]
