@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roverlake import schemas as S
-from roverlake.functions import json as J
 from roverlake.functions.time import parse_iso
 
 # ---------------------------------------------------------------------------
