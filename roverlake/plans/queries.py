@@ -25,6 +25,7 @@ from roverlake.operators import status as st
 from roverlake.operators import telemetry as tel
 from roverlake.session import checkpoint_dir
 from roverlake.sources import adapters as ad
+from roverlake.sources import sinks
 from roverlake.sources import streams as srcs
 from roverlake.streaming import ingest as ing
 from roverlake.streaming import liveness as live
@@ -432,8 +433,7 @@ def stream_status_upsert(spark, sf_dir):
 
     def batch(df, bid):
         prev = ing.previous_status(spark, f"{base}/out", bid)
-        _snap = st.upsert_status(st.status_rows(df), prev)
-        _snap.write.mode("overwrite").parquet(f"{base}/out/status/v={bid}")
+        sinks.write_status_version(st.upsert_status(st.status_rows(df), prev), f"{base}/out/status", bid)
 
     _run_to_end(msgs.writeStream.option("checkpointLocation", f"{base}/ckpt").foreachBatch(batch)
                 .trigger(availableNow=True).start())

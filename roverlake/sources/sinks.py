@@ -48,6 +48,14 @@ def write_rejects(rejects: DataFrame, path: str, batch_id: int | None = None) ->
     rejects.write.mode("overwrite").parquet(_target(path, batch_id))
 
 
+STATUS_SLOTS = 2
+
+
 def write_status_version(snapshot: DataFrame, path: str, version: int) -> None:
-    """Status snapshot version (S6): one row per robot; readers take the newest."""
-    snapshot.write.mode("overwrite").parquet(_target(path, version, "v"))
+    """Status snapshot version (S6): one row per robot, written to slot
+    ``version % 2`` with its version number. Batch n reads slot (n-1) % 2 and
+    overwrites slot n % 2, so a repeated batch still finds its input, and only
+    two snapshots are ever kept. Readers take the highest version present (a
+    failed write leaves no data files in its slot)."""
+    out = snapshot.withColumn("version", F.lit(version).cast("long"))
+    out.write.mode("overwrite").parquet(_target(path, version % STATUS_SLOTS, "slot"))

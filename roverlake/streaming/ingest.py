@@ -11,7 +11,7 @@ Layout under ``out``::
     objects/batch=<id>/bucket=<b>/          object writes (S4; readers keep the last write per key)
     topics/batch=<id>/topic=<t>/            forwarded records (S5)
     rejects/batch=<id>/                     dead letters with reason
-    status/v=<id>/                          status snapshot after batch <id> (S6, W2)
+    status/slot=<id % 2>/                   status snapshot after batch <id>, with its version (S6, W2)
     counts/batch=<id>/                      processed counter per type (A2)
 """
 
@@ -33,10 +33,12 @@ def previous_status(spark: SparkSession, out: str, batch_id: int) -> DataFrame |
     """Snapshot written by the previous batch (batch ids are consecutive)."""
     if batch_id <= 0:
         return None
+    prev = batch_id - 1
     try:
-        return spark.read.parquet(f"{out}/status/v={batch_id - 1}")
+        slot = spark.read.parquet(f"{out}/status/slot={prev % sk.STATUS_SLOTS}")
     except AnalysisException:
         return None
+    return slot.where(F.col("version") == prev).drop("version")
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, out: str, status_order: str = "arrival") -> None:
@@ -84,9 +86,9 @@ def read_objects(spark: SparkSession, out: str) -> DataFrame:
 
 def read_status(spark: SparkSession, out: str) -> DataFrame:
     """Newest committed status snapshot."""
-    versions = spark.read.parquet(f"{out}/status")
-    newest = versions.agg(F.max("v")).scalar()
-    return versions.where(F.col("v") == newest).drop("v")
+    slots = spark.read.parquet(f"{out}/status")
+    newest = slots.agg(F.max("version")).scalar()
+    return slots.where(F.col("version") == newest).drop("version", "slot")
 
 
 def read_counts(spark: SparkSession, out: str) -> DataFrame:
