@@ -17,11 +17,19 @@ def _target(path: str, batch_id: int | None, part: str = "batch") -> str:
 
 
 def write_timeseries(rows: DataFrame, path: str, batch_id: int | None = None) -> None:
-    """Time-series table (S3, S9): partitioned by ``event_date``, rows sorted by
-    ``robot_id, time`` inside each file so Parquet min/max statistics act as
-    the ``(robot_id, time DESC)`` index of the reference."""
+    """Time-series table (S3, S9): partitioned by ``event_date`` (then by
+    ``batch`` for stream writes), rows sorted by ``robot_id, time`` inside each
+    file so Parquet min/max statistics act as the ``(robot_id, time DESC)``
+    index of the reference. A stream batch overwrites only its own
+    ``(event_date, batch)`` partitions (dynamic overwrite), so a repeated
+    batch replaces its files and other batches stay untouched."""
     out = rows.withColumn("event_date", F.to_date("time")).sortWithinPartitions("robot_id", "time")
-    out.write.mode("overwrite").partitionBy("event_date").parquet(_target(path, batch_id))
+    if batch_id is None:
+        out.write.mode("overwrite").partitionBy("event_date").parquet(path)
+        return
+    (out.withColumn("batch", F.lit(batch_id).cast("long"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("event_date", "batch").parquet(path))
 
 
 def write_objects(blobs: DataFrame, path: str, batch_id: int | None = None) -> None:

@@ -7,7 +7,7 @@ output over several sinks without a transactional table format).
 
 Layout under ``out``::
 
-    timeseries/batch=<id>/event_date=<d>/   time-series rows (S3)
+    timeseries/event_date=<d>/batch=<id>/   time-series rows (S3), dynamic partition overwrite
     objects/batch=<id>/bucket=<b>/          object writes (S4; readers keep the last write per key)
     topics/batch=<id>/topic=<t>/            forwarded records (S5)
     rejects/batch=<id>/                     dead letters with reason
