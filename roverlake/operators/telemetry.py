@@ -24,6 +24,18 @@ def _ts(x) -> Column:
     return F.lit(x).cast("timestamp_ntz") if isinstance(x, str) else F.lit(x)
 
 
+def _date_prune(df: DataFrame, start: Column, end: Column | None, partition_col: str = "event_date") -> Column:
+    """Partition predicate matching a time range, for tables partitioned by
+    ``event_date`` (Catalyst does not derive it from the time predicate);
+    TRUE for other inputs."""
+    if partition_col not in df.columns:
+        return F.lit(True)
+    cond = F.col(partition_col) >= F.to_date(start)
+    if end is not None:
+        cond = cond & (F.col(partition_col) <= F.to_date(end))
+    return cond
+
+
 def query_telemetry(df: DataFrame, start, end, robot_id: str | None = None, data_type: str | None = None) -> DataFrame:
     """History of one robot (or of every robot when ``robot_id`` is None)
     with ``start <= time <= end``, optionally one data type, newest first.
@@ -31,7 +43,7 @@ def query_telemetry(df: DataFrame, start, end, robot_id: str | None = None, data
     An empty ``data_type`` means no type filter, as in the reference.
     Equality and range predicates reach the Parquet scan as pushed filters.
     """
-    cond = F.col("time").between(_ts(start), _ts(end))
+    cond = F.col("time").between(_ts(start), _ts(end)) & _date_prune(df, _ts(start), _ts(end))
     if robot_id is not None:
         cond = cond & (F.col("robot_id") == F.lit(robot_id))
     if data_type:
@@ -66,7 +78,8 @@ def aggregate_metrics(
     final aggregate; no per-robot loop.
     """
     as_of = F.current_timestamp().cast("timestamp_ntz") if as_of is None else _ts(as_of)
-    cond = (F.col("time") > as_of - F.expr(f"INTERVAL {horizon}")) & J.has_key("value", metric_name)
+    since = as_of - F.expr(f"INTERVAL {horizon}")
+    cond = (F.col("time") > since) & _date_prune(df, since, None) & J.has_key("value", metric_name)
     if robot_id is not None:
         cond = cond & (F.col("robot_id") == F.lit(robot_id))
     x = J.to_double(J.field_text("value", metric_name), on_bad)

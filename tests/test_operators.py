@@ -258,3 +258,19 @@ def test_hot_key_scan_uses_many_tasks(spark):
     parts = out.select(F.spark_partition_id().alias("p")).distinct().count()
     assert parts > 1
     assert out.agg(F.max("n")).first()[0] == 4000.0
+
+
+def test_history_and_rollup_prune_date_partitions(spark, tmpdir_path):
+    from roverlake.sources import sinks
+
+    rows = _tel(spark, [(d * 86400, '{"k":%d}' % d) for d in range(6)])
+    sinks.write_timeseries(rows, f"{tmpdir_path}/ts")
+    table = spark.read.parquet(f"{tmpdir_path}/ts")
+    hist = tel.query_telemetry(table, T0 + dt.timedelta(days=2), T0 + dt.timedelta(days=3), robot_id="r1")
+    assert [r.arrival_seq for r in hist.collect()] == [3, 2]
+    roll = tel.aggregate_metrics(table, "k", "1 day", as_of=F.lit(T0 + dt.timedelta(days=5, hours=1)).cast("timestamp_ntz"),
+                                 horizon="48 hours", robot_id="r1")
+    assert sorted(r.max_value for r in roll.collect()) == [4.0, 5.0]
+    for df in (hist, roll):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(event_date" in plan
