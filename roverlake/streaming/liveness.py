@@ -9,7 +9,9 @@ when the watermark passes it. Heartbeats from nodes that have not
 registered are ignored, as in the controller.
 
 State and per-batch work are per node; the batch size bounds a node's
-pandas frame (``maxOffsetsPerTrigger`` / ``maxFilesPerTrigger``).
+pandas frame (``maxOffsetsPerTrigger`` / ``maxFilesPerTrigger``). Signals
+older than a node's ``last_seen`` (late arrivals) are ignored; the batch
+operator ``operators.edge.offline_intervals`` places them by event time.
 """
 
 from __future__ import annotations
@@ -57,6 +59,10 @@ def _monitor(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     signal = is_reg | ((kind == "heartbeat") & known)
     ts = all_us[order][signal]
     registered = bool(known[-1]) if len(known) else registered
+    if last_us is not None:
+        # a signal older than last_seen arrived late: it cannot move last_seen
+        # back, and intervals already emitted are not retracted (append mode)
+        ts = ts[ts >= last_us]
     if ts.size == 0:
         if last_us is not None:
             state.update((last_us, registered))

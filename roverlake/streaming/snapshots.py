@@ -5,7 +5,9 @@ still open (its values and reading count). Rows of a micro-batch are sorted
 per robot, channel values are carried forward, and every tick older than
 the newest one is emitted; the newest tick stays open until a later reading
 or the watermark passing it (event-time timeout) closes it. The emitted rows
-equal the batch operator ``operators.sensors.snapshots``.
+equal the batch operator ``operators.sensors.snapshots`` for in-order input;
+readings older than the newest one already applied to a robot (late
+arrivals) are ignored, since the ticks they belong to may have been emitted.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def _schemas(channels: dict) -> tuple[str, str]:
     vals = ", ".join(f"{c} double" for c in channels)
     out = f"robot_id string, tick timestamp, {vals}, readings long"
-    state = f"tick_us long, readings long, {', '.join(f'{c} double' for c in channels)}"
+    state = f"tick_us long, readings long, {', '.join(f'{c} double' for c in channels)}, last_us long"
     return out, state
 
 
@@ -42,11 +44,12 @@ def _make(channels: dict, tick_seconds: int):
 
     def fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         robot = key[0]
+        k = len(names)
         if state.hasTimedOut:
             st = state.get
             # close the open tick but keep the channel values for later readings
-            state.update(tuple([None, 0] + list(st[2:])))
-            yield emit(robot, [st[0]], [st[1]], {c: [np.nan if v is None else v] for c, v in zip(names, st[2:])})
+            state.update(tuple([None, 0] + list(st[2:2 + k]) + [st[2 + k]]))
+            yield emit(robot, [st[0]], [st[1]], {c: [np.nan if v is None else v] for c, v in zip(names, st[2:2 + k])})
             return
         rows = pd.concat(list(batches), ignore_index=True)
         us = rows["time"].astype("datetime64[us]").astype("int64").to_numpy()
@@ -57,7 +60,13 @@ def _make(channels: dict, tick_seconds: int):
         if state.exists:
             st = state.get
             open_tick, open_count = st[0], st[1]
-            seed = [np.nan if v is None else float(v) for v in st[2:]]
+            seed = [np.nan if v is None else float(v) for v in st[2:2 + k]]
+            # readings older than the newest one already applied arrived late:
+            # their ticks may be emitted already (append mode), so they are ignored
+            keep = us >= st[2 + k]
+            us, channel, reading = us[keep], channel[keep], reading[keep]
+            if len(us) == 0:
+                return
         else:
             open_tick, open_count, seed = None, 0, [np.nan] * len(names)
 
@@ -87,7 +96,7 @@ def _make(channels: dict, tick_seconds: int):
         newest = int(tick_list[-1])
         state.update(tuple([newest, int(counts[-1])] + [
             None if np.isnan(last[c][-1]) else float(last[c][-1]) for c in names
-        ]))
+        ] + [int(us[-1])]))
         deadline_ms = newest // 1000
         if deadline_ms > state.getCurrentWatermarkMs():
             state.setTimeoutTimestamp(deadline_ms)

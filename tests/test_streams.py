@@ -152,3 +152,42 @@ def test_repeated_batch_is_idempotent(spark, tmpdir_path):
     assert counts() == before
     acc = env.accepted(env.parse_envelope(raw))
     assert before[0] == rt.timeseries_rows(acc).count() and before[3] == acc.count()
+
+
+class _State:
+    """Minimal GroupState stand-in for driving the state functions directly."""
+
+    def __init__(self):
+        self.exists, self.hasTimedOut, self.value = False, False, None
+
+    @property
+    def get(self):
+        return self.value
+
+    def update(self, v):
+        self.exists, self.value = True, v
+
+    def setTimeoutTimestamp(self, ms):
+        pass
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+
+def test_state_functions_ignore_late_rows():
+    import pandas as pd
+
+    t = pd.Timestamp("2025-01-01 00:00:00")
+    mon, st = live._monitor, _State()
+    log = lambda rows: pd.DataFrame(rows, columns=["kind", "node_id", "seq", "ts"])
+    list(mon(("n",), iter([log([("register", "n", 0, t), ("heartbeat", "n", 1, t + pd.Timedelta(minutes=20))])]), st))
+    out = list(mon(("n",), iter([log([("heartbeat", "n", 2, t + pd.Timedelta(minutes=1))])]), st))
+    assert out == [] and st.get[0] == int((t + pd.Timedelta(minutes=20)).value // 1000)
+
+    fn, st2 = snaps._make({"battery": 100.0}, 2), _State()
+    rd = lambda rows: pd.DataFrame(rows, columns=["robot_id", "time", "arrival_seq", "channel", "reading"])
+    first = list(fn(("r",), iter([rd([("r", t + pd.Timedelta(seconds=1), 0, "battery", 50.0),
+                                      ("r", t + pd.Timedelta(seconds=9), 1, "battery", 40.0)])]), st2))
+    assert [len(x) for x in first] == [1]
+    late = list(fn(("r",), iter([rd([("r", t + pd.Timedelta(seconds=3), 2, "battery", 10.0)])]), st2))
+    assert late == [] and st2.get[2] == 40.0
