@@ -28,7 +28,9 @@ MAX_LEN_MISSION = 100
 ROBOT_STATUSES = ("online", "offline", "error", "charging", "maintenance")
 TOPIC_PREFIX = "processed-"
 
-# Raw message as it arrives from a topic or landing folder.
+# Raw message as it arrives from a topic or landing folder. ``arrival_seq`` is
+# any sortable value: a long for topics and replays, a struct (batch, row) or
+# (landed_at, file, row) for landing folders.
 RAW_MESSAGE = T.StructType([
     T.StructField("raw", T.StringType()),
     T.StructField("arrival_seq", T.LongType()),
