@@ -9,6 +9,7 @@ Layout under ``out``::
 
     timeseries/event_date=<d>/batch=<id>/   time-series rows (S3), dynamic partition overwrite
     objects/batch=<id>/bucket=<b>/          object writes (S4; readers keep the last write per key)
+    objects_current/slot=<0|1>/             compacted objects with the last batch folded in
     topics/batch=<id>/topic=<t>/            forwarded records (S5)
     rejects/batch=<id>/                     dead letters with reason
     status/slot=<id % 2>/                   status snapshot after batch <id>, with its version (S6, W2)
@@ -79,9 +80,48 @@ def read_timeseries(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(f"{out}/timeseries")
 
 
+OBJECT_COLUMNS = ("bucket", "object_name", "payload", "length", "metadata", "arrival_seq")
+
+
+def _current_objects(spark: SparkSession, out: str) -> tuple[DataFrame | None, int, int]:
+    """Newest compacted object table, its version (last batch folded in) and slot."""
+    try:
+        cur = spark.read.parquet(f"{out}/objects_current")
+    except AnalysisException:
+        return None, -1, -1
+    newest = cur.orderBy(F.desc("version")).select("version", "slot").first()
+    if newest is None:
+        return None, -1, -1
+    version, slot = newest
+    return cur.where((F.col("slot") == slot) & (F.col("version") == version)).select(*OBJECT_COLUMNS), version, slot
+
+
 def read_objects(spark: SparkSession, out: str) -> DataFrame:
-    """Current objects: the last write per (bucket, object_name) over all batches."""
-    return rt.object_view(spark.read.parquet(f"{out}/objects"))
+    """Current objects: the last write per (bucket, object_name). Reads the
+    compacted table plus only the batch folders written after it."""
+    writes = spark.read.parquet(f"{out}/objects")
+    cur, version, _ = _current_objects(spark, out)
+    newer = writes.where(F.col("batch") > version).select(*OBJECT_COLUMNS)
+    return rt.object_view(newer if cur is None else cur.unionByName(newer))
+
+
+def compact_objects(spark: SparkSession, out: str) -> int:
+    """Fold every object write so far into ``objects_current`` (S4 compaction).
+
+    The result goes to the slot the readers are not using, tagged with the last
+    batch it includes; a failed run leaves the previous slot in place. Run it
+    periodically (not per batch): it rewrites every current object once.
+    Returns the version written.
+    """
+    writes = spark.read.parquet(f"{out}/objects")
+    upto = writes.agg(F.max("batch")).first()[0]
+    _, version, slot = _current_objects(spark, out)
+    if upto is None or upto <= version:
+        return version
+    view = read_objects(spark, out).withColumn("version", F.lit(upto).cast("long"))
+    target = 0 if slot == 1 else 1
+    view.write.mode("overwrite").parquet(f"{out}/objects_current/slot={target}")
+    return int(upto)
 
 
 def read_status(spark: SparkSession, out: str) -> DataFrame:

@@ -191,3 +191,22 @@ def test_state_functions_ignore_late_rows():
     assert [len(x) for x in first] == [1]
     late = list(fn(("r",), iter([rd([("r", t + pd.Timedelta(seconds=3), 2, "battery", 10.0)])]), st2))
     assert late == [] and st2.get[2] == 40.0
+
+
+def test_object_compaction_keeps_the_view(spark, tmpdir_path):
+    blobs = ad.blobs_in(spark, SF_SMALL)
+    out = f"{tmpdir_path}/out"
+    from roverlake.sources import sinks
+
+    parts = [blobs.where(F.col("arrival_seq") % 3 == i) for i in range(3)]
+    rows = lambda df: sorted((r.bucket, r.object_name, r.arrival_seq) for r in df.collect())
+    want = rows(rt.object_view(rt.blob_rows(blobs)).select("bucket", "object_name", "arrival_seq"))
+    sinks.write_objects(rt.blob_rows(parts[0]), f"{out}/objects", 0)
+    sinks.write_objects(rt.blob_rows(parts[1]), f"{out}/objects", 1)
+    assert ing.compact_objects(spark, out) == 1
+    sinks.write_objects(rt.blob_rows(parts[2]), f"{out}/objects", 2)
+    assert rows(ing.read_objects(spark, out).select("bucket", "object_name", "arrival_seq")) == want
+    assert ing.compact_objects(spark, out) == 2
+    assert ing.compact_objects(spark, out) == 2  # nothing new: no rewrite
+    assert rows(ing.read_objects(spark, out).select("bucket", "object_name", "arrival_seq")) == want
+    assert sorted(os.listdir(f"{out}/objects_current")) == ["slot=0", "slot=1"]
