@@ -74,9 +74,8 @@ def metric_rollup_1mon(spark, sf_dir):
 
 def _history(spark, sf_dir, data_type=None):
     t = ad.telemetry(spark, sf_dir)
-    start = t.agg(F.min("time")).scalar()
-    end = tel.as_of_max(t)
-    return tel.query_telemetry(t, start, end, data_type=data_type)
+    bounds = t.agg(F.struct(F.min("time").alias("lo"), F.max("time").alias("hi"))).scalar()
+    return tel.query_telemetry(t, bounds["lo"], bounds["hi"], data_type=data_type)
 
 
 @query("telemetry_history")

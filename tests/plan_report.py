@@ -38,7 +38,9 @@ def main() -> None:
     print(f"# Physical plans at `{os.path.basename(sf_dir)}`\n")
     print("Final adaptive plans after execution (`tests/plan_report.py`). Shuffles include the small")
     print("ones that move per-chunk or per-key partial aggregates; broadcasts are AQE's runtime choices")
-    print("(no query uses a broadcast hint). Stream queries show the plan of their read-back.\n")
+    print("(no query uses a broadcast hint). `scans` counts scan nodes as printed, including the plans of")
+    print("scalar subqueries (bounds, `as_of`), which Spark runs once and reuses. Stream queries show the plan")
+    print("of their read-back.\n")
     print("| query | shuffles | broadcasts | SMJ | BHJ | windows | aggregates | scans | pushed scan filters |")
     print("|---|---|---|---|---|---|---|---|---|")
     for name, fn in sorted(E.queries().items()):
