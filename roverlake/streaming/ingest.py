@@ -134,3 +134,47 @@ def read_status(spark: SparkSession, out: str) -> DataFrame:
 def read_counts(spark: SparkSession, out: str) -> DataFrame:
     """Cumulative processed counter per type."""
     return spark.read.parquet(f"{out}/counts").groupBy("data_type").agg(F.sum("processed").alias("processed"))
+
+
+def main(argv: list[str] | None = None) -> None:
+    """Run the ingest job (R1) on a cluster::
+
+        spark-submit --py-files roverlake.zip -m roverlake.streaming.ingest \\
+            --source kafka --brokers host:9092 --out s3a://bucket/fleet
+
+    The checkpoint goes under ``spark.checkpoint.dir`` unless ``--checkpoint``
+    is given. ``--trigger`` is a processing-time interval, or ``available-now``.
+    """
+    import argparse
+
+    from roverlake.session import checkpoint_dir, configure
+    from roverlake.sources import streams
+
+    p = argparse.ArgumentParser(prog="roverlake.streaming.ingest")
+    p.add_argument("--source", choices=("kafka", "landing"), required=True)
+    p.add_argument("--brokers")
+    p.add_argument("--topic", default=streams.TELEMETRY_TOPIC)
+    p.add_argument("--landing")
+    p.add_argument("--out", required=True)
+    p.add_argument("--checkpoint")
+    p.add_argument("--trigger", default="10 seconds")
+    p.add_argument("--max-per-trigger", type=int)
+    p.add_argument("--status-order", choices=("arrival", "event_time"), default="arrival")
+    args = p.parse_args(argv)
+
+    spark = configure(SparkSession.builder.appName("roverlake-ingest").getOrCreate())
+    if args.source == "kafka":
+        if not args.brokers:
+            p.error("--brokers is required for --source kafka")
+        messages = streams.kafka_messages(spark, args.brokers, args.topic, max_offsets_per_trigger=args.max_per_trigger)
+    else:
+        if not args.landing:
+            p.error("--landing is required for --source landing")
+        messages = streams.landing_messages(spark, args.landing, max_files_per_trigger=args.max_per_trigger)
+    ckpt = args.checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/roverlake-ingest"
+    trigger = {"availableNow": True} if args.trigger == "available-now" else {"processingTime": args.trigger}
+    start_ingest(messages, args.out, ckpt, trigger, args.status_order).awaitTermination()
+
+
+if __name__ == "__main__":
+    main()

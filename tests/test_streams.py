@@ -210,3 +210,15 @@ def test_object_compaction_keeps_the_view(spark, tmpdir_path):
     assert ing.compact_objects(spark, out) == 2  # nothing new: no rewrite
     assert rows(ing.read_objects(spark, out).select("bucket", "object_name", "arrival_seq")) == want
     assert sorted(os.listdir(f"{out}/objects_current")) == ["slot=0", "slot=1"]
+
+
+def test_ingest_job_entry_point(spark, tmpdir_path):
+    land = f"{tmpdir_path}/land"
+    os.makedirs(land)
+    with open(f"{land}/a.jsonl", "w") as fh:
+        fh.write('{"robot_id":"r1","data_type":"status","timestamp":"2025-01-01T00:00:00","data":{"status":"online"}}\n')
+        fh.write('{bad\n')
+    ing.main(["--source", "landing", "--landing", land, "--out", f"{tmpdir_path}/out",
+              "--checkpoint", f"{tmpdir_path}/ck", "--trigger", "available-now"])
+    assert [(r.robot_id, r.status) for r in ing.read_status(spark, f"{tmpdir_path}/out").collect()] == [("r1", "online")]
+    assert spark.read.parquet(f"{tmpdir_path}/out/rejects").first().reject_reason == "malformed_json"
