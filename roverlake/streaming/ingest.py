@@ -139,7 +139,7 @@ def read_counts(spark: SparkSession, out: str) -> DataFrame:
 def main(argv: list[str] | None = None) -> None:
     """Run the ingest job (R1) on a cluster::
 
-        spark-submit --py-files roverlake.zip -m roverlake.streaming.ingest \\
+        spark-submit --py-files roverlake.zip roverlake/streaming/ingest.py \\
             --source kafka --brokers host:9092 --out s3a://bucket/fleet
 
     The checkpoint goes under ``spark.checkpoint.dir`` unless ``--checkpoint``
