@@ -41,3 +41,29 @@ def test_chunked_scan_equals_window(spark, rows, width):
     })
     key = lambda r: (r.s, r.n, r.pos, r.f, r.nx)
     assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+
+
+def _battery_model(ps):
+    b, out = 100.0, []
+    for p in ps:
+        b = p * 100 if p > 0 else max(0, b - 0.01)
+        out.append(b)
+    return out
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    rows=st.lists(st.tuples(st.sampled_from(["hot", "hot", "x"]), st.integers(0, 4 * 3600),
+                            st.sampled_from([0.0, 0.0, 0.0, -0.5, 0.25, 0.9])), min_size=1, max_size=150),
+    width=st.sampled_from(["1 minute", "13 minutes", "1 day"]),
+)
+def test_battery_series_equals_sequential_model(spark, rows, width):
+    from roverlake.operators import sensors
+
+    data = [(k, T0 + dt.timedelta(seconds=s), i, p) for i, (k, s, p) in enumerate(rows)]
+    df = spark.createDataFrame(data, "robot_id string, time timestamp_ntz, arrival_seq long, percentage double")
+    got = {(r.robot_id, r.arrival_seq): r.battery for r in sensors.battery_series(df, chunk=width).collect()}
+    for robot in {k for k, _, _ in rows}:
+        mine = sorted((t, i, p) for (k, t, i, p) in data if k == robot)
+        want = _battery_model([p for _, _, p in mine])
+        assert [round(got[(robot, i)], 9) for _, i, _ in mine] == [round(w, 9) for w in want]
