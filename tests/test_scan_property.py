@@ -67,3 +67,32 @@ def test_battery_series_equals_sequential_model(spark, rows, width):
         mine = sorted((t, i, p) for (k, t, i, p) in data if k == robot)
         want = _battery_model([p for _, _, p in mine])
         assert [round(got[(robot, i)], 9) for _, i, _ in mine] == [round(w, 9) for w in want]
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(log=st.lists(st.tuples(st.sampled_from(["register", "heartbeat", "heartbeat", "deploy", "deploy"]),
+                              st.sampled_from(["n-hot", "n-hot", "n1"]),
+                              st.sampled_from([0, 0, 1, 400]),
+                              st.sampled_from(["m0", "m1"]),
+                              st.integers(0, 100)), min_size=1, max_size=80))
+def test_edge_state_equals_sequential_model(spark, log):
+    from test_operators import _edge_model
+
+    from roverlake.operators import edge
+
+    rows, t = [], T0
+    for seq, (kind, node, gap, model, cpu) in enumerate(log):
+        t = t + dt.timedelta(seconds=gap)
+        rows.append((kind, node, seq, t, "busy", float(cpu), float(seq), model))
+    df = spark.createDataFrame(rows, "kind string, node_id string, seq long, ts timestamp_ntz, status string, "
+                                     "cpu double, mem double, model_id string").withColumn("version", F.lit("1"))
+    nodes, deps, decisions = _edge_model(rows)
+    assert {r.seq: r.accepted for r in edge.requests_decided(df).collect()} == decisions
+    early = F.lit(T0 - dt.timedelta(days=1)).cast("timestamp_ntz")
+    cur = {r.node_id: (r.status, r.cpu, r.mem, r.last_seen) for r in edge.current_nodes(df, early).collect()}
+    assert cur == {n: (s["status"], s["cpu"], s["mem"], s["last_seen"]) for n, s in nodes.items()}
+    models = {}
+    for r in edge.deployed_models(edge.requests_decided(df)).orderBy("node_id", "position").collect():
+        models.setdefault(r.node_id, []).append(r.model_id)
+    assert models == {n: s["models"] for n, s in nodes.items() if s["models"]}
+    assert {r.deployment_id: (r.model_id, r.node_id, r.seq) for r in edge.deployments(df, early).collect()} == deps
