@@ -274,3 +274,19 @@ def test_history_and_rollup_prune_date_partitions(spark, tmpdir_path):
     for df in (hist, roll):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "PartitionFilters: [isnotnull(event_date" in plan
+
+
+def test_dashboard_counters_and_robot_list(spark):
+    from roverlake.operators import dashboard as dash
+
+    snap = spark.createDataFrame(
+        [("r1", "online", 90.0, T0), ("r2", "ONLINE", 20.0, T0), ("r3", None, None, T0), ("r4", "charging", 20.01, T0)],
+        "robot_id string, status string, battery_level double, last_seen timestamp_ntz")
+    tel_rows = _tel(spark, [(-1, "{}"), (0, "{}"), (3600, "{}")])  # 11:59:59, 12:00, 13:00 on T0's day
+    as_of = F.lit(T0 + dt.timedelta(hours=12)).cast("timestamp_ntz")  # 00:00 of the next day: nothing "today"
+    s = dash.dashboard_stats(snap, tel_rows, as_of).first()
+    assert (s.robots_total, s.robots_online, s.robots_offline, s.system_health) == (4, 1, 3, 0.25)
+    assert (s.total_messages, s.today_messages) == (3, 0)
+    robots = spark.createDataFrame([("r1", "a", "t"), ("r2", "b", "t"), ("r9", "c", "t")], "robot_id string, name string, type string")
+    rl = {r.robot_id: (r.is_online, r.battery_ok) for r in dash.robot_list(robots, snap).collect()}
+    assert rl == {"r1": (True, True), "r2": (False, False), "r9": (False, None)}
