@@ -6,9 +6,10 @@ import __spark_entry__ as E
 from oracle_compare import duck, rows_duck, rows_spark
 
 from conftest import SF_SMALL
+from roverlake.plans.oracle import ORACLE
+from roverlake.plans.queries import QUERIES
 
-ORACLE = E.oracle_sql()
-NAMES = sorted(E.queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +35,10 @@ def test_entry_smoke(spark):
     assert df.count() >= 0
 
 
+def test_entry_lists_every_query():
+    assert set(QUERIES) <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
+
+
 def test_every_query_has_oracle_or_is_stateful():
     rows_only = set(NAMES) - set(ORACLE)
     assert not rows_only
