@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roverlake.llm import decontaminate, language, near_dedup, packing
+from roverlake.llm import decontaminate, language, line_dedup, near_dedup, packing, sql
 from roverlake.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -16,6 +16,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), END_ID, 4096)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = near_dedup.near_classes(table(spark, sf_dir, "documents"))
     return classes.selectExpr("id as doc_id", "class_id", "id = class_id as kept")
@@ -29,5 +33,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op5_packing, op7_near_dedup, op9_language_id, op10_decontamination)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op5_packing, op6_line_dedup, op7_near_dedup, op9_language_id, op10_decontamination)}
+ORACLE: dict[str, str] = {"op6_line_dedup": sql.LINE_DEDUP}
