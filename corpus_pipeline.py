@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roverlake.llm import language, packing
+from roverlake.llm import decontaminate, language, line_dedup, near_dedup, packing
 from roverlake.llm.common import new_folder, table
 from roverlake.llm.queries import END_ID, VOCABULARY
 
@@ -28,6 +28,32 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("_identified.lang_pred") != language.UNDETERMINED) & (F.col("_identified.score") >= MIN_SHARE)).select(*COLUMNS)
 
 
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs are cut out; a document of which nothing is
+    left goes."""
+    out = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    stays = (F.col("removed_lines") == 0) | F.col("text").rlike("\\S")
+    return out.where(stays).withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays: that of the smallest id (one
+    row of it); documents without id stay."""
+    classes = near_dedup.near_classes(docs)
+    later = classes.where("id <> class_id").select(F.col("id").alias("doc_id"))
+    kept = docs.select(*COLUMNS).join(later, "doc_id", "left_anti").select(*COLUMNS)
+    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if twice.isEmpty():
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    leaked = decontaminate.contaminated(F.col("text"), table(spark, sf_dir, "benchmark"))
+    return docs.select(*COLUMNS, leaked.alias("_leaked")).where(~F.col("_leaked")).select(*COLUMNS)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of what is left, in sequences of 4096 ids."""
     return packing.pack(docs, public_tokenizers.path(VOCABULARY), END_ID, 4096)
@@ -35,6 +61,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", language_id),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", dedup_near),
+    ("decontamination", decontaminated),
     ("packing", pack),
 ]
 

@@ -183,7 +183,7 @@ def _compare(items: Items, h, words: Words, at, k: int, start, size, wanted, doc
 
 def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text"):
     """The index of each block of items; a block is bounded in items and bytes."""
-    rows = benchmark.select(F.col(item).alias("id"), F.col(text).cast("string").alias("text")).where("text is not null")
+    rows = benchmark.select(F.col(item).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("text is not null")
     n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     many = max(1, -(-n // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
     for k in range(many):
@@ -193,22 +193,37 @@ def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text"):
             yield built
 
 
+def _scan(block: Items, threshold: float):
+    """Over batches of (document id, text)."""
+
+    def scan(batches):
+        for batch in batches:
+            for a, b in pieces(batch.column(1)):
+                doc, which, start, size, score = find(block, batch.column(1).slice(a, b - a), threshold)
+                if len(doc):
+                    ids = batch.column(0).slice(a, b - a).take(pa.array(doc))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([block.ids[i] for i in which], pa.int64()), pa.array(start), pa.array(size), pa.array(score)], names=["doc_id", "item_id", "start_word", "n_words", "similarity"])
+
+    return scan
+
+
+def _hit(block: Items, threshold: float):
+    def hit(texts: pa.Array) -> pa.Array:
+        found = np.zeros(len(texts), bool)
+        for a, b in pieces(texts):
+            found[a + find(block, texts.slice(a, b - a), threshold)[0]] = True
+        return pa.array(found)
+
+    return hit
+
+
 def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, start_word, n_words, similarity of each leaked item."""
-    kinds = {f.name: f.dataType.simpleString() for f in [documents.schema[key], benchmark.schema[item]]}
-    schema = f"doc_id {kinds[key]}, item_id {kinds[item]}, start_word long, n_words long, similarity double"
-    rows = documents.select(F.col(key), F.col(text).cast("string"))
+    """doc_id, item_id, start_word, n_words, similarity of each leaked item; ids are long."""
+    schema = "doc_id long, item_id long, start_word long, n_words long, similarity double"
+    rows = documents.select(F.col(key).cast("long"), F.col(text).cast("string"))
     out = documents.sparkSession.createDataFrame([], schema)
     for block in blocks(benchmark, item, text):
-        def scan(batches, block=block):
-            for batch in batches:
-                for a, b in pieces(batch.column(1)):
-                    doc, which, start, size, score = find(block, batch.column(1).slice(a, b - a), threshold)
-                    ids = batch.column(0).slice(a, b - a).take(pa.array(doc))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([block.ids[i] for i in which]), pa.array(start), pa.array(size), pa.array(score)] if len(doc) else [
-                        ids, pa.array([], pa.int64()), pa.array(start), pa.array(size), pa.array(score)], names=["doc_id", "item_id", "start_word", "n_words", "similarity"])
-
-        out = out.unionByName(rows.mapInArrow(scan, schema))
+        out = out.unionByName(rows.mapInArrow(_scan(block, threshold), schema))
     return out
 
 
@@ -216,11 +231,5 @@ def contaminated(text: Column, benchmark: DataFrame, threshold: float = THRESHOL
     """Whether the text holds an item: the same search, without a join back."""
     flag = F.lit(False)
     for block in blocks(benchmark):
-        def scan(texts: pa.Array, block=block) -> pa.Array:
-            hit = np.zeros(len(texts), bool)
-            for a, b in pieces(texts):
-                hit[a + find(block, texts.slice(a, b - a), threshold)[0]] = True
-            return pa.array(hit)
-
-        flag = flag | F.arrow_udf(scan, "boolean")(text)
+        flag = flag | F.arrow_udf(_hit(block, threshold), "boolean")(text)
     return flag
