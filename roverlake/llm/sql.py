@@ -24,3 +24,21 @@ SELECT s.doc_id,
        CAST(coalesce(len(g.gone), 0) AS BIGINT) AS removed_lines
 FROM split s LEFT JOIN gone g ON s.doc_id = g.doc_id
 """
+
+#: cosine of double components; sound vectors only, the nearest five of each query
+NEAREST = """
+WITH sound AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))
+           / sqrt(list_sum(list_transform(q.v, lambda x: x * x)) * list_sum(list_transform(c.v, lambda x: x * x))) AS score
+    FROM sound q JOIN sound c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
