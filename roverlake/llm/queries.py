@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roverlake.llm import decontaminate, language, line_dedup, near_dedup, nearest, packing, sql
+from roverlake.llm import decontaminate, language, line_dedup, near_dedup, nearest, packing, sql, token_files
 from roverlake.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -17,6 +17,10 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), END_ID)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), END_ID, 4096)
 
@@ -38,5 +42,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_nearest_neighbours, op5_packing, op6_line_dedup, op7_near_dedup, op9_language_id, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_nearest_neighbours, op3_token_files, op5_packing, op6_line_dedup, op7_near_dedup, op9_language_id, op10_decontamination)}
 ORACLE: dict[str, str] = {"op2_nearest_neighbours": sql.NEAREST, "op6_line_dedup": sql.LINE_DEDUP}
