@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roverlake.llm import decontaminate, language, line_dedup, near_dedup, nearest, packing, sql, token_files
+from roverlake.llm import decontaminate, language, line_dedup, near_dedup, nearest, packing, quality, sql, token_files, toxicity
 from roverlake.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -21,6 +21,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), END_ID)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), END_ID, 4096)
 
@@ -34,6 +38,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.selectExpr("id as doc_id", "class_id", "id = class_id as kept")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_documents(table(spark, sf_dir, "documents"))
 
@@ -42,5 +50,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_nearest_neighbours, op3_token_files, op5_packing, op6_line_dedup, op7_near_dedup, op9_language_id, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_nearest_neighbours, op3_token_files, op4_quality, op5_packing, op6_line_dedup, op7_near_dedup, op8_toxicity, op9_language_id, op10_decontamination)}
 ORACLE: dict[str, str] = {"op2_nearest_neighbours": sql.NEAREST, "op6_line_dedup": sql.LINE_DEDUP}
