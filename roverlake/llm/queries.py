@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roverlake.llm import decontaminate, language, line_dedup, near_dedup, nearest, packing, quality, sql, token_files, toxicity
+from roverlake.llm import decontaminate, language, line_dedup, near_dedup, nearest, packing, quality, sql, substring_dedup, token_files, toxicity
 from roverlake.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return spans.selectExpr("id as doc_id", "start", "length", "n_words", "source_id", "source_start")
+
+
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -50,5 +55,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_nearest_neighbours, op3_token_files, op4_quality, op5_packing, op6_line_dedup, op7_near_dedup, op8_toxicity, op9_language_id, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_nearest_neighbours, op3_token_files, op4_quality, op5_packing, op6_line_dedup, op7_near_dedup, op8_toxicity, op9_language_id, op10_decontamination)}
 ORACLE: dict[str, str] = {"op2_nearest_neighbours": sql.NEAREST, "op6_line_dedup": sql.LINE_DEDUP}
