@@ -14,8 +14,7 @@ per-node partial aggregate joined back), so node state, deployments and
 health need no ordered scan. Where a per-request running value is part of
 the answer -- the registration **epoch** of each request (J1, J2) and the
 position in the deployed-model list (W5) -- the chunked scan of
-``operators.scan`` computes it; the log's ``ts`` is the controller's receive
-time, so it grows with ``seq`` as the scan requires.
+``operators.scan`` computes it, in chunks of ``seq``.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roverlake.functions.time import rfc3339, unix_seconds
-from roverlake.operators.scan import DEFAULT_CHUNK, chunk_of, next_value, running
+from roverlake.operators.scan import CHUNK_ROWS, DEFAULT_CHUNK, chunk_of, chunk_of_seq, next_value, running
 
 # ---------------------------------------------------------------------------
 # Fixed values of the controller.
@@ -45,13 +44,14 @@ OFFLINE_STATUS = "offline"
 ORDER = ("seq",)
 
 
-def with_epoch(log: DataFrame, chunk: str = DEFAULT_CHUNK) -> DataFrame:
+def with_epoch(log: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Adds ``epoch`` = registrations of the node up to and including this
-    request, and the scan's time chunk ``_chunk`` (kept so later per-node
-    scans reuse the same partitioning)."""
+    request, and the scan's chunk ``_chunk`` (kept so later per-node scans reuse
+    the same partitioning). Chunks are cut on ``seq``, which is also the order,
+    so a clock that steps back or a missing ``ts`` changes nothing."""
     is_reg = (F.col("kind") == "register").cast("long")
     is_dep = (F.col("kind") == "deploy").cast("long")
-    staged = log.withColumn("_chunk", chunk_of("ts", chunk))
+    staged = log.withColumn("_chunk", chunk_of_seq("seq", chunk_rows))
     return running(staged, "node_id", ORDER, "_chunk", sums={"epoch": is_reg, "_deploys": is_dep})
 
 

@@ -16,8 +16,8 @@ each key's history into time chunks and scan in two levels:
 Supported running values are the ones the operators need: inclusive running
 sums, last non-null value ("forward fill"), and next-row value ("lead").
 
-The chunk must not decrease along the order (a time bucket of the ordering
-time, or of a receive time that grows with the arrival sequence).
+The chunk must not decrease along the order: a bucket of the ordering column
+itself (``chunk_of`` for a time, ``chunk_of_seq`` for a sequence number).
 """
 
 from __future__ import annotations
@@ -27,12 +27,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roverlake.functions.time import parse_width
+
 DEFAULT_CHUNK = "1 hour"
+CHUNK_ROWS = 100_000
+
+
+# Rows without a time form a chunk before all others, as NULLs sort first.
+NO_TIME = -(1 << 62)
 
 
 def chunk_of(time_col: str, width: str = DEFAULT_CHUNK) -> Column:
-    """Chunk id of a row: start of its time bucket (epoch aligned)."""
-    return F.window(F.col(time_col), width)["start"]
+    """Chunk number of a row: its time bucket (epoch aligned). Plain arithmetic
+    rather than ``window()``, which would filter out rows without a time."""
+    n, unit = parse_width(width)
+    if unit != "seconds":
+        raise ValueError(f"chunk width {width!r} has no fixed length")
+    us = F.unix_micros(F.col(time_col).cast("timestamp"))
+    return F.coalesce(F.floor(us / F.lit(n * 1_000_000)).cast("long"), F.lit(NO_TIME))
+
+
+def chunk_of_seq(seq_col: str, rows: int = CHUNK_ROWS) -> Column:
+    """Chunk number by sequence number, for logs ordered by it."""
+    return F.coalesce(F.floor(F.col(seq_col) / F.lit(rows)).cast("long"), F.lit(NO_TIME))
 
 
 def _order_struct(order: Sequence[str]) -> Column:
