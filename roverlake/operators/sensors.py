@@ -108,13 +108,13 @@ def snapshots(
     ``channels``: channel name -> value before its first reading.
 
     A tick is emitted for every (robot, tick) that received at least one
-    reading; between such ticks the state is unchanged, so the dense 2-second
+    reading (a NaN is none, though it counts); between such ticks the state is unchanged, so the dense 2-second
     series is these rows carried forward (ticks without news would repeat
     the previous row). That keeps the output proportional to the input
     instead of to robots x elapsed time.
     """
     wide = readings.withColumn("tick", tick_of("time", tick_seconds)).withColumns({
-        f"_ch_{c}": F.when(F.col("channel") == c, F.col("reading")) for c in channels
+        f"_ch_{c}": F.when((F.col("channel") == c) & ~F.isnan(F.col("reading").cast("double")), F.col("reading")) for c in channels
     })
     # Chunks are cut on the tick (which grows with the time), so no tick spans
     # two chunks: grouping by (robot, chunk, tick) is satisfied by the scan's

@@ -302,10 +302,8 @@ FROM c"""
 
 ORACLE["stream_route_counts"] = ORACLE["route_counts"]
 ORACLE["stream_status_upsert"] = ORACLE["status_upsert"].replace("SELECT * FROM snapshot", "SELECT robot_id, last_seen, status, battery_level, location, active_mission, arrival_seq FROM snapshot")
-ORACLE["stream_node_offline"] = _EDGE + """,
-nx AS (SELECT node_id, ts, lead(ts) OVER (PARTITION BY node_id ORDER BY ts, seq) AS next_ts FROM edge_signals)
-SELECT node_id, ts AS last_seen, ts + INTERVAL 5 MINUTE AS offline_from, next_ts AS offline_until
-FROM nx WHERE next_ts IS NOT NULL AND next_ts - ts > INTERVAL 5 MINUTE"""
+# closed intervals and those still open when the input ends
+ORACLE["stream_node_offline"] = ORACLE["node_offline_intervals"]
 
 # Stream snapshots: the batch answer without each robot's last tick when the
 # final watermark (max event time, in ms) has not passed it -- that tick is

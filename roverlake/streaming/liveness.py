@@ -9,9 +9,13 @@ when the watermark passes it. Heartbeats from nodes that have not
 registered are ignored, as in the controller.
 
 State and per-batch work are per node; the batch size bounds a node's
-pandas frame (``maxOffsetsPerTrigger`` / ``maxFilesPerTrigger``). Signals
-older than a node's ``last_seen`` (late arrivals) are ignored; the batch
-operator ``operators.edge.offline_intervals`` places them by event time.
+pandas frame (``maxOffsetsPerTrigger`` / ``maxFilesPerTrigger``). The watermark
+is the caller's statement of how far clocks may differ: rows older than it are
+dropped by Spark, so it has no default. Within it, a signal older than a node's
+``last_seen`` cannot move ``last_seen`` back.
+
+The rows are a change log: an open interval may be followed by the same interval
+with its end. ``settled`` keeps the newest form of each.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from roverlake.operators.edge import LIVENESS_SECONDS
 
 OUTPUT_SCHEMA = "node_id string, last_seen timestamp, offline_from timestamp, offline_until timestamp"
-STATE_SCHEMA = "last_seen_us long, registered boolean"
+STATE_SCHEMA = "last_seen_us long, registered boolean, reported boolean"
 _GAP_US = LIVENESS_SECONDS * 1_000_000
 
 
@@ -39,35 +43,37 @@ def _from_us(a) -> pd.Series:
     return pd.to_datetime(pd.Series(a, dtype="int64"), unit="us")
 
 
+def _arm(state: GroupState, last_us: int) -> None:
+    """Timer at ``last_seen + 5 min``, or as soon as possible if that has passed.
+    Spark clears the timer on every call, so each call that keeps state sets it."""
+    state.setTimeoutTimestamp(max((last_us + _GAP_US) // 1000, state.getCurrentWatermarkMs() + 1))
+
+
 def _monitor(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     node_id = key[0]
     if state.hasTimedOut:
-        last_us, registered = state.get
-        state.update((last_us, registered))  # keep state; no new timer until the next signal
+        last_us, registered, _ = state.get
+        state.update((last_us, registered, True))  # no new timer until the next signal
         yield pd.DataFrame({
             "node_id": [node_id], "last_seen": _from_us([last_us]),
-            "offline_from": _from_us([last_us + _GAP_US]), "offline_until": pd.Series([pd.NaT]),
+            "offline_from": _from_us([last_us + _GAP_US]), "offline_until": pd.Series([pd.NaT], dtype="datetime64[us]"),
         })
         return
     rows = pd.concat(list(batches), ignore_index=True)
     all_us = _to_us(rows["ts"])
     order = np.lexsort((rows["seq"].to_numpy(), all_us))
     kind = rows["kind"].to_numpy()[order]
-    last_us, registered = state.get if state.exists else (None, False)
+    last_us, registered, reported = state.get if state.exists else (None, False, False)
     is_reg = kind == "register"
     known = np.maximum.accumulate(is_reg | registered)
-    signal = is_reg | ((kind == "heartbeat") & known)
-    ts = all_us[order][signal]
+    ts = all_us[order][is_reg | ((kind == "heartbeat") & known)]
     registered = bool(known[-1]) if len(known) else registered
     if last_us is not None:
-        # a signal older than last_seen arrived late: it cannot move last_seen
-        # back, and intervals already emitted are not retracted (append mode)
         ts = ts[ts >= last_us]
-    if ts.size == 0:
-        if last_us is not None:
-            state.update((last_us, registered))
-        else:
-            state.update((None, registered))
+    if ts.size == 0:  # no news of the node: the timer that was running goes on
+        state.update((last_us, registered, reported))
+        if last_us is not None and not reported:
+            _arm(state, last_us)
         return
     prev = np.concatenate([[last_us], ts[:-1]]) if last_us is not None else ts[:-1]
     nxt = ts if last_us is not None else ts[1:]
@@ -78,16 +84,13 @@ def _monitor(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         "offline_from": _from_us(prev[gaps] + _GAP_US),
         "offline_until": _from_us(nxt[gaps]),
     })
-    new_last = int(ts[-1])
-    state.update((new_last, registered))
-    deadline_ms = (new_last + _GAP_US) // 1000
-    if deadline_ms > state.getCurrentWatermarkMs():
-        state.setTimeoutTimestamp(deadline_ms)
+    state.update((int(ts[-1]), registered, False))
+    _arm(state, int(ts[-1]))
     if len(out):
         yield out
 
 
-def offline_stream(edge_log: DataFrame, watermark: str = "0 seconds") -> DataFrame:
+def offline_stream(edge_log: DataFrame, watermark: str) -> DataFrame:
     """Streaming offline intervals from an edge request log stream
     (columns ``kind, node_id, seq, ts``)."""
     src = edge_log.select("kind", "node_id", "seq", F.col("ts").cast("timestamp").alias("ts"))
@@ -96,3 +99,9 @@ def offline_stream(edge_log: DataFrame, watermark: str = "0 seconds") -> DataFra
         .groupBy("node_id")
         .applyInPandasWithState(_monitor, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
     )
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """The newest form of each interval of the stream's output: its end once it has
+    one, NULL while the node is still offline."""
+    return rows.groupBy("node_id", "last_seen", "offline_from").agg(F.max("offline_until").alias("offline_until"))

@@ -5,9 +5,12 @@ still open (its values and reading count). Rows of a micro-batch are sorted
 per robot, channel values are carried forward, and every tick older than
 the newest one is emitted; the newest tick stays open until a later reading
 or the watermark passing it (event-time timeout) closes it. The emitted rows
-equal the batch operator ``operators.sensors.snapshots`` for in-order input;
-readings older than the newest one already applied to a robot (late
-arrivals) are ignored, since the ticks they belong to may have been emitted.
+equal the batch operator ``operators.sensors.snapshots`` for input that is in
+order per robot; the watermark says how far the robots' clocks may differ
+(rows older than it are dropped by Spark, so it has no default). Readings older
+than the newest one applied to their own robot come too late for their tick,
+which may be out already: they are counted in ``late`` of the robot's next row.
+A NaN is no reading.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def _schemas(channels: dict) -> tuple[str, str]:
     vals = ", ".join(f"{c} double" for c in channels)
-    out = f"robot_id string, tick timestamp, {vals}, readings long"
-    state = f"tick_us long, readings long, {', '.join(f'{c} double' for c in channels)}, last_us long"
+    out = f"robot_id string, tick timestamp, {vals}, readings long, late long"
+    state = f"tick_us long, readings long, {', '.join(f'{c} double' for c in channels)}, last_us long, late long"
     return out, state
 
 
@@ -32,7 +35,7 @@ def _make(channels: dict, tick_seconds: int):
     names = list(channels)
     step = tick_seconds * 1_000_000
 
-    def emit(robot, ticks_us, counts, values: dict) -> pd.DataFrame:
+    def emit(robot, ticks_us, counts, values: dict, late: int) -> pd.DataFrame:
         out = {"robot_id": robot, "tick": pd.to_datetime(np.asarray(ticks_us, dtype="int64"), unit="us")}
         for c in names:
             v = np.asarray(values[c], dtype="float64")
@@ -40,6 +43,7 @@ def _make(channels: dict, tick_seconds: int):
                 v = np.where(np.isnan(v), channels[c], v)
             out[c] = v
         out["readings"] = np.asarray(counts, dtype="int64")
+        out["late"] = np.where(np.arange(len(ticks_us)) == 0, late, 0).astype("int64")
         return pd.DataFrame(out)
 
     def fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -48,8 +52,8 @@ def _make(channels: dict, tick_seconds: int):
         if state.hasTimedOut:
             st = state.get
             # close the open tick but keep the channel values for later readings
-            state.update(tuple([None, 0] + list(st[2:2 + k]) + [st[2 + k]]))
-            yield emit(robot, [st[0]], [st[1]], {c: [np.nan if v is None else v] for c, v in zip(names, st[2:2 + k])})
+            state.update(tuple([None, 0] + list(st[2:2 + k]) + [st[2 + k], 0]))
+            yield emit(robot, [st[0]], [st[1]], {c: [np.nan if v is None else v] for c, v in zip(names, st[2:2 + k])}, st[3 + k])
             return
         rows = pd.concat(list(batches), ignore_index=True)
         us = rows["time"].astype("datetime64[us]").astype("int64").to_numpy()
@@ -61,14 +65,16 @@ def _make(channels: dict, tick_seconds: int):
             st = state.get
             open_tick, open_count = st[0], st[1]
             seed = [np.nan if v is None else float(v) for v in st[2:2 + k]]
-            # readings older than the newest one already applied arrived late:
-            # their ticks may be emitted already (append mode), so they are ignored
             keep = us >= st[2 + k]
+            late = int(st[3 + k]) + int((~keep).sum())
             us, channel, reading = us[keep], channel[keep], reading[keep]
             if len(us) == 0:
+                state.update(tuple([*st[:3 + k], late]))
+                if open_tick is not None:  # the call has cleared the timer
+                    state.setTimeoutTimestamp(max(open_tick // 1000, state.getCurrentWatermarkMs() + 1))
                 return
         else:
-            open_tick, open_count, seed = None, 0, [np.nan] * len(names)
+            open_tick, open_count, seed, late = None, 0, [np.nan] * len(names), 0
 
         # carry each channel's newest value forward (seeded from the state)
         idx = np.arange(len(us))
@@ -89,22 +95,22 @@ def _make(channels: dict, tick_seconds: int):
                 counts[0] += int(open_count)
             else:
                 # the open tick got no more readings: it is complete
-                yield emit(robot, [open_tick], [open_count], {c: [v] for c, v in zip(names, seed)})
+                yield emit(robot, [open_tick], [open_count], {c: [v] for c, v in zip(names, seed)}, late)
+                late = 0
         done = len(tick_list) - 1
         if done:
-            yield emit(robot, tick_list[:done], counts[:done], {c: last[c][:done] for c in names})
+            yield emit(robot, tick_list[:done], counts[:done], {c: last[c][:done] for c in names}, late)
+            late = 0
         newest = int(tick_list[-1])
         state.update(tuple([newest, int(counts[-1])] + [
             None if np.isnan(last[c][-1]) else float(last[c][-1]) for c in names
-        ] + [int(us[-1])]))
-        deadline_ms = newest // 1000
-        if deadline_ms > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(deadline_ms)
+        ] + [int(us[-1]), late]))
+        state.setTimeoutTimestamp(max(newest // 1000, state.getCurrentWatermarkMs() + 1))
 
     return fn
 
 
-def snapshot_stream(readings: DataFrame, channels: dict, tick_seconds: int = 2, watermark: str = "0 seconds") -> DataFrame:
+def snapshot_stream(readings: DataFrame, channels: dict, watermark: str, tick_seconds: int = 2) -> DataFrame:
     """Streaming snapshots from channel readings
     (``robot_id, time, arrival_seq, channel, reading``)."""
     out_schema, state_schema = _schemas(channels)

@@ -68,7 +68,7 @@ def test_ingest_stream_equals_batch_with_restart(spark, tmpdir_path):
 @pytest.mark.parametrize("parts", [1, 4])
 def test_liveness_stream_equals_batch_closed_intervals(spark, tmpdir_path, parts):
     src = _split(tmpdir_path, parts)
-    rows = live.offline_stream(ad.edge_log_of(_events_stream(spark, src)))
+    rows = live.offline_stream(ad.edge_log_of(_events_stream(spark, src)), "0 seconds")
     out = f"{tmpdir_path}/live"
     q = (rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{tmpdir_path}/ck")
          .trigger(availableNow=True).start())
@@ -82,7 +82,7 @@ def test_liveness_stream_equals_batch_closed_intervals(spark, tmpdir_path, parts
 @pytest.mark.parametrize("parts", [1, 4])
 def test_snapshot_stream_equals_batch(spark, tmpdir_path, parts):
     src = _split(tmpdir_path, parts)
-    rows = snaps.snapshot_stream(ad.channel_readings_of(_events_stream(spark, src)), SNAPSHOT_CHANNELS)
+    rows = snaps.snapshot_stream(ad.channel_readings_of(_events_stream(spark, src)), SNAPSHOT_CHANNELS, "0 seconds")
     out = f"{tmpdir_path}/snap"
     q = (rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{tmpdir_path}/ck")
          .trigger(availableNow=True).start())
@@ -191,6 +191,57 @@ def test_state_functions_ignore_late_rows():
     assert [len(x) for x in first] == [1]
     late = list(fn(("r",), iter([rd([("r", t + pd.Timedelta(seconds=3), 2, "battery", 10.0)])]), st2))
     assert late == [] and st2.get[2] == 40.0
+    after = list(fn(("r",), iter([rd([("r", t + pd.Timedelta(seconds=30), 3, "battery", 30.0)])]), st2))
+    assert [(len(x), x["late"].tolist()) for x in after] == [(1, [1])]  # counted, not lost from sight
+
+
+def _replay(spark, tmp, batches, schema):
+    """One file and micro-batch for each list of rows."""
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp}/in")
+    return srcs.parquet_replay(spark, f"{tmp}/in", spark.read.parquet(f"{tmp}/in").schema, 1)
+
+
+def _run(rows, tmp):
+    q = (rows.writeStream.format("parquet").option("path", f"{tmp}/o").option("checkpointLocation", f"{tmp}/c")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return rows.sparkSession.read.parquet(f"{tmp}/o")
+
+
+def test_another_robots_clock_deletes_no_reading(spark, tmpdir_path):
+    import datetime as dt
+
+    at = lambda s: dt.datetime(2025, 1, 1) + dt.timedelta(seconds=s)
+    batches = [[("A", at(100), 0)], [("A", at(500), 1)], [("B", at(50), 2), ("B", at(60), 3)], [("A", at(600), 4), ("B", at(700), 5)], [("A", at(9000), 6)]]
+    batches = [[(r, t, n, "battery", float(n)) for r, t, n in rows] for rows in batches]
+    schema = "robot_id string, time timestamp_ntz, arrival_seq long, channel string, reading double"
+    got = _run(snaps.snapshot_stream(_replay(spark, tmpdir_path, batches, schema), {"battery": 100.0}, "20 minutes"), tmpdir_path)
+    want = sens.snapshots(spark.createDataFrame([r for b in batches for r in b], schema), {"battery": 100.0})
+    pairs = lambda df: sorted((r.robot_id, r.tick.replace(tzinfo=None), r.battery, r.readings) for r in df.withColumn("tick", F.col("tick").cast("timestamp_ntz")).collect())
+    assert pairs(got) == [r for r in pairs(want) if r[1] != at(9000)]  # the newest tick is still open
+
+
+def test_a_deploy_request_does_not_stop_the_liveness_timer(spark, tmpdir_path):
+    import datetime as dt
+
+    at = lambda m: dt.datetime(2025, 1, 1) + dt.timedelta(minutes=m)
+    batches = [[("register", "n1", 0, at(0))], [("deploy", "n1", 1, at(1))], [("register", "n2", 2, at(60))]]
+    got = _run(live.offline_stream(_replay(spark, tmpdir_path, batches, "kind string, node_id string, seq long, ts timestamp_ntz"), "0 seconds"), tmpdir_path)
+    assert [(r.node_id, r.offline_until) for r in got.collect()] == [("n1", None)]
+
+
+def test_open_intervals_settle_when_they_end(spark, tmpdir_path):
+    import datetime as dt
+
+    at = lambda m: dt.datetime(2025, 1, 1) + dt.timedelta(minutes=m)
+    batches = [[("register", "n1", 0, at(0))], [("register", "n2", 1, at(60))], [("heartbeat", "n1", 2, at(70))], [("heartbeat", "n2", 3, at(99))]]
+    log = "kind string, node_id string, seq long, ts timestamp_ntz"
+    rows = _run(live.offline_stream(_replay(spark, tmpdir_path, batches, log), "0 seconds"), tmpdir_path)
+    got = live.settled(rows).select("node_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("last_seen", "offline_until")])
+    want = edge.offline_intervals(spark.createDataFrame([r for b in batches for r in b], log), at(99))
+    pairs = lambda df: sorted((r.node_id, r.last_seen, r.offline_until or at(0)) for r in df.select("node_id", "last_seen", "offline_until").collect())
+    assert pairs(got) == pairs(want) and len(pairs(got)) == 3
 
 
 def test_object_compaction_keeps_the_view(spark, tmpdir_path):
