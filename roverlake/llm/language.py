@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roverlake.llm.common import fold
@@ -31,7 +31,7 @@ UNDETERMINED = "und"
 BITS = 16
 #: n-gram lengths in bytes, word ends included
 ORDERS = (2, 3, 4)
-#: labelled documents learned from, for each language value (smallest hashes of the id)
+#: labelled documents learned from, about so many for each language value
 LEARN_DOCS = 1500
 RESULT = "struct<lang_pred: string, score: double, languages: array<string>>"
 
@@ -83,13 +83,16 @@ def _counts(texts: pa.Array) -> np.ndarray:
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = LEARN_DOCS) -> Model:
-    """n-gram counts of at most ``per_language`` documents of each language (those
-    with the smallest hash of their id), summed on the executors; what returns
-    to the driver is one count vector for each language."""
+    """n-gram counts of about ``per_language`` documents of each language, or of all
+    if it has fewer: those with a hash of their id below that share of the language's
+    documents. Counted on the executors; what returns to the driver is one count
+    vector for each language."""
     rows = labelled.select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("id is not null and lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("id", "lang")
-    rows = rows.join(chosen.distinct(), ["id", "lang"], "left_semi").select("lang", "text")
+    shares = {r["lang"]: min(1.0, per_language / r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not shares:
+        return Model([], np.zeros((0, 1 << BITS), np.float32))
+    share = F.create_map(*[F.lit(x) for pair in sorted(shares.items()) for x in pair])[F.col("lang")]
+    rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
