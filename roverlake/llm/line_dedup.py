@@ -92,15 +92,15 @@ def repeated_runs(windows: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
 def dedup_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
     """The documents with the later copies of runs cut out of ``text``, blank lines
-    inside a run too, and one more column: removed_lines."""
+    inside a run too, and one more column: removed_lines (in place of any such)."""
     windows = later_windows(documents, key, text, min_lines)
-    gone = windows.select("id", "t", F.explode(F.sequence("line", "last")).alias("line")).groupBy("id", "t").agg(F.collect_set("line").alias("_gone"))
-    gone = gone.withColumnsRenamed({"id": "_id", "t": "_t"})
+    gone = windows.select("id", "t", F.explode(F.sequence("line", "last")).alias("line")).groupBy("id", "t").agg(F.collect_set("line").alias("gone"))
     # the lines go through the join in place of the text, so that each is reached by its number
-    rest = [c for c in documents.columns if c != text]
-    docs = documents.select(*rest, F.xxhash64(text).alias("_own"), F.split(text, "\n").alias("_lines"))
-    docs = docs.join(gone, docs[key].eqNullSafe(gone["_id"]) & (docs["_own"] == gone["_t"]), "left")
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    left = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.transform(kept, lambda n: F.col("_lines")[n]))
-    out = docs.withColumn(text, F.array_join(left, "\n")).withColumn("removed_lines", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    return out.select(*documents.columns, "removed_lines")
+    rest = [c for c in documents.columns if c not in (text, "removed_lines")]
+    docs = documents.select(F.struct(*rest).alias("row"), F.col(key).alias("own_id"), F.xxhash64(text).alias("own_t"), F.split(text, "\n").alias("lines"))
+    docs = docs.join(gone, docs["own_id"].eqNullSafe(gone["id"]) & (docs["own_t"] == gone["t"]), "left")
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    left = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(kept, lambda n: F.col("lines")[n]))
+    out = {c: F.col("row")[c] for c in rest} | {text: F.array_join(left, "\n")}
+    names = [c for c in documents.columns if c != "removed_lines"]
+    return docs.select(*(out[c].alias(c) for c in names), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed_lines"))

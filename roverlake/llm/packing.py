@@ -31,6 +31,8 @@ from roverlake.llm.tokens import encoded
 SLACK = 16
 MAX_COMBINATIONS = 60_000
 BUCKETS = 256
+#: shares of the least-squares counts that are tried
+ROUNDINGS = (1.0, 0.75, 0.5, 0.25, 0.0)
 
 
 def _largest(present: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -104,25 +106,10 @@ class Plan:
 
 def plan(hist: np.ndarray, window: int) -> Plan:
     """hist[l]: documents of length l, l < window."""
-    left = hist.astype(np.int64).copy()
-    chosen: list[tuple[list[tuple[int, int]], int]] = []
-    lengths, times = combinations(left, window)
-    if len(lengths):
-        x = least_squares(lengths, times, left)
-        for c in np.argsort(-x, kind="stable"):
-            repeat = int(x[c] + 0.5)
-            if not repeat:
-                break
-            parts: dict[int, int] = {}
-            for l, t in zip(lengths[c].tolist(), times[c].tolist(), strict=True):
-                if t:
-                    parts[l] = parts.get(l, 0) + t
-            repeat = min(repeat, *(int(left[l]) // t for l, t in parts.items()))
-            if repeat:
-                chosen.append((sorted(parts.items(), reverse=True), repeat))
-                for l, t in parts.items():
-                    left[l] -= t * repeat
-    chosen += _greedy(left, window)
+    lengths, times = combinations(hist, window)
+    x = least_squares(lengths, times, hist) if len(lengths) else np.empty(0)
+    # of several roundings the one with the fewest sequences
+    chosen = min((_rounded(lengths, times, x * part, hist, window) for part in ROUNDINGS), key=lambda found: sum(repeat for _, repeat in found))
     rows, sequence, rank = [], 0, np.zeros(window + 1, np.int64)
     for parts, repeat in chosen:
         offset = 0
@@ -135,6 +122,27 @@ def plan(hist: np.ndarray, window: int) -> Plan:
     return Plan(*(np.ascontiguousarray(table[:, k]) for k in range(5)), sequence)
 
 
+def _rounded(lengths: np.ndarray, times: np.ndarray, x: np.ndarray, hist: np.ndarray, window: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """Rounded repeat counts, the largest first and as far as documents are left, then
+    the rest greedily: [([(length, times)], repeats)]."""
+    left = hist.astype(np.int64).copy()
+    chosen = []
+    for c in np.argsort(-x, kind="stable"):
+        repeat = int(x[c] + 0.5)
+        if not repeat:
+            break
+        parts: dict[int, int] = {}
+        for l, t in zip(lengths[c].tolist(), times[c].tolist(), strict=True):
+            if t:
+                parts[l] = parts.get(l, 0) + t
+        repeat = min(repeat, *(int(left[l]) // t for l, t in parts.items()))
+        if repeat:
+            chosen.append((sorted(parts.items(), reverse=True), repeat))
+            for l, t in parts.items():
+                left[l] -= t * repeat
+    return chosen + _greedy(left, window)
+
+
 def _greedy(left: np.ndarray, window: int) -> list[tuple[list[tuple[int, int]], int]]:
     """Best-fit decreasing over what is left of the histogram."""
     below = list(range(len(left)))  # below[l]: a length not above l that may be left

@@ -109,8 +109,16 @@ def repeated_spans(documents: DataFrame, key: str = "doc_id", text: str = "text"
     first = found.groupBy("d").agg(F.min(F.struct("id", "t", "w", "lo")).alias("source"))
     later = found.join(first, "d").where(place > F.struct("source.id", "source.t", "source.w"))
     order = Window.partitionBy("id", "t").orderBy("w")
+    # neighbours in the text, and in the earliest occurrence too
+    beside = F.coalesce(F.lag(F.col("w") + F.col("n")).over(order) == F.col("w"), F.lit(False))
+    goes_on = F.col("source.id").eqNullSafe(F.lag("source.id").over(order)) & (F.col("source.t") == F.lag("source.t").over(order)) & (F.col("source.w") == F.lag(F.col("source.w") + F.col("n")).over(order))
+    later = later.withColumn("beside", beside).withColumn("linked", F.col("beside") & F.coalesce(goes_on, F.lit(False)))
+    after = {c: F.coalesce(F.lead(c).over(order), F.lit(False)) for c in ("beside", "linked")}
+    # a chunk at the end of a run that stands elsewhere in the earliest occurrence is there by chance
+    inside = F.col("linked") | after["linked"] | (F.col("beside") & after["beside"]) | (F.col("n") >= min_words)
+    runs = later.withColumn("inside", inside).where("inside")
     new = F.coalesce(F.lag(F.col("w") + F.col("n")).over(order) != F.col("w"), F.lit(True))
-    runs = later.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order))
+    runs = runs.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order))
     spans = runs.groupBy("id", "t", "run").agg(
         F.min("lo").alias("start"), (F.max("hi") - F.min("lo")).alias("length"), F.sum("n").alias("n_words"),
         F.min_by("source", "w").alias("source"))
@@ -137,10 +145,10 @@ def _without(texts: pa.Array, starts: pa.Array, lengths: pa.Array) -> pa.Array:
 
 def dedup_substrings(documents: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with later copies of passages cut out of ``text``."""
-    spans = repeated_spans(documents, key, text, min_words).groupBy(F.col("id").alias("_id"), F.col("t").alias("_t"))
-    spans = spans.agg(F.collect_list(F.struct("start", "length")).alias("_spans"))
-    own = F.arrow_udf(_hashed, "long")(F.col(text).cast("string"))
-    docs = documents.withColumn("_own", own)
-    docs = docs.join(spans, docs[key].cast("long").eqNullSafe(spans["_id"]) & (docs["_own"] == spans["_t"]), "left")
-    cleaned = F.arrow_udf(_without, "string")(F.col(text), F.col("_spans.start"), F.col("_spans.length"))
-    return docs.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(cleaned)).select(*documents.columns)
+    spans = repeated_spans(documents, key, text, min_words).groupBy("id", "t").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    own = F.col(text).cast("string")
+    docs = documents.select(F.struct(*documents.columns).alias("row"), F.col(key).cast("long").alias("own_id"), own.alias("own"), F.arrow_udf(_hashed, "long")(own).alias("own_t"))
+    docs = docs.join(spans, docs["own_id"].eqNullSafe(spans["id"]) & (docs["own_t"] == spans["t"]), "left")
+    cleaned = F.arrow_udf(_without, "string")("own", F.col("spans.start"), F.col("spans.length"))
+    out = F.when(F.col("spans").isNull(), F.col("own")).otherwise(cleaned)
+    return docs.select(*((out if c == text else F.col("row")[c]).alias(c) for c in documents.columns))
