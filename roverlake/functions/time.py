@@ -52,18 +52,48 @@ def time_bucket(ts, interval: str) -> Column:
     return F.window(ts, f"{n} seconds", f"{n} seconds", f"{offset} seconds")["start"]
 
 
+# Fixed grammar of ISO 8601 texts: a calendar or week date, extended or basic, then
+# any one separator and a time, extended or basic, with an optional offset.
+_COMMON = r"^(?!0000)\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?(?:Z|[+-](?:0\d|1[0-7]):[0-5]\d)?)?$"
+_DATE = r"(\d{4})(?:-(\d{2})-(\d{2})|(\d{2})(\d{2})|-W(\d{2})(?:-(\d))?|W(\d{2})(\d)?)"
+_CLOCK = r"(?:(\d{2})(?::(\d{2})(?::(\d{2})(?:[.,](\d+))?)?)?|(\d{2})(\d{2})(?:(\d{2})(?:[.,](\d+))?)?)"
+_OFFSET = r"(?:(Z)|([+-])(\d{2})(?::(\d{2})(?::(\d{2}))?|(\d{2})(\d{2})?)?)?"
+_ISO = rf"^{_DATE}(?:[\s\S]{_CLOCK}{_OFFSET})?$"
+
+
 def parse_iso(s) -> Column:
     """``datetime.fromisoformat`` on text (F5): NULL when it does not parse.
 
-    Spark also accepts '2025', '2025-08' and 'T11:33'; the date guard rejects
-    those as the reference does. The compact form 20250827T113334 is added.
+    The common form is cast directly; any other text must match the whole grammar
+    and is put together from its fields (offsets of a day and more, week 53 of a
+    short year, leap seconds and the like are refused; fractions are cut to
+    microseconds).
     """
     s = as_col(s)
-    extended = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), s.try_cast("timestamp"))
-    compact = F.when(
-        s.rlike(r"^\d{8}T\d{6}$"), F.try_to_timestamp(s, F.lit("yyyyMMdd'T'HHmmss"))
-    )
-    return F.coalesce(extended, compact)
+
+    def number(*groups: int) -> Column:
+        """The first group that matched."""
+        return F.coalesce(*(F.nullif(F.regexp_extract(s, _ISO, g), F.lit("")) for g in groups))
+
+    def whole(*groups: int) -> Column:
+        return number(*groups).cast("int")
+
+    zero = F.lit(0)
+    year, week, day_of_week = whole(1), whole(6, 8), F.coalesce(whole(7, 9), F.lit(1))
+    monday = F.date_trunc("week", F.try_make_timestamp(year, F.lit(1), F.lit(4), zero, zero, zero)).cast("date")
+    weeks = F.weekofyear(F.make_date(year, F.lit(12), F.lit(28)))
+    week_ok = week.between(1, weeks) & day_of_week.between(1, 7)
+    date = F.when(week.isNotNull(), F.when(week_ok, F.date_add(monday, (week - 1) * 7 + day_of_week - 1)))
+    month, day = F.when(week.isNotNull(), F.month(date)).otherwise(whole(2, 4)), F.when(week.isNotNull(), F.day(date)).otherwise(whole(3, 5))
+    calendar_year = F.when(week.isNotNull(), F.year(date)).otherwise(year)
+    hour, minute, second = (F.coalesce(whole(*g), zero) for g in ((10, 14), (11, 15), (12, 16)))
+    part = F.coalesce(F.rpad(F.substring(number(13, 17), 1, 6), 6, "0").cast("long"), F.lit(0))
+    off_h, off_m, off_s = (F.coalesce(whole(*g), zero) for g in ((20,), (21, 23), (22, 24)))
+    offset = (off_h * 3600 + off_m * 60 + off_s) * F.when(F.regexp_extract(s, _ISO, 19) == "-", -1).otherwise(1)
+    sound = (year >= 1) & (second < 60) & (F.abs(offset) < 86400)
+    start = F.try_make_timestamp(calendar_year, month, day, hour, minute, second)
+    built = F.timestamp_micros(F.unix_micros(start) + part - offset.cast("long") * 1_000_000)
+    return F.when(s.rlike(_COMMON), s.try_cast("timestamp")).when(s.rlike(_ISO) & sound, built)
 
 
 def iso_format(ts) -> Column:

@@ -17,17 +17,19 @@ def _target(path: str, batch_id: int | None, part: str = "batch") -> str:
 
 
 def write_timeseries(rows: DataFrame, path: str, batch_id: int | None = None) -> None:
-    """Time-series table (S3, S9): partitioned by ``event_date`` (then by
-    ``batch`` for stream writes), rows sorted by ``robot_id, time`` inside each
-    file so Parquet min/max statistics act as the ``(robot_id, time DESC)``
-    index of the reference. A stream batch overwrites only its own
-    ``(event_date, batch)`` partitions (dynamic overwrite), so a repeated
-    batch replaces its files and other batches stay untouched."""
-    out = rows.withColumn("event_date", F.to_date("time")).sortWithinPartitions("robot_id", "time")
+    """Time-series table (S3, S9): partitioned by ``event_date`` (then by ``batch`` for
+    stream writes). Rows are ranged and sorted by date, robot and time, with the
+    partition columns first (the writer would otherwise sort again by them alone), so
+    that Parquet min/max statistics act as the ``(robot_id, time)`` index of the
+    reference: files and row groups hold narrow ranges of robots, and a busy
+    robot spreads over several. A stream batch overwrites only its own
+    ``(event_date, batch)`` partitions, so a repeated batch replaces its files."""
+    out = rows.withColumn("event_date", F.to_date("time"))
+    ranged = out.repartitionByRange("event_date", "robot_id", "time")
     if batch_id is None:
-        out.write.mode("overwrite").partitionBy("event_date").parquet(path)
+        ranged.sortWithinPartitions("event_date", "robot_id", "time").write.mode("overwrite").partitionBy("event_date").parquet(path)
         return
-    (out.withColumn("batch", F.lit(batch_id).cast("long"))
+    (ranged.withColumn("batch", F.lit(batch_id).cast("long")).sortWithinPartitions("event_date", "batch", "robot_id", "time")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("event_date", "batch").parquet(path))
 
@@ -59,11 +61,10 @@ def write_rejects(rejects: DataFrame, path: str, batch_id: int | None = None) ->
 STATUS_SLOTS = 2
 
 
-def write_status_version(snapshot: DataFrame, path: str, version: int) -> None:
-    """Status snapshot version (S6): one row per robot, written to slot
-    ``version % 2`` with its version number. Batch n reads slot (n-1) % 2 and
-    overwrites slot n % 2, so a repeated batch still finds its input, and only
-    two snapshots are ever kept. Readers take the highest version present (a
-    failed write leaves no data files in its slot)."""
+def write_status_version(snapshot: DataFrame, path: str, version: int, slot: int | None = None) -> None:
+    """Status snapshot version (S6): one row per robot, with its version number, in the
+    slot that its input does not lie in (``version % 2`` unless given). A repeated
+    batch still finds its input, and only two snapshots are ever kept. Readers take
+    the highest version present (a failed write leaves no data files in its slot)."""
     out = snapshot.withColumn("version", F.lit(version).cast("long"))
-    out.write.mode("overwrite").parquet(_target(path, version % STATUS_SLOTS, "slot"))
+    out.write.mode("overwrite").parquet(_target(path, version % STATUS_SLOTS if slot is None else slot, "slot"))

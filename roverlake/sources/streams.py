@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 # ---------------------------------------------------------------------------
 TELEMETRY_TOPIC = "robot-telemetry"
 STARTING_OFFSETS = "latest"
-ARRIVAL_EPOCH_MS = 1577836800000  # 2020-01-01T00:00:00Z, origin of the packed arrival sequence
 
 
 def kafka_messages(spark: SparkSession, brokers: str, topic: str = TELEMETRY_TOPIC,
@@ -22,7 +21,7 @@ def kafka_messages(spark: SparkSession, brokers: str, topic: str = TELEMETRY_TOP
                    min_partitions: int | None = None) -> DataFrame:
     """Telemetry topic as a stream (S1). Needs the Spark Kafka connector on the
     classpath. Arrival order across partitions is ``(timestamp, partition,
-    offset)``, folded into one sortable ``arrival_seq``.
+    offset)``, a sortable struct.
 
     ``minPartitions`` (default: the cluster's task slots) splits each batch's
     offset ranges into that many tasks without a shuffle, so JSON parsing
@@ -48,32 +47,25 @@ def kafka_messages(spark: SparkSession, brokers: str, topic: str = TELEMETRY_TOP
 
 
 def kafka_arrival_seq(ts: str, partition: str, offset: str):
-    """Arrival order ``(broker time, partition, offset)`` packed into one long:
-    39 bits of milliseconds since 2020-01-01 (until 2037), 9 bits of
-    partition, 15 bits of offset (exact while a partition receives fewer than
-    32768 records in one millisecond)."""
-    ms = F.unix_millis(F.col(ts)).cast("long") - F.lit(ARRIVAL_EPOCH_MS)
-    return (
-        ms * F.lit(1 << 24)
-        + (F.col(partition).cast("long") % 512) * F.lit(1 << 15)
-        + F.col(offset).cast("long") % (1 << 15)
-    )
+    """Arrival order (broker time, partition, offset), as a struct: it compares field
+    by field, so no partition number, offset or date can overflow into another."""
+    return F.struct(F.col(ts).alias("at"), F.col(partition).cast("int").alias("partition"), F.col(offset).cast("long").alias("offset"))
 
 
 def landing_messages(spark: SparkSession, path: str, streaming: bool = True, max_files_per_trigger: int | None = None) -> DataFrame:
     """JSON-lines landing folder, one message per line (stream or batch).
 
-    A stream yields ``raw`` and ``received_at`` (the file's modification
-    time); the ingest job assigns ``arrival_seq`` per micro-batch as
-    ``(batch id, row id)``, since row ids are not available on a stream. The
-    batch form carries ``(file modification time, file, row id)``.
+    A stream yields ``raw``, ``received_at`` (the file's modification time) and
+    the ``landed`` place (file, block); the ingest job makes the arrival order
+    from them per micro-batch, since row numbers are not available on a stream.
+    The batch form carries ``(file modification time, file, block, row)``.
     """
     if streaming:
         reader = spark.readStream.format("text")
         if max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
         df = reader.load(path)
-        return df.select(F.col("value").alias("raw"), F.col("_metadata.file_modification_time").alias("received_at"))
+        return df.select(F.col("value").alias("raw"), F.col("_metadata.file_modification_time").alias("received_at"), landed())
     df = spark.read.text(path)
     return df.select(
         F.col("value").alias("raw"),
@@ -82,29 +74,33 @@ def landing_messages(spark: SparkSession, path: str, streaming: bool = True, max
     )
 
 
-def landing_arrival():
-    """Arrival order of a landed line in a batch read: (file modification
-    time, file path, row id)."""
-    return F.struct(
-        F.col("_metadata.file_modification_time").alias("landed_at"),
-        F.col("_metadata.file_path").alias("file"),
-        F.monotonically_increasing_id().alias("row"),
-    )
+def landed():
+    """Where a landed line comes from: file time, file, and block of the file."""
+    m = F.col("_metadata")
+    return F.struct(m["file_modification_time"].alias("at"), m["file_path"].alias("file"), m["file_block_start"].alias("block")).alias("landed")
+
 
+def landing_arrival(place=None):
+    """Arrival order of a landed line: (file time, file, block, row). The row number
+    only compares lines of one block, which one task reads in order."""
+    place = landed() if place is None else place
+    return F.struct(place["at"].alias("at"), place["file"].alias("file"), place["block"].alias("block"), F.monotonically_increasing_id().alias("row"))
 
-def http_landing(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+
+def http_landing(spark: SparkSession, path: str, streaming: bool = False, max_files_per_trigger: int | None = None) -> DataFrame:
     """Gateway POST bodies landed as ``<path>/<robot_id>/<file>.jsonl`` (S2):
     the robot id comes from the folder name, as it came from the URL. The
     batch form carries ``arrival_seq``; a stream gets it in ``foreachBatch``."""
     reader = (spark.readStream if streaming else spark.read).format("text").option("recursiveFileLookup", "true")
+    if streaming and max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     df = reader.load(path)
     cols = [
         F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1).alias("robot_id"),
         F.col("_metadata.file_modification_time").alias("received_at"),
         F.col("value").alias("body"),
     ]
-    if not streaming:
-        cols.append(landing_arrival().alias("arrival_seq"))
+    cols.append(landed() if streaming else landing_arrival().alias("arrival_seq"))
     return df.select(*cols)
 
 

@@ -5,6 +5,12 @@ sink paths carry the batch id and are written with overwrite, so a batch
 that Spark repeats after a failure rewrites the same files (exactly-once
 output over several sinks without a transactional table format).
 
+A batch's number is ``run * 2^40 + Spark's batch id``. A run belongs to one
+checkpoint (the stream id in its metadata) and is noted under ``runs``; a
+checkpoint that ``out`` does not know would count its batches from 0 again, over
+data that is stored, so it is refused unless ``new_run`` allows the next run, whose
+numbers follow all earlier ones.
+
 Layout under ``out``::
 
     timeseries/event_date=<d>/batch=<id>/   time-series rows (S3), dynamic partition overwrite
@@ -12,12 +18,15 @@ Layout under ``out``::
     objects_current/slot=<0|1>/             compacted objects with the last batch folded in
     topics/batch=<id>/topic=<t>/            forwarded records (S5)
     rejects/batch=<id>/                     dead letters with reason
-    status/slot=<id % 2>/                   status snapshot after batch <id>, with its version (S6, W2)
+    status/slot=<0|1>/                      status snapshot after batch <id>, with its version (S6, W2)
+    runs/                                   run number of each stream id
     counts/batch=<id>/                      processed counter per type (A2)
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,53 +36,104 @@ from roverlake.operators import envelope as env
 from roverlake.operators import route as rt
 from roverlake.operators import status as st
 from roverlake.sources import sinks as sk
+from roverlake.sources.streams import landing_arrival
 from roverlake.sources.tables import spread
 
 
-def previous_status(spark: SparkSession, out: str, batch_id: int) -> DataFrame | None:
-    """Snapshot written by the previous batch (batch ids are consecutive)."""
-    if batch_id <= 0:
-        return None
-    prev = batch_id - 1
+RUN_BATCHES = 1 << 40
+
+
+def run_number(spark: SparkSession, out: str, checkpoint: str, new_run: bool = False) -> int:
+    """Run of the checkpoint's stream in ``out``; noted if it is the first one, or if a
+    new one is allowed."""
+    stream = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
     try:
-        slot = spark.read.parquet(f"{out}/status/slot={prev % sk.STATUS_SLOTS}")
+        runs = {r["stream"]: r["run"] for r in spark.read.parquet(f"{out}/runs").collect()}  # a row for each start on a new checkpoint
     except AnalysisException:
-        return None
-    return slot.where(F.col("version") == prev).drop("version")
+        runs = {}
+    if stream in runs:
+        return runs[stream]
+    if runs and not new_run:
+        raise ValueError(f"{out} holds the output of another checkpoint; a new run must be asked for (new_run)")
+    run = max(runs.values(), default=-1) + 1
+    spark.createDataFrame([(stream, run)], "stream string, run long").write.mode("append").parquet(f"{out}/runs")
+    return run
+
+
+def _status_before(spark: SparkSession, out: str, batch_id: int) -> tuple[DataFrame | None, int]:
+    """Newest snapshot of an earlier batch, and its slot (-1: none)."""
+    try:
+        slots = spark.read.parquet(f"{out}/status").where(F.col("version") < batch_id)
+    except AnalysisException:
+        return None, -1
+    newest = slots.agg(F.max(F.struct("version", "slot")).alias("m")).select("m.*").first()
+    if newest["version"] is None:
+        return None, -1
+    before = spark.read.parquet(f"{out}/status/slot={newest['slot']}").where(F.col("version") == newest["version"]).drop("version")
+    return before, newest["slot"]
 
 
-def ingest_batch(batch: DataFrame, batch_id: int, out: str, status_order: str = "arrival") -> None:
+def previous_status(spark: SparkSession, out: str, batch_id: int) -> DataFrame | None:
+    """Snapshot that the batch builds on."""
+    return _status_before(spark, out, batch_id)[0]
+
+
+def _arrived(batch: DataFrame, batch_id: int) -> DataFrame:
+    """Adds the arrival order of sources without one: the batch, then the place of the
+    line in the landed files (or the row, if there is no place)."""
+    if "arrival_seq" in batch.columns:
+        return batch
+    number = F.lit(batch_id).cast("long").alias("batch")
+    if "landed" in batch.columns:
+        return batch.withColumn("arrival_seq", F.struct(number, landing_arrival(F.col("landed")).alias("line"))).drop("landed")
+    return batch.withColumn("arrival_seq", F.struct(number, F.monotonically_increasing_id().alias("row")))
+
+
+def ingest_batch(batch: DataFrame, batch_id: int, out: str, status_order: str = "arrival",
+                 brokers: str | None = None, spread_rows: bool = False) -> None:
+    """Store one micro-batch of raw messages, or of HTTP bodies (column ``body``, with
+    the robot id from the path). With ``brokers`` accepted messages are forwarded to
+    Kafka topics, else to files. ``spread_rows`` deals rows of few input splits to all
+    task slots before parsing (one more shuffle of the raw messages)."""
     spark = batch.sparkSession
-    if "arrival_seq" not in batch.columns:
-        # sources without a global order (landing folders): batch id, then row id
-        batch = batch.withColumn(
-            "arrival_seq", F.struct(F.lit(batch_id).cast("long").alias("batch"), F.monotonically_increasing_id().alias("row"))
-        )
-    parsed = env.parse_envelope(spread(batch)).persist(StorageLevel.MEMORY_AND_DISK)
+    batch = _arrived(batch, batch_id)
+    batch = spread(batch) if spread_rows else batch
+    parsed = env.http_envelope(batch).withColumnRenamed("body", "raw") if "body" in batch.columns else env.parse_envelope(batch)
+    parsed = parsed.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         acc = env.accepted(parsed)
         sk.write_timeseries(rt.timeseries_rows(acc), f"{out}/timeseries", batch_id)
         sk.write_objects(rt.blob_rows(acc), f"{out}/objects", batch_id)
-        sk.write_topics_files(rt.topic_rows(acc), f"{out}/topics", batch_id)
+        if brokers:
+            sk.write_topics_kafka(rt.topic_rows(acc), brokers)
+        else:
+            sk.write_topics_files(rt.topic_rows(acc), f"{out}/topics", batch_id)
         sk.write_rejects(env.rejected(parsed).select("raw", "arrival_seq", "received_at", "reject_reason"),
                          f"{out}/rejects", batch_id)
         rt.processed_by_type(acc).write.mode("overwrite").parquet(f"{out}/counts/batch={batch_id}")
         rows = st.status_rows(acc.where(F.col("data_type") == "status")
                               .withColumn("time", F.col("ts").cast("timestamp_ntz")))
-        snap = st.upsert_status(rows, previous_status(spark, out, batch_id), order=status_order)
-        sk.write_status_version(snap, f"{out}/status", batch_id)
+        before, slot = _status_before(spark, out, batch_id)
+        snap = st.upsert_status(rows, before, order=status_order)
+        sk.write_status_version(snap, f"{out}/status", batch_id, 0 if slot == 1 else 1)
     finally:
         parsed.unpersist()
 
 
-def start_ingest(messages: DataFrame, out: str, checkpoint: str, trigger: dict | None = None, status_order: str = "arrival"):
-    """Start the ingest query on a raw-message stream; returns the StreamingQuery."""
-    writer = (
-        messages.writeStream.option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda df, bid: ingest_batch(df, bid, out, status_order))
-    )
-    writer = writer.trigger(**(trigger or {"availableNow": True}))
-    return writer.start()
+def start_ingest(messages: DataFrame, out: str, checkpoint: str, trigger: dict | None = None, status_order: str = "arrival",
+                 new_run: bool = False, brokers: str | None = None, spread_rows: bool = False):
+    """Start the ingest query on a raw-message or HTTP-body stream; returns the
+    StreamingQuery. It fails before the first write if ``out`` belongs to another
+    checkpoint and ``new_run`` is not set."""
+    run: list[int] = []
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        if not run:
+            run.append(run_number(batch.sparkSession, out, checkpoint, new_run))
+        ingest_batch(batch, run[0] * RUN_BATCHES + batch_id, out, status_order, brokers, spread_rows)
+
+    writer = messages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(store)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def read_timeseries(spark: SparkSession, out: str) -> DataFrame:
@@ -89,10 +149,9 @@ def _current_objects(spark: SparkSession, out: str) -> tuple[DataFrame | None, i
         cur = spark.read.parquet(f"{out}/objects_current")
     except AnalysisException:
         return None, -1, -1
-    newest = cur.orderBy(F.desc("version")).select("version", "slot").first()
-    if newest is None:
+    version, slot = cur.agg(F.max(F.struct("version", "slot")).alias("m")).select("m.*").first()
+    if version is None:
         return None, -1, -1
-    version, slot = newest
     return cur.where((F.col("slot") == slot) & (F.col("version") == version)).select(*OBJECT_COLUMNS), version, slot
 
 
@@ -151,7 +210,7 @@ def main(argv: list[str] | None = None) -> None:
     from roverlake.sources import streams
 
     p = argparse.ArgumentParser(prog="roverlake.streaming.ingest")
-    p.add_argument("--source", choices=("kafka", "landing"), required=True)
+    p.add_argument("--source", choices=("kafka", "landing", "http-landing"), required=True)
     p.add_argument("--brokers")
     p.add_argument("--topic", default=streams.TELEMETRY_TOPIC)
     p.add_argument("--landing")
@@ -159,6 +218,9 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--checkpoint")
     p.add_argument("--trigger", default="10 seconds")
     p.add_argument("--max-per-trigger", type=int)
+    p.add_argument("--topics", choices=("kafka", "files"), default="files", help="where accepted messages are forwarded to (kafka: --brokers)")
+    p.add_argument("--new-run", action="store_true", help="go on in --out with a checkpoint it does not know")
+    p.add_argument("--spread", action="store_true", help="deal the rows of few input splits to all task slots")
     p.add_argument("--status-order", choices=("arrival", "event_time"), default="arrival")
     args = p.parse_args(argv)
 
@@ -169,11 +231,17 @@ def main(argv: list[str] | None = None) -> None:
         messages = streams.kafka_messages(spark, args.brokers, args.topic, max_offsets_per_trigger=args.max_per_trigger)
     else:
         if not args.landing:
-            p.error("--landing is required for --source landing")
-        messages = streams.landing_messages(spark, args.landing, max_files_per_trigger=args.max_per_trigger)
+            p.error("--landing is required for landed sources")
+        if args.source == "landing":
+            messages = streams.landing_messages(spark, args.landing, max_files_per_trigger=args.max_per_trigger)
+        else:
+            messages = streams.http_landing(spark, args.landing, streaming=True, max_files_per_trigger=args.max_per_trigger)
+    if args.topics == "kafka" and not args.brokers:
+        p.error("--brokers is required for --topics kafka")
     ckpt = args.checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/roverlake-ingest"
     trigger = {"availableNow": True} if args.trigger == "available-now" else {"processingTime": args.trigger}
-    start_ingest(messages, args.out, ckpt, trigger, args.status_order).awaitTermination()
+    brokers = args.brokers if args.topics == "kafka" else None
+    start_ingest(messages, args.out, ckpt, trigger, args.status_order, args.new_run, brokers, args.spread).awaitTermination()
 
 
 if __name__ == "__main__":

@@ -51,6 +51,23 @@ def test_parse_iso_forms(spark):
     assert got == cases
 
 
+def test_parse_iso_agrees_with_fromisoformat(spark):
+    dates = ["2025-08-27", "20250827", "2025-W35-3", "2025W353", "2025-W35", "2025W35", "2025-8-27", "2025-13-01", "2025-02-29", "2024-02-29", "2020-W53-7", "2021-W53-1", "0000-01-01", "2025", "2025-08", "202508"]
+    times = ["", "T1:2:3", "T11", "T11:33", "T1133", "T113334", "T11:33:34", " 11:33:34", "x11:33:34", "\n11:33", "T11:33:34.5", "T11:33:34,5", "T11:33:34.1234567", "T113334.123", "T11:33:34.", "T", "T24:00", "T11:60", "T11:33:60", "T11:3334"]
+    zones = ["", "Z", "z", " UTC", " Europe/Berlin", "+5", "+05", "+0530", "+05:30", "-05:30:15", "+19:00", "+24:00", "-00:60", "Z ", " "]
+    texts = [d + t + z for d in dates for t in times for z in (zones if t not in ("", "T") else ("", " ", "Z"))] + ["", " 2025-08-27", "T11:33", "now", None]
+    def python(text):
+        try:
+            t = dt.datetime.fromisoformat(text)
+        except (ValueError, TypeError):
+            return None
+        return t if t.tzinfo is None else t.astimezone(dt.timezone.utc).replace(tzinfo=None)
+    df = spark.createDataFrame([(x,) for x in texts], "s string")
+    got = {r.s: r.t for r in df.select("s", parse_iso("s").cast("timestamp_ntz").alias("t")).collect()}
+    wrong = {x: (got[x], python(x)) for x in texts if got[x] != python(x)}
+    assert not wrong
+
+
 def test_iso_format_drops_zero_fraction(spark):
     df = spark.createDataFrame([(dt.datetime(2025, 1, 2, 3, 4, 5),), (dt.datetime(2025, 1, 2, 3, 4, 5, 120),)],
                                "t timestamp_ntz")

@@ -113,14 +113,80 @@ def test_http_landing_folder_robot_from_path(spark, tmpdir_path):
     assert msgs.count() == 2 and set(msgs.columns) == {"raw", "arrival_seq", "received_at"}
 
 
-def test_kafka_arrival_sequence_orders_time_partition_offset(spark):
+def test_kafka_arrival_orders_time_partition_offset(spark):
     import datetime as dt
 
-    t = dt.datetime(2031, 5, 1, 12, 0, 0)
-    rows = [(t, 3, 10), (t, 3, 11), (t, 4, 0), (t + dt.timedelta(milliseconds=1), 0, 5)]
+    t = dt.datetime(2041, 5, 1, 12, 0, 0)
+    rows = [(t, 0, 32767), (t, 0, 32768), (t, 3, 10), (t, 512, 0), (t, 513, 1 << 50), (t + dt.timedelta(microseconds=1), 0, 5)]
     df = spark.createDataFrame(rows, "timestamp timestamp, partition int, offset long")
-    seqs = [r.s for r in df.select(srcs.kafka_arrival_seq("timestamp", "partition", "offset").alias("s")).collect()]
-    assert seqs == sorted(seqs) and len(set(seqs)) == 4 and all(s > 0 for s in seqs)
+    got = df.orderBy(srcs.kafka_arrival_seq("timestamp", "partition", "offset")).collect()
+    assert [tuple(r) for r in got] == rows
+
+
+STATUS = '{"robot_id":"%s","data_type":"status","timestamp":"2025-01-01T00:00:00","data":{"status":"%s"}}\n'
+
+
+def test_two_files_in_one_batch_arrive_in_file_order(spark, tmpdir_path):
+    """The older file is the smaller one, which Spark would read last."""
+    land = f"{tmpdir_path}/land"
+    os.makedirs(land)
+    for name, word, n, at in (("b.jsonl", "online", 1, 1_700_000_000), ("a.jsonl", "charging", 40, 1_700_000_100)):
+        with open(f"{land}/{name}", "w") as fh:
+            fh.write(STATUS % ("r1", word) * n)
+        os.utime(f"{land}/{name}", (at, at))
+    ing.start_ingest(srcs.landing_messages(spark, land), f"{tmpdir_path}/out", f"{tmpdir_path}/c").awaitTermination()
+    assert [(r.robot_id, r.status) for r in ing.read_status(spark, f"{tmpdir_path}/out").collect()] == [("r1", "charging")]
+
+
+def test_a_new_checkpoint_does_not_overwrite_stored_data(spark, tmpdir_path):
+    land, out = f"{tmpdir_path}/land", f"{tmpdir_path}/out"
+    os.makedirs(land)
+    msg = '{"robot_id":"%s","timestamp":"2025-01-01T00:00:00","data":{"battery":1}}\n'
+    with open(f"{land}/a.jsonl", "w") as fh:
+        fh.write(STATUS % ("r1", "online") + msg % "r1")
+    ing.start_ingest(srcs.landing_messages(spark, land), out, f"{tmpdir_path}/c1").awaitTermination()
+    other = f"{tmpdir_path}/other"
+    os.makedirs(other)
+    with open(f"{other}/b.jsonl", "w") as fh:
+        fh.write(STATUS % ("r9", "error") + msg % "r9")
+    with pytest.raises(Exception, match="new run must be asked for"):
+        ing.start_ingest(srcs.landing_messages(spark, other), out, f"{tmpdir_path}/c2").awaitTermination()
+    assert ing.read_timeseries(spark, out).count() == 2
+    for _ in range(2):  # the second start finds its own run again
+        ing.start_ingest(srcs.landing_messages(spark, other), out, f"{tmpdir_path}/c2", new_run=True).awaitTermination()
+    assert ing.read_timeseries(spark, out).count() == 4
+    assert sorted((r.robot_id, r.status) for r in ing.read_status(spark, out).collect()) == [("r1", "online"), ("r9", "error")]
+
+
+def test_http_bodies_are_ingested(spark, tmpdir_path):
+    for robot in ("robot-1", "robot-2"):
+        os.makedirs(f"{tmpdir_path}/land/{robot}")
+        with open(f"{tmpdir_path}/land/{robot}/p.jsonl", "w") as fh:
+            fh.write('{"data":{"battery":50}}\n{"data_type":"status","timestamp":"2025-01-01T00:00:00","data":{"status":"online"}}\n[1]\n')
+    out = f"{tmpdir_path}/out"
+    ing.main(["--source", "http-landing", "--landing", f"{tmpdir_path}/land", "--out", out, "--checkpoint", f"{tmpdir_path}/c", "--trigger", "available-now", "--spread"])
+    rows = ing.read_timeseries(spark, out).collect()
+    assert sorted((r.robot_id, r.data_type) for r in rows) == [(f"robot-{i}", t) for i in (1, 2) for t in ("status", "telemetry")]
+    assert all(r.time is not None for r in rows)
+    assert sorted(r.robot_id for r in ing.read_status(spark, out).collect()) == ["robot-1", "robot-2"]
+    assert spark.read.parquet(f"{out}/rejects").select("raw", "reject_reason").distinct().collect()[0][:] == ("[1]", "not_object")
+
+
+def test_timeseries_files_are_sorted_and_hold_ranges(spark, tmpdir_path):
+    import glob
+
+    rows = rt.timeseries_rows(env.accepted(env.parse_envelope(ad.envelope_raw(spark, SF_SMALL))))
+    from roverlake.sources import sinks
+
+    sinks.write_timeseries(rows, f"{tmpdir_path}/a")
+    sinks.write_timeseries(rows, f"{tmpdir_path}/b", 3)
+    for where in "ab":
+        files = glob.glob(f"{tmpdir_path}/{where}/**/*.parquet", recursive=True)
+        tables = [pq.read_table(f, columns=["robot_id", "time"], partitioning=None) for f in files]
+        for t in tables:
+            keys = list(zip(t["robot_id"].to_pylist(), t["time"].to_pylist(), strict=True))
+            assert keys == sorted(keys)
+        assert sum(t.num_rows for t in tables) == rows.count()
 
 
 def test_landing_stream_last_arrival_wins_across_batches(spark, tmpdir_path):
