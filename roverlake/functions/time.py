@@ -56,7 +56,7 @@ def time_bucket(ts, interval: str) -> Column:
 # any one separator and a time, extended or basic, with an optional offset.
 _COMMON = r"^(?!0000)\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?(?:Z|[+-](?:0\d|1[0-7]):[0-5]\d)?)?$"
 _DATE = r"(\d{4})(?:-(\d{2})-(\d{2})|(\d{2})(\d{2})|-W(\d{2})(?:-(\d))?|W(\d{2})(\d)?)"
-_CLOCK = r"(?:(\d{2})(?::(\d{2})(?::(\d{2})(?:[.,](\d+))?)?)?|(\d{2})(\d{2})(?:(\d{2})(?:[.,](\d+))?)?)"
+_CLOCK = r"(?:(\d{2})(?::(\d{2})(?::(\d{2})(?:[.,](\d+|(?=[Z+-])))?)?)?|(\d{2})(\d{2})(?:(\d{2})(?:[.,](\d+|(?=[Z+-])))?)?)"
 _OFFSET = r"(?:(Z)|([+-])(\d{2})(?::(\d{2})(?::(\d{2}))?|(\d{2})(\d{2})?)?)?"
 _ISO = rf"^{_DATE}(?:[\s\S]{_CLOCK}{_OFFSET})?$"
 
