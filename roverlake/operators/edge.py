@@ -174,9 +174,9 @@ def deployments(log: DataFrame, as_of) -> DataFrame:
     return t.withColumn("status", F.when(done, F.lit("deployed")).otherwise(F.lit("deploying")))
 
 
-def deployment_status(deps: DataFrame, deployment: str) -> DataFrame:
+def deployment_status(deps: DataFrame, deployment: str | Column) -> DataFrame:
     """Lookup of one deployment (P13); a miss is an empty result."""
-    return deps.where(F.col("deployment_id") == F.lit(deployment))
+    return deps.where(F.col("deployment_id") == (deployment if isinstance(deployment, Column) else F.lit(deployment)))
 
 
 def health(nodes: DataFrame, deps: DataFrame, as_of) -> DataFrame:

@@ -32,6 +32,10 @@ ORACLE: dict[str, str] = {
 SELECT robot_id, time, sensor_id, data_type, value, metadata, arrival_seq
 FROM telemetry
 WHERE time BETWEEN (SELECT min(time) FROM telemetry) AND (SELECT max(time) FROM telemetry)""",
+    "history_one_robot": with_views("telemetry") + """
+SELECT robot_id, time, sensor_id, data_type, value, metadata, arrival_seq
+FROM telemetry
+WHERE robot_id = 'robot-7' AND time BETWEEN TIMESTAMP '2024-01-08 00:00:00' AND TIMESTAMP '2024-01-21 12:00:00'""",
     "telemetry_history_typed": with_views("telemetry") + """
 SELECT robot_id, time, sensor_id, data_type, value, metadata, arrival_seq
 FROM telemetry
@@ -260,6 +264,11 @@ SELECT deployment_id, model_id, version, node_id, deployed_at, seq,
        CASE WHEN (SELECT as_of FROM edge_asof) >= deployed_at + INTERVAL 5 SECOND THEN 'deployed'
             ELSE 'deploying' END AS status
 FROM edge_deployments""",
+    "deployment_lookup": _EDGE + """
+SELECT deployment_id, model_id, version, node_id, deployed_at, seq,
+       CASE WHEN (SELECT as_of FROM edge_asof) >= deployed_at + INTERVAL 5 SECOND THEN 'deployed'
+            ELSE 'deploying' END AS status
+FROM edge_deployments WHERE deployment_id = (SELECT min(deployment_id) FROM edge_deployments)""",
     "edge_health": _EDGE + """
 SELECT count(*) AS nodes_total,
        count(*) FILTER (WHERE last_seen > (SELECT as_of FROM edge_asof) - INTERVAL 5 MINUTE) AS nodes_active,
@@ -274,7 +283,7 @@ SELECT node_id, seq, ts AS registered_at, ts + INTERVAL 5 MINUTE AS expires_at,
 FROM r""",
     "live_registrations": _EDGE + """
 SELECT node_id, arg_max(ts, seq) AS registered_at FROM edge_log WHERE kind = 'register' GROUP BY 1
-HAVING arg_max(ts, seq) > (SELECT as_of FROM edge_asof) - INTERVAL 5 MINUTE""",
+HAVING arg_max(ts, seq) > (SELECT max(ts) FROM edge_log WHERE kind = 'register') - INTERVAL 5 MINUTE""",
     "node_offline_intervals": _EDGE + """,
 nx AS (SELECT node_id, ts, lead(ts) OVER (PARTITION BY node_id ORDER BY ts, seq) AS next_ts FROM edge_signals)
 SELECT node_id, ts AS last_seen, ts + INTERVAL 5 MINUTE AS offline_from, next_ts AS offline_until
@@ -301,6 +310,7 @@ SELECT command_id, robot_id,
 FROM c"""
 
 ORACLE["stream_route_counts"] = ORACLE["route_counts"]
+ORACLE["stream_ingest_rows"] = ORACLE["route_timeseries"]
 ORACLE["stream_status_upsert"] = ORACLE["status_upsert"].replace("SELECT * FROM snapshot", "SELECT robot_id, last_seen, status, battery_level, location, active_mission, arrival_seq FROM snapshot")
 # closed intervals and those still open when the input ends
 ORACLE["stream_node_offline"] = ORACLE["node_offline_intervals"]

@@ -83,6 +83,16 @@ def telemetry_history(spark, sf_dir):
     return _history(spark, sf_dir)
 
 
+HISTORY_ROBOT, HISTORY_FROM, HISTORY_TO = "robot-7", "2024-01-08 00:00:00", "2024-01-21 12:00:00"
+
+
+@query("history_one_robot")
+def history_one_robot(spark, sf_dir):
+    """One robot (P4) in a closed range inside the data (P5), newest first."""
+    bounds = [F.lit(t).cast("timestamp_ntz") for t in (HISTORY_FROM, HISTORY_TO)]
+    return tel.query_telemetry(ad.telemetry(spark, sf_dir), *bounds, robot_id=HISTORY_ROBOT)
+
+
 @query("telemetry_history_typed")
 def telemetry_history_typed(spark, sf_dir):
     return _history(spark, sf_dir, "status")
@@ -356,6 +366,14 @@ def deployment_status(spark, sf_dir):
     return edge.deployments(log, as_of)
 
 
+@query("deployment_lookup")
+def deployment_lookup(spark, sf_dir):
+    """One deployment by id (P13): the first in id order."""
+    log, _, as_of = _edge(spark, sf_dir)
+    deps = edge.deployments(log, as_of)
+    return edge.deployment_status(deps, deps.agg(F.min("deployment_id")).scalar())
+
+
 @query("edge_health")
 def edge_health(spark, sf_dir):
     log, _, as_of = _edge(spark, sf_dir)
@@ -364,8 +382,8 @@ def edge_health(spark, sf_dir):
 
 @query("live_registrations")
 def live_registrations(spark, sf_dir):
-    log, _, as_of = _edge(spark, sf_dir)
-    return edge.live_registrations(log, as_of)
+    log = ad.edge_log(spark, sf_dir)
+    return edge.live_registrations(log, log.where(F.col("kind") == "register").agg(F.max("ts")).scalar())
 
 
 @query("registration_cache")
@@ -435,6 +453,13 @@ def stream_route_counts(spark, sf_dir):
     return ts.unionByName(blobs).unionByName(rej).unionByName(fwd).where(F.col("messages") > 0)
 
 
+@query("stream_ingest_rows")
+def stream_ingest_rows(spark, sf_dir):
+    """The stored time-series rows of the ingest job, field by field."""
+    stored = ing.read_timeseries(spark, _run_ingest(spark, sf_dir))
+    return stored.select("time", "robot_id", "sensor_id", "data_type", "value", "metadata", "arrival_seq")
+
+
 @query("stream_status_upsert")
 def stream_status_upsert(spark, sf_dir):
     base = _scratch(spark, "status")

@@ -18,8 +18,9 @@ VIEWS = {
          props AS value, '{{}}' AS metadata
   FROM events)""",
     "robots": """robots AS (
-  SELECT 'robot-' || CAST(c_custkey AS VARCHAR) AS robot_id, c_name AS name, c_mktsegment AS type
-  FROM customer WHERE c_acctbal >= 0)""",
+  SELECT CASE WHEN c_acctbal < 0 THEN 'spare-' ELSE 'robot-' END || CAST(c_custkey AS VARCHAR) AS robot_id,
+         c_name AS name, c_mktsegment AS type
+  FROM customer)""",
     "envelope_raw": f"""envelope_raw AS (
   SELECT CASE event_id % 16 WHEN 11 THEN '[1,2]' WHEN 12 THEN '{{bad' ELSE
     '{{' || concat_ws(',',
@@ -131,9 +132,9 @@ VIEWS["channel_readings"] = f"""channel_readings AS (
 VIEWS["edge_log"] = f"""edge_log AS (
   SELECT CASE event_type WHEN 'signup' THEN 'register' WHEN 'purchase' THEN 'deploy' ELSE 'heartbeat' END AS kind,
          'node-' || CAST(user_id AS VARCHAR) AS node_id, event_id AS seq, ts,
-         'active' AS status, least(value, 100.0) AS cpu, CAST({_K} AS DOUBLE) AS mem,
+         CASE event_type WHEN 'error' THEN 'degraded' ELSE 'active' END AS status, least(value, 100.0) AS cpu, CAST({_K} AS DOUBLE) AS mem,
          'model-' || CAST(event_id % 9 AS VARCHAR) AS model_id, '1.0' AS version
-  FROM events WHERE event_type <> 'error'),
+  FROM events),
 edge_decided AS (
   SELECT *, CAST(sum(CASE WHEN kind = 'register' THEN 1 ELSE 0 END)
               OVER (PARTITION BY node_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS epoch

@@ -39,7 +39,7 @@ EVENT_TYPE_TO_DATA_TYPE = {
 }
 ENVELOPE_TYPES = ("telemetry", "sensor_image", "point_cloud", "imu", "odometry", "diagnostics", "command", "status")
 STATUS_CYCLE = ("online", "offline", "error", "charging", "maintenance")
-EDGE_KIND = {"signup": "register", "view": "heartbeat", "click": "heartbeat", "purchase": "deploy"}
+EDGE_KIND = {"signup": "register", "view": "heartbeat", "click": "heartbeat", "error": "heartbeat", "purchase": "deploy"}
 PERMUTATION_PRIME = 7919
 PERMUTATION_BLOCK = 100003
 
@@ -83,13 +83,14 @@ def telemetry(spark, sf_dir) -> DataFrame:
 
 
 def robots(spark, sf_dir) -> DataFrame:
-    """Robot registry from customers. Accounts in debt (negative balance)
-    stand for decommissioned robots and are not in the registry, so some
-    telemetry has no robot; customers without events are robots without
+    """Robot registry from customers. Accounts in debt (negative balance) stand
+    for robots that were registered anew under a spare id, so the telemetry under
+    their old id has no robot; customers without events are robots without
     telemetry."""
     c = load(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment", "c_acctbal")
-    return c.where(F.col("c_acctbal") >= 0).select(
-        robot_id("c_custkey").alias("robot_id"),
+    spare = F.concat(F.lit("spare-"), F.col("c_custkey").cast("string"))
+    return c.select(
+        F.when(F.col("c_acctbal") < 0, spare).otherwise(robot_id("c_custkey")).alias("robot_id"),
         F.col("c_name").alias("name"),
         F.col("c_mktsegment").alias("type"),
     )
@@ -179,14 +180,14 @@ def edge_log(spark, sf_dir) -> DataFrame:
 
 
 def edge_log_of(e: DataFrame) -> DataFrame:
-    """Edge controller requests: registers, heartbeats, deploy requests."""
-    e = e.where(F.col("event_type") != "error")
+    """Edge controller requests: registers, heartbeats (error events report a
+    degraded node), deploy requests."""
     return e.select(
         _map(F.col("event_type"), EDGE_KIND).alias("kind"),
         F.concat(F.lit("node-"), F.col("user_id").cast("string")).alias("node_id"),
         F.col("event_id").alias("seq"),
         F.col("ts").alias("ts"),
-        F.lit("active").alias("status"),
+        F.when(F.col("event_type") == "error", "degraded").otherwise("active").alias("status"),
         F.least(F.col("value"), F.lit(100.0)).alias("cpu"),
         _k().cast("double").alias("mem"),
         F.concat(F.lit("model-"), (F.col("event_id") % 9).cast("string")).alias("model_id"),
