@@ -70,10 +70,19 @@ def parse_iso(s) -> Column:
     microseconds).
     """
     s = as_col(s)
+    # The fields of an uncommon text, in one pass; built inside a lambda, so that the
+    # common path's generated code stays small.
+    fields = F.split(F.regexp_replace(s, _ISO, "|".join(f"${g}" for g in range(1, 25))), r"\|")
+    built = F.transform(F.array(fields), _from_fields)[0]
+    return F.when(s.rlike(_COMMON), s.try_cast("timestamp")).when(s.rlike(_ISO), built)
+
+
+def _from_fields(fields: Column) -> Column:
+    """Time of the grammar's 24 groups; NULL if they are no time."""
 
     def number(*groups: int) -> Column:
         """The first group that matched."""
-        return F.coalesce(*(F.nullif(F.regexp_extract(s, _ISO, g), F.lit("")) for g in groups))
+        return F.coalesce(*(F.nullif(fields[g - 1], F.lit("")) for g in groups))
 
     def whole(*groups: int) -> Column:
         return number(*groups).cast("int")
@@ -89,11 +98,10 @@ def parse_iso(s) -> Column:
     hour, minute, second = (F.coalesce(whole(*g), zero) for g in ((10, 14), (11, 15), (12, 16)))
     part = F.coalesce(F.rpad(F.substring(number(13, 17), 1, 6), 6, "0").cast("long"), F.lit(0))
     off_h, off_m, off_s = (F.coalesce(whole(*g), zero) for g in ((20,), (21, 23), (22, 24)))
-    offset = (off_h * 3600 + off_m * 60 + off_s) * F.when(F.regexp_extract(s, _ISO, 19) == "-", -1).otherwise(1)
+    offset = (off_h * 3600 + off_m * 60 + off_s) * F.when(fields[18] == "-", -1).otherwise(1)
     sound = (year >= 1) & (second < 60) & (F.abs(offset) < 86400)
     start = F.try_make_timestamp(calendar_year, month, day, hour, minute, second)
-    built = F.timestamp_micros(F.unix_micros(start) + part - offset.cast("long") * 1_000_000)
-    return F.when(s.rlike(_COMMON), s.try_cast("timestamp")).when(s.rlike(_ISO) & sound, built)
+    return F.when(sound, F.timestamp_micros(F.unix_micros(start) + part - offset.cast("long") * 1_000_000))
 
 
 def iso_format(ts) -> Column:

@@ -33,7 +33,7 @@ SELECT robot_id, time, sensor_id, data_type, value, metadata, arrival_seq
 FROM telemetry
 WHERE time BETWEEN (SELECT min(time) FROM telemetry) AND (SELECT max(time) FROM telemetry)""",
     "history_one_robot": with_views("telemetry") + """
-SELECT robot_id, time, sensor_id, data_type, value, metadata, arrival_seq
+SELECT time, sensor_id, data_type, value, metadata, arrival_seq
 FROM telemetry
 WHERE robot_id = 'robot-7' AND time BETWEEN TIMESTAMP '2024-01-08 00:00:00' AND TIMESTAMP '2024-01-21 12:00:00'""",
     "telemetry_history_typed": with_views("telemetry") + """
