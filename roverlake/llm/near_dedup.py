@@ -9,12 +9,14 @@ documents agree on a component with probability equal to their weighted
 Jaccard similarity. Points later than a document's latest component are never
 drawn, so that long documents cost about one point for each shingle.
 
-Signatures are cut into bands; documents that share a band are candidates, and
-each link is verified on the exact multisets. Copies (equal multisets) fall
-together first by a 128-bit digest. A bucket is not expanded into all pairs:
-its members are compared with the member that collides most, links are joined
-into components, and only members of different components of a bucket are
-compared again, at first with a further such centre and at last with each other.
+Signatures are cut into bands; documents that share two bands are candidates
+unless their sizes alone rule a link out, and each link is verified on the exact
+multisets. Copies (equal multisets) fall together first by a 128-bit digest. A
+bucket is not expanded into all pairs: its members are compared with the member
+that collides most, and only members that are not
+linked to the same centre are compared again, with a further centre where many
+are left, and at last with each other, each candidate pair once however many
+bands it shares. The classes are the connected components of all links.
 
 Defined results: texts without a word (null and empty ones too) are classes of
 their own; one of fewer than five words has the run of all its words as its
@@ -26,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roverlake.llm.common import cut
@@ -35,9 +37,9 @@ from roverlake.llm.text import GOLDEN, Words, mix, occurrence, pieces, seeded, u
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: a pair at the threshold shares a band with probability 1 - (1 - 0.8^4)^24 = 0.999997
-BANDS, ROWS = 24, 4
-CENTRES = 3
+#: a pair at the threshold shares two bands or more with probability 0.999992
+BANDS, ROWS, SHARED = 28, 4, 2
+CENTRES, MANY = 4, 200
 PIECE = 1 << 21
 
 
@@ -77,7 +79,7 @@ def bag_min_hash(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, docs: int
 
 
 def _signed(batches):
-    """(id, d1, d2, bands) of each text with a word."""
+    """(id, d1, d2, size, bands) of each text with a word; size: its shingles, repeats counted."""
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         for a, b in pieces(texts, PIECE):
@@ -96,12 +98,12 @@ def _signed(batches):
                 for k in range(ROWS):
                     code = mix(code + best[:, :, k])
             bands = pa.ListArray.from_arrays(np.arange(0, code.size + 1, BANDS, dtype=np.int32), code.ravel().view(np.int64))
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(there)), pa.array(d1), pa.array(d2), bands], names=["id", "d1", "d2", "bands"])
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(there)), pa.array(d1), pa.array(d2), pa.array(np.bincount(back)), bands], names=["id", "d1", "d2", "size", "bands"])
 
 
 def _bags(batches):
-    """(id, bag): each shingle's k-th occurrence as one element, so that the
-    multiset similarity is that of these sets."""
+    """(id, bag, small): each shingle's k-th occurrence as one element, so that the
+    multiset similarity is that of these sets; small: their distinct 16-bit ends."""
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         for a, b in pieces(texts, PIECE):
@@ -112,74 +114,120 @@ def _bags(batches):
             with np.errstate(over="ignore"):
                 bag = mix(np.repeat(key, count) + GOLDEN * nth.astype(np.uint64))
             edge = np.searchsorted(np.repeat(owner, count), np.arange(b - a + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.ListArray.from_arrays(edge, bag.view(np.int64))], names=["id", "bag"])
+            ends = np.unique(np.repeat(owner, count) << 16 | (bag & np.uint64(0xFFFF)).astype(np.int64))
+            small = pa.ListArray.from_arrays(np.searchsorted(ends >> 16, np.arange(b - a + 1)).astype(np.int32), (ends & 0xFFFF).astype(np.uint16).view(np.int16))
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.ListArray.from_arrays(edge, bag.view(np.int64)), small], names=["id", "bag", "small"])
+
+
+def _likely(x: str, y: str, threshold: float) -> Column:
+    """Whether two signatures leave a link possible: sizes within the threshold of each
+    other, and enough bands in common."""
+    bands = F.size(F.filter(F.zip_with(f"{x}.bands", f"{y}.bands", lambda p, q: p == q), lambda same: same))
+    return (F.least(f"{x}.size", f"{y}.size") >= threshold * F.greatest(f"{x}.size", f"{y}.size")) & (bands >= SHARED)
+
+
+def _near(x: str, y: str, threshold: float) -> Column:
+    """Whether the 16-bit ends of the elements leave a link possible. Of the shared
+    elements, ends in common miss at most those that coincide with another in their
+    own set, so that the test loses no link."""
+    hidden = F.least(F.col(f"{x}.size") - F.size(f"{x}.small"), F.col(f"{y}.size") - F.size(f"{y}.small"))
+    shared = F.size(F.array_intersect(f"{x}.small", f"{y}.small")) + hidden
+    return shared * (1 + threshold) + 1e-6 >= threshold * (F.col(f"{x}.size") + F.col(f"{y}.size"))
 
 
 def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose multiset similarity reaches the threshold."""
+    """The pairs (a, b, ...) whose multiset similarity reaches the threshold."""
     left = bags.select(F.col("id").alias("a"), F.col("bag").alias("x"))
     right = bags.select(F.col("id").alias("b"), F.col("bag").alias("y"))
     both = pairs.join(right, "b").join(left, "a")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= threshold * (F.size("x") + F.size("y") - shared)).select("a", "b")
-
-
-def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Members with the component that each is in so far."""
-    if roots is None:
-        return members.withColumn("root", F.col("id"))
-    return members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-
-
-def _open(members: DataFrame) -> DataFrame:
-    """Members of buckets that still hold more than one component."""
-    split = members.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
-    return members.join(split, "key", "left_semi")
+    return both.where(shared >= threshold * (F.size("x") + F.size("y") - shared)).select(*pairs.columns)
+
+
+def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of buckets whose members are not all linked to one document. ``root``
+    is the most colliding document among a member and those linked to it, so equal
+    roots are in one class."""
+    known = [links.select(F.col(i).alias("id"), F.col(j).alias("root"), F.col(f"s{j}").alias("s")) for i in "ab" for j in "ab"]
+    best = known[0].unionByName(known[1]).unionByName(known[2]).unionByName(known[3])
+    best = best.groupBy("id").agg(F.max_by("root", F.struct("s", -F.col("root"))).alias("root"))
+    rooted = members.select("key", "id", "score").join(best, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    split = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
+    return rooted.join(split, "key", "left_semi")
+
+
+def _centred(live: DataFrame, past: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(pairs with their scores, centres): each bucket's most colliding member that no
+    earlier centre is linked to, against the members that are not."""
+    free = live if past is None else live.join(past.join(live.select("key", "id", "root"), ["key", "id"]).select("key", "root").distinct(), ["key", "root"], "left_anti")
+    best = F.max_by(F.struct("id", "root", "score"), F.struct("score", -F.col("id")))
+    centre = cut(free.groupBy("key").agg(best.alias("c")).select("key", "c.id", F.col("c.root").alias("rc"), F.col("c.score").alias("sc")))
+    pairs = live.join(centre.withColumnRenamed("id", "c"), "key").where("root <> rc")
+    pairs = pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"), F.expr("if(id < c, score, sc) sa"), F.expr("if(id < c, sc, score) sb"))
+    return pairs.distinct(), centre.select("key", "id")
+
+
+def _rest(live: DataFrame, signs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs (a, b) among members of different components, each in its
+    first common band.
+
+    An element that only one of the open documents holds is in no intersection.
+    With r other elements left to each side, the similarity is at most
+    min(r) / (sizes - min(r)); pairs that this rules out are not formed.
+    """
+    some = bags.join(live.select("id").distinct(), "id", "left_semi")
+    lone = some.select("id", F.explode("bag").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1")
+    lone = lone.groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
+    able = signs.join(live.select("id").distinct(), "id", "left_semi").join(lone, "id", "left")
+    able = able.withColumn("r", F.col("sign.size") - F.coalesce("lone", F.lit(0))).where(F.col("r") >= threshold * F.col("sign.size"))
+    one = live.select("key", "id", "root").join(able, "id").select("key", F.col("id").alias("a"), F.col("root").alias("ra"), F.struct("sign.size", "sign.bands").alias("x"), F.col("r").alias("p"))
+    two = one.toDF("key", "b", "rb", "y", "q")
+    most = F.least("p", "q")
+    able = most >= threshold * (F.col("x.size") + F.col("y.size") - most)
+    first = F.filter(F.zip_with("x.bands", "y.bands", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())[0]
+    pairs = one.alias("o").join(two.alias("w"), (F.col("o.key") == F.col("w.key")) & (F.col("ra") < F.col("rb")) & able & (first == F.col("o.key")) & _likely("x", "y", threshold))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def near_classes(documents: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row (id, class_id) for each distinct id."""
     rows = documents.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    signed = cut(rows.where("id is not null").mapInArrow(_signed, "id long, d1 long, d2 long, bands array<long>"))
-    copies = signed.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    copied = cut(signed.select("id", "d1", "d2").join(copies.where("n > 1"), ["d1", "d2"]).where("id <> rep").select("id", "rep"))
-    reps = signed.join(copied.select("id"), "id", "left_anti").select("id", "bands")
+    signed = cut(rows.where("id is not null").mapInArrow(_signed, "id long, d1 long, d2 long, size long, bands array<long>"))
+    copies = signed.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    marked = cut(signed.join(copies, ["d1", "d2"], "left").select("id", "rep", F.struct("size", "bands").alias("sign")))
+    copied = marked.where("id <> rep").select("id", "rep")
+    reps = marked.where("rep is null or id = rep").select("id", "sign").dropDuplicates(["id"])
 
     # buckets of two documents and more, each member with its number of collisions over all bands
-    banded = reps.select("id", F.explode("bands").alias("key"))
+    banded = reps.select("id", F.explode("sign.bands").alias("key"))
     sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut(banded.join(sizes, "key"))
-    score = members.groupBy("id").agg(F.sum("n").alias("score"))
-    members = cut(members.select("key", "id").join(score, "id"))
-    bags = cut(rows.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(_bags, "id long, bag array<long>").dropDuplicates(["id"]))
-
-    links, tried, roots, past = None, None, None, None
-    live = members.withColumn("root", F.col("id"))
-    for turn in range(CENTRES + 1):
-        if turn < CENTRES:  # each bucket's most colliding member outside the components of its earlier centres
-            free = live if past is None else live.join(_rooted(past, roots).select("key", "root").distinct(), ["key", "root"], "left_anti")
-            centre = cut(free.groupBy("key").agg(F.max_by(F.struct("id", "root"), F.struct("score", -F.col("id"))).alias("c")).select("key", "c.id", "c.root"))
-            past = centre.select("key", "id") if past is None else past.unionByName(centre.select("key", "id"))
-            pairs = live.join(centre.select("key", F.col("id").alias("a"), F.col("root").alias("ra")), "key").where("root <> ra").select("a", F.col("id").alias("b"))
-        else:  # what is left: every two members of different components
-            one = live.select("key", F.col("id").alias("a"), F.col("root").alias("ra"))
-            two = live.select("key", F.col("id").alias("b"), F.col("root").alias("rb"))
-            pairs = one.join(two, "key").where("ra < rb").select("a", "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
+    score = cut(members.groupBy("id").agg(F.sum("n").alias("score")))
+    live = members.select("key", "id").join(score, "id").withColumn("root", F.col("id"))
+    bags = cut(rows.join(score.select("id"), "id", "left_semi").mapInArrow(_bags, "id long, bag array<long>, small array<short>").dropDuplicates(["id"]))
+    signs = cut(reps.join(bags.select("id", "small"), "id").select("id", F.struct("sign.size", "sign.bands", "small").alias("sign")))
+    left, right = signs.select(F.col("id").alias("a"), F.col("sign").alias("x")), signs.select(F.col("id").alias("b"), F.col("sign").alias("y"))
+
+    links, past = None, None
+    for _ in range(CENTRES):
+        pairs, centres = _centred(live, past)
+        past = centres if past is None else past.unionByName(centres)
+        pairs = pairs.join(left, "a").join(right, "b").where(_likely("x", "y", threshold) & _near("x", "y", threshold)).select("a", "b", "sa", "sb")
         found = cut(_verified(pairs, bags, threshold))
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        live = cut(_open(_rooted(live.select("key", "id", "score"), roots)))
-        if live.isEmpty():
+        links = found if links is None else cut(links.unionByName(found).distinct())
+        live = cut(_open(live, links))
+        # a further centre pays where many members of a bucket are still apart; results are the same without
+        apart = live.groupBy("key").agg(F.count_distinct("root").alias("r"), F.count(F.lit(1)).alias("n"))
+        left_over, of = apart.agg(F.coalesce(F.sum(F.col("r") * F.col("r")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if left_over <= MANY * of:
             break
+    if of:
+        rest = cut(_rest(live, signs, bags, threshold)).join(left, "a").join(right, "b").where(_near("x", "y", threshold)).select("a", "b")
+        links = links.select("a", "b").unionByName(_verified(rest, bags, threshold))
+    roots = components(links)
 
     # copies follow their representative; every other id is a class of its own
     ids = rows.where("id is not null").select("id").distinct()
     nodes = ids.join(copied, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
-    if roots is not None:
-        nodes = nodes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("rep"))
-    return nodes.select("id", F.col("rep").alias("class_id"))
+    nodes = nodes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("rep"))
+    return nodes.select("id", F.col("rep").alias("class_id")).distinct()
