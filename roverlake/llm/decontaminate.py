@@ -17,7 +17,8 @@ benchmark is.
 
 Defined results: null, empty and wordless texts and items match nothing; an
 item of fewer than five words has the run of all its words as its only shingle;
-equal items are reported each; of equally similar windows the first counts;
+equal items are reported each; of equally similar windows the first that starts
+with a shared shingle counts;
 repeated rows are reported alike.
 """
 
