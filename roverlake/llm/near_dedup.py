@@ -63,7 +63,10 @@ def bag_min_hash(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, docs: int
         seeds = (np.arange(drawn, drawn + batch, dtype=np.uint64) + np.uint64(1)) * GOLDEN
         with np.errstate(over="ignore"):
             h = mix(element[:, None] + seeds)
-        at = time[:, None] + np.cumsum(-np.log(uniform(h)) / rate[:, None], axis=1)
+        # summed point by point from the first, so that no bit depends on how many are drawn at once
+        at = -np.log(uniform(h)) / rate[:, None]
+        at[:, 0] += time
+        np.cumsum(at, axis=1, out=at)
         h = mix(h + GOLDEN)
         part = (h % np.uint64(size)).astype(np.int64)
         if levels > 1:

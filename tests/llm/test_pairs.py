@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,18 @@ def test_bag_min_hash_is_unbiased():
     assert abs((got[0] == got[1]).mean() - exact) < 4 * np.sqrt(exact * (1 - exact) / size)
 
 
+def test_signatures_do_not_depend_on_the_piece():
+    """A text has the same band codes alone and within a full piece."""
+    own = [prose(60 + n, n) for n in (6, 10, 20, 40, 80, 300)] + [" ".join(["again"] * 40)]
+    rest = prose(77, 290_000, 400).split("\n")
+    whole = pa.RecordBatch.from_pydict({"id": pa.array(range(len(own) + len(rest))), "text": own + rest})
+    assert near_dedup.PIECE * 0.9 < sum(map(len, own + rest)) < near_dedup.PIECE
+    together = {r["id"]: r for out in near_dedup._signed([whole]) for r in out.slice(0, len(own)).to_pylist()}
+    for i, text in enumerate(own):
+        alone = next(near_dedup._signed([pa.RecordBatch.from_pydict({"id": [i], "text": [text]})])).to_pylist()
+        assert alone == [together[i]]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_equal_union_find(spark, seed):
     rng = random.Random(seed)
