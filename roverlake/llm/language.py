@@ -6,6 +6,7 @@ one language, and expectation-maximisation estimates the proportions from the
 words' n-gram likelihoods. The language set of a document is the nested set
 (by proportion) with the best likelihood less ``penalty * log(words)`` for
 each language in it; the predicted language has the largest proportion in it.
+Sets of every size are tried until none larger can be better for any text.
 
 Defined results: a null text, or one without any letter, is ``und`` with score
 0; so is every text if there is nothing to learn from. Equal proportions go to
@@ -153,7 +154,10 @@ def infer(model: Model, texts: pa.Array, penalty: float = 2.0, rounds: int = 8)
     rank = np.argsort(np.argsort(-share, axis=0, kind="stable"), axis=0, kind="stable")
     best = np.full(docs, -np.inf)
     chosen, shares = np.zeros((kinds, docs)), share
-    for k in range(1, min(kinds, 3) + 1):
+    for k in range(1, kinds + 1):
+        # no likelihood is above 1 (the scale of ``like``): at the bound no larger set is better for any text
+        if (best >= -penalty * k * np.log1p(count) + 1e-6 * count).all():
+            break
         allowed = (rank < k).astype(np.float64)
         got, fit = _em(like, words, allowed, rounds // 2 if k > 1 else 0)
         worth = fit - penalty * k * np.log1p(count)

@@ -69,6 +69,17 @@ def test_language_mixture(spark):
     assert model.languages[top[1]] == "en" and score[1] > 0.9
 
 
+def test_language_mixture_of_four(spark):
+    """A text of four languages is found to hold all of them, none with half of its words."""
+    docs = {r.lang: r.text for r in table(spark, SF, "documents").where(F.length("text").between(3000, 4000)).select("lang", "text").collect()}
+    model = language.learn(table(spark, SF, "documents"))
+    assert len(docs) == len(model.languages) == 4
+    texts = ["\n".join(docs[x][:2800 if x == first else 1400] for x in docs) for first in docs]
+    top, score, chosen = language.infer(model, pa.array(texts))
+    assert [model.languages[i] for i in top] == list(docs) and chosen.all()
+    assert ((score > 0.25) & (score < 0.5)).all()
+
+
 def test_em_raises_the_likelihood():
     rng = np.random.default_rng(1)
     texts = pa.array([prose(i, 50) for i in range(5)])
