@@ -19,8 +19,10 @@ import pyarrow as pa
 
 from roverlake.llm.text import buffers, pieces, span_hashes
 
-#: chunks a worker remembers; beyond it the table starts anew
+#: chunks a worker remembers; beyond it the table starts anew (a piece of more is held while it is encoded)
 KEEP_CHUNKS = 1_500_000
+#: chunks in one call of the library, whose results take far more room than the ids
+CALL_CHUNKS = 100_000
 SPACE, LETTER, MARK, OTHER = range(4)
 
 
@@ -70,9 +72,7 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, keys: np.ndarray, chunks: list[str]) -> None:
-        if len(self.keys) + len(keys) > KEEP_CHUNKS:
-            self._forget()
-        got = self.whole(chunks)
+        got = [x for lo in range(0, len(chunks), CALL_CHUNKS) for x in self.whole(chunks[lo:lo + CALL_CHUNKS])]
         size = np.fromiter(map(len, got), np.int64, len(got))
         need = self.used + int(size.sum())
         if need > len(self.ids):
@@ -120,16 +120,18 @@ class Encoder:
         if not ok.all():
             new = np.flatnonzero(~ok)
             raw = data.tobytes()
+            if len(self.keys) + len(new) > KEEP_CHUNKS:  # the table starts anew with all chunks of this piece, however many
+                self._forget()
+                new = np.arange(len(keys))
             self._learn(keys[new], [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
             at, ok = self._known(keys)
-            if not ok.all():  # the table was started anew
-                lost = np.flatnonzero(~ok)
-                self._learn(keys[lost], [raw[a:b].decode() for a, b in zip(starts[first[lost]].tolist(), ends[first[lost]].tolist(), strict=True)])
-                at, ok = self._known(keys)
+            assert ok.all()
         size, at = self.size[at][back], self.at[at][back]
         counts = np.bincount(doc, size, n).astype(np.int64)
         begin = np.cumsum(size) - size
         ids = self.ids[np.arange(int(size.sum())) + np.repeat(at - begin, size)] if len(size) else np.empty(0, self.kind)
+        if len(self.keys) > KEEP_CHUNKS:
+            self._forget()
         if special.any():
             ids, counts = self._with_whole(texts, np.flatnonzero(special), ids, counts)
         return ids, counts

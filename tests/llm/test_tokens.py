@@ -48,6 +48,16 @@ def test_encoder_starts_anew_when_full(monkeypatch):
         assert own.encode(pa.array([text]))[0].tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_takes_texts_of_more_chunks_than_it_keeps(monkeypatch):
+    """One text alone goes over the limit, after others that share chunks with it."""
+    monkeypatch.setattr(tokens, "KEEP_CHUNKS", 50)
+    own, whole = tokens.Encoder(PATH), Tokenizer.from_file(PATH)
+    small, large = prose(1, 30), prose(2, 400) + "\n" + prose(1, 30)
+    assert len(set(small.split())) < 50 < len(set(prose(2, 400).split()) - set(small.split()))
+    for text in (small, large, small, large, prose(3, 200), small):
+        assert own.encode(pa.array([text]))[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_token_files_round_trip(spark, encode):
     docs = table(spark, SF_SMALL, "documents")
     got = {r.doc_id: r for r in token_files.round_trip(spark, docs, PATH, END).collect()}
