@@ -42,3 +42,54 @@ WITH sound AS (
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+#: unsigned crc32 of a text's bytes, bit by bit over a table made from its polynomial
+CRC32 = """
+crc_table AS (
+    SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t FROM range(256) AS r(b)
+)"""
+#: the crc32 of ``{}``, in a query that has crc_table.t at hand
+CRC32_OF = """xor(4294967295, list_reduce(string_split({0}, ''), lambda c, x: xor(c >> 8, t[1 + xor(c & 255, ascii(x))]), CAST(4294967295 AS BIGINT)))"""
+
+#: leaves, levels and climbs of the manifest: runs of two within a language, then over the subroots
+MERKLE = f"""
+WITH RECURSIVE {CRC32}, hashed AS (
+    SELECT doc_id, lang, n_chars,
+           sha256(coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+               || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-')
+               || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+           sha256(coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+               || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(CAST(n_chars + 1 AS VARCHAR))) || ':' || (n_chars + 1), '-')
+               || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS changed,
+           {CRC32_OF.format("CAST(doc_id AS VARCHAR)")} % 7 = 0 AS tampered
+    FROM documents, crc_table
+), leaves AS (
+    SELECT doc_id, leaf, CASE WHEN tampered THEN changed ELSE leaf END AS found,
+           dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+           count(*) OVER (PARTITION BY lang) AS n
+    FROM hashed
+), levels AS (
+    SELECT tree, 0 AS level, pos, n, leaf AS h FROM leaves
+    UNION ALL
+    SELECT tree, level + 1, pos // 2, max((n + 1) // 2), sha256(string_agg(h, '' ORDER BY pos)) FROM levels WHERE n > 1 GROUP BY tree, level, pos // 2
+), subroots AS (
+    SELECT tree AS pos, h, count(*) OVER () AS n FROM levels WHERE n = 1
+), tops AS (
+    SELECT 0 AS level, pos, n, h FROM subroots
+    UNION ALL
+    SELECT level + 1, pos // 2, max((n + 1) // 2), sha256(string_agg(h, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY level, pos // 2
+), nodes AS (
+    SELECT tree, level, pos, n, h FROM levels WHERE n > 1 UNION ALL SELECT -1, level, pos, n, h FROM tops WHERE n > 1
+), climb AS (
+    SELECT tree AS own, pos AS place, tree, 0 AS level, pos, n, found AS folded, '' AS proof FROM leaves
+    UNION ALL
+    SELECT c.own, c.place, CASE WHEN c.n = 1 THEN -1 ELSE c.tree END, CASE WHEN c.n = 1 THEN 0 ELSE c.level + 1 END,
+           CASE WHEN c.n = 1 THEN c.tree ELSE c.pos // 2 END, CASE WHEN c.n = 1 THEN (SELECT max(n) FROM subroots) ELSE (c.n + 1) // 2 END,
+           CASE WHEN c.n = 1 THEN c.folded WHEN c.pos % 2 = 1 THEN sha256(s.h || c.folded) ELSE sha256(c.folded || coalesce(s.h, '')) END,
+           c.proof || CASE WHEN c.n = 1 THEN '' ELSE coalesce(s.h, '') END
+    FROM climb c LEFT JOIN nodes s ON s.tree = c.tree AND s.level = c.level AND s.pos = xor(c.pos, 1)
+    WHERE c.n > 1 OR c.tree >= 0
+)
+SELECT l.doc_id, l.leaf, b.h AS subroot, r.h AS root, sha256(c.proof) AS proof_sha256, c.folded AS folded_root, c.folded = r.h AS verified
+FROM leaves l JOIN climb c ON c.own = l.tree AND c.place = l.pos AND c.tree = -1 AND c.n = 1 JOIN subroots b ON b.pos = l.tree, (SELECT h FROM tops WHERE n = 1) r
+"""
