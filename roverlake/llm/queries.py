@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roverlake.llm import decontaminate, language, line_dedup, merkle, near_dedup, nearest, packing, quality, segment_bpe, sql, substring_dedup, token_files, toxicity
+from roverlake.llm import conversation_repair, decontaminate, language, line_dedup, merkle, near_dedup, nearest, packing, quality, segment_bpe, sql, substring_dedup, token_files, toxicity
 from roverlake.llm.common import fold, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -55,6 +55,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired(table(spark, sf_dir, "conversations"))
+
+
 def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -63,5 +67,5 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_of(table(spark, sf_dir, "documents"), fold("doc_id", 7) == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_nearest_neighbours, op3_token_files, op4_quality, op5_packing, op6_line_dedup, op7_near_dedup, op8_toxicity, op9_language_id, op10_decontamination, op12_bpe_round_trip, op13_merkle_manifest)}
-ORACLE: dict[str, str] = {"op2_nearest_neighbours": sql.NEAREST, "op6_line_dedup": sql.LINE_DEDUP, "op13_merkle_manifest": sql.MERKLE}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_nearest_neighbours, op3_token_files, op4_quality, op5_packing, op6_line_dedup, op7_near_dedup, op8_toxicity, op9_language_id, op10_decontamination, op11_conversation_repair, op12_bpe_round_trip, op13_merkle_manifest)}
+ORACLE: dict[str, str] = {"op2_nearest_neighbours": sql.NEAREST, "op6_line_dedup": sql.LINE_DEDUP, "op11_conversation_repair": sql.CONVERSATIONS, "op13_merkle_manifest": sql.MERKLE}

@@ -93,3 +93,68 @@ WITH RECURSIVE {CRC32}, hashed AS (
 SELECT l.doc_id, l.leaf, b.h AS subroot, r.h AS root, sha256(c.proof) AS proof_sha256, c.folded AS folded_root, c.folded = r.h AS verified
 FROM leaves l JOIN climb c ON c.own = l.tree AND c.place = l.pos AND c.tree = -1 AND c.n = 1 JOIN subroots b ON b.pos = l.tree, (SELECT h FROM tops WHERE n = 1) r
 """
+
+#: edits as (state before, inserts, state then): 0 nothing yet, 1 after a system row, 2 after a user row, 3 after an assistant row
+CONVERSATIONS = f"""
+WITH RECURSIVE {CRC32}, spaced AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           {CRC32_OF.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS fault
+    FROM conversations, crc_table
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+           CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM spaced WHERE fault <> 0
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(octet_length(encode(role)) || ':' || role || text), copy) AS i,
+           right(regexp_replace(text, '[\\x20\\x09-\\x0D]+$', ''), 1) AS ending
+    FROM damaged
+), marked AS (
+    SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                   WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+           lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS adjoining
+    FROM placed
+), counted AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n,
+           count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (i > 1 AND adjoining NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM marked GROUP BY conv_id
+), inserts(before, text, upon) AS (
+    VALUES (0, '', 0), (0, 'I', 2), (0, 'II', 3), (1, '', 1), (1, 'I', 2), (1, 'II', 3), (2, '', 2), (2, 'I', 3), (3, '', 3), (3, 'I', 2)
+), edits(upon, edit, initial, state, cost) AS (
+    VALUES (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0), (3, 'K', 'u', 2, 0),
+           (0, 'R', NULL, 2, 3), (1, 'R', NULL, 2, 3), (2, 'R', NULL, 3, 3), (3, 'R', NULL, 2, 3),
+           (0, 'D', NULL, 0, 4), (1, 'D', NULL, 1, 4), (2, 'D', NULL, 2, 4), (3, 'D', NULL, 3, 4)
+), steps AS (
+    SELECT before, text || edit AS text, initial, edit, state, 3 * length(text) + cost AS cost FROM inserts JOIN edits USING (upon)
+), paths AS (
+    SELECT conv_id, 0 AS i, 0 AS state, {{'cost': 0, 'audit': ''}} AS best FROM counted
+    UNION ALL
+    SELECT p.conv_id, p.i + 1, s.state, min({{'cost': p.best.cost + s.cost + CASE WHEN m.fault = 'truncated' AND s.edit <> 'D' THEN 3 ELSE 0 END, 'audit': p.best.audit || s.text}})
+    FROM paths p JOIN marked m ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND m.i = p.i + 1
+    JOIN steps s ON s.before = p.state AND (s.edit = 'D' OR m.fault NOT IN ('blank', 'duplicate')) AND (s.initial IS NULL OR s.initial = left(m.role, 1))
+    GROUP BY p.conv_id, p.i, s.state
+), best AS (
+    SELECT p.conv_id, min({{'cost': p.best.cost + 3 * length(e.text), 'audit': p.best.audit || e.text}}) AS best
+    FROM paths p JOIN counted c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.n = p.i
+    JOIN (VALUES (0, ''), (1, 'II'), (2, 'I'), (3, '')) e(state, text) ON e.state = p.state
+    GROUP BY p.conv_id
+), walk AS (
+    SELECT conv_id, 0 AS k, 0 AS i, 0 AS state, CAST(NULL AS VARCHAR) AS repaired, best.audit AS audit FROM best
+    UNION ALL
+    SELECT w.conv_id, w.k + 1, CASE WHEN w.edit = 'I' THEN w.i ELSE w.i + 1 END,
+           CASE WHEN w.edit = 'D' THEN w.state WHEN w.edit = 'K' AND left(m.role, 1) = 's' THEN 1 WHEN w.state = 2 THEN 3 ELSE 2 END,
+           CASE WHEN w.edit = 'D' THEN w.repaired
+                ELSE coalesce(w.repaired || chr(10), '') || CASE WHEN w.edit = 'K' THEN m.role WHEN w.state = 2 THEN 'assistant' ELSE 'user' END || ':'
+                     || CASE WHEN w.edit = 'I' THEN '' ELSE m.text END END,
+           w.audit
+    FROM (SELECT *, substring(audit, k + 1, 1) AS edit FROM walk WHERE k < length(audit)) w
+    LEFT JOIN marked m ON w.edit <> 'I' AND m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.i = w.i + 1
+)
+SELECT o.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated,
+       coalesce(c.illegal, 0) AS illegal, CAST(coalesce(b.best.cost, 0) AS BIGINT) AS cost, coalesce(b.best.audit, '') AS audit, sha256(coalesce(w.repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN walk w ON w.conv_id IS NOT DISTINCT FROM o.conv_id AND w.k = length(w.audit)
+"""
