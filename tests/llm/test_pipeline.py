@@ -61,9 +61,9 @@ def test_run_returns_pieces(spark):
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and got.count() > 0
 
 
-def test_all_ten_are_registered():
+def test_all_are_registered():
     names = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert names == list(range(1, 11)) and {*QUERIES, "pipeline"} <= set(E.queries())
+    assert names == list(range(1, 14)) and {*QUERIES, "pipeline"} <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
