@@ -1,9 +1,11 @@
 """Envelope parsing and validation.
 
 A raw message is accepted or rejected as a whole (``reject_reason`` is NULL
-for accepted rows). Parsing is a single narrow projection: each message is
-decoded once into a VARIANT and every field (presence, type, value, JSON
-text) is read from it.
+for accepted rows). Each message is decoded once, byte-exactly
+(``functions.exact_json``): of a repeated key the last value counts, NaN and
+numbers of any length are read, trailing text is refused, and ``data`` and
+``metadata`` are slices of the message. All rules are column expressions on
+the decoded fields.
 
 Defaults follow the reference's ``dict.get(key, default)``: an *absent* key
 takes the default, an explicit JSON null stays null.
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roverlake import schemas as S
+from roverlake.functions.exact_json import MALFORMED, OBJECT, object_fields
 from roverlake.functions.time import parse_iso
 
 # ---------------------------------------------------------------------------
@@ -22,6 +25,7 @@ from roverlake.functions.time import parse_iso
 #   sensor_id -> "unknown", data_type -> "telemetry", data -> {}, metadata -> {}
 # Reject reasons (ours), checked in this order:
 #   malformed_json, not_object, bad_data_type, bad_timestamp,
+#   not_storable (a stored value that a JSON column cannot hold),
 #   missing_robot_id, robot_id_too_long, sensor_id_too_long,
 #   bad_status_payload, status_too_long, mission_too_long, bad_battery_level
 # ---------------------------------------------------------------------------
@@ -40,62 +44,52 @@ def parse_envelope(
     ``robot_col`` (optional) supplies the robot id from outside the body
     (the URL path of the HTTP route).
     """
-    raw = F.col(raw_col)
-    staged = df.withColumn("_v", F.try_parse_json(raw))
-    v = F.col("_v")
-
-    def field(key: str) -> Column:
-        return F.try_variant_get(v, f"$.{key}", "variant")
+    staged = df.withColumn("_m", object_fields(raw_col, FIELDS))
+    m = F.col("_m")
 
     def present(key: str) -> Column:
-        # absent key -> SQL NULL; a JSON null is a (non-NULL) variant null
-        return field(key).isNotNull()
+        # absent key -> SQL NULL; a JSON null is of kind null
+        return m[key]["kind"].isNotNull()
 
-    type_text = F.try_variant_get(v, "$.data_type", "string")
-    data_type = F.when(~present("data_type"), F.lit(DEFAULT_DATA_TYPE)).when(
-        (F.schema_of_variant(field("data_type")) == "STRING") & type_text.isin(*S.DATA_TYPES), type_text
-    )
+    def string(key: str) -> Column:
+        return F.when(m[key]["kind"] == "string", m[key]["text"])
 
-    ts_text = F.when(F.schema_of_variant(field("timestamp")) == "STRING", F.try_variant_get(v, "$.timestamp", "string"))
-    ts = parse_iso(ts_text)
+    data_type = F.when(~present("data_type"), F.lit(DEFAULT_DATA_TYPE)).when(string("data_type").isin(*S.DATA_TYPES), string("data_type"))
+    ts = parse_iso(string("timestamp"))
     if received_col is not None:
         ts = F.when(present("timestamp"), ts).otherwise(F.col(received_col).cast("timestamp"))
 
     def json_or_default(key: str, default: str) -> Column:
-        # JSON text of the field (a JSON null is the text null). Rendered from
-        # the decoded VARIANT, so the message is parsed once; object keys come
-        # out sorted, a normalisation like the reference's JSONB column.
-        return F.when(present(key), F.to_json(field(key))).otherwise(F.lit(default))
+        # the slice of the message (a JSON null is the text null)
+        return F.when(present(key), m[key]["json"]).otherwise(F.lit(default))
 
     parsed = staged.withColumns({
-        "robot_id": F.col(robot_col) if robot_col else F.try_variant_get(v, "$.robot_id", "string"),
-        "sensor_id": F.when(present("sensor_id"), F.try_variant_get(v, "$.sensor_id", "string"))
-        .otherwise(F.lit(DEFAULT_SENSOR_ID)),
+        "robot_id": F.col(robot_col) if robot_col else m["robot_id"]["text"],
+        "sensor_id": F.when(present("sensor_id"), m["sensor_id"]["text"]).otherwise(F.lit(DEFAULT_SENSOR_ID)),
         "data_type": data_type,
         "ts": ts,
         "data": json_or_default("data", "{}"),
         "metadata": json_or_default("metadata", "{}"),
-        "_is_obj": F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)),
+        "_state": m["state"],
+        "_storable": F.coalesce(m["data"]["storable"], F.lit(True)) & F.coalesce(m["metadata"]["storable"], F.lit(True)),
     })
-    return with_reject_reason(parsed).drop("_v", "_is_obj")
+    return with_reject_reason(parsed.drop("_m")).drop("_state", "_storable")
+
+
+FIELDS = ("robot_id", "sensor_id", "data_type", "timestamp", "data", "metadata")
+STATUS_FIELDS = ("status", "battery_level", "location", "active_mission")
 
 
 def _status_checks(df: DataFrame) -> DataFrame:
     """Fields of a status payload that the status table constrains."""
-    dv = F.try_parse_json(F.col("data"))
-    staged = df.withColumn("_dv", F.when(F.col("data_type") == "status", dv))
-    d = F.col("_dv")
-    battery_type = F.schema_of_variant(F.try_variant_get(d, "$.battery_level", "variant"))
-    battery_ok = (
-        battery_type.isNull() | (battery_type == "VOID")
-        | battery_type.isin("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT")
-        | battery_type.startswith("DECIMAL")
-        | ((battery_type == "STRING") & F.try_variant_get(d, "$.battery_level", "string").try_cast("double").isNotNull())
-    )
+    staged = df.withColumn("_d", object_fields(F.when(F.col("data_type") == "status", F.col("data")), STATUS_FIELDS))
+    d = F.col("_d")
+    battery = d["battery_level"]
+    battery_ok = battery["kind"].isNull() | battery["kind"].isin("null", "number") | ((battery["kind"] == "string") & battery["text"].try_cast("double").isNotNull())
     return staged.withColumns({
-        "_data_is_obj": F.coalesce(F.schema_of_variant(d).startswith("OBJECT"), F.lit(False)),
-        "_status_len": F.length(F.try_variant_get(d, "$.status", "string")),
-        "_mission_len": F.length(F.try_variant_get(d, "$.active_mission", "string")),
+        "_data_is_obj": F.coalesce(d["state"] == OBJECT, F.lit(False)),
+        "_status_len": F.length(d["status"]["text"]),
+        "_mission_len": F.length(d["active_mission"]["text"]),
         "_battery_ok": battery_ok,
     })
 
@@ -111,10 +105,11 @@ def with_reject_reason(parsed: DataFrame) -> DataFrame:
     stored = dtype.isin(*S.TIMESERIES_TYPES)
     is_status = dtype == "status"
     reason = (
-        F.when(F.col("_v").isNull(), F.lit("malformed_json"))
-        .when(~F.col("_is_obj"), F.lit("not_object"))
+        F.when(F.coalesce(F.col("_state"), F.lit(MALFORMED)) == MALFORMED, F.lit("malformed_json"))
+        .when(F.col("_state") != OBJECT, F.lit("not_object"))
         .when(dtype.isNull(), F.lit("bad_data_type"))
         .when(F.col("ts").isNull(), F.lit("bad_timestamp"))
+        .when(stored & ~F.col("_storable"), F.lit("not_storable"))
         .when(stored & F.col("robot_id").isNull(), F.lit("missing_robot_id"))
         .when(stored & (F.length("robot_id") > S.MAX_LEN_ROBOT_ID), F.lit("robot_id_too_long"))
         .when(stored & (F.coalesce(F.length("sensor_id"), F.lit(0)) > S.MAX_LEN_SENSOR_ID), F.lit("sensor_id_too_long"))
@@ -124,7 +119,7 @@ def with_reject_reason(parsed: DataFrame) -> DataFrame:
         .when(is_status & ~F.col("_battery_ok"), F.lit("bad_battery_level"))
     )
     df = df.withColumn("reject_reason", reason).drop(
-        "_dv", "_data_is_obj", "_status_len", "_mission_len", "_battery_ok"
+        "_d", "_data_is_obj", "_status_len", "_mission_len", "_battery_ok"
     )
     return _fence(df, ENVELOPE_FIELDS)
 

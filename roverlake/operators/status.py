@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roverlake.functions import json as J
+from roverlake.functions.exact_json import object_fields
 
 # ---------------------------------------------------------------------------
 # Status defaults and battery bands.
@@ -37,18 +38,24 @@ def status_rows(df: DataFrame, data_col: str = "data", time_col: str = "time") -
     battery or mission is NULL and *overwrites* an older value (the upsert
     replaces the whole row).
     """
-    d = F.col(data_col)
-    return df.select(
+    d = F.col("_d")
+    battery = d["battery_level"]
+    return df.withColumn("_d", object_fields(data_col, ("status", "battery_level", "location", "active_mission"))).select(
         F.col("robot_id"),
         F.col(time_col).alias("last_seen"),
-        F.when(J.has_key(d, "status"), J.field_text(d, "status")).otherwise(F.lit(DEFAULT_STATUS)).alias("status"),
-        J.to_double(J.field_text(d, "battery_level")).alias("battery_level"),
-        F.coalesce(J.field_json(d, "location"), F.lit("{}")).alias("location"),
-        J.field_text(d, "active_mission").alias("active_mission"),
+        F.when(d["status"]["kind"].isNotNull(), _shown(d["status"])).otherwise(F.lit(DEFAULT_STATUS)).alias("status"),
+        J.to_double(_shown(battery)).alias("battery_level"),
+        F.coalesce(d["location"]["json"], F.lit("{}")).alias("location"),
+        _shown(d["active_mission"]).alias("active_mission"),
         F.col("arrival_seq"),
     )
 
 
+def _shown(field: Column) -> Column:
+    """A decoded field as text: strings as they are, other values as written; null is NULL."""
+    return F.when(field["kind"].isin("object", "array"), field["json"]).otherwise(field["text"])
+
+
 def upsert_status(rows: DataFrame, previous: DataFrame | None = None, order: str = "arrival") -> DataFrame:
     """Fold status rows (and an optional previous snapshot) to one row per robot.
 

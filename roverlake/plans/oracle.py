@@ -80,7 +80,7 @@ SELECT data_type, count(*) AS processed FROM envelope_parsed WHERE reject_reason
 SELECT CASE WHEN json_exists(body, '$.timestamp') THEN TRY_CAST(body->>'timestamp' AS TIMESTAMP)
             ELSE received_at END AS time,
        robot_id, 'unknown' AS sensor_id, 'telemetry' AS data_type,
-       CAST(body->'data' AS VARCHAR) AS value, '{}' AS metadata, arrival_seq
+       data_text AS value, '{}' AS metadata, arrival_seq
 FROM http_body WHERE json_type(body) = 'OBJECT'""",
     "ingest_latency": with_views("http_body") + """,
 landed AS (
@@ -98,7 +98,9 @@ SELECT CASE data_type WHEN 'sensor_image' THEN 'robot-images' ELSE 'point-clouds
          || CASE WHEN strftime(ts, '%f') = '000000' THEN '' ELSE '.' || strftime(ts, '%f') END
          || '/' || sensor_id AS object_name,
        max(arrival_seq) AS arrival_seq,
-       arg_max(length(data->>'content'), arrival_seq) AS content_chars
+       arg_max(octet_length(encode(data)), arrival_seq) AS length,
+       arg_max(sha256(data), arrival_seq) AS payload_sha256,
+       '{"seq":' || max(arrival_seq) || ', "unit": null}' AS metadata
 FROM blobs_in GROUP BY 1, 2""",
 })
 
@@ -107,8 +109,7 @@ status_rows AS (
   SELECT robot_id, time AS last_seen,
          CASE WHEN json_exists(data, '$.status') THEN data->>'status' ELSE 'unknown' END AS status,
          TRY_CAST(data->>'battery_level' AS DOUBLE) AS battery_level,
-         CASE WHEN json_exists(data, '$.location') THEN coalesce(CAST(data->'location' AS VARCHAR), 'null')
-              ELSE '{}' END AS location,
+         location_text AS location,
          data->>'active_mission' AS active_mission, arrival_seq
   FROM status_events)"""
 _SNAP = _STATUS_ROWS.replace("WITH ", "WITH ", 1) + """,

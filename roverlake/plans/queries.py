@@ -169,9 +169,10 @@ def processed_by_type(spark, sf_dir):
 
 @query("route_blobs")
 def route_blobs(spark, sf_dir):
-    objects = rt.object_view(rt.blob_rows(ad.blobs_in(spark, sf_dir)))
-    content = F.get_json_object(F.decode("payload", "UTF-8"), "$.content")
-    return objects.select("bucket", "object_name", "arrival_seq", F.length(content).cast("long").alias("content_chars"))
+    """Objects of raw messages: the payload's bytes (by digest), length and metadata."""
+    acc = env.accepted(env.parse_envelope(ad.blob_messages(spark, sf_dir)))
+    objects = rt.object_view(rt.blob_rows(acc))
+    return objects.select("bucket", "object_name", "arrival_seq", "length", F.sha2("payload", 256).alias("payload_sha256"), "metadata")
 
 
 # --- status and dashboard ---------------------------------------------------

@@ -21,21 +21,30 @@ VIEWS = {
   SELECT CASE WHEN c_acctbal < 0 THEN 'spare-' ELSE 'robot-' END || CAST(c_custkey AS VARCHAR) AS robot_id,
          c_name AS name, c_mktsegment AS type
   FROM customer)""",
-    "envelope_raw": f"""envelope_raw AS (
-  SELECT CASE event_id % 16 WHEN 11 THEN '[1,2]' WHEN 12 THEN '{{bad' ELSE
-    '{{' || concat_ws(',',
-      CASE WHEN event_id % 16 = 9 THEN '"robot_id":null'
-           ELSE '"robot_id":"' || CASE WHEN event_id % 16 = 10 THEN 'robot-' || repeat('x', 54) ELSE {_RID} END || '"' END,
-      CASE event_id % 16 WHEN 5 THEN NULL WHEN 6 THEN '"sensor_id":null'
-           ELSE '"sensor_id":"sensor-' || CAST(event_id % 3 AS VARCHAR) || '"' END,
-      CASE event_id % 16 WHEN 4 THEN NULL WHEN 3 THEN '"data_type":null' WHEN 2 THEN '"data_type":"bogus"'
-           ELSE '"data_type":"' || ['telemetry','sensor_image','point_cloud','imu','odometry','diagnostics','command','status'][CAST((event_id // 16) % 8 AS INTEGER) + 1] || '"' END,
-      CASE event_id % 16 WHEN 0 THEN NULL WHEN 1 THEN '"timestamp":"not-a-date"' WHEN 13 THEN '"timestamp":"2025"'
-           ELSE '"timestamp":"' || {_TS_TEXT} || '"' END,
-      CASE event_id % 16 WHEN 7 THEN NULL WHEN 8 THEN '"data":null' ELSE '"data":' || props END,
-      '"metadata":{{}}') || '}}' END AS raw,
-    event_id AS arrival_seq, ts AS received_at
-  FROM events)""",
+    "envelope_raw": f"""envelope_parts AS (
+  SELECT event_id, ts, event_id % 16 AS fault, CASE WHEN event_id % 16 >= 14 THEN (event_id // 128) % 8 ELSE 0 END AS odd,
+    CASE WHEN event_id % 16 = 9 THEN '"robot_id":null'
+         ELSE '"robot_id":"' || CASE WHEN event_id % 16 = 10 THEN 'robot-' || repeat('x', 54) ELSE {_RID} END || '"' END AS robot,
+    CASE event_id % 16 WHEN 5 THEN NULL WHEN 6 THEN '"sensor_id":null'
+         ELSE '"sensor_id":"sensor-' || CASE WHEN event_id % 16 >= 14 AND (event_id // 128) % 8 = 6 THEN '\\u0041' ELSE CAST(event_id % 3 AS VARCHAR) END || '"' END AS sensor,
+    CASE event_id % 16 WHEN 4 THEN NULL WHEN 3 THEN '"data_type":null' WHEN 2 THEN '"data_type":"bogus"'
+         ELSE '"data_type":"' || ['telemetry','sensor_image','point_cloud','imu','odometry','diagnostics','command','status'][CAST((event_id // 16) % 8 AS INTEGER) + 1] || '"' END AS dtype,
+    CASE event_id % 16 WHEN 0 THEN NULL WHEN 1 THEN '"timestamp":"not-a-date"' WHEN 13 THEN '"timestamp":"2025"'
+         ELSE '"timestamp":"' || {_TS_TEXT} || '"' END AS stamped,
+    CASE event_id % 16 WHEN 7 THEN NULL WHEN 8 THEN 'null'
+         ELSE CASE CASE WHEN event_id % 16 >= 14 THEN (event_id // 128) % 8 ELSE 0 END
+              WHEN 2 THEN '{{"k":NaN}}' WHEN 4 THEN '{{"k":' || repeat('123456789', 5) || '}}' WHEN 5 THEN '{{ "k" :' || chr(9) || '7 }}' WHEN 7 THEN '{{"k":0,"k":5}}'
+              ELSE props END END AS data_text
+  FROM events),
+envelope_raw AS (
+  SELECT CASE fault WHEN 11 THEN '[1,2]' WHEN 12 THEN '{{bad' ELSE
+      CASE odd WHEN 5 THEN chr(10) || ' {{' || chr(9) ELSE '{{' END
+      || concat_ws(',', CASE odd WHEN 1 THEN '"robot_id":"ghost"' END, robot, sensor, dtype, stamped, '"data":' || data_text, '"metadata":{{}}')
+      || CASE odd WHEN 5 THEN ' }}' || chr(10) WHEN 3 THEN '}} x' ELSE '}}' END END AS raw,
+    -- what an odd message decodes to, for JSON functions that do not read it; data is taken from data_text
+    CASE WHEN fault = 11 THEN '[1,2]' WHEN fault = 12 OR odd = 3 THEN '{{bad' ELSE '{{' || concat_ws(',', robot, sensor, dtype, stamped, '"data":0', '"metadata":{{}}') || '}}' END AS plain,
+    odd, data_text, event_id AS arrival_seq, ts AS received_at
+  FROM envelope_parts)""",
     "status_events": f"""status_events AS (
   SELECT {_RID} AS robot_id, ts AS time,
          (event_id * 7919) % 100003 + (event_id // 100003) * 100003 AS arrival_seq,
@@ -45,7 +54,7 @@ VIEWS = {
            CASE WHEN event_id % 7 = 0 THEN NULL ELSE '"battery_level":' || CAST(least(value, 100.0) AS VARCHAR) END,
            '"location":' || props,
            CASE WHEN event_id % 3 = 0 THEN '"active_mission":null'
-                ELSE '"active_mission":"mission-' || CAST({_K} AS VARCHAR) || '"' END) || '}}' AS data
+                ELSE '"active_mission":"mission-' || CAST({_K} AS VARCHAR) || '"' END) || '}}' AS data, props AS location_text
   FROM events WHERE event_type = 'signup')""",
 }
 
@@ -57,7 +66,7 @@ VIEWS["http_body"] = f"""http_body AS (
   SELECT {_RID} AS robot_id, ts + to_milliseconds(event_id % 250) AS received_at,
          CASE WHEN event_id % 2 = 1 THEN '{{"timestamp":"' || {_TS_TEXT} || '","data":' || props || '}}'
               ELSE '{{"data":' || props || '}}' END AS body,
-         event_id AS arrival_seq
+         event_id AS arrival_seq, props AS data_text
   FROM events)"""
 
 VIEWS["blobs_in"] = """blobs_in AS (
@@ -74,11 +83,11 @@ VIEWS["blobs_in"] = """blobs_in AS (
 # Envelope parsed with DuckDB's JSON functions; reject reasons in the same order
 # as the library's.
 VIEWS["envelope_parsed"] = """envelope_j AS (
-  SELECT arrival_seq, raw, CASE WHEN json_valid(raw) THEN CAST(raw AS JSON) END AS j FROM envelope_raw),
+  SELECT arrival_seq, raw, odd, data_text, CASE WHEN json_valid(plain) THEN CAST(plain AS JSON) END AS j FROM envelope_raw),
 envelope_k AS (
   SELECT *, CASE WHEN json_type(j) = 'OBJECT' THEN json_keys(j) END AS keys FROM envelope_j),
 envelope_f AS (
-  SELECT arrival_seq, raw, j, keys,
+  SELECT arrival_seq, raw, odd, j, keys,
     j->>'robot_id' AS robot_id,
     CASE WHEN list_contains(keys, 'sensor_id') THEN j->>'sensor_id' ELSE 'unknown' END AS sensor_id,
     CASE WHEN NOT list_contains(keys, 'data_type') THEN 'telemetry'
@@ -87,7 +96,7 @@ envelope_f AS (
          THEN j->>'data_type' END AS data_type,
     CASE WHEN json_type(j, '$.timestamp') = 'VARCHAR' AND regexp_matches(j->>'timestamp', '^\\d{4}-\\d{2}-\\d{2}')
          THEN TRY_CAST(j->>'timestamp' AS TIMESTAMP) END AS ts,
-    CASE WHEN list_contains(keys, 'data') THEN coalesce(CAST(j->'data' AS VARCHAR), 'null') ELSE '{}' END AS data,
+    coalesce(data_text, '{}') AS data,
     CASE WHEN list_contains(keys, 'metadata') THEN coalesce(CAST(j->'metadata' AS VARCHAR), 'null') ELSE '{}' END AS metadata
   FROM envelope_k),
 envelope_parsed AS (
@@ -96,10 +105,11 @@ envelope_parsed AS (
     WHEN keys IS NULL THEN 'not_object'
     WHEN data_type IS NULL THEN 'bad_data_type'
     WHEN ts IS NULL THEN 'bad_timestamp'
+    WHEN data_type IN ('telemetry','imu','odometry','status') AND odd = 2 THEN 'not_storable'
     WHEN data_type IN ('telemetry','imu','odometry','status') AND robot_id IS NULL THEN 'missing_robot_id'
     WHEN data_type IN ('telemetry','imu','odometry','status') AND length(robot_id) > 50 THEN 'robot_id_too_long'
     WHEN data_type IN ('telemetry','imu','odometry','status') AND coalesce(length(sensor_id), 0) > 50 THEN 'sensor_id_too_long'
-    WHEN data_type = 'status' AND coalesce(json_type(CAST(data AS JSON)), '') <> 'OBJECT' THEN 'bad_status_payload'
+    WHEN data_type = 'status' AND coalesce(json_type(TRY_CAST(data AS JSON)), '') <> 'OBJECT' THEN 'bad_status_payload'
     END AS reject_reason
   FROM envelope_f)"""
 

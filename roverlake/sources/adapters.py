@@ -26,7 +26,11 @@ from roverlake.sources.tables import load, spread
 #   0 no timestamp, 1 timestamp 'not-a-date', 2 type 'bogus', 3 type null,
 #   4 no type, 5 no sensor, 6 sensor null, 7 no data, 8 data null,
 #   9 robot null, 10 robot id of 60 characters, 11 '[1,2]', 12 '{bad',
-#   13 timestamp '2025', 14 and 15 valid
+#   13 timestamp '2025', 14 and 15 valid or odd
+# Odd envelopes by (event_id div 128) % 8, where the fault is 14 or 15:
+#   0 none, 1 an earlier robot_id "ghost", 2 data with NaN, 3 trailing text,
+#   4 data with a number of 45 digits, 5 blanks around tokens,
+#   6 an escape in the sensor id, 7 a repeated key in data
 # Status values by event_id % 5: online, offline, error, charging, maintenance
 # Edge event kind: signup -> register, view/click -> heartbeat, purchase -> deploy
 # Command by order priority: 1 move (linear, angular), 2 move (no values),
@@ -40,6 +44,7 @@ EVENT_TYPE_TO_DATA_TYPE = {
 ENVELOPE_TYPES = ("telemetry", "sensor_image", "point_cloud", "imu", "odometry", "diagnostics", "command", "status")
 STATUS_CYCLE = ("online", "offline", "error", "charging", "maintenance")
 EDGE_KIND = {"signup": "register", "view": "heartbeat", "click": "heartbeat", "error": "heartbeat", "purchase": "deploy"}
+LONG_NUMBER = "123456789" * 5
 PERMUTATION_PRIME = 7919
 PERMUTATION_BLOCK = 100003
 
@@ -101,16 +106,21 @@ def envelope_raw(spark, sf_dir) -> DataFrame:
 
 
 def envelope_raw_of(e: DataFrame) -> DataFrame:
-    """Raw JSON envelopes, one per event, with faults by ``event_id % 16``."""
+    """Raw JSON envelopes, one per event, with faults by ``event_id % 16``; those of
+    14 and 15 are odd, but for trailing text legal, by ``event_id div 128 % 8``."""
     fault = F.col("event_id") % 16
+    odd = F.when(fault >= 14, F.floor(F.col("event_id") / 128) % 8).otherwise(0)
     dtype = F.element_at(F.array(*[F.lit(t) for t in ENVELOPE_TYPES]), ((F.floor(F.col("event_id") / 16) % 8) + 1).cast("int"))
     ts_text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     rid = F.when(fault == 10, F.concat(F.lit("robot-"), F.repeat(F.lit("x"), 54)))\
         .otherwise(robot_id("user_id"))
+    sensor = F.when(odd == 6, F.lit("\\u0041")).otherwise((F.col("event_id") % 3).cast("string"))
+    data = _map(odd, {2: '{"k":NaN}', 4: '{"k":%s}' % LONG_NUMBER, 5: '{ "k" :\t7 }', 7: '{"k":0,"k":5}'}).otherwise(F.col("props"))
     parts = [
+        F.when(odd == 1, F.lit('"robot_id":"ghost"')),
         F.when(fault == 9, F.lit('"robot_id":null')).otherwise(F.concat(F.lit('"robot_id":'), _q(rid))),
         F.when(fault == 5, F.lit(None)).when(fault == 6, F.lit('"sensor_id":null'))
-        .otherwise(F.concat(F.lit('"sensor_id":"sensor-'), (F.col("event_id") % 3).cast("string"), F.lit('"'))),
+        .otherwise(F.concat(F.lit('"sensor_id":"sensor-'), sensor, F.lit('"'))),
         F.when(fault == 4, F.lit(None)).when(fault == 3, F.lit('"data_type":null'))
         .when(fault == 2, F.lit('"data_type":"bogus"'))
         .otherwise(F.concat(F.lit('"data_type":'), _q(dtype))),
@@ -118,10 +128,10 @@ def envelope_raw_of(e: DataFrame) -> DataFrame:
         .when(fault == 13, F.lit('"timestamp":"2025"'))
         .otherwise(F.concat(F.lit('"timestamp":'), _q(ts_text))),
         F.when(fault == 7, F.lit(None)).when(fault == 8, F.lit('"data":null'))
-        .otherwise(F.concat(F.lit('"data":'), F.col("props"))),
+        .otherwise(F.concat(F.lit('"data":'), data)),
         F.lit('"metadata":{}'),
     ]
-    obj = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    obj = F.concat(F.when(odd == 5, "\n {\t").otherwise("{"), F.concat_ws(",", *parts), F.when(odd == 5, " }\n").when(odd == 3, "} x").otherwise("}"))
     raw = F.when(fault == 11, F.lit("[1,2]")).when(fault == 12, F.lit("{bad")).otherwise(obj)
     return e.select(
         raw.alias("raw"),
@@ -319,6 +329,17 @@ def blobs_in(spark, sf_dir) -> DataFrame:
     return pages.unionByName(docs)
 
 
+def blob_messages(spark, sf_dir) -> DataFrame:
+    """The large payloads as raw messages, with metadata, as they come from the topic."""
+    b = blobs_in(spark, sf_dir)
+    parts = [
+        F.concat(F.lit(f'"{key}":'), _q(value))
+        for key, value in (("robot_id", F.col("robot_id")), ("sensor_id", F.col("sensor_id")), ("data_type", F.col("data_type")), ("timestamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")))
+    ]
+    raw = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit(',"data":'), "data", F.lit(',"metadata":{"seq":'), F.col("arrival_seq").cast("string"), F.lit(', "unit": null}}'))
+    return b.select(raw.alias("raw"), "arrival_seq", F.col("ts").alias("received_at"))
+
+
 def robot_id_expr(c: Column) -> Column:
     return F.concat(F.lit("robot-"), c.cast("string"))
 

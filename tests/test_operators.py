@@ -72,7 +72,7 @@ def test_envelope_rejects_overlong_status(spark):
     df = spark.createDataFrame([(r, i) for i, r in enumerate(raws)], "raw string, arrival_seq long")
     out = env.parse_envelope(df).orderBy("arrival_seq").collect()
     assert [r.reject_reason for r in out] == ["status_too_long", None, "bad_battery_level", "bad_status_payload", None, None]
-    assert (out[5].data_type, out[5].sensor_id, out[5].data, out[5].metadata) == ("telemetry", "unknown", '"abc"', "[1,2]")
+    assert (out[5].data_type, out[5].sensor_id, out[5].data, out[5].metadata) == ("telemetry", "unknown", '"abc"', "[1, 2]")  # slices of the message
 
 
 def _battery_model(ps):
