@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roverlake.functions import sensors as SF
+from roverlake.functions.time import parse_width
 from roverlake.operators.scan import DEFAULT_CHUNK, chunk_of, running
 
 ORDER = ("time", "arrival_seq")
@@ -134,3 +135,116 @@ def snapshots(
         for c, d in channels.items()
     ]
     return per_tick.select("robot_id", "tick", *values, "readings", SF.snapshot_metadata().alias("metadata"))
+
+
+def by_channel(readings: DataFrame, channels) -> DataFrame:
+    """Readings in long form (``channel, reading``) with one column for each channel;
+    a NaN is no reading."""
+    value = F.col("reading").cast("double")
+    return readings.select(
+        "robot_id", "time", "arrival_seq",
+        *[F.when((F.col("channel") == c) & ~F.isnan(value), value).alias(c) for c in channels])
+
+
+def dense_snapshots(
+    messages: DataFrame,
+    channels: dict[str, Column],
+    start: Column,
+    end: Column,
+    tick_seconds: int = 2,
+    chunk: str = DEFAULT_CHUNK,
+    robots: DataFrame | None = None,
+) -> DataFrame:
+    """Newest value of every channel at every tick of the closed range (J4, dense).
+
+    ``messages``: ``robot_id, time, arrival_seq`` and a column for each channel of any
+    type (NULL: this message says nothing of it). ``channels``: name -> value before
+    the first reading. ``robots`` (column ``robot_id``) are those with a series; by
+    default all of ``messages``. Each has every tick, before its first reading too; a
+    reading exactly on a tick is in it. Messages without a robot or a time are left out.
+
+    Ticks are generated by (robot, chunk), so a long series is many tasks' work. What
+    lies before the range is folded to one row for each robot by partial aggregates;
+    inside it, values run through chunks with a carry-in, like ``snapshots``.
+    """
+    width = parse_width(chunk)[0] * 1_000_000
+    step = tick_seconds * 1_000_000
+    if width % step:
+        raise ValueError("a chunk must hold whole ticks")
+    bounds = F.struct(F.unix_micros(start.cast("timestamp")).alias("low"), F.unix_micros(end.cast("timestamp")).alias("high"))
+    known = messages.where("robot_id is not null and time is not null")
+    us = F.unix_micros(F.col("time").cast("timestamp"))
+    names = list(channels)
+    known = known.select("robot_id", us.alias("us"), "arrival_seq", *names, bounds.alias("range"))
+
+    # one opening row for each robot: the newest values before the range
+    order = F.struct("us", "arrival_seq")
+    before = known.where(F.col("us") < F.col("range.low")).groupBy("robot_id").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in names], F.first("range").alias("range"))
+    opening = before.select("robot_id", F.col("range.low").alias("us"), F.lit(0).alias("part"), F.lit(None).cast(known.schema["arrival_seq"].dataType).alias("arrival_seq"), *names)
+    inside = known.where(F.col("us").between(F.col("range.low"), F.col("range.high")))
+    inside = inside.select("robot_id", "us", F.lit(1).alias("part"), "arrival_seq", *names)
+
+    who = (robots if robots is not None else known).select("robot_id").where("robot_id is not null").distinct().withColumn("range", bounds)
+    first, last = F.ceil(F.col("range.low") / step) * step, F.floor(F.col("range.high") / step) * step
+    spans = who.withColumns({"first": first.cast("long"), "last": last.cast("long")}).where("first <= last")
+    spans = spans.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))))
+    spans = spans.repartition("robot_id", "chunk")  # a long series is generated by many tasks
+    low, high = F.greatest("first", F.ceil(F.col("chunk") * width / step) * step), F.least("last", (F.col("chunk") + 1) * width - step)
+    ticks = spans.select("robot_id", F.explode(F.sequence(low.cast("long"), high.cast("long"), F.lit(step).cast("long"))).alias("us"))
+    ticks = ticks.select("robot_id", "us", F.lit(2).alias("part"))
+
+    rows = opening.unionByName(inside).unionByName(ticks, allowMissingColumns=True).withColumn("_chunk", F.floor(F.col("us") / width).cast("long"))
+    filled = running(rows, "robot_id", ("us", "part", "arrival_seq"), "_chunk", lasts={f"_f_{c}": F.col(c) for c in names})
+    values = [F.coalesce(F.col(f"_f_{c}"), default).alias(c) for c, default in channels.items()]
+    return filled.where("part = 2").select("robot_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("tick"), *values)
+
+
+def bridge_messages(odometry: DataFrame, scans: DataFrame, imu: DataFrame, battery: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """The bridge's callbacks as messages for ``dense_snapshots`` or ``bridge_record``: what
+    each sensor message sets in the robot's cache (F13-F16, A11). Inputs share
+    ``robot_id, time, arrival_seq``; see the column names below for the rest."""
+    at = ["robot_id", "time", "arrival_seq"]
+    odom = odometry.select(*at, SF.odometry_state("px", "py", "pz", "ox", "oy", "oz", "ow", "vx", "vy", "wz").alias("o"), F.col("time").alias("last_update"))
+    odom = odom.select(*at, "o.position", "o.orientation", "o.velocity", "last_update")
+    laser = scans.select(
+        *at, SF.laser_downsample("ranges").alias("laser_ranges"),
+        SF.laser_info("ranges", "angle_min", "angle_max", "angle_increment", "range_min", "range_max").alias("laser_info"))
+    inertia = imu.select(*at, SF.imu_state("ax", "ay", "az", "gx", "gy", "gz", "ox", "oy", "oz", "ow").alias("imu"))
+    power = battery_series(battery).select(*at, "battery")
+    health = diagnostics.select(*at, SF.diagnostics_map("status").alias("diagnostics"), SF.diagnostics_status("status").alias("status"))
+    out = odom
+    for other in (laser, inertia, power, health):
+        out = out.unionByName(other, allowMissingColumns=True)
+    return out
+
+
+def bridge_defaults(messages: DataFrame) -> dict[str, Column]:
+    """The cache before the first message, by channel (``last_update``, set when the
+    bridge starts, and what has no start value are NULL)."""
+    def start(name: str, value: Column) -> Column:
+        return value.cast(messages.schema[name].dataType.simpleString())  # every part may be NULL
+
+    def zeros(*names: str, **others: float) -> Column:
+        return F.struct(*[F.lit(0.0).alias(n) for n in names], *[F.lit(v).alias(n) for n, v in others.items()])
+
+    nothing = F.lit(None)
+    return {
+        "battery": F.lit(SF.BATTERY_START),
+        "position": start("position", zeros("x", "y", "z")),
+        "orientation": start("orientation", zeros("x", "y", "z", w=1.0)),
+        "velocity": start("velocity", zeros("linear", "angular")),
+        "laser_ranges": start("laser_ranges", F.array()),
+        "laser_info": start("laser_info", nothing),
+        "imu": start("imu", F.struct(zeros("x", "y", "z").alias("linear_accel"), zeros("x", "y", "z").alias("angular_vel"), nothing.cast("struct<x: double, y: double, z: double, w: double>").alias("orientation"))),
+        "diagnostics": start("diagnostics", nothing),
+        "status": F.lit(SF.STATUS_START),
+        "last_update": start("last_update", nothing),
+    }
+
+
+def bridge_record(messages: DataFrame, start: Column, end: Column, tick_seconds: int = 2, chunk: str = DEFAULT_CHUNK) -> DataFrame:
+    """The whole cache of each robot at every tick of the range, as the bridge sends it
+    (J4, F22): one row a tick with ``data`` fields and the constant metadata."""
+    dense = dense_snapshots(messages, bridge_defaults(messages), start, end, tick_seconds, chunk)
+    return dense.withColumns({"temperature": F.lit(SF.TEMPERATURE_START), "metadata": SF.snapshot_metadata()})

@@ -224,12 +224,14 @@ FROM sampled, LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i) u""",
     "diagnostics_rollup": """
 WITH d AS (
   SELECT 'robot-' || CAST(user_id AS VARCHAR) AS robot_id, event_id AS arrival_seq,
-         CAST(props->>'k' AS BIGINT) % 3 AS l0, (CAST(props->>'k' AS BIGINT) + 1) % 2 AS l1, event_id % 3 AS l2
+         CAST(props->>'k' AS BIGINT) AS k, CAST(props->>'k' AS BIGINT) % 3 AS l0, (CAST(props->>'k' AS BIGINT) + 1) % 2 AS l1, event_id % 3 AS l2
   FROM events WHERE event_type = 'error')
 SELECT robot_id, arrival_seq,
        CASE WHEN greatest(l0, l1, l2) > 1 THEN 'warning' WHEN greatest(l0, l1, l2) > 0 THEN 'degraded'
             ELSE 'active' END AS status,
-       2 AS entries, CAST(l2 AS INTEGER) AS d0_level, CAST(l1 AS INTEGER) AS d1_level
+       2 AS entries, CAST(l2 AS INTEGER) AS d0_level, CAST(l1 AS INTEGER) AS d1_level,
+       CASE WHEN l2 % 2 = 1 THEN CAST(arrival_seq AS VARCHAR) ELSE CAST(k AS VARCHAR) END AS d0_volts,
+       CASE WHEN l1 % 2 = 0 THEN CAST(arrival_seq AS VARCHAR) END AS d1_amps
 FROM d""",
     "battery_series": with_views("battery_raw") + """,
 g AS (
@@ -247,6 +249,56 @@ FROM i""",
     "snapshot_2s": _snapshot_sql(),
 })
 
+# every tick of the ten minutes that end a minute before the newest row
+_TICKS = """bounds AS (
+  SELECT epoch_us(max(ts) - INTERVAL 11 MINUTE) AS low, epoch_us(max(ts) - INTERVAL 1 MINUTE) AS high FROM events),
+ticks AS (
+  SELECT robot_id, make_timestamp(CAST(t * 2000000 AS BIGINT)) AS tick
+  FROM (SELECT DISTINCT 'robot-' || CAST(user_id AS VARCHAR) AS robot_id FROM events),
+       (SELECT unnest(range((low + 1999999) // 2000000, high // 2000000 + 1)) AS t FROM bounds))"""
+
+
+def _newest(source: str, value: str, where: str, name: str) -> str:
+    """CTE with each tick's newest row of ``source`` that ``where`` picks."""
+    return f"""{name} AS (
+  SELECT t.robot_id, t.tick, {value} FROM ticks t ASOF LEFT JOIN (
+    SELECT * FROM {source} WHERE {where} QUALIFY row_number() OVER (PARTITION BY robot_id, time ORDER BY arrival_seq DESC) = 1) s
+  ON t.robot_id = s.robot_id AND t.tick >= s.time)"""
+
+
+def _dense_sql() -> str:
+    parts = [_newest("channel_readings", f"s.reading AS {c}", f"channel = '{c}'", f"c_{c}") for c in _SNAP_CH]
+    values = ", ".join(f"coalesce({c}, {_SNAP_DEFAULT[c]}) AS {c}" if _SNAP_DEFAULT[c] else c for c in _SNAP_CH)
+    joins = " ".join(f"JOIN c_{c} USING (robot_id, tick)" for c in _SNAP_CH)
+    return with_views("channel_readings").rstrip() + ",\n" + _TICKS + ",\n" + ",\n".join(parts) + f"\nSELECT robot_id, tick, {values} FROM ticks {joins}"
+
+
+ORACLE["snapshot_dense"] = _dense_sql()
+ORACLE["bridge_record"] = f"""
+WITH {_TICKS},
+e AS (
+  SELECT 'robot-' || CAST(user_id AS VARCHAR) AS robot_id, ts AS time, event_id AS arrival_seq, event_type, value, CAST(props->>'k' AS BIGINT) AS k FROM events),
+islands AS (
+  SELECT *, CASE WHEN arrival_seq % 4 = 0 THEN (k % 100) / 100.0 ELSE 0 END AS p,
+         sum(CASE WHEN arrival_seq % 4 = 0 AND k % 100 > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY robot_id ORDER BY time, arrival_seq ROWS UNBOUNDED PRECEDING) AS island
+  FROM e WHERE event_type = 'signup'),
+charge AS (
+  SELECT robot_id, time, arrival_seq,
+         greatest(0, CASE WHEN island = 0 THEN 100.0 ELSE first_value(p * 100) OVER w END - 0.01 * (row_number() OVER w - CASE WHEN island = 0 THEN 0 ELSE 1 END)) AS level
+  FROM islands WINDOW w AS (PARTITION BY robot_id, island ORDER BY time, arrival_seq)),
+{_newest("charge", "s.level AS battery", "true", "b")},
+{_newest("e", "s.time AS last_update, s.value AS ov, s.k AS ok", "event_type = 'purchase'", "o")},
+{_newest("e", "s.value AS lv", "event_type = 'view'", "l")},
+{_newest("e", "s.k AS ik", "event_type = 'click'", "i")},
+{_newest("e", "s.k AS dk, s.arrival_seq AS ds", "event_type = 'error'", "d")}
+SELECT robot_id, tick, round(coalesce(battery, 100.0), 6) AS battery, coalesce(ov, 0.0) AS x, coalesce(CAST(ok AS DOUBLE), 0.0) AS y, coalesce(ok / 100, 0.0) AS z, CAST(1.0 AS DOUBLE) AS w,
+       coalesce(sqrt(ov * ov + CAST(ok AS DOUBLE) * ok), 0.0) AS linear, coalesce(ov / 100, 0.0) AS angular,
+       CASE WHEN lv IS NULL THEN 0 ELSE 40 END AS beams, round(lv + 39 / 3, 6) AS last_beam, CASE WHEN lv IS NOT NULL THEN 40 END AS sampled_points,
+       coalesce(ik / 10, 0.0) AS accel_y, CASE WHEN ik IS NOT NULL THEN CAST(1.0 AS DOUBLE) END AS orient_w,
+       CASE WHEN dk IS NULL THEN 'active' WHEN greatest(dk % 3, (dk + 1) % 2, ds % 3) > 1 THEN 'warning' WHEN greatest(dk % 3, (dk + 1) % 2, ds % 3) > 0 THEN 'degraded' ELSE 'active' END AS status,
+       CAST(ds % 3 AS INTEGER) AS d0_level, CAST(25.0 AS DOUBLE) AS temperature, last_update, 'turtlebot3' AS robot_type
+FROM ticks JOIN b USING (robot_id, tick) JOIN o USING (robot_id, tick) JOIN l USING (robot_id, tick) JOIN i USING (robot_id, tick) JOIN d USING (robot_id, tick)"""
+
 _EDGE = with_views("edge_log")
 
 ORACLE.update({
@@ -327,3 +379,5 @@ ORACLE["stream_snapshot_2s"] = (
 QUALIFY NOT (tick = max(tick) OVER (PARTITION BY robot_id)
              AND epoch_ms(tick) >= (SELECT epoch_ms(max(ts)) FROM events))"""
 )
+
+ORACLE["stream_snapshot_dense"] = ORACLE["snapshot_dense"]

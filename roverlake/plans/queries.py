@@ -7,6 +7,7 @@ operators; ``__spark_entry__`` exposes this registry to the driver and
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 
@@ -27,6 +28,7 @@ from roverlake.session import checkpoint_dir
 from roverlake.sources import adapters as ad
 from roverlake.sources import sinks
 from roverlake.sources import streams as srcs
+from roverlake.streaming import dense
 from roverlake.streaming import ingest as ing
 from roverlake.streaming import liveness as live
 from roverlake.streaming import snapshots as snaps
@@ -302,6 +304,8 @@ def diagnostics_rollup(spark, sf_dir):
         F.size("diagnostics").alias("entries"),
         F.col("diagnostics")["d0"]["level"].alias("d0_level"),
         F.col("diagnostics")["d1"]["level"].alias("d1_level"),
+        F.col("diagnostics")["d0"]["values"]["volts"].alias("d0_volts"),
+        F.col("diagnostics")["d1"]["values"]["amps"].alias("d1_amps"),
     )
 
 
@@ -317,6 +321,31 @@ def snapshot_2s(spark, sf_dir):
     return s.select("robot_id", "tick", *SNAPSHOT_CHANNELS, "readings", F.col("metadata.source").alias("source"))
 
 
+def _dense_range(df: DataFrame, time: str = "time"):
+    """The ten minutes that end a minute before the newest row."""
+    newest = df.agg(F.max(time)).scalar()
+    return newest - F.expr("INTERVAL 11 MINUTES"), newest - F.expr("INTERVAL 1 MINUTE")
+
+
+@query("snapshot_dense")
+def snapshot_dense(spark, sf_dir):
+    """Every 2 s tick of a range, for every robot: newest value of each channel."""
+    readings = ad.channel_readings(spark, sf_dir)
+    channels = {c: F.lit(v).cast("double") for c, v in SNAPSHOT_CHANNELS.items()}
+    return sens.dense_snapshots(sens.by_channel(readings, channels), channels, *_dense_range(readings), chunk="2 minutes")
+
+
+@query("bridge_record")
+def bridge_record(spark, sf_dir):
+    """The bridge's whole cache at every 2 s tick of a range, for every robot."""
+    r = sens.bridge_record(sens.bridge_messages(**ad.bridge_inputs(spark, sf_dir)), *_dense_range(ad.telemetry(spark, sf_dir)), chunk="2 minutes")
+    return r.select(
+        "robot_id", "tick", F.round("battery", 6).alias("battery"), "position.x", "position.y", "orientation.z", "orientation.w", "velocity.linear", "velocity.angular",
+        F.size("laser_ranges").alias("beams"), F.round(F.try_element_at("laser_ranges", F.lit(-1)), 6).alias("last_beam"),
+        F.col("laser_info.sampled_points").alias("sampled_points"), F.col("imu.linear_accel.y").alias("accel_y"), F.col("imu.orientation.w").alias("orient_w"),
+        "status", F.col("diagnostics")["d0"]["level"].alias("d0_level"), "temperature", "last_update", F.col("metadata.robot_type").alias("robot_type"))
+
+
 # --- edge nodes ---------------------------------------------------------------
 
 
@@ -497,3 +526,16 @@ def stream_snapshot_2s(spark, sf_dir):
                 .trigger(availableNow=True).start())
     out = spark.read.parquet(f"{base}/out").drop("late")
     return out.withColumn("tick", F.col("tick").cast("timestamp_ntz"))
+
+
+@query("stream_snapshot_dense")
+def stream_snapshot_dense(spark, sf_dir):
+    """Every tick of the range on a stream in several micro-batches."""
+    base = _scratch(spark, "dense")
+    newest = ad.events(spark, sf_dir).agg(F.max("ts")).first()[0] or dt.datetime(1970, 1, 2)
+    rows = dense.dense_stream(
+        ad.channel_readings_of(_stream_events(spark, sf_dir)), SNAPSHOT_CHANNELS, newest - dt.timedelta(minutes=11), newest - dt.timedelta(minutes=1), watermark="0 seconds")
+    _run_to_end(rows.writeStream.format("parquet").option("path", f"{base}/out")
+                .option("checkpointLocation", f"{base}/ckpt").outputMode("append")
+                .trigger(availableNow=True).start())
+    return dense.ticks(spark.read.parquet(f"{base}/out")).withColumn("tick", F.col("tick").cast("timestamp_ntz"))

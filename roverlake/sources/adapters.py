@@ -268,7 +268,8 @@ def lidar(spark, sf_dir) -> DataFrame:
 
 
 def diagnostics(spark, sf_dir) -> DataFrame:
-    """Diagnostic arrays (error events): three entries, one repeated name."""
+    """Diagnostic arrays (error events): three entries, one repeated name, each with two
+    values of which the key of odd levels is repeated."""
     e = events(spark, sf_dir).where(F.col("event_type") == "error")
     k, eid = _k(), F.col("event_id")
 
@@ -276,6 +277,10 @@ def diagnostics(spark, sf_dir) -> DataFrame:
         return F.struct(
             F.lit(name).alias("name"), level.cast("int").alias("level"),
             F.concat(F.lit(name), F.lit(" level "), level.cast("string")).alias("message"),
+            F.array(
+                F.struct(F.lit("volts").alias("key"), k.cast("string").alias("value")),
+                F.struct(F.when(level % 2 == 1, "volts").otherwise("amps").alias("key"), eid.cast("string").alias("value")),
+            ).alias("values"),
         )
 
     return e.select(
@@ -286,6 +291,29 @@ def diagnostics(spark, sf_dir) -> DataFrame:
     )
 
 
+def bridge_inputs(spark, sf_dir) -> dict[str, DataFrame]:
+    """The bridge's sensor messages by kind: poses and twists (purchases), laser scans of
+    40 beams (views, every beam a third longer), inertia (clicks), battery (signups), diagnostics (errors)."""
+    e = events(spark, sf_dir)
+    at = [robot_id("user_id").alias("robot_id"), F.col("ts").alias("time"), F.col("event_id").alias("arrival_seq")]
+
+    def of(event_type: str) -> DataFrame:
+        return e.where(F.col("event_type") == event_type)
+
+    k, zero = _k().cast("double"), F.lit(0.0)
+    return {
+        "odometry": of("purchase").select(
+            *at, F.col("value").alias("px"), k.alias("py"), zero.alias("pz"), zero.alias("ox"), zero.alias("oy"), (k / 100).alias("oz"), F.lit(1.0).alias("ow"),
+            F.col("value").alias("vx"), k.alias("vy"), (F.col("value") / 100).alias("wz")),
+        "scans": of("view").select(
+            *at, F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.col("value") + i / 3).alias("ranges"),
+            F.lit(-3.14).alias("angle_min"), F.lit(3.14).alias("angle_max"), F.lit(0.01).alias("angle_increment"), F.lit(0.12).alias("range_min"), F.lit(3.5).alias("range_max")),
+        "imu": imu(spark, sf_dir),
+        "battery": of("signup").select(*at, F.when(F.col("event_id") % 4 == 0, (_k() % 100) / 100.0).otherwise(0.0).alias("percentage")),
+        "diagnostics": diagnostics(spark, sf_dir),
+    }
+
+
 def channel_readings(spark, sf_dir) -> DataFrame:
     return channel_readings_of(events(spark, sf_dir))
 
