@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from roverlake.functions import json as J
 from roverlake.functions.exact_json import object_fields
+from roverlake.sources.keyed_table import KeyedTable
 
 # ---------------------------------------------------------------------------
 # Status defaults and battery bands.
@@ -76,6 +77,14 @@ def upsert_status(rows: DataFrame, previous: DataFrame | None = None, order: str
     return cand.groupBy("robot_id").agg(F.max_by(row, key).alias("s")).select("robot_id", "s.*")
 
 
+def status_table(path: str, order: str = "arrival", **options) -> KeyedTable:
+    """The status table that micro-batches update (S6, R5), in either order of W2."""
+    orders = {"arrival": ("arrival_seq",), "event_time": ("last_seen", "arrival_seq")}
+    if order not in orders:
+        raise ValueError("order must be 'arrival' or 'event_time'")
+    return KeyedTable(path, "robot_id", SNAPSHOT_COLUMNS, orders[order], **options)
+
+
 def is_online(status: Column | str = "status") -> Column:
     """IsOnline (P9)."""
     return F.coalesce(F.col(status) if isinstance(status, str) else status, F.lit("")) == ONLINE

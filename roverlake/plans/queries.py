@@ -26,7 +26,6 @@ from roverlake.operators import status as st
 from roverlake.operators import telemetry as tel
 from roverlake.session import checkpoint_dir
 from roverlake.sources import adapters as ad
-from roverlake.sources import sinks
 from roverlake.sources import streams as srcs
 from roverlake.streaming import dense
 from roverlake.streaming import ingest as ing
@@ -495,13 +494,10 @@ def stream_status_upsert(spark, sf_dir):
     base = _scratch(spark, "status")
     msgs = ad.status_events_of(_stream_events(spark, sf_dir))
 
-    def batch(df, bid):
-        prev = ing.previous_status(spark, f"{base}/out", bid)
-        sinks.write_status_version(st.upsert_status(st.status_rows(df), prev), f"{base}/out/status", bid)
-
-    _run_to_end(msgs.writeStream.option("checkpointLocation", f"{base}/ckpt").foreachBatch(batch)
+    table = st.status_table(f"{base}/status", buckets=8)
+    _run_to_end(msgs.writeStream.option("checkpointLocation", f"{base}/ckpt").foreachBatch(lambda df, bid: table.merge(st.status_rows(df), bid))
                 .trigger(availableNow=True).start())
-    return ing.read_status(spark, f"{base}/out")
+    return table.read(spark)
 
 
 @query("stream_node_offline")

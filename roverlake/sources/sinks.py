@@ -1,4 +1,4 @@
-"""Sink writers.
+"""Sink writers (S3, S4, S5, S9; the status table is ``sources.keyed_table``).
 
 Each writer takes the rows produced by ``operators.route`` / ``operators.status``
 and a target path; with a ``batch_id`` the path gets a ``batch=<id>``
@@ -56,15 +56,3 @@ def write_topics_kafka(topic_rows: DataFrame, brokers: str, compression: str = "
 
 def write_rejects(rejects: DataFrame, path: str, batch_id: int | None = None) -> None:
     rejects.write.mode("overwrite").parquet(_target(path, batch_id))
-
-
-STATUS_SLOTS = 2
-
-
-def write_status_version(snapshot: DataFrame, path: str, version: int, slot: int | None = None) -> None:
-    """Status snapshot version (S6): one row per robot, with its version number, in the
-    slot that its input does not lie in (``version % 2`` unless given). A repeated
-    batch still finds its input, and only two snapshots are ever kept. Readers take
-    the highest version present (a failed write leaves no data files in its slot)."""
-    out = snapshot.withColumn("version", F.lit(version).cast("long"))
-    out.write.mode("overwrite").parquet(_target(path, version % STATUS_SLOTS if slot is None else slot, "slot"))

@@ -18,7 +18,7 @@ Layout under ``out``::
     objects_current/slot=<0|1>/             compacted objects with the last batch folded in
     topics/batch=<id>/topic=<t>/            forwarded records (S5)
     rejects/batch=<id>/                     dead letters with reason
-    status/slot=<0|1>/                      status snapshot after batch <id>, with its version (S6, W2)
+    status/                                 status table: deltas by bucket, and manifests (S6, W2)
     runs/                                   run number of each stream id
     counts/batch=<id>/                      processed counter per type (A2)
 """
@@ -60,24 +60,6 @@ def run_number(spark: SparkSession, out: str, checkpoint: str, new_run: bool = F
     return run
 
 
-def _status_before(spark: SparkSession, out: str, batch_id: int) -> tuple[DataFrame | None, int]:
-    """Newest snapshot of an earlier batch, and its slot (-1: none)."""
-    try:
-        slots = spark.read.parquet(f"{out}/status").where(F.col("version") < batch_id)
-    except AnalysisException:
-        return None, -1
-    newest = slots.agg(F.max(F.struct("version", "slot")).alias("m")).select("m.*").first()
-    if newest["version"] is None:
-        return None, -1
-    before = spark.read.parquet(f"{out}/status/slot={newest['slot']}").where(F.col("version") == newest["version"]).drop("version")
-    return before, newest["slot"]
-
-
-def previous_status(spark: SparkSession, out: str, batch_id: int) -> DataFrame | None:
-    """Snapshot that the batch builds on."""
-    return _status_before(spark, out, batch_id)[0]
-
-
 def _arrived(batch: DataFrame, batch_id: int) -> DataFrame:
     """Adds the arrival order of sources without one: the batch, then the place of the
     line in the landed files (or the row, if there is no place)."""
@@ -113,9 +95,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str, status_order: str =
         rt.processed_by_type(acc).write.mode("overwrite").parquet(f"{out}/counts/batch={batch_id}")
         rows = st.status_rows(acc.where(F.col("data_type") == "status")
                               .withColumn("time", F.col("ts").cast("timestamp_ntz")))
-        before, slot = _status_before(spark, out, batch_id)
-        snap = st.upsert_status(rows, before, order=status_order)
-        sk.write_status_version(snap, f"{out}/status", batch_id, 0 if slot == 1 else 1)
+        st.status_table(f"{out}/status", status_order).merge(rows, batch_id)
     finally:
         parsed.unpersist()
 
@@ -183,11 +163,13 @@ def compact_objects(spark: SparkSession, out: str) -> int:
     return int(upto)
 
 
-def read_status(spark: SparkSession, out: str) -> DataFrame:
-    """Newest committed status snapshot."""
-    slots = spark.read.parquet(f"{out}/status")
-    newest = slots.agg(F.max("version")).scalar()
-    return slots.where(F.col("version") == newest).drop("version", "slot")
+def read_status(spark: SparkSession, out: str, order: str = "arrival", robot_id: str | None = None) -> DataFrame:
+    """Status rows of the newest committed batch, or that of one robot (its bucket is
+    read alone). ``order`` is that of the ingest job."""
+    rows = st.status_table(f"{out}/status", order).read(spark, robot_id)
+    if rows is None:
+        raise ValueError(f"{out} has no status table")
+    return rows
 
 
 def read_counts(spark: SparkSession, out: str) -> DataFrame:
