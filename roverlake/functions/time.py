@@ -48,8 +48,17 @@ def time_bucket(ts, interval: str) -> Column:
         months = (F.year(ts) - 2000) * 12 + F.month(ts) - 1
         start = F.add_months(F.lit(MONTH_ORIGIN).cast("date"), (F.floor(months / n) * n).cast("int"))
         return start.cast("timestamp_ntz")
+    return time_window(ts, interval)["start"]
+
+
+def time_window(ts, interval: str) -> Column:
+    """The bucket of fixed width that holds ``ts`` as a window (start, end): a grouping
+    that a watermark can close on a stream."""
+    n, kind = parse_width(interval)
+    if kind != "seconds":
+        raise ValueError(f"bucket width {interval!r} has no fixed length")
     offset = (BUCKET_ORIGIN_DAYS * 86400) % n
-    return F.window(ts, f"{n} seconds", f"{n} seconds", f"{offset} seconds")["start"]
+    return F.window(as_col(ts), f"{n} seconds", f"{n} seconds", f"{offset} seconds")
 
 
 # Fixed grammar of ISO 8601 texts: a calendar or week date, extended or basic, then

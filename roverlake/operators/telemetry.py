@@ -58,6 +58,19 @@ def query_telemetry(df: DataFrame, start, end, robot_id: str | None = None, data
     return out.orderBy(*order)
 
 
+def metric_buckets(df: DataFrame, metric_name: str, interval: str, per_robot: bool = True, on_bad: str = "null", bucket: Column | None = None) -> DataFrame:
+    """avg/min/max/count of one JSON field by time bucket (and robot), of the rows that have
+    it. ``bucket`` replaces the bucket's start as the grouping."""
+    x = J.to_double(J.field_text("value", metric_name), on_bad)
+    keys = ([F.col("robot_id")] if per_robot else []) + [(time_bucket("time", interval) if bucket is None else bucket).alias("bucket")]
+    return df.where(J.has_key("value", metric_name)).groupBy(*keys).agg(
+        F.avg(x).alias("avg_value"),
+        F.min(x).alias("min_value"),
+        F.max(x).alias("max_value"),
+        F.count(F.lit(1)).alias("data_points"),
+    )
+
+
 def aggregate_metrics(
     df: DataFrame,
     metric_name: str,
@@ -79,23 +92,10 @@ def aggregate_metrics(
     """
     as_of = F.current_timestamp().cast("timestamp_ntz") if as_of is None else _ts(as_of)
     since = as_of - F.expr(f"INTERVAL {horizon}")
-    cond = (F.col("time") > since) & _date_prune(df, since, None) & J.has_key("value", metric_name)
+    cond = (F.col("time") > since) & _date_prune(df, since, None)
     if robot_id is not None:
         cond = cond & (F.col("robot_id") == F.lit(robot_id))
-    x = J.to_double(J.field_text("value", metric_name), on_bad)
-    keys = [time_bucket("time", interval).alias("bucket")]
-    if robot_id is None:
-        keys = [F.col("robot_id")] + keys
-    out = (
-        df.where(cond)
-        .groupBy(*keys)
-        .agg(
-            F.avg(x).alias("avg_value"),
-            F.min(x).alias("min_value"),
-            F.max(x).alias("max_value"),
-            F.count(F.lit(1)).alias("data_points"),
-        )
-    )
+    out = metric_buckets(df.where(cond), metric_name, interval, robot_id is None, on_bad)
     order = [F.desc("bucket")] if robot_id is not None else [F.asc("robot_id"), F.desc("bucket")]
     return out.orderBy(*order)
 

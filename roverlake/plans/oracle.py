@@ -381,3 +381,13 @@ QUALIFY NOT (tick = max(tick) OVER (PARTITION BY robot_id)
 )
 
 ORACLE["stream_snapshot_dense"] = ORACLE["snapshot_dense"]
+ORACLE["stream_metric_rollup"] = with_views("telemetry") + """
+SELECT robot_id, time_bucket(INTERVAL 1 HOUR, time) AS bucket, round(avg(CAST(value->>'k' AS DOUBLE)), 6) AS avg_value,
+       min(CAST(value->>'k' AS DOUBLE)) AS min_value, max(CAST(value->>'k' AS DOUBLE)) AS max_value, count(*) AS data_points,
+       CASE WHEN epoch_ms(time_bucket(INTERVAL 1 HOUR, time)) + 3600000 <= (SELECT epoch_ms(max(ts)) FROM events) THEN 'closed' ELSE 'open' END AS state,
+       CAST(0 AS BIGINT) AS late_rows
+FROM telemetry WHERE json_exists(value, '$.k') GROUP BY 1, 2"""
+ORACLE["stream_requests_decided"] = _EDGE + """
+SELECT kind, node_id, seq, ts, model_id, epoch, kind = 'register' OR epoch > 0 AS accepted FROM edge_decided"""
+ORACLE["stream_deployment_status"] = ORACLE["deployment_status"]
+ORACLE["stream_registration_cache"] = ORACLE["registration_cache"]

@@ -28,8 +28,10 @@ from roverlake.session import checkpoint_dir
 from roverlake.sources import adapters as ad
 from roverlake.sources import streams as srcs
 from roverlake.streaming import dense
+from roverlake.streaming import edge as edge_streams
 from roverlake.streaming import ingest as ing
 from roverlake.streaming import liveness as live
+from roverlake.streaming import rollup
 from roverlake.streaming import snapshots as snaps
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -535,3 +537,41 @@ def stream_snapshot_dense(spark, sf_dir):
                 .option("checkpointLocation", f"{base}/ckpt").outputMode("append")
                 .trigger(availableNow=True).start())
     return dense.ticks(spark.read.parquet(f"{base}/out")).withColumn("tick", F.col("tick").cast("timestamp_ntz"))
+
+
+def _sent(spark, rows, name: str) -> DataFrame:
+    """What an append-mode stream has written when its input ends."""
+    base = _scratch(spark, name)
+    _run_to_end(rows.writeStream.format("parquet").option("path", f"{base}/out")
+                .option("checkpointLocation", f"{base}/ckpt").outputMode("append")
+                .trigger(availableNow=True).start())
+    return spark.read.parquet(f"{base}/out")
+
+
+@query("stream_metric_rollup")
+def stream_metric_rollup(spark, sf_dir):
+    """Hourly roll-up on a stream; windows still open when the input ends are listed as such."""
+    rows = rollup.rollup_stream(ad.telemetry_of(_stream_events(spark, sf_dir)), "k", "1 hour", watermark="0 seconds")
+    windows = rollup.settled(_sent(spark, rows, "rollup"), ad.telemetry(spark, sf_dir), "k", "1 hour")
+    return windows.withColumns({"bucket": F.col("bucket").cast("timestamp_ntz"), "avg_value": F.round("avg_value", 6)})
+
+
+@query("stream_requests_decided")
+def stream_requests_decided(spark, sf_dir):
+    """Acceptance of every request, with what was known when it arrived."""
+    decided = _sent(spark, edge_streams.decided_stream(ad.edge_log_of(_stream_events(spark, sf_dir))), "decided")
+    return decided.select("kind", "node_id", "seq", F.col("ts").cast("timestamp_ntz").alias("ts"), "model_id", "epoch", "accepted")
+
+
+@query("stream_deployment_status")
+def stream_deployment_status(spark, sf_dir):
+    """Deployments from the change log of their transitions."""
+    changes = _sent(spark, edge_streams.deployment_stream(ad.edge_log_of(_stream_events(spark, sf_dir)), watermark="0 seconds"), "deployments")
+    return edge_streams.deployments_now(changes).withColumn("deployed_at", F.col("deployed_at").cast("timestamp_ntz"))
+
+
+@query("stream_registration_cache")
+def stream_registration_cache(spark, sf_dir):
+    """Registration cache entries from the change log of their ends."""
+    changes = _sent(spark, edge_streams.registration_stream(ad.edge_log_of(_stream_events(spark, sf_dir)), watermark="0 seconds"), "registrations")
+    return edge_streams.cache_entries(changes).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("registered_at", "expires_at", "live_until")})

@@ -75,7 +75,10 @@ def events(spark, sf_dir, *cols) -> DataFrame:
 
 def telemetry(spark, sf_dir) -> DataFrame:
     """Stored time-series rows: one per event."""
-    e = events(spark, sf_dir)
+    return telemetry_of(events(spark, sf_dir))
+
+
+def telemetry_of(e: DataFrame) -> DataFrame:
     return e.select(
         F.col("event_id").alias("arrival_seq"),
         F.col("ts").alias("time"),
