@@ -35,6 +35,9 @@ from roverlake.llm.text import Words, buffers, mix, pieces, span_hashes
 LIMIT, MOST = 65536 // 3, 64
 WINDOW = 16
 MIN_WORDS = 20
+#: bits of the hash that tells texts of one id apart; with each chunk it is dealt out
+#: twice, and the upper half would be a seventh of what is moved
+TEXT = np.uint64(0xFFFFFFFF)
 
 
 def _gear(data: np.ndarray) -> np.ndarray:
@@ -85,7 +88,7 @@ def _chunks(batches):
         for a, b in pieces(texts):
             words, start, stop, digest = chunk(texts.slice(a, b - a))
             doc = words.doc[start]
-            whole = span_hashes(words.data, words.offsets[:-1], words.offsets[1:])
+            whole = span_hashes(words.data, words.offsets[:-1], words.offsets[1:]) & TEXT
             count = np.cumsum((words.data & 0xC0) != 0x80) if len(words.data) else np.empty(0, np.int64)
             base = np.concatenate([[0], count])[words.offsets[:-1]]
             lo = count[words.starts[start]] - 1 - base[doc]
@@ -127,7 +130,7 @@ def repeated_spans(documents: DataFrame, key: str = "doc_id", text: str = "text"
 
 def _hashed(texts: pa.Array) -> pa.Array:
     data, off = buffers(texts)
-    return pa.array(span_hashes(data, off[:-1], off[1:]).view(np.int64))
+    return pa.array((span_hashes(data, off[:-1], off[1:]) & TEXT).view(np.int64))
 
 
 def _without(texts: pa.Array, starts: pa.Array, lengths: pa.Array) -> pa.Array:
