@@ -4,7 +4,9 @@ A6-A8, S7, R4, F19, P12, P13).
 The reference keeps nodes and deployments in in-memory maps mutated by
 requests. Here the requests are an append-only log
 (``kind in register|heartbeat|deploy, node_id, seq, ts, status, cpu, mem,
-model_id, version``) and every read is an ``as_of`` query on it.
+model_id, version``, and where the requests carry them ``name, ip, cpu_cores,
+memory_gb, gpu_memory_gb, disk_gb, models, config``) and every read is an
+``as_of`` query on it.
 
 Order matters: a heartbeat or deployment for a node that has not registered
 *yet* is refused, and a new registration replaces the whole node row
@@ -41,7 +43,18 @@ DEPLOY_DELAY = "INTERVAL 5 SECONDS"
 REGISTERED_STATUS = "active"
 OFFLINE_STATUS = "offline"
 
+#   a register or heartbeat without a resource reports it as 0, one without a name
+#   or address as empty
 ORDER = ("seq",)
+# parts of requests that a log may lack; cpu and mem are the usage figures
+IDENTITY = {"name": "string", "ip": "string"}
+RESOURCES = {"cpu_cores": "int", "memory_gb": "double", "gpu_memory_gb": "double", "disk_gb": "double"}
+OPTIONAL = {**IDENTITY, **RESOURCES, "models": "array<string>", "config": "string"}
+
+
+def whole(log: DataFrame) -> DataFrame:
+    """The log with every optional part (NULL where it has none)."""
+    return log.withColumns({c: F.lit(None).cast(t) for c, t in OPTIONAL.items() if c not in log.columns})
 
 
 def with_epoch(log: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -73,6 +86,7 @@ def registrations(log: DataFrame) -> DataFrame:
         F.max("seq").alias("last_reg_seq"),
         F.count(F.lit(1)).alias("epoch"),
         F.max_by(F.col("ts"), F.col("seq")).alias("registered_at"),
+        *[F.max_by(F.coalesce(c, F.lit("")), F.col("seq")).alias(f"registered_{c}") for c in IDENTITY if c in log.columns],
     )
 
 
@@ -98,14 +112,15 @@ def current_nodes(log: DataFrame, as_of) -> DataFrame:
     """Current node rows (W4, P12, A8), one per registered node.
 
     A registration forces status 'active'; a heartbeat replaces status and
-    all resources; both set ``last_seen``. Identity comes from the last
-    registration. The monitor overrides the status with 'offline' once
+    all resources, also with zeros for those it does not name; both set
+    ``last_seen``. Name and address come from the last registration. The monitor overrides the status with 'offline' once
     ``as_of - last_seen`` exceeds 5 minutes. One partial aggregate per node.
     """
-    sig = _signals(accepted_requests(log))
-    latest = F.max_by(F.struct("kind", "status", "cpu", "mem", "ts"), F.col("seq"))
+    sig = _signals(accepted_requests(whole(log)))
+    latest = F.max_by(F.struct("kind", "status", "cpu", "mem", "ts", *RESOURCES), F.col("seq"))
     nodes = sig.groupBy("node_id").agg(
-        latest.alias("l"), F.first("registered_at").alias("registered_at"), F.first("epoch").alias("epoch")
+        latest.alias("l"), F.first("registered_at").alias("registered_at"), F.first("epoch").alias("epoch"),
+        *[F.first(f"registered_{c}").alias(c) for c in IDENTITY],
     )
     reported = F.when(F.col("l.kind") == "register", F.lit(REGISTERED_STATUS)).otherwise(F.col("l.status"))
     offline = (F.col("l.ts").cast("timestamp") < as_of_col(as_of).cast("timestamp") - F.expr(LIVENESS))
@@ -116,6 +131,8 @@ def current_nodes(log: DataFrame, as_of) -> DataFrame:
         F.col("l.ts").alias("last_seen"),
         "registered_at",
         "epoch",
+        *IDENTITY,
+        *[F.coalesce(F.col("l")[c], F.lit(0).cast(t)).alias(c) for c, t in RESOURCES.items()],
     )
 
 
@@ -127,17 +144,20 @@ def as_of_col(as_of) -> Column:
 
 def deployed_models(decided: DataFrame) -> DataFrame:
     """Deployed-model list of each node (W5) as rows ``(node_id, position,
-    model_id, seq)``: accepted deployments after the node's last
-    registration, in request order, duplicates kept.
+    model_id, seq)``: the models its last registration names, then accepted
+    deployments after it, in request order, duplicates kept. A registration
+    resets the list.
 
     Kept as rows rather than one array per node so no task ever holds a
-    node's whole list. ``position`` comes from the running deploy count of the
-    epoch scan minus the deploys before the node's last registration (a
-    per-node aggregate), so the log is scanned in order only once.
+    node's whole list. A deployment's ``position`` comes from the running deploy
+    count of the epoch scan minus the deploys before the node's last
+    registration (a per-node aggregate), so the log is scanned in order only once.
     """
+    decided = whole(decided)
     kind = F.col("kind")
+    named = F.coalesce("models", F.array().cast("array<string>"))
     regs = decided.where(kind == "register").groupBy("node_id").agg(
-        F.count(F.lit(1)).alias("_last"), F.max("seq").alias("_last_reg")
+        F.count(F.lit(1)).alias("_last"), F.max("seq").alias("_last_reg"), F.max_by(named, F.col("seq")).alias("_named")
     )
     before = (
         decided.where(kind == "deploy").select("node_id", "seq")
@@ -147,12 +167,14 @@ def deployed_models(decided: DataFrame) -> DataFrame:
     )
     cur = (
         decided.where((kind == "deploy") & F.col("accepted"))
-        .join(regs, "node_id")
+        .join(regs.select("node_id", "_last", F.size("_named").alias("_size")), "node_id")
         .where(F.col("epoch") == F.col("_last"))
         .join(before, "node_id", "left")
     )
-    position = (F.col("_deploys") - F.coalesce(F.col("_base"), F.lit(0))).cast("long")
-    return cur.select("node_id", position.alias("position"), "model_id", "seq")
+    position = (F.col("_size") + F.col("_deploys") - F.coalesce(F.col("_base"), F.lit(0))).cast("long")
+    first = regs.select("node_id", F.posexplode("_named").alias("at", "model_id"), F.col("_last_reg").alias("seq"))
+    first = first.select("node_id", (F.col("at") + 1).cast("long").alias("position"), "model_id", "seq")
+    return first.unionByName(cur.select("node_id", position.alias("position"), "model_id", "seq"))
 
 
 def deployment_id(model: str = "model_id", node: str = "node_id", ts: str = "ts") -> Column:
@@ -164,9 +186,9 @@ def deployments(log: DataFrame, as_of) -> DataFrame:
     """Deployment table as of ``as_of`` (R4, P13): accepted deployments keyed by
     id, a later request with the same id (same second) replacing the earlier
     (D10); 'deployed' once 5 seconds have passed, else 'deploying'."""
-    deps = accepted_requests(log.where(F.col("kind").isin("register", "deploy"))).where(
+    deps = accepted_requests(whole(log).where(F.col("kind").isin("register", "deploy"))).where(
         (F.col("kind") == "deploy") & F.col("accepted"))
-    row = F.struct("model_id", "version", "node_id", F.col("ts").alias("deployed_at"), "seq")
+    row = F.struct("model_id", "version", "node_id", F.col("ts").alias("deployed_at"), "seq", "config")
     t = deps.withColumn("deployment_id", deployment_id()).groupBy("deployment_id").agg(
         F.max_by(row, F.col("seq")).alias("d")
     ).select("deployment_id", "d.*")

@@ -307,18 +307,21 @@ ORACLE.update({
     "deploy_rejected": _EDGE + "SELECT node_id, seq, model_id FROM edge_decided WHERE kind = 'deploy' AND epoch = 0",
     "node_list": _EDGE + "SELECT * FROM edge_nodes",
     "node_usage_latest": _EDGE + "SELECT node_id, cpu, mem FROM edge_nodes",
-    "node_deployed_models": _EDGE + """
-SELECT d.node_id, row_number() OVER (PARTITION BY d.node_id ORDER BY d.seq) AS position, d.model_id, d.seq
-FROM edge_decided d JOIN (SELECT node_id, max(epoch) AS e FROM edge_decided GROUP BY 1) m
-  ON d.node_id = m.node_id AND d.epoch = m.e
+    "node_deployed_models": _EDGE + """,
+last_register AS (
+  SELECT node_id, max(epoch) AS e, max(seq) AS reg, arg_max(models, seq) AS models FROM edge_decided WHERE kind = 'register' GROUP BY 1)
+SELECT node_id, i AS position, models[i] AS model_id, reg AS seq FROM (SELECT *, unnest(range(1, len(models) + 1)) AS i FROM last_register)
+UNION ALL
+SELECT d.node_id, len(m.models) + row_number() OVER (PARTITION BY d.node_id ORDER BY d.seq) AS position, d.model_id, d.seq
+FROM edge_decided d JOIN last_register m ON d.node_id = m.node_id AND d.epoch = m.e
 WHERE d.kind = 'deploy' AND d.epoch > 0""",
     "deployment_status": _EDGE + """
-SELECT deployment_id, model_id, version, node_id, deployed_at, seq,
+SELECT deployment_id, model_id, version, node_id, deployed_at, seq, config,
        CASE WHEN (SELECT as_of FROM edge_asof) >= deployed_at + INTERVAL 5 SECOND THEN 'deployed'
             ELSE 'deploying' END AS status
 FROM edge_deployments""",
     "deployment_lookup": _EDGE + """
-SELECT deployment_id, model_id, version, node_id, deployed_at, seq,
+SELECT deployment_id, model_id, version, node_id, deployed_at, seq, config,
        CASE WHEN (SELECT as_of FROM edge_asof) >= deployed_at + INTERVAL 5 SECOND THEN 'deployed'
             ELSE 'deploying' END AS status
 FROM edge_deployments WHERE deployment_id = (SELECT min(deployment_id) FROM edge_deployments)""",
@@ -389,5 +392,19 @@ SELECT robot_id, time_bucket(INTERVAL 1 HOUR, time) AS bucket, round(avg(CAST(va
 FROM telemetry WHERE json_exists(value, '$.k') GROUP BY 1, 2"""
 ORACLE["stream_requests_decided"] = _EDGE + """
 SELECT kind, node_id, seq, ts, model_id, epoch, kind = 'register' OR epoch > 0 AS accepted FROM edge_decided"""
-ORACLE["stream_deployment_status"] = ORACLE["deployment_status"]
+ORACLE["stream_deployment_status"] = ORACLE["deployment_status"].replace("seq, config,", "seq,")
 ORACLE["stream_registration_cache"] = ORACLE["registration_cache"]
+ORACLE["history_indexed"] = ORACLE["history_one_robot"]
+ORACLE["alert_windows"] = """
+WITH health AS (
+  SELECT 'robot-' || CAST(user_id AS VARCHAR) AS robot_id, time_bucket(INTERVAL 6 HOUR, ts) AS bucket,
+         avg(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS error_rate,
+         quantile_disc(value * 10, 0.95) FILTER (WHERE event_id % 7 <> 0) AS p95_latency
+  FROM events GROUP BY 1, 2),
+broken AS (
+  SELECT robot_id, bucket, 'error_rate' AS rule, error_rate AS value FROM health WHERE error_rate > 0.05
+  UNION ALL SELECT robot_id, bucket, 'p95_latency', p95_latency FROM health WHERE p95_latency > 500),
+runs AS (
+  SELECT *, bucket - row_number() OVER (PARTITION BY robot_id, rule ORDER BY bucket) * INTERVAL 6 HOUR AS run FROM broken)
+SELECT robot_id, rule, min(bucket) AS alert_from, max(bucket) + INTERVAL 6 HOUR AS alert_until, count(*) AS buckets, round(max(value), 6) AS worst
+FROM runs GROUP BY robot_id, rule, run"""

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from roverlake.functions import json as J
 from roverlake.functions import sensors as SF
+from roverlake.operators import alerts
 from roverlake.operators import commands as cmd
 from roverlake.operators import dashboard as dash
 from roverlake.operators import edge
@@ -26,6 +27,7 @@ from roverlake.operators import status as st
 from roverlake.operators import telemetry as tel
 from roverlake.session import checkpoint_dir
 from roverlake.sources import adapters as ad
+from roverlake.sources import file_index, sinks
 from roverlake.sources import streams as srcs
 from roverlake.streaming import dense
 from roverlake.streaming import edge as edge_streams
@@ -96,6 +98,22 @@ def history_one_robot(spark, sf_dir):
     return tel.query_telemetry(ad.telemetry(spark, sf_dir), *bounds, robot_id=HISTORY_ROBOT)
 
 
+@query("history_indexed")
+def history_indexed(spark, sf_dir):
+    """The same lookup on the stored table: its file index names the files to open."""
+    base = _scratch(spark, "stored")
+    sinks.write_timeseries(ad.telemetry(spark, sf_dir), f"{base}/timeseries")
+    file_index.index_table(spark, f"{base}/timeseries", f"{base}/index")
+    bounds = [F.lit(t).cast("timestamp_ntz") for t in (HISTORY_FROM, HISTORY_TO)]
+    stored = file_index.read_for(spark, f"{base}/timeseries", f"{base}/index", HISTORY_ROBOT, *bounds)
+    return tel.query_telemetry(stored, *bounds, robot_id=HISTORY_ROBOT)
+
+
+@query("alert_windows")
+def alert_windows(spark, sf_dir):
+    return alerts.alert_windows(ad.service_requests(spark, sf_dir), "6 hours").withColumn("worst", F.round("worst", 6))
+
+
 @query("telemetry_history_typed")
 def telemetry_history_typed(spark, sf_dir):
     return _history(spark, sf_dir, "status")

@@ -143,7 +143,16 @@ VIEWS["edge_log"] = f"""edge_log AS (
   SELECT CASE event_type WHEN 'signup' THEN 'register' WHEN 'purchase' THEN 'deploy' ELSE 'heartbeat' END AS kind,
          'node-' || CAST(user_id AS VARCHAR) AS node_id, event_id AS seq, ts,
          CASE event_type WHEN 'error' THEN 'degraded' ELSE 'active' END AS status, least(value, 100.0) AS cpu, CAST({_K} AS DOUBLE) AS mem,
-         'model-' || CAST(event_id % 9 AS VARCHAR) AS model_id, '1.0' AS version
+         'model-' || CAST(event_id % 9 AS VARCHAR) AS model_id, '1.0' AS version,
+         CASE WHEN event_type = 'signup' THEN 'edge-' || (event_id % 7) END AS name,
+         CASE WHEN event_type = 'signup' THEN '10.0.' || (event_id % 4) || '.' || (user_id % 250) END AS ip,
+         CAST(event_id % 8 + 4 AS INTEGER) AS cpu_cores,
+         CASE WHEN event_type <> 'error' THEN (event_id % 5 + 1) * CAST(8 AS DOUBLE) ELSE 0 END AS memory_gb,
+         CASE WHEN event_id % 3 <> 0 THEN (event_id % 2 + 1) * CAST(12 AS DOUBLE) ELSE 0 END AS gpu_memory_gb,
+         value * 10 AS disk_gb,
+         CASE WHEN event_type <> 'signup' THEN [] WHEN event_id % 4 = 2 THEN ['base-a-' || (event_id % 3)]
+              WHEN event_id % 4 = 3 THEN ['base-a-' || (event_id % 3), 'base-b-' || (event_id % 3)] ELSE [] END AS models,
+         CASE WHEN event_type = 'purchase' THEN props END AS config
   FROM events),
 edge_decided AS (
   SELECT *, CAST(sum(CASE WHEN kind = 'register' THEN 1 ELSE 0 END)
@@ -158,10 +167,12 @@ edge_nodes AS (
               WHEN arg_max(kind, seq) = 'register' THEN 'active' ELSE arg_max(status, seq) END AS status,
          arg_max(cpu, seq) AS cpu, arg_max(mem, seq) AS mem, max(ts) AS last_seen,
          max(ts) FILTER (WHERE kind = 'register') AS registered_at,
-         max(epoch) AS epoch
+         max(epoch) AS epoch,
+         arg_max(name, seq) FILTER (WHERE kind = 'register') AS name, arg_max(ip, seq) FILTER (WHERE kind = 'register') AS ip,
+         arg_max(cpu_cores, seq) AS cpu_cores, arg_max(memory_gb, seq) AS memory_gb, arg_max(gpu_memory_gb, seq) AS gpu_memory_gb, arg_max(disk_gb, seq) AS disk_gb
   FROM edge_signals GROUP BY node_id),
 edge_deployments AS (
   SELECT model_id || '-' || node_id || '-' || CAST(epoch_us(ts) // 1000000 AS VARCHAR) AS deployment_id,
          arg_max(model_id, seq) AS model_id, arg_max(version, seq) AS version, arg_max(node_id, seq) AS node_id,
-         arg_max(ts, seq) AS deployed_at, max(seq) AS seq
+         arg_max(ts, seq) AS deployed_at, max(seq) AS seq, arg_max(config, seq) AS config
   FROM edge_decided WHERE kind = 'deploy' AND epoch > 0 GROUP BY 1)"""

@@ -90,6 +90,16 @@ def telemetry_of(e: DataFrame) -> DataFrame:
     )
 
 
+def service_requests(spark, sf_dir) -> DataFrame:
+    """Requests with latency and outcome for the alert rules: one per event, error
+    events failed; every seventh has no latency."""
+    e = events(spark, sf_dir)
+    return e.select(
+        robot_id("user_id").alias("robot_id"), F.col("ts").alias("time"),
+        F.when(F.col("event_id") % 7 != 0, F.col("value") * 10).alias("latency_ms"),
+        (F.col("event_type") == "error").alias("is_error"))
+
+
 def robots(spark, sf_dir) -> DataFrame:
     """Robot registry from customers. Accounts in debt (negative balance) stand
     for robots that were registered anew under a spare id, so the telemetry under
@@ -194,8 +204,21 @@ def edge_log(spark, sf_dir) -> DataFrame:
 
 def edge_log_of(e: DataFrame) -> DataFrame:
     """Edge controller requests: registers, heartbeats (error events report a
-    degraded node), deploy requests."""
+    degraded node and no memory), deploy requests. Every third request names no GPU;
+    registers name none, an empty list, one or two models."""
+    eid = F.col("event_id")
+    text = lambda c: c.cast("string")
+    register = F.col("event_type") == "signup"
+    model = lambda n: F.concat(F.lit(f"base-{n}-"), text(eid % 3))
     return e.select(
+        F.when(register, F.concat(F.lit("edge-"), text(eid % 7))).alias("name"),
+        F.when(register, F.concat(F.lit("10.0."), text(eid % 4), F.lit("."), text(F.col("user_id") % 250))).alias("ip"),
+        (eid % 8 + 4).cast("int").alias("cpu_cores"),
+        F.when(F.col("event_type") != "error", (eid % 5 + 1) * 8.0).alias("memory_gb"),
+        F.when(eid % 3 != 0, (eid % 2 + 1) * 12.0).alias("gpu_memory_gb"),
+        (F.col("value") * 10).alias("disk_gb"),
+        F.when(register & (eid % 4 == 1), F.array().cast("array<string>")).when(register & (eid % 4 == 2), F.array(model("a"))).when(register & (eid % 4 == 3), F.array(model("a"), model("b"))).alias("models"),
+        F.when(F.col("event_type") == "purchase", F.col("props")).alias("config"),
         _map(F.col("event_type"), EDGE_KIND).alias("kind"),
         F.concat(F.lit("node-"), F.col("user_id").cast("string")).alias("node_id"),
         F.col("event_id").alias("seq"),

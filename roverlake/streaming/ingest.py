@@ -21,6 +21,8 @@ Layout under ``out``::
     status/                                 status table: deltas by bucket, and manifests (S6, W2)
     runs/                                   run number of each stream id
     counts/batch=<id>/                      processed counter per type (A2)
+    <table>_segments/, <table>_manifest/    compacted time series, topics, rejects and counts
+    timeseries_index/batch=<id>/            file summaries, if asked for
 """
 
 from __future__ import annotations
@@ -35,7 +37,9 @@ from pyspark.sql.utils import AnalysisException
 from roverlake.operators import envelope as env
 from roverlake.operators import route as rt
 from roverlake.operators import status as st
+from roverlake.sources import file_index
 from roverlake.sources import sinks as sk
+from roverlake.sources.append_table import AppendTable
 from roverlake.sources.streams import landing_arrival
 from roverlake.sources.tables import spread
 
@@ -72,11 +76,12 @@ def _arrived(batch: DataFrame, batch_id: int) -> DataFrame:
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, out: str, status_order: str = "arrival",
-                 brokers: str | None = None, spread_rows: bool = False) -> None:
+                 brokers: str | None = None, spread_rows: bool = False, file_summary: bool = False) -> None:
     """Store one micro-batch of raw messages, or of HTTP bodies (column ``body``, with
     the robot id from the path). With ``brokers`` accepted messages are forwarded to
     Kafka topics, else to files. ``spread_rows`` deals rows of few input splits to all
-    task slots before parsing (one more shuffle of the raw messages)."""
+    task slots before parsing (one more shuffle of the raw messages). ``file_summary`` adds the
+    batch's files to the index that robot lookups read (``sources.file_index``)."""
     spark = batch.sparkSession
     batch = _arrived(batch, batch_id)
     batch = spread(batch) if spread_rows else batch
@@ -85,6 +90,8 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str, status_order: str =
     try:
         acc = env.accepted(parsed)
         sk.write_timeseries(rt.timeseries_rows(acc), f"{out}/timeseries", batch_id)
+        if file_summary:
+            file_index.index_table(spark, f"{out}/timeseries", f"{out}/timeseries_index", batch_id)
         sk.write_objects(rt.blob_rows(acc), f"{out}/objects", batch_id)
         if brokers:
             sk.write_topics_kafka(rt.topic_rows(acc), brokers)
@@ -101,7 +108,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str, status_order: str =
 
 
 def start_ingest(messages: DataFrame, out: str, checkpoint: str, trigger: dict | None = None, status_order: str = "arrival",
-                 new_run: bool = False, brokers: str | None = None, spread_rows: bool = False):
+                 new_run: bool = False, brokers: str | None = None, spread_rows: bool = False, file_summary: bool = False):
     """Start the ingest query on a raw-message or HTTP-body stream; returns the
     StreamingQuery. It fails before the first write if ``out`` belongs to another
     checkpoint and ``new_run`` is not set."""
@@ -110,14 +117,24 @@ def start_ingest(messages: DataFrame, out: str, checkpoint: str, trigger: dict |
     def store(batch: DataFrame, batch_id: int) -> None:
         if not run:
             run.append(run_number(batch.sparkSession, out, checkpoint, new_run))
-        ingest_batch(batch, run[0] * RUN_BATCHES + batch_id, out, status_order, brokers, spread_rows)
+        ingest_batch(batch, run[0] * RUN_BATCHES + batch_id, out, status_order, brokers, spread_rows, file_summary)
 
     writer = messages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(store)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def tables(out: str) -> dict[str, AppendTable]:
+    """The tables that batches append to; each can be compacted, trimmed and vacuumed."""
+    return {
+        "timeseries": AppendTable(f"{out}/timeseries", ("event_date",), ("robot_id", "time")),
+        "topics": AppendTable(f"{out}/topics", ("topic",)),
+        "rejects": AppendTable(f"{out}/rejects", order=("reject_reason", "received_at")),
+        "counts": AppendTable(f"{out}/counts", order=("data_type",)),
+    }
+
+
 def read_timeseries(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/timeseries")
+    return tables(out)["timeseries"].read(spark)
 
 
 OBJECT_COLUMNS = ("bucket", "object_name", "payload", "length", "metadata", "arrival_seq")
@@ -174,7 +191,7 @@ def read_status(spark: SparkSession, out: str, order: str = "arrival", robot_id:
 
 def read_counts(spark: SparkSession, out: str) -> DataFrame:
     """Cumulative processed counter per type."""
-    return spark.read.parquet(f"{out}/counts").groupBy("data_type").agg(F.sum("processed").alias("processed"))
+    return tables(out)["counts"].read(spark).groupBy("data_type").agg(F.sum("processed").alias("processed"))
 
 
 def main(argv: list[str] | None = None) -> None:

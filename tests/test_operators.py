@@ -290,3 +290,23 @@ def test_dashboard_counters_and_robot_list(spark):
     robots = spark.createDataFrame([("r1", "a", "t"), ("r2", "b", "t"), ("r9", "c", "t")], "robot_id string, name string, type string")
     rl = {r.robot_id: (r.is_online, r.battery_ok) for r in dash.robot_list(robots, snap).collect()}
     assert rl == {"r1": (True, True), "r2": (False, False), "r9": (False, None)}
+
+
+def test_whole_node_row_and_model_list(spark):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    schema = ("kind string, node_id string, seq long, ts timestamp_ntz, status string, cpu double, mem double, model_id string, version string, name string, ip string, "
+              "cpu_cores int, memory_gb double, gpu_memory_gb double, disk_gb double, models array<string>, config string")
+    reg = lambda seq, name, cores, gpu, models: ("register", "n", seq, at(seq), None, 1.0, 2.0, None, None, name, "10.0.0.1", cores, 8.0, gpu, 100.0, models, None)
+    deploy = lambda seq, model, config: ("deploy", "n", seq, at(seq), None, None, None, model, "1", None, None, None, None, None, None, None, config)
+    beat = ("heartbeat", "n", 6, at(6), "busy", 3.0, 4.0, None, None, None, None, 4, None, None, 90.0, None, None)
+    rows = [deploy(0, "early", "{}"), reg(1, "old", 2, 12.0, ["x"]), deploy(2, "m1", '{"a": 1}'), reg(3, "new", 8, 24.0, ["b", "a", "b"]), deploy(4, "m2", None), deploy(5, "m2", '{"a": 2}'), beat]
+    log = spark.createDataFrame(rows, schema)
+    node = edge.current_nodes(log, F.lit(at(10)).cast("timestamp_ntz")).first()
+    assert (node["name"], node.ip, node.status, node.cpu_cores, node.memory_gb, node.gpu_memory_gb, node.disk_gb, node.cpu, node.mem) == ("new", "10.0.0.1", "busy", 4, 0.0, 0.0, 90.0, 3.0, 4.0)
+    models = edge.deployed_models(edge.requests_decided(log)).orderBy("position").collect()
+    assert [(r.position, r.model_id, r.seq) for r in models] == [(1, "b", 3), (2, "a", 3), (3, "b", 3), (4, "m2", 4), (5, "m2", 5)]
+    assert {(r.seq, r.config) for r in edge.deployments(log, F.lit(at(10)).cast("timestamp_ntz")).collect()} == {(2, '{"a": 1}'), (4, None), (5, '{"a": 2}')}
+    bare = log.select("kind", "node_id", "seq", "ts", "status", "cpu", "mem", "model_id", "version")
+    node = edge.current_nodes(bare, F.lit(at(10)).cast("timestamp_ntz")).first()
+    assert (node["name"], node.ip, node.cpu_cores, node.disk_gb) == ("", "", 0, 0.0)
+    assert [r.model_id for r in edge.deployed_models(edge.requests_decided(bare)).orderBy("position").collect()] == ["m2", "m2"]
