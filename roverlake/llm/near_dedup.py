@@ -20,8 +20,10 @@ bands it shares. The classes are the connected components of all links.
 
 Defined results: texts without a word (null and empty ones too) are classes of
 their own; one of fewer than five words has the run of all its words as its
-only shingle. Rows of the same id are one document. A row without id has a null
-class. The class id is the smallest id of the class.
+only shingle. Equal rows are one document; different texts of an id are compared
+each for itself and are in one class with it (``text_classes`` keeps them apart). Rows
+without id have one row with a null class. The class id is the smallest id of the class;
+ids are below 2^62.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ THRESHOLD = 0.8
 BANDS, ROWS, SHARED = 28, 4, 2
 CENTRES, MANY = 4, 200
 PIECE = 1 << 21
+#: nodes from here on stand for further texts of an id
+SPARE = 1 << 62
 
 
 def bag_min_hash(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, docs: int, size: int) -> np.ndarray:
@@ -192,10 +196,46 @@ def _rest(live: DataFrame, signs: DataFrame, bags: DataFrame, threshold: float)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _numbered(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, bool]:
+    """Rows (id, t, node, text) of a table, null ids left out, and whether an id has several
+    texts. ``t`` is a hash of the text; a text's node is its id, or, for all texts but
+    one of such an id, a number above all ids."""
+    rows = documents.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("t"), F.col(text).cast("string").alias("text")).where("id is not null")
+    several = rows.groupBy("id").agg(F.min("t").alias("t0"), F.max("t").alias("t1")).where("t0 < t1").select("id", "t0")
+    if several.isEmpty():
+        return rows.select("id", "t", F.col("id").alias("node"), "text"), False
+    apart = F.xxhash64("id", "t").bitwiseAND(SPARE - 1).bitwiseOR(F.lit(SPARE))
+    node = F.when(F.col("t0").isNull() | (F.col("t") == F.col("t0")), F.col("id")).otherwise(apart)
+    return rows.join(several, "id", "left").select("id", "t", node.alias("node"), "text"), True
+
+
+def text_classes(documents: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(id, t, node, class_id) for each distinct id and text (``t`` is its xxhash64): a text
+    whose node is its class_id stands for its class. Null ids have no row."""
+    rows, _ = _numbered(documents, key, text)
+    classes = _classes(rows.select(F.col("node").alias("id"), "text"), threshold)
+    return rows.select("id", "t", "node").distinct().join(classes.withColumnRenamed("id", "node"), "node").select("id", "t", "node", "class_id")
+
+
 def near_classes(documents: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row (id, class_id) for each distinct id."""
-    rows = documents.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    signed = cut(rows.where("id is not null").mapInArrow(_signed, "id long, d1 long, d2 long, size long, bands array<long>"))
+    """One row (id, class_id) for each distinct id; the texts of an id are in one class with
+    it, and with whatever one of them is linked to. Rows without id have a null class."""
+    rows, several = _numbered(documents, key, text)
+    classes = _classes(rows.select(F.col("node").alias("id"), "text"), threshold)
+    if several:
+        classes = cut(classes)
+        of = rows.select("id", "node").distinct().join(classes.withColumnRenamed("id", "node"), "node")
+        own = classes.withColumnRenamed("class_id", "own")
+        united = components(of.where("node <> id").join(own, "id").select(F.col("class_id").alias("a"), F.col("own").alias("b")))
+        classes = classes.where(F.col("id") < SPARE).join(united.withColumnRenamed("id", "class_id"), "class_id", "left")
+        classes = classes.select("id", F.coalesce("root", "class_id").alias("class_id"))
+    nameless = documents.where(F.col(key).isNull()).select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("class_id")).limit(1)
+    return classes.unionByName(nameless)
+
+
+def _classes(rows: DataFrame, threshold: float) -> DataFrame:
+    """(id, class_id) of rows (id, text) in which an id has one text."""
+    signed = cut(rows.mapInArrow(_signed, "id long, d1 long, d2 long, size long, bands array<long>"))
     copies = signed.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     marked = cut(signed.join(copies, ["d1", "d2"], "left").select("id", "rep", F.struct("size", "bands").alias("sign")))
     copied = marked.where("id <> rep").select("id", "rep")
@@ -230,7 +270,7 @@ def near_classes(documents: DataFrame, key: str = "doc_id", text: str = "text",
     roots = components(links)
 
     # copies follow their representative; every other id is a class of its own
-    ids = rows.where("id is not null").select("id").distinct()
+    ids = rows.select("id").distinct()
     nodes = ids.join(copied, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
     nodes = nodes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("rep"))
     return nodes.select("id", F.col("rep").alias("class_id")).distinct()

@@ -67,7 +67,7 @@ def test_near_classes_of_large_groups(spark):
 
 def test_near_classes_edges(spark):
     got = {r.id: r.class_id for r in near_dedup.near_classes(edges(spark)).collect()}
-    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1, 6: 6, 7: 7, 8: 8, 9: 9, 10: 10, 11: 11, 12: 12}
+    assert got == {None: None, 1: 1, 2: 2, 3: 3, 4: 4, 5: 1, 6: 6, 7: 7, 8: 8, 9: 9, 10: 10, 11: 11, 12: 12}
     assert near_dedup.near_classes(empty(spark)).count() == 0
 
 
@@ -200,3 +200,14 @@ def test_substrings_edges(spark):
     assert out.columns == edges(spark).columns and out.count() == 15
     assert out.where(F.col("doc_id") == 11).first().text.startswith("Ünï çödé")
     assert substring_dedup.repeated_spans(empty(spark)).count() == 0
+
+
+def test_texts_of_one_id(spark):
+    """An id's texts are one class with all that they are linked to; null ids have a null class."""
+    a, b, c = prose(301, 60), prose(302, 60), prose(303, 60)
+    frame = spark.createDataFrame([(1, a), (5, a), (2, b), (5, b), (7, c), (7, None), (None, a), (None, c), (9, c + " more")], "doc_id long, text string")
+    got = sorted((r.id, r.class_id) for r in near_dedup.near_classes(frame).collect() if r.id is not None)
+    assert got == [(1, 1), (2, 1), (5, 1), (7, 7), (9, 7)]
+    assert [tuple(r) for r in near_dedup.near_classes(frame).where("id is null").collect()] == [(None, None)]
+    stands = {(r.id, r.node == r.class_id) for r in near_dedup.text_classes(frame).collect()}
+    assert (5, True) not in stands and {(7, True), (1, True), (2, True), (9, False)} <= stands

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 import corpus_pipeline as P
-from corpora import SF_SMALL, edges
+from corpora import SF_SMALL, edges, prose
 from oracle_compare import duck, rows_duck, rows_spark
 from roverlake.llm.common import table
 from roverlake.llm.queries import ORACLE, QUERIES
@@ -56,6 +56,13 @@ def test_near_stage_keeps_one_row_of_an_id(spark):
     assert sorted(i for i in ids if i is not None) == [1, 2, 3, 4, 6, 7, 8, 9, 10, 11, 12] and ids.count(None) == 2
 
 
+def test_near_stage_keeps_texts_of_their_own(spark):
+    """Of an id with two texts, one a copy of another document, the other text stays."""
+    rows = [(1, prose(1, 90)), (5, prose(1, 90)), (5, prose(2, 90)), (5, prose(2, 90)), (6, prose(3, 90)), (None, prose(1, 90))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(texts(P.dedup_near(spark, docs, SF_SMALL)), key=str) == sorted([(1, prose(1, 90)), (5, prose(2, 90)), (6, prose(3, 90)), (None, prose(1, 90))], key=str)
+
+
 def test_run_returns_pieces(spark):
     got = P.run(spark, SF_SMALL)
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and got.count() > 0
