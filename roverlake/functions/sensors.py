@@ -100,16 +100,19 @@ def diagnostics_status(entries) -> Column:
     )
 
 
-def diagnostics_map(entries) -> Column:
-    """name -> (level, message, values) map; a repeated name keeps the last entry, and
-    so does a repeated key of its ``values`` (entries ``key, value``).
+def diagnostics_map(entries, values: bool = False) -> Column:
+    """name -> (level, message) map; a repeated name keeps the last entry. With ``values``
+    also the map of an entry's ``values`` (``key, value``), of which a repeated key
+    keeps the last.
 
     Needs ``spark.sql.mapKeyDedupPolicy=LAST_WIN`` (set by ``configure``).
     """
     return F.map_from_entries(
         F.transform(
             as_col(entries),
-            lambda e: F.struct(e["name"].alias("key"), F.struct(e["level"].alias("level"), e["message"].alias("message"), F.map_from_entries(e["values"]).alias("values")).alias("value")),
+            lambda e: F.struct(e["name"].alias("key"), F.struct(
+                e["level"].alias("level"), e["message"].alias("message"), *([F.map_from_entries(e["values"]).alias("values")] if values else []),
+            ).alias("value")),
         )
     )
 

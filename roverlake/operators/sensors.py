@@ -82,14 +82,19 @@ def battery_series(readings: DataFrame, chunk: str = DEFAULT_CHUNK) -> DataFrame
 
 
 def diagnostics_rollup(diag: DataFrame) -> DataFrame:
-    """Diagnostics fold (A11): name map (last entry wins) and overall status."""
+    """Diagnostics fold (A11): name map (last entry wins; with the values of entries that
+    have them) and overall status."""
     return diag.select(
         "robot_id", "time", "arrival_seq",
-        SF.diagnostics_map("status").alias("diagnostics"),
+        SF.diagnostics_map("status", _has_values(diag)).alias("diagnostics"),
         SF.diagnostics_status("status").alias("status"),
     )
 
 
+def _has_values(diag: DataFrame) -> bool:
+    return "values" in diag.schema["status"].dataType.elementType.fieldNames()
+
+
 def tick_of(time_col: str, seconds: int) -> Column:
     """First tick at or after the reading: a reading exactly on a tick is in it."""
     us = F.unix_micros(F.col(time_col).cast("timestamp"))
@@ -212,7 +217,7 @@ def bridge_messages(odometry: DataFrame, scans: DataFrame, imu: DataFrame, batte
         SF.laser_info("ranges", "angle_min", "angle_max", "angle_increment", "range_min", "range_max").alias("laser_info"))
     inertia = imu.select(*at, SF.imu_state("ax", "ay", "az", "gx", "gy", "gz", "ox", "oy", "oz", "ow").alias("imu"))
     power = battery_series(battery).select(*at, "battery")
-    health = diagnostics.select(*at, SF.diagnostics_map("status").alias("diagnostics"), SF.diagnostics_status("status").alias("status"))
+    health = diagnostics.select(*at, SF.diagnostics_map("status", _has_values(diagnostics)).alias("diagnostics"), SF.diagnostics_status("status").alias("status"))
     out = odom
     for other in (laser, inertia, power, health):
         out = out.unionByName(other, allowMissingColumns=True)
