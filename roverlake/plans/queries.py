@@ -460,16 +460,26 @@ def command_normalise(spark, sf_dir):
 MICRO_BATCHES = 5
 
 
+_STEPPED: dict[tuple[str, str], str] = {}
+
+
 def _stream_events(spark, sf_dir):
     """The events table as a stream of several micro-batches: written to the shared
-    folder in ``MICRO_BATCHES`` steps by event id, one step each micro-batch."""
+    folder in ``MICRO_BATCHES`` steps by event id, one step each micro-batch, once for
+    all stream queries of an application."""
+    events, made = ad.events(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
+    if made not in _STEPPED:
+        _STEPPED[made] = _write_steps(spark, events)
+    return srcs.parquet_replay(spark, _STEPPED[made], events.schema, 1)
+
+
+def _write_steps(spark, events: DataFrame) -> str:
     path = _scratch(spark, "events")
-    events = ad.events(spark, sf_dir)
     low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
     for k in range(MICRO_BATCHES if low is not None else 1):
         step = F.least(F.floor((F.col("event_id") - F.lit(low)) * MICRO_BATCHES / F.lit(high - low + 1)), F.lit(MICRO_BATCHES - 1)) if low is not None else F.lit(0)
         events.where(step == k).write.mode("append").parquet(path)
-    return srcs.parquet_replay(spark, path, events.schema, 1)
+    return path
 
 
 def _scratch(spark, name: str) -> str:
