@@ -83,14 +83,16 @@ class AppendTable:
 
     # -- maintenance ---------------------------------------------------------
 
-    def compact(self, spark: SparkSession) -> int | None:
-        """Fold the batches since the last compaction into a segment; with many segments,
-        all of them into one. Returns the newest version."""
+    def compact(self, spark: SparkSession, idle: bool = False) -> int | None:
+        """Fold the finished batches since the last compaction into a segment; with many
+        segments, all of them into one. The newest batch may still be written or repeated and
+        is left, unless the job is ``idle``. Returns the newest version."""
         version, live = self.version(spark), self.live(spark)
         try:
-            upto = spark.read.parquet(self.path).agg(F.max("batch")).first()[0]
+            found = spark.read.parquet(self.path).select("batch").distinct().orderBy(F.desc("batch")).limit(2).collect()
         except AnalysisException:
-            upto = None
+            found = []
+        upto = next((r["batch"] for r in found[0 if idle else 1:]), None)
         if upto is None or upto <= live.upto:
             return version
         new = (version or 0) + 1

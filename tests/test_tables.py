@@ -31,7 +31,7 @@ def content(df):
 
 def test_readers_see_the_same_rows_while_files_are_merged(spark, tmpdir_path):
     table = AppendTable(f"{tmpdir_path}/ts", ("event_date",), ("robot_id", "time"), max_segments=2)
-    assert table.compact(spark) is None and table.vacuum(spark) == 0
+    assert table.compact(spark, idle=True) is None and table.vacuum(spark) == 0
     with pytest.raises(ValueError):
         table.read(spark)
     want = []
@@ -41,14 +41,25 @@ def test_readers_see_the_same_rows_while_files_are_merged(spark, tmpdir_path):
         if batch in (1, 2, 4, 6):
             before = table.read(spark)  # planned before, read after
             old = table.version(spark)
-            table.compact(spark)
+            table.compact(spark, idle=True)
             assert content(before) == want == content(table.read(spark)) and content(table.read(spark, old)) == want
     assert table.live(spark).upto == 6 and len(table.live(spark).segments) == 2
     held = table.read(spark)
     assert table.vacuum(spark, keep=1) > 0 and content(held) == want == content(table.read(spark))
     assert not any(files.versions(spark, f"{table.path}/{d}", "batch") for d in files.names(spark, table.path) if d.startswith("event_date="))
     sinks.write_timeseries(rows(spark, 7), table.path, 7)
-    assert content(table.read(spark)) == sorted(want + content(rows(spark, 7))) and table.compact(spark) == table.compact(spark)
+    assert content(table.read(spark)) == sorted(want + content(rows(spark, 7))) and table.compact(spark, idle=True) == table.compact(spark, idle=True)
+
+
+def test_the_newest_batch_is_left_while_the_job_runs(spark, tmpdir_path):
+    table = AppendTable(f"{tmpdir_path}/counts", order=("data_type",))
+    one = spark.createDataFrame([("imu", 1)], "data_type string, processed long")
+    one.write.parquet(f"{table.path}/batch=0")
+    assert table.compact(spark) is None
+    one.write.parquet(f"{table.path}/batch=1")
+    assert table.compact(spark) == 1 and table.live(spark).upto == 0
+    one.unionByName(one).write.mode("overwrite").parquet(f"{table.path}/batch=1")  # it was not finished
+    assert table.read(spark).count() == 3
 
 
 def test_a_repeated_batch_after_a_crash_of_the_compaction(spark, tmpdir_path, monkeypatch):
@@ -59,9 +70,9 @@ def test_a_repeated_batch_after_a_crash_of_the_compaction(spark, tmpdir_path, mo
     with monkeypatch.context() as m:
         m.setattr(AppendTable, "_commit", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
         with pytest.raises(RuntimeError):
-            table.compact(spark)
+            table.compact(spark, idle=True)
     assert content(table.read(spark)) == want  # the segment has no manifest
-    table.compact(spark)
+    table.compact(spark, idle=True)
     sinks.write_timeseries(rows(spark, 1), table.path, 1)  # Spark repeats the last batch
     assert content(table.read(spark)) == want
 
@@ -69,7 +80,7 @@ def test_a_repeated_batch_after_a_crash_of_the_compaction(spark, tmpdir_path, mo
 def test_old_dates_go(spark, tmpdir_path):
     table = AppendTable(f"{tmpdir_path}/ts", ("event_date",), ("robot_id", "time"))
     sinks.write_timeseries(rows(spark, 0), table.path, 0)
-    table.compact(spark)
+    table.compact(spark, idle=True)
     sinks.write_timeseries(rows(spark, 1), table.path, 1)
     want = [r for r in content(table.read(spark)) if r[0] >= at(86400)]
     table.retain(spark, dt.date(2025, 1, 2))
@@ -90,7 +101,7 @@ def test_ingest_tables_are_compacted(spark, tmpdir_path):
     before = count()
     assert before == {"timeseries": 9, "topics": 18, "rejects": 3, "counts": 6, "sum": 18}
     for table in ing.tables(tmpdir_path).values():
-        table.compact(spark)
+        table.compact(spark, idle=True)
         table.vacuum(spark, keep=1)
     assert count() == before and spark.read.parquet(f"{tmpdir_path}/timeseries_index").agg(F.sum("rows")).first()[0] == 9
 
