@@ -217,6 +217,16 @@ def text_classes(documents: DataFrame, key: str = "doc_id", text: str = "text",
     return rows.select("id", "t", "node").distinct().join(classes.withColumnRenamed("id", "node"), "node").select("id", "t", "node", "class_id")
 
 
+def later_copies(documents: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that another stands for: their (id, t), or, where every id has one
+    text, their ids alone, which need no join with the texts."""
+    rows, several = _numbered(documents, key, text)
+    classes = _classes(rows.select(F.col("node").alias("id"), "text"), threshold).where("id <> class_id")
+    if not several:
+        return classes.select("id")
+    return rows.select("id", "t", "node").distinct().join(classes.select(F.col("id").alias("node")), "node").select("id", "t")
+
+
 def near_classes(documents: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row (id, class_id) for each distinct id; the texts of an id are in one class with
     it, and with whatever one of them is linked to. Rows without id have a null class."""
