@@ -40,9 +40,8 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays: that of the smallest id. Of rows
     with the same id and text one stays; a text of its own stays though its id has
     others, and so do documents without id."""
-    classes = near_dedup.text_classes(docs)
-    later = classes.where("node <> class_id").select(F.col("id").alias("doc_id"), F.col("t").alias("_text"))
-    kept = docs.select(*COLUMNS, F.xxhash64("text").alias("_text")).join(later, ["doc_id", "_text"], "left_anti")
+    later = near_dedup.later_copies(docs).withColumnsRenamed({"id": "doc_id", "t": "_text"})
+    kept = docs.select(*COLUMNS, F.xxhash64("text").alias("_text")).join(later, later.columns, "left_anti")
     twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if not twice.isEmpty():
         kept = kept.where("doc_id is not null").dropDuplicates(["doc_id", "_text"]).unionByName(kept.where("doc_id is null"))
