@@ -168,41 +168,55 @@ def dense_snapshots(
     default all of ``messages``. Each has every tick, before its first reading too; a
     reading exactly on a tick is in it. Messages without a robot or a time are left out.
 
-    Ticks are generated by (robot, chunk), so a long series is many tasks' work. What
-    lies before the range is folded to one row for each robot by partial aggregates;
-    inside it, values run through chunks with a carry-in, like ``snapshots``.
+    Values run through chunks of messages with a carry-in, like ``snapshots``. Each
+    (robot, chunk) has one opening row, so a long series is many tasks' work, and each row
+    stands for the ticks up to the next one: ticks are made last, neither shuffled nor
+    sorted. What lies before the range is folded to one row for each robot.
     """
     width = parse_width(chunk)[0] * 1_000_000
     step = tick_seconds * 1_000_000
     if width % step:
         raise ValueError("a chunk must hold whole ticks")
-    bounds = F.struct(F.unix_micros(start.cast("timestamp")).alias("low"), F.unix_micros(end.cast("timestamp")).alias("high"))
+    low, high = F.unix_micros(start.cast("timestamp")), F.unix_micros(end.cast("timestamp"))
+    first, last = low + F.pmod(-low, F.lit(step)), high - F.pmod(high, F.lit(step))
     known = messages.where("robot_id is not null and time is not null")
     us = F.unix_micros(F.col("time").cast("timestamp"))
     names = list(channels)
-    known = known.select("robot_id", us.alias("us"), "arrival_seq", *names, bounds.alias("range"))
+    known = known.select("robot_id", us.alias("us"), "arrival_seq", *names)
+
+    opening = _newest(known.where(F.col("us") < low), names).select("robot_id", first.alias("tick"), F.lit(0).alias("part"), *names)
+    inside = known.where(F.col("us").between(low, high)).withColumn("tick", F.col("us") + F.pmod(-F.col("us"), F.lit(step))).where(F.col("tick") <= last)
+    inside = inside.select("robot_id", "tick", F.lit(2).alias("part"), "us", "arrival_seq", *names)
+    who = (robots if robots is not None else known).select("robot_id").where("robot_id is not null").distinct()
+    spans = who.where(first <= last).withColumn("chunk", F.explode(F.sequence(F.floor(first / width), F.floor(last / width))))
+    begun = spans.select("robot_id", F.greatest(first, F.col("chunk") * width).alias("tick"), F.lit(1).alias("part"))
+
+    rows = inside.unionByName(opening, allowMissingColumns=True).unionByName(begun, allowMissingColumns=True)
+    rows = rows.withColumn("_chunk", F.floor(F.col("tick") / width).cast("long"))
+    # as many tasks as the session has: the rows are few, what they stand for is not
+    rows = rows.repartition(int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "robot_id", "_chunk")
+    order = ("tick", "part", "us", "arrival_seq")
+    w = Window.partitionBy("robot_id", "_chunk").orderBy(*order)
+    stop = F.coalesce(F.lead("tick").over(w), F.least(last + step, (F.col("_chunk") + 1) * width))
+    # a chunk without an opening row is of a robot that was not asked for
+    rows = rows.withColumn("_stop", F.when(F.max(F.col("part") == 1).over(w), stop))
+    filled = running(rows, "robot_id", order, "_chunk", lasts={f"_f_{c}": F.col(c) for c in names}).where("_stop > tick")
+    values = [F.coalesce(F.col(f"_f_{c}"), default).alias(c) for c, default in channels.items()]
+    made = filled.select("robot_id", F.explode(F.sequence("tick", F.col("_stop") - step, F.lit(step).cast("long"))).alias("us"), *values)
+    return made.select("robot_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("tick"), *names)
+
+
+def _newest(messages: DataFrame, names: list[str]) -> DataFrame:
+    """One row for each robot: the newest value of each channel by (us, arrival_seq).
 
-    # one opening row for each robot: the newest values before the range
+    The newest time of each channel is found first, by aggregates of numbers, which hash;
+    only rows at those times reach the aggregate of whole values, which sorts its rows.
+    """
+    times = messages.groupBy("robot_id").agg(*[F.max(F.when(F.col(c).isNotNull(), F.col("us"))).alias(f"_at_{c}") for c in names])
+    points = times.select("robot_id", F.explode(F.array_distinct(F.array(*[f"_at_{c}" for c in names]))).alias("us"))
+    met = messages.join(points.hint("shuffle_hash"), ["robot_id", "us"], "left_semi")
     order = F.struct("us", "arrival_seq")
-    before = known.where(F.col("us") < F.col("range.low")).groupBy("robot_id").agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in names], F.first("range").alias("range"))
-    opening = before.select("robot_id", F.col("range.low").alias("us"), F.lit(0).alias("part"), F.lit(None).cast(known.schema["arrival_seq"].dataType).alias("arrival_seq"), *names)
-    inside = known.where(F.col("us").between(F.col("range.low"), F.col("range.high")))
-    inside = inside.select("robot_id", "us", F.lit(1).alias("part"), "arrival_seq", *names)
-
-    who = (robots if robots is not None else known).select("robot_id").where("robot_id is not null").distinct().withColumn("range", bounds)
-    first, last = F.ceil(F.col("range.low") / step) * step, F.floor(F.col("range.high") / step) * step
-    spans = who.withColumns({"first": first.cast("long"), "last": last.cast("long")}).where("first <= last")
-    spans = spans.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))))
-    spans = spans.repartition("robot_id", "chunk")  # a long series is generated by many tasks
-    low, high = F.greatest("first", F.ceil(F.col("chunk") * width / step) * step), F.least("last", (F.col("chunk") + 1) * width - step)
-    ticks = spans.select("robot_id", F.explode(F.sequence(low.cast("long"), high.cast("long"), F.lit(step).cast("long"))).alias("us"))
-    ticks = ticks.select("robot_id", "us", F.lit(2).alias("part"))
-
-    rows = opening.unionByName(inside).unionByName(ticks, allowMissingColumns=True).withColumn("_chunk", F.floor(F.col("us") / width).cast("long"))
-    filled = running(rows, "robot_id", ("us", "part", "arrival_seq"), "_chunk", lasts={f"_f_{c}": F.col(c) for c in names})
-    values = [F.coalesce(F.col(f"_f_{c}"), default).alias(c) for c, default in channels.items()]
-    return filled.where("part = 2").select("robot_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("tick"), *values)
+    return met.groupBy("robot_id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in names])
 
 
 def bridge_messages(odometry: DataFrame, scans: DataFrame, imu: DataFrame, battery: DataFrame, diagnostics: DataFrame) -> DataFrame:

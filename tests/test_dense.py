@@ -115,3 +115,9 @@ def test_a_silent_robot_goes_on_reporting(spark, tmpdir_path):
         write(spark, tmpdir_path, part, n)
     got = collected(dense.ticks(run(spark, tmpdir_path, 0, 50)))
     assert [r for r in got if r[0] == "quiet"] == sorted((("quiet", at(s), 100.0 if s == 0 else 7.0, None) for s in range(0, 51, 2)), key=str)
+
+
+def test_ticks_are_made_after_the_last_shuffle_and_sort(spark):
+    plan = batch(spark, readings(5), 0, 600, chunk="1 minute")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    ticks = next(n for n, line in enumerate(plan) if "explode(sequence(tick" in line)
+    assert all(ticks < n for n, line in enumerate(plan) if any(word in line for word in ("Window", "Join", "Repartition", "Union", "Sort")))
