@@ -121,3 +121,13 @@ def test_ticks_are_made_after_the_last_shuffle_and_sort(spark):
     plan = batch(spark, readings(5), 0, 600, chunk="1 minute")._jdf.queryExecution().optimizedPlan().toString().splitlines()
     ticks = next(n for n, line in enumerate(plan) if "explode(sequence(tick" in line)
     assert all(ticks < n for n, line in enumerate(plan) if any(word in line for word in ("Window", "Join", "Repartition", "Union", "Sort")))
+
+
+def test_whole_values_are_aggregated_only_at_their_newest_times(spark):
+    rows = [("r", at(s), s, "battery", float(s)) for s in range(50)] + [("r", at(49), 90, "battery", 7.0), ("r", at(20), 91, "laser", 3.0), ("q", at(5), 92, "other", 1.0)]
+    wide = sens.by_channel(spark.createDataFrame(rows, SCHEMA), CHANNELS).withColumn("us", F.unix_micros(F.col("time").cast("timestamp")))
+    newest = sens._newest(wide.select("robot_id", "us", "arrival_seq", *CHANNELS), list(CHANNELS))
+    assert [tuple(r) for r in newest.collect()] == [("r", 7.0, 3.0)]
+    plan = newest._jdf.queryExecution().sparkPlan().toString().splitlines()
+    met = next(n for n, line in enumerate(plan) if "ShuffledHashJoin" in line)
+    assert all(n < met for n, line in enumerate(plan) if "SortAggregate" in line) and any("HashAggregate" in line for line in plan[met:])
