@@ -1,7 +1,7 @@
 """Edge-node requests on a stream: acceptance, deployments, the registration cache.
 
-Keyed state per node (``applyInPandasWithState``); rows of a micro-batch are put in order
-before they are applied, and a node's frame is bounded by the batch
+Keyed state per node, or per bucket of nodes (``applyInPandasWithState``); rows of a micro-batch
+are put in order before they are applied, and a key's frame is bounded by the batch
 (``maxOffsetsPerTrigger`` / ``maxFilesPerTrigger``).
 
 * ``decided_stream`` (J1, J2): a request is accepted if its node has registered before it,
@@ -29,10 +29,13 @@ from roverlake.operators.edge import LIVENESS_SECONDS, deployment_id
 
 _DELAY_US = 5_000_000
 _TTL_US = LIVENESS_SECONDS * 1_000_000
+#: groups of nodes that share a call and a state row: a call of its own for each node costs more than its rows
+BUCKETS = 128
 REQUEST = ("kind", "node_id", "seq", "ts", "model_id", "version")
 DECIDED = "kind string, node_id string, seq long, ts timestamp, model_id string, version string, epoch long, accepted boolean"
 DEPLOYMENT = "deployment_id string, model_id string, version string, node_id string, deployed_at timestamp, seq long, status string"
 PENDING = "epoch long, ids array<string>, models array<string>, versions array<string>, times array<long>, seqs array<long>"
+LIVE = "nodes array<string>, seqs array<long>, times array<long>"
 CACHED = "node_id string, seq long, registered_at timestamp, expires_at timestamp, live_until timestamp"
 
 
@@ -100,40 +103,39 @@ def deployments_now(changes: DataFrame) -> DataFrame:
 
 
 def _cache(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    node = key[0]
+    nodes, seq, us = (np.array(list(h), dtype=t) for h, t in zip(state.get if state.exists else ([], [], []), ("object", "int64", "int64"), strict=True))
+    opened = 0
+    if not state.hasTimedOut:
+        rows = pd.concat(list(batches), ignore_index=True)
+        opened = len(rows)
+        nodes, seq, us = np.concatenate([rows["node_id"].to_numpy("object"), nodes]), np.concatenate([rows["seq"].to_numpy("int64"), seq]), np.concatenate([_us(rows["ts"]), us])
+    sent = [(nodes[:opened], seq[:opened], us[:opened], np.full(opened, np.iinfo("int64").min))]  # NaT: the entry is open
+    code = pd.factorize(nodes)[0]
+    order = np.lexsort((seq, us, code))
+    nodes, seq, us, code = nodes[order], seq[order], us[order], code[order]
+    # an entry ends with the node's next one; one older than the live entry does not end it, but is itself closed at once
+    followed = np.append(code[1:] == code[:-1], [False]) if len(code) else np.zeros(0, "bool")
+    sent.append((nodes[followed], seq[followed], us[followed], np.minimum(np.roll(us, -1), us + _TTL_US)[followed]))
+    due = ~followed & (us + _TTL_US <= state.getCurrentWatermarkMs() * 1000)
+    sent.append((nodes[due], seq[due], us[due], us[due] + _TTL_US))
+    live = ~followed & ~due
+    if live.any():
+        state.update((nodes[live].tolist(), seq[live].tolist(), us[live].tolist()))
+        state.setTimeoutTimestamp(max((int(us[live].min()) + _TTL_US) // 1000, state.getCurrentWatermarkMs() + 1))
+    elif state.exists:
+        state.remove()
+    nodes, seq, starts, ends = (np.concatenate(c) for c in zip(*sent, strict=True))
+    if len(seq):
+        yield pd.DataFrame({"node_id": nodes, "seq": seq, "registered_at": _times(starts), "expires_at": _times(starts + _TTL_US), "live_until": pd.Series(ends.view("datetime64[us]")).astype("datetime64[ns]")})
 
-    def entries(seqs, starts, ends) -> pd.DataFrame:
-        starts = np.asarray(starts, "int64")
-        until = pd.Series(pd.NaT, index=range(len(starts)), dtype="datetime64[ns]") if ends is None else _times(ends)
-        return pd.DataFrame({"node_id": node, "seq": np.asarray(seqs, "int64"), "registered_at": _times(starts), "expires_at": _times(starts + _TTL_US), "live_until": until})
 
-    if state.hasTimedOut:
-        seq, at = state.get
-        state.remove()
-        yield entries([seq], [at], [at + _TTL_US])
-        return
-    rows = pd.concat(list(batches), ignore_index=True)
-    us, seq = _us(rows["ts"]), rows["seq"].to_numpy("int64")
-    order = np.lexsort((seq, us))
-    us, seq = us[order], seq[order]
-    yield entries(seq, us, None)
-    if state.exists:
-        old_seq, old = state.get
-        # a registration older than the live one cannot end it: its own entry is closed at once
-        us, seq = np.concatenate([[old], us]), np.concatenate([[old_seq], seq])
-        order = np.lexsort((seq, us))
-        us, seq = us[order], seq[order]
-    if len(us) > 1:
-        yield entries(seq[:-1], us[:-1], np.minimum(us[1:], us[:-1] + _TTL_US))
-    state.update((int(seq[-1]), int(us[-1])))
-    state.setTimeoutTimestamp(max((int(us[-1]) + _TTL_US) // 1000, state.getCurrentWatermarkMs() + 1))
-
-
-def registration_stream(edge_log: DataFrame, watermark: str) -> DataFrame:
+def registration_stream(edge_log: DataFrame, watermark: str, buckets: int = BUCKETS) -> DataFrame:
     """Change log of cache entries: opened (``live_until`` NULL), then closed by expiry or by
-    the node's next registration."""
+    the node's next registration. A call serves a bucket of nodes; its state is their live
+    entries, and its timer stands at the next expiry."""
     src = edge_log.where("node_id is not null and ts is not null and kind = 'register'").select("node_id", "seq", F.col("ts").cast("timestamp").alias("ts"))
-    return src.withWatermark("ts", watermark).groupBy("node_id").applyInPandasWithState(_cache, CACHED, "seq long, at long", "append", GroupStateTimeout.EventTimeTimeout)
+    src = src.withColumn("bucket", F.pmod(F.xxhash64("node_id"), F.lit(buckets))).withWatermark("ts", watermark)
+    return src.groupBy("bucket").applyInPandasWithState(_cache, CACHED, LIVE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def cache_entries(changes: DataFrame) -> DataFrame:

@@ -112,3 +112,14 @@ def test_roll_up_equals_batch_but_for_open_windows(spark, tmpdir_path):
     newest = rows[-1][1]
     assert {r.bucket for r in windows.where("state = 'open'").withColumn("bucket", F.col("bucket").cast("timestamp_ntz")).collect()} == {at((newest - T0).seconds // 300 * 300)}
     assert windows.where("state = 'late'").count() == 0
+
+
+def test_nodes_share_the_state_rows_of_the_registration_cache(spark, tmpdir_path):
+    rng = random.Random(11)
+    rows = sorted((("register", f"n{rng.randrange(150)}", i, at(rng.randrange(1500)), "active", 1.0, 1.0, "m", "1") for i in range(500)), key=lambda r: r[3])
+    changes = run(spark, tmpdir_path, lambda s: edge.registration_stream(s, "0 seconds", buckets=3), quarters(rows, 5), LOG, restart_after=2)
+    columns = ("node_id", "seq", "registered_at", "expires_at", "live_until")
+    assert plain(edge.cache_entries(changes), *columns) == plain(batch.registration_cache(spark.createDataFrame(rows, LOG)), *columns)
+    assert changes.where("live_until is not null").groupBy("node_id", "seq").count().where("count > 1").count() == 0  # each was closed once
+    state = spark.read.format("statestore").load(f"{tmpdir_path}/c")
+    assert 0 < state.count() <= 3
