@@ -214,7 +214,7 @@ def _newest(messages: DataFrame, names: list[str]) -> DataFrame:
     """
     times = messages.groupBy("robot_id").agg(*[F.max(F.when(F.col(c).isNotNull(), F.col("us"))).alias(f"_at_{c}") for c in names])
     points = times.select("robot_id", F.explode(F.array_distinct(F.array(*[f"_at_{c}" for c in names]))).alias("us"))
-    met = messages.join(points.hint("shuffle_hash"), ["robot_id", "us"], "left_semi")
+    met = messages.join(points, ["robot_id", "us"], "left_semi")
     order = F.struct("us", "arrival_seq")
     return met.groupBy("robot_id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in names])
 
