@@ -2,15 +2,20 @@
 
 Query blocks meet candidate blocks in tiles. In a tile the unit vectors are
 int8 codes with a scale each; the integer products give every cosine with a
-bound on the quantisation error (from the exact norms of the residues), so each
-query has a lower and an upper bound for each candidate. Only pairs whose upper
-bound reaches the query's k-th largest lower bound are recomputed, in double
-precision on the original vectors, and a heap keeps the k best of the tile. The
-tiles' lists are merged by query.
-
-The small side travels: each query block is sent to every candidate block, and
-a task holds one tile at a time. Memory does not grow with the table, nor with
-a vector that many rows share.
+bound on the quantisation error (from the exact norms of the residues). Each
+query has a heap of the k best found so far, whose last score is its floor;
+where that lets many pairs of a tile through, the tile's own k-th largest lower
+bound does it. Only pairs whose upper bound reaches the floor are recomputed, in
+double precision on the original vectors. The tasks' lists are merged by query.
+
+A task holds one part of the queries (``HELD_ROWS``, ``HELD_BYTES``), streams
+one part of the candidate blocks past it and returns k rows for each query. More
+queries make more parts; the candidates are shuffled once, in at most
+``MOST_PARTS`` parts and so few that the lists stay below the vectors in size.
+The join is a product of partitions (``shuffle_replicate_nl``): it copies no
+matches of a block into a list and broadcasts nothing, so neither an executor's
+memory nor the driver's grows with the table, nor with a vector that many rows
+share.
 
 Defined results: a vector that is null, empty or zero, or holds a null, NaN or
 infinite component, and a row without id, take no part; vectors are compared
@@ -22,6 +27,7 @@ no candidate of itself; fewer candidates than k are all returned.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +36,14 @@ from pyspark.sql import functions as F
 
 from roverlake.llm.common import parts
 
-#: a tile has at most QUERY_ROWS x BLOCK_ROWS products, and a block so many bytes
-BLOCK_ROWS, QUERY_ROWS, BLOCK_BYTES = 4096, 1024, 1 << 21
+#: rows of a block of candidates and of queries, at most, and its bytes
+BLOCK_ROWS, QUERY_ROWS, BLOCK_BYTES = 4096, 4096, 1 << 21
+#: queries that a task holds, and their bytes (as doubles)
+HELD_ROWS, HELD_BYTES = 1 << 15, 1 << 24
+#: parts of the candidates, each of at least 8 blocks of LEAST_ROWS; a part returns k rows for each query, of so many bytes
+MOST_PARTS, LEAST_ROWS, ROW_BYTES = 64, 256, 32
+#: queries of a tile that are multiplied at once; pairs of a query above which the tile's own floor is found; components recomputed at once
+STRIP, WIDE, RECOMPUTED = 256, 64, 1 << 21
 
 
 def _quantised(x: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -46,47 +58,101 @@ def _quantised(x: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _scaled(x: np.ndarray) -> np.ndarray:
-    """Rows divided by a power of two near their largest component, so that no
-    square overflows or vanishes; cosines are the same to the last bit."""
+    """Rows as doubles, divided by a power of two near their largest component, so
+    that no square overflows or vanishes; cosines are the same to the last bit."""
+    x = x.astype(np.float64)
     top = np.abs(x).max(axis=1, keepdims=True)
     return np.ldexp(x, -np.frexp(top)[1])
 
 
-def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query, candidate, cosine): the k nearest of the tile for each query."""
-    queries, rows = _scaled(queries), _scaled(rows)
-    qc, qs, qn, qe = _quantised(queries)
-    cc, cs, cn, ce = _quantised(rows)
-    near = (qc @ cc.T).astype(np.float64) * qs[:, None] * cs[None, :]
-    # |u.v - su.sv| <= |su||ev| + |eu||sv| + |eu||ev|, and rounding
-    err = qn[:, None] * ce[None, :] + qe[:, None] * cn[None, :] + qe[:, None] * ce[None, :] + 1e-9
-    own = query_ids[:, None] == ids[None, :]
-    near[own] = -np.inf
-    low = near - err
-    # among so many rows there are k different ids, even if ids repeat
-    most = min(k * int(np.unique(ids, return_counts=True)[1].max()), low.shape[1])
-    floor = -np.partition(-low, most - 1, axis=1)[:, most - 1]
-    q, c = np.nonzero((near + err >= floor[:, None]) & ~own)
-    out = []
-    for lo in range(0, len(q), 100_000):
-        a, b = queries[q[lo:lo + 100_000]], rows[c[lo:lo + 100_000]]
-        out.append((a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1)))
-    score = np.concatenate(out) if out else np.empty(0)
-    found = []
-    edge = np.searchsorted(q, np.arange(len(query_ids) + 1))
-    for i in range(len(query_ids)):
-        part = slice(edge[i], edge[i + 1])
-        top: dict[int, float] = {}
-        for j, s in zip(ids[c[part]].tolist(), score[part].tolist(), strict=True):
-            top[j] = max(s, top.get(j, -np.inf))
-        best = heapq.nsmallest(k, ((-s, j) for j, s in top.items()))
-        found.extend((int(query_ids[i]), j, -s) for s, j in best)
-    return found
-
-
-def _packed(rows: DataFrame, most: int) -> DataFrame:
-    """(dim, ids, rows): vectors of one length as blocks of at most ``most`` rows and
-    ``BLOCK_BYTES``, formed where they lie."""
+class _Block:
+    """Candidates of one length with their codes."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray):
+        self.ids, self.rows = ids, rows
+        self.code, self.scale, self.norm, self.left = _quantised(_scaled(rows))
+        self.repeats = int(np.unique(ids, return_counts=True)[1].max())
+
+
+class _Asked(_Block):
+    """Queries of one length with a heap each: (score, -id) of the k best items met."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, k: int):
+        super().__init__(ids, rows)
+        self.k, self.best = k, [[] for _ in ids]
+        #: score and id of the heap's last item, once it holds k
+        self.floor, self.last = np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64)
+
+    def meet(self, at: int, item: int, score: float) -> None:
+        top = self.best[at]
+        same = next((n for n, x in enumerate(top) if x[1] == -item), None)
+        if same is not None:
+            if score <= top[same][0]:
+                return
+            top[same] = (score, -item)
+            heapq.heapify(top)
+        elif len(top) < self.k:
+            heapq.heappush(top, (score, -item))
+        else:
+            heapq.heappushpop(top, (score, -item))
+        if len(top) == self.k:
+            self.floor[at], self.last[at] = top[0][0], -top[0][1]
+
+
+def tile(asked: _Asked, block: _Block) -> None:
+    """The block's candidates go into the heaps of the queries they are among the k nearest of."""
+    # |u.v - su.sv| <= |su||ev| + |eu||sv| + |eu||ev|, and rounding (of the products with the scales in float32 too)
+    slack = asked.norm * block.left.max() + asked.left * (block.norm + block.left).max() + 1e-6
+    most = min(asked.k * block.repeats, len(block.ids))
+    scale = block.scale.astype(block.code.dtype)
+    for lo in range(0, len(asked.ids), STRIP):
+        near = asked.code[lo:lo + STRIP] @ block.code.T
+        near *= scale
+        part = slice(lo, lo + STRIP)
+        limit = ((asked.floor[part] - slack[part]) / asked.scale[part]).astype(near.dtype)
+        rows = np.flatnonzero(near.max(axis=1) >= limit)
+        if not len(rows):
+            continue
+        near, limit = near[rows], limit[rows]
+        rows += lo
+        through = near >= limit[:, None]
+        wide = np.flatnonzero(np.count_nonzero(through, axis=1) > max(WIDE, most))
+        if len(wide):
+            others = near[wide]
+            others[asked.ids[rows[wide]][:, None] == block.ids[None, :]] = -np.inf
+            # among so many rows there are k different ids, even if ids repeat
+            own = np.partition(others, others.shape[1] - most, axis=1)[:, others.shape[1] - most]
+            own = own - (2 * slack[rows[wide]] / asked.scale[rows[wide]]).astype(near.dtype)
+            through[wide] &= others >= own[:, None]
+        q, c = np.divmod(np.flatnonzero(through), through.shape[1])
+        near, q = near[q, c].astype(np.float64) * asked.scale[rows[q]], rows[q]
+        err = asked.norm[q] * block.left[c] + asked.left[q] * (block.norm[c] + block.left[c]) + 1e-6
+        fit = (near + err >= asked.floor[q]) & (asked.ids[q] != block.ids[c])
+        q, c = q[fit], c[fit]
+        step = max(1, RECOMPUTED // block.rows.shape[1])
+        for first in range(0, len(q), step):
+            at, other = q[first:first + step], c[first:first + step]
+            a, b = _scaled(asked.rows[at]), _scaled(block.rows[other])
+            score, ids = (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1)), block.ids[other]
+            better = (score > asked.floor[at]) | ((score == asked.floor[at]) & (ids < asked.last[at])) | np.isneginf(asked.floor[at])
+            for found in zip(at[better].tolist(), ids[better].tolist(), score[better].tolist(), strict=True):
+                asked.meet(*found)
+
+
+def _lists(held: Iterable[_Asked], k: int) -> dict[int, list[tuple[float, int]]]:
+    """query id: the k best of its rows' heaps, as (-score, id)."""
+    out: dict[int, dict[int, float]] = {}
+    for asked in held:
+        for query, top in zip(asked.ids.tolist(), asked.best, strict=True):
+            items = out.setdefault(query, {})
+            for score, item in top:
+                items[-item] = max(score, items.get(-item, -np.inf))
+    return {query: heapq.nsmallest(k, ((-s, j) for j, s in items.items())) for query, items in out.items()}
+
+
+def _packed(rows: DataFrame, most: int, kind: str) -> DataFrame:
+    """(dim, ids, rows, no): vectors of one length as numbered blocks of at most ``most``
+    rows and ``BLOCK_BYTES``, formed where they lie."""
 
     def blocks(batches):
         held: dict[int, tuple[list, list]] = {}
@@ -112,33 +178,49 @@ def _packed(rows: DataFrame, most: int) -> DataFrame:
                 yield block(dim, np.concatenate(own), np.concatenate(some))
 
     def block(dim, ids, vectors):
-        return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids.astype("<i8").tobytes()]), pa.array([vectors.astype("<f8").tobytes()])], names=["dim", "ids", "rows"])
+        return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids.astype("<i8").tobytes()]), pa.array([vectors.astype(kind).tobytes()])], names=["dim", "ids", "rows"])
+
+    return rows.select("id", "v").mapInArrow(blocks, "dim int, ids binary, rows binary").withColumn("no", F.monotonically_increasing_id())
+
 
-    return rows.select("id", "v").mapInArrow(blocks, "dim int, ids binary, rows binary")
+def _sound(rows: DataFrame, key: str, vector: str, kind: str) -> DataFrame:
+    """(id, v): the rows that take part."""
+    rows = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("v"))
+    sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    return rows.where(F.col("id").isNotNull() & F.coalesce(sound, F.lit(False)))
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest other rows of each query."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.where(F.col("id").isNotNull() & F.coalesce(sound, F.lit(False)))
-    count = vectors.where(is_query).count()
-    groups = parts(spark)
-    queries = _packed(rows.where("q").repartition(max(1, -(-count // QUERY_ROWS)), "id"), QUERY_ROWS)
-    queries = queries.select("dim", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    blocks = _packed(rows, BLOCK_ROWS).withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
+    kind, code = ("array<float>", "<f4") if vectors.select(vector).dtypes[0][1] == "array<float>" else ("array<double>", "<f8")
+    asked, length = F.coalesce(is_query, F.lit(False)), F.greatest(F.size(vector), F.lit(0)).cast("long")
+    size = vectors.select(asked.alias("q"), (8 * length).alias("n")).agg(F.count(F.lit(1)).alias("rows"), F.count_if("q").alias("queries"), F.sum(F.when(F.col("q"), F.col("n"))).alias("asked"), F.sum("n").alias("all")).first()
+    held = max(1, -(-size["queries"] // HELD_ROWS), -(-(size["asked"] or 0) // HELD_BYTES))
+    groups = max(1, min(parts(spark), MOST_PARTS, -(-size["rows"] // (8 * LEAST_ROWS)), (size["all"] or 0) // (ROW_BYTES * k * max(1, size["queries"]))))
+    queries = _sound(vectors.where(is_query), key, vector, kind).repartition(max(1, -(-size["queries"] // QUERY_ROWS)))
+    queries = _packed(queries, QUERY_ROWS, code).select("dim", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("no").alias("q_no")).repartition(held)
+    blocks = _packed(_sound(vectors, key, vector, kind), min(BLOCK_ROWS, max(LEAST_ROWS, size["rows"] // (8 * groups))), code).repartition(groups)
 
     def tiles(batches):
+        held: dict[int, _Asked] = {}
+        met, block = None, None
         for batch in batches:
-            for dim, ids, held, own, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                read = lambda raw, dim=dim: np.frombuffer(raw, "<f8").reshape(-1, dim)
-                found = tile(np.frombuffer(own, "<i8"), read(asked), np.frombuffer(ids, "<i8"), read(held), k)
-                q, c, s = zip(*found, strict=True) if found else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
-
-    pairs = blocks.join(queries, ["g", "dim"]).select("dim", "ids", "rows", "q_ids", "q_rows")
+            dims, numbers, asked = (batch.column(c).to_pylist() for c in ("dim", "no", "q_no"))
+            for at, (dim, no, q_no) in enumerate(zip(dims, numbers, asked, strict=True)):
+                read = lambda c, of, batch=batch, at=at: np.frombuffer(batch.column(c)[at].as_buffer(), of)
+                if no != met:
+                    met, block = no, _Block(read("ids", "<i8"), read("rows", code).reshape(-1, dim))
+                if q_no not in held:  # copied, else the whole batch would stay
+                    held[q_no] = _Asked(read("q_ids", "<i8").copy(), read("q_rows", code).reshape(-1, dim).copy(), k)
+                tile(held[q_no], block)
+        found = [(query, item, -score) for query, top in _lists(held.values(), k).items() for score, item in top]
+        for lo in range(0, len(found), 10_000):
+            q, c, s = zip(*found[lo:lo + 10_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
+
+    pairs = blocks.join(queries.hint("shuffle_replicate_nl"), "dim").select("dim", "no", "ids", "rows", "q_no", "q_ids", "q_rows")
     best = pairs.mapInArrow(tiles, "query_id long, vec_id long, score double")
-    best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = best.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,8 +1,13 @@
 """Classifiers by held-out accuracy, language ID, decontamination and nearest neighbours by brute force."""
 
+import ast
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -207,3 +212,49 @@ def test_nearest_edges(spark):
     assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(0, 1, 9), (0, 2, 1), (0, 3, 8), (0, 4, 200), (200, 1, 1), (200, 2, 8), (200, 3, 0), (200, 4, 9)]
     assert got[0].score == 1.0 and got[1].score == got[2].score == pytest.approx(0.5 ** 0.5)
     assert nearest.nearest(frame.where("false"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_nearest_in_a_small_heap():
+    """80 MB of vectors, all of them queries, in a local session of 512 MB."""
+    code = """
+from pyspark.sql import functions as F
+from roverlake.llm import nearest
+from roverlake.session import get_session
+spark = get_session("local[2]", shuffle_partitions=2)
+wide = F.concat(F.array_repeat(F.lit(0.0), 9998), F.array(F.cos("id"), F.sin("id")))
+found = nearest.nearest(spark.range(1000).select(F.col("id").alias("vec_id"), wide.alias("embedding")), F.lit(True)).collect()
+print("FOUND", [(r.query_id, r["rank"], r.vec_id, r.score) for r in found])
+"""
+    root = str(Path(__file__).parents[2])
+    run = subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONPATH": root, "ROVERLAKE_DRIVER_MEMORY": "512m"}, capture_output=True, text=True, timeout=300)
+    assert run.returncode == 0, run.stderr[-2000:]
+    found = ast.literal_eval(run.stdout.rpartition("FOUND ")[2])
+    assert len(found) == 5000
+    angles = np.arange(1000)
+    for query, rank, item, score in found:
+        others = np.sort(np.cos(np.delete(angles, query) - query))[::-1]
+        assert item != query and score == pytest.approx(np.cos(item - query), abs=1e-9) == pytest.approx(others[rank - 1], abs=1e-9)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_nearest_over_many_tiles(spark, monkeypatch, kind):
+    """Small parts and blocks: lists merged over tiles and tasks, ids that repeat, equal vectors, two lengths."""
+    for name, value in {"BLOCK_ROWS": 16, "QUERY_ROWS": 8, "HELD_ROWS": 32, "LEAST_ROWS": 4, "ROW_BYTES": 1, "STRIP": 3, "WIDE": 2, "RECOMPUTED": 200}.items():
+        monkeypatch.setattr(nearest, name, value)
+    rng = np.random.default_rng(9)
+    vectors = [rng.normal(size=6 if n % 7 else 3).astype(np.float32).astype(float) for n in range(600)]
+    for n in range(100, 220):
+        vectors[n] = vectors[1] * 2.0 ** rng.integers(-3, 4)  # one direction
+    rows = [(n if n < 500 else n % 40, v) for n, v in enumerate(vectors)]  # ids below 40 have several vectors
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in rows], f"vec_id long, embedding array<{kind}>").repartition(5)
+    want = {}
+    for i, u in rows:
+        if i % 2 == 0:
+            best = want.setdefault(i, {})
+            for j, v in rows:
+                if j != i and len(u) == len(v):
+                    best[j] = max(best.get(j, -2.0), float((u * v).sum() / np.sqrt((u * u).sum() * (v * v).sum())))
+    got = {}
+    for r in sorted(nearest.nearest(frame, F.col("vec_id") % 2 == 0).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == {i: [(j, pytest.approx(s, abs=1e-12)) for j, s in sorted(best.items(), key=lambda x: (-round(x[1], 12), x[0]))[:5]] for i, best in want.items()}
