@@ -221,19 +221,17 @@ from pyspark.sql import functions as F
 from roverlake.llm import nearest
 from roverlake.session import get_session
 spark = get_session("local[2]", shuffle_partitions=2)
-wide = F.concat(F.array_repeat(F.lit(0.0), 9998), F.array(F.cos("id"), F.sin("id")))
-found = nearest.nearest(spark.range(1000).select(F.col("id").alias("vec_id"), wide.alias("embedding")), F.lit(True)).collect()
+wide = F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda n: (F.col("id") * n % 1009 - 500).cast("double"))
+found = nearest.nearest(spark.range(10_000).select(F.col("id").alias("vec_id"), wide.alias("embedding")), F.lit(True)).collect()
 print("FOUND", [(r.query_id, r["rank"], r.vec_id, r.score) for r in found])
 """
     root = str(Path(__file__).parents[2])
     run = subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONPATH": root, "ROVERLAKE_DRIVER_MEMORY": "512m"}, capture_output=True, text=True, timeout=300)
     assert run.returncode == 0, run.stderr[-2000:]
     found = ast.literal_eval(run.stdout.rpartition("FOUND ")[2])
-    assert len(found) == 5000
-    angles = np.arange(1000)
-    for query, rank, item, score in found:
-        others = np.sort(np.cos(np.delete(angles, query) - query))[::-1]
-        assert item != query and score == pytest.approx(np.cos(item - query), abs=1e-9) == pytest.approx(others[rank - 1], abs=1e-9)
+    # vectors repeat every 1,009 ids
+    assert sorted(x[:3] for x in found) == [(q, rank, j) for q in range(10_000) for rank, j in enumerate([j for j in range(q % 1009, 10_000, 1009) if j != q][:5], 1)]
+    assert all(x[3] == pytest.approx(1, abs=1e-12) for x in found)
 
 
 @pytest.mark.parametrize("kind", ["float", "double"])
